@@ -109,7 +109,8 @@ def links(distinct: DataFrame) -> DataFrame:
     each is linked to the smallest: rows are a constant times the fingerprints, never pairs of a group.
     """
     on_grid = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    near = on_grid.join(_shared(on_grid, "cell"), "cell", "left_semi").select("fp").distinct()
+    # a merge join at any size: it can split cells that hold many fingerprints, and nothing grows into a broadcast
+    near = on_grid.join(_shared(on_grid, "cell").hint("merge"), "cell", "left_semi").select("fp").distinct()
     near, _ = materialise(near, "near")
     at_hub = near.select("fp", F.explode(_hubs(F.col("fp"))).alias("hub"))
     return (
