@@ -11,22 +11,19 @@ from .text import let, strip
 def spans(text: Column, pattern: str, *groups: int) -> Column:
     """array<struct<raw, start, end, g1, g2, ...>> of all matches in order; places count from 0, ends are exclusive.
 
-    The pieces between matches and the matches themselves give the places by one running sum.
+    The pieces between matches and the matches themselves give the places by one running sum. The text is searched
+    once for matches and once for pieces; groups are read from the short matches (patterns must not look beyond them
+    for their groups).
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
-    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-    captured = F.array(found, *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups))
-
-    def build(both: Column) -> Column:
-        return F.transform(
-            F.get(both["c"], 0),
-            lambda m, i: F.struct(m.alias("raw"), (F.get(both["e"], i + 1) - F.length(m)).alias("start"), F.get(both["e"], i + 1).alias("end"), *(F.get(F.get(both["c"], k + 1), i).alias(f"g{k + 1}") for k in range(len(groups)))),
-        )
-
-    return F.when(F.rlike(text, F.lit(pattern)), let(F.struct(captured.alias("c"), ends.alias("e")), build)).otherwise(
-        F.array().cast("array<struct<raw:string,start:int,end:int" + "".join(f",g{k + 1}:string" for k in range(len(groups))) + ">>")
-    )
+
+    def build(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        group = lambda m: [F.regexp_extract(m, pattern, g).alias(f"g{k + 1}") for k, g in enumerate(groups)]
+        return let(ends, lambda e: F.transform(found, lambda m, i: F.struct(m.alias("raw"), (F.get(e, i + 1) - F.length(m)).alias("start"), F.get(e, i + 1).alias("end"), *group(m))))
+
+    none = F.array().cast("array<struct<raw:string,start:int,end:int" + "".join(f",g{k + 1}:string" for k in range(len(groups))) + ">>")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, build(found)).otherwise(none))
 
 
 def context(text: Column, start: Column, end: Column, left: int, right: int) -> Column:

@@ -61,3 +61,14 @@ UPLOAD_TYPES = [".pdf", ".docx", ".xlsx", *IMAGE_TYPES]
 MAX_UPLOAD_MB = 50
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))]
 RATE_PER_MINUTE, RATE_BURST = 30, 5
+
+# Post-correction of recognised text. Look-alike characters stand in pairs.
+LOOK_ALIKES = ["已己", "未末", "干千", "土士", "曰日", "人入", "大太", "夭天", "乌鸟", "免兔", "酒洒", "候侯", "拨拔", "刺剌", "崇祟", "盲育", "汩汨", "茶荼", "赢羸", "辨辩", "粱梁", "栗粟", "陪赔", "竞竟", "历厉", "密蜜", "板扳", "模摸", "稿搞", "码玛", "狠狼", "根跟", "性姓", "纪记", "徒徙", "裁栽", "载戴"]
+PHRASE_FIXES = {"己经": "已经", "未来": "未来", "千部": "干部", "土兵": "士兵", "大阳": "太阳", "鸟云": "乌云", "免子": "兔子", "酒水": "洒水", "拔款": "拨款", "侯选": "候选", "祟高": "崇高", "育目": "盲目", "荼叶": "茶叶", "羸利": "盈利", "辩别": "辨别", "梁食": "粮食", "粟米": "粟米", "赔偿": "赔偿", "竟争": "竞争", "厉史": "历史", "蜜封": "密封", "扳权": "版权", "摸型": "模型", "搞件": "稿件", "玛头": "码头", "狼心": "狠心", "跟本": "根本", "姓质": "性质", "记律": "纪律", "徙弟": "徒弟", "栽判": "裁判", "戴重": "载重"}
+CORRECTION_WORDS = ["元", "万", "千", "百", "角", "分", "¥", "￥", "$"]
+
+# Labels.
+RISK_LABELS = {"high": "高风险", "medium": "中风险", "low": "低风险"}
+RISK_COLOURS = {"high": "D32F2F", "medium": "F57C00", "low": "1976D2"}
+DIRECTION_LABELS = {"missing_in_pdf": "PDF 缺失", "extra_in_pdf": "PDF 多出"}
+ROLE_PERMISSIONS = {"admin": ["compare", "export", "manage_keys", "manage_profiles", "view_audit"], "analyst": ["compare", "export", "manage_profiles"], "viewer": []}

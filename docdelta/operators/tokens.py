@@ -5,7 +5,7 @@ A token is (doc_id, page, ord, text, confidence, x1, y1, x2, y2).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -107,7 +107,45 @@ def keyword_hits(tokens: DataFrame, industry: str = "general") -> DataFrame:
 
 
 def quality_actions(images: DataFrame) -> DataFrame:
-    """FN-50: the weighted score and the treatments for given contrast, sharpness and noise measures."""
-    score = F.col("contrast") * 0.4 + F.col("sharpness") * 0.35 + (1 - F.col("noise")) * 0.25
-    actions = F.array_compact(F.array(F.when(F.col("contrast") < 0.3, "enhance_contrast"), F.when(F.col("sharpness") < 0.3, "sharpen"), F.when(F.col("noise") > 0.5, "denoise")))
+    """FN-50: the weighted score and the treatments for given contrast, blur and noise measures."""
+    score = F.col("contrast") * 0.4 + (1 - F.col("blur")) * 0.35 + (1 - F.col("noise")) * 0.25
+    found = F.array_compact(F.array(F.when(F.col("contrast") < 0.3, "contrast_enhance"), F.when(F.col("blur") > 0.6, "sharpen"), F.when(F.col("noise") > 0.5, "denoise")))
+    actions = F.when((F.size(found) == 0) & (score < 0.4), F.array(F.lit("full_preprocess"))).otherwise(found)
     return images.withColumns({"score": score, "actions": actions})
+
+
+def correct(tokens: DataFrame) -> DataFrame:
+    """FN-47, FN-48: known wrong phrases, then look-alike characters of doubtful tokens beside amounts or digits.
+
+    Adds ``post_corrected``. Characters are taken from left to right; later ones see earlier changes.
+    """
+    text, sure = F.col("text"), F.col("confidence")
+    plain = (sure >= 0.85) | (F.length(text) < 2)
+    phrases = text
+    hit = F.lit(False)
+    for wrong, right in vocab.PHRASE_FIXES.items():
+        hit = hit | F.contains(phrases, F.lit(wrong))
+        if wrong != right:
+            phrases = F.replace(phrases, F.lit(wrong), F.lit(right))
+    swap = {a: b for pair in vocab.LOOK_ALIKES for a, b in (pair, pair[::-1])}
+    twin = lambda c: F.translate(c, "".join(swap), "".join(swap.values()))
+
+    def step(done: Column, c: Column) -> Column:
+        at = F.length(done["out"])
+        near = F.concat(F.substr(done["out"], F.greatest(at - 3, F.lit(0)) + 1, F.lit(3)), F.substr(done["all"], at + 2, F.lit(3)))
+        digit = F.rlike(F.concat(F.substr(done["out"], F.greatest(at, F.lit(1)), F.lit(1)), F.lit("|"), F.substr(done["all"], at + 2, F.lit(1))), F.lit(r"\d"))
+        return F.struct(F.concat(done["out"], F.when((twin(c) != c) & (T.any_in(near, vocab.CORRECTION_WORDS) | digit), twin(c)).otherwise(c)).alias("out"), done["all"].alias("all"))
+
+    swapped = T.let(phrases, lambda p: F.aggregate(F.split(p, ""), F.struct(F.lit("").alias("out"), p.alias("all")), step, lambda d: d["out"]))
+    new = F.when(plain, text).when(sure < 0.6, swapped).otherwise(phrases)
+    rest = [c for c in tokens.columns if c != "text"]
+    return tokens.select(*rest, new.alias("text"), F.when(plain, False).otherwise(hit | (new != phrases)).alias("post_corrected"))
+
+
+def merge_reread(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
+    """FN-49, AGG-12: tokens below 0.6 take the text of their best candidate (doc_id, page, ord, new_text, score), if any."""
+    best = candidates.groupBy("doc_id", "page", "ord").agg(F.max_by("new_text", "score").alias("new_text"), F.max("score").alias("score"))
+    met = tokens.join(best, ["doc_id", "page", "ord"], "left")
+    use = (F.col("confidence") < 0.6) & F.col("new_text").isNotNull()
+    rest = [c for c in tokens.columns if c not in ("text", "confidence")]
+    return met.select(*rest, F.when(use, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(use, F.greatest("confidence", "score")).otherwise(F.col("confidence")).alias("confidence"))

@@ -245,4 +245,6 @@ ORACLES: dict[str, str] = {
     "str_04_hourly": with_(_AUD) + "SELECT date_trunc('hour', logged_at) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM audit GROUP BY 1, 2",
     "set_01_sheet_names": "SELECT DISTINCT n_name AS name FROM nation UNION SELECT r_name FROM region",
     "fn_52_mask_counts": "SELECT count(*) FILTER (len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) > 0) AS docs_with_email, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}'))) AS BIGINT) AS emails FROM documents",
+    "win_05_difference_ids": with_(*ALL) + "SELECT pair_id, CAST(count(*) AS INTEGER) AS last_id FROM sections WHERE direction <> 'matched' GROUP BY pair_id",
+    "snk_08_sheet_report": with_(*S) + "SELECT left(sheet, 31) AS tab, row, col, col_name, value_a, value_b, CASE risk WHEN 'high' THEN '高风险' ELSE '中风险' END AS risk, category, CASE risk WHEN 'high' THEN 'D32F2F' ELSE 'F57C00' END AS colour FROM diffs",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import extract, mask, match, sheets, store, tokens
+from ..operators import extract, mask, match, report, sheets, store, textdiff, tokens
+from ..streaming import state
 from . import corpus
 
 QUERIES: dict = {}
@@ -354,3 +355,47 @@ def str_04_hourly(spark, sf_dir):
 @query
 def set_01_sheet_names(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(_table(spark, sf_dir, "region").select("r_name")).distinct()
+
+
+# Differences, corrections, reports, state.
+@query
+def fn_01_normalise(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("text"))
+
+
+@query
+def fn_73_text_diff(spark, sf_dir):
+    sides = corpus.contracts(spark, sf_dir)
+    pairs = sides.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "word", F.col("text"))).alias("word"), F.max(F.when(F.col("side") == "pdf", F.col("text"))).alias("pdf"))
+    return textdiff.diff(pairs)
+
+
+@query
+def fn_47_post_correct(spark, sf_dir):
+    return tokens.correct(corpus.tokens(spark, sf_dir)).select("doc_id", "page", "ord", "text", "post_corrected")
+
+
+@query
+def snk_01_text_report(spark, sf_dir):
+    return report.text_report(_items(spark, sf_dir))
+
+
+@query
+def snk_03_json(spark, sf_dir):
+    return report.export_json(_items(spark, sf_dir))
+
+
+@query
+def win_05_difference_ids(spark, sf_dir):
+    return report.numbered(_items(spark, sf_dir)).groupBy("pair_id").agg(F.max("id").alias("last_id"))
+
+
+@query
+def snk_08_sheet_report(spark, sf_dir):
+    return report.sheet_report(sheets.cell_differences(corpus.sheet_cells(spark, sf_dir), 1))
+
+
+@query
+def str_01_rate_limit(spark, sf_dir):
+    requests = corpus.audit(spark, sf_dir).select(F.col("user_id").alias("client"), F.unix_micros(F.col("logged_at").cast("timestamp")).alias("us"))
+    return state.rate_limit_batch(requests.select("client", (F.col("us") / 1e6 / 20000).alias("at")))
