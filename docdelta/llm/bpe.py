@@ -14,6 +14,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import regex
@@ -62,6 +63,23 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def _unsure() -> re.Pattern:
+    """Characters on whose kind Unicode versions differ: the library itself splits texts that have one."""
+    letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+    found, start = [], None
+    for c in range(_PLAIN + 1, 0x110001):
+        x = chr(c) if c < 0x110000 else "a"
+        kind = unicodedata.category(x)
+        odd = kind == "Cn" or bool(letter.match(x)) != (kind[0] == "L") or bool(number.match(x)) != (kind[0] == "N")
+        if odd and start is None:
+            start = c
+        elif not odd and start is not None:
+            found.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile("[" + "".join(found) + "]")
+
+
 class BpeModel:
     """The tables of one tokenizer file; picklable, so that it can be broadcast."""
 
@@ -221,6 +239,10 @@ class Encoder:
             return self.library.normalizer.normalize_str(text)
         return self.space.sub(" ", text).lower()
 
+    def is_unsure(self, text: str) -> bool:
+        """Whether only the library knows how to split this text."""
+        return bool(self.odd.search(text) and _unsure().search(text))
+
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text) in order."""
         if self.special is None or "<|" not in text:
@@ -237,6 +259,9 @@ class Encoder:
                 yield [part]
                 continue
             part = self.normal(part)
+            if self.is_unsure(part):
+                yield [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+                continue
             rx = self.general if self.odd.search(part) else self.plain
             if len(part) <= CHUNK_CHARS:
                 yield rx.findall(part)

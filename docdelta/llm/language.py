@@ -90,7 +90,10 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
     Whole texts are compressed, once a language. No shuffle; the dictionaries' size is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    source = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias("__text__"))
+    source = docs.select(*(docs[c] for c in keep))
+    place = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else len(keep)
+    if place == len(keep):
+        source = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias("__text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = shared.value.compressors()
@@ -98,7 +101,7 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 langs, scores, accepted = [], [], []
-                for text in some.column(len(keep)).to_pylist():
+                for text in some.column(place).to_pylist():
                     if text is None or not compressors or not any(map(str.isalpha, text)):
                         found = UNKNOWN, 0.0, -1.0
                     else:

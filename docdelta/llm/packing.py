@@ -38,7 +38,7 @@ class FastIds:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) > RUN_CHARS or "<|" in text:
+        if len(text) > RUN_CHARS or "<|" in text or self.exact.is_unsure(text):
             return self.exact.encode(text)
         return self.ranks.encode_to_numpy(text, disallowed_special=())
 
