@@ -54,7 +54,7 @@ MASK_ID_CARD = r"[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]
 MASK_BANK = r"\b\d{16,19}\b"
 MASK_MOBILE = r"1[3-9]\d{9}"
 MASK_LANDLINE = r"\b\d{3,4}[\-\s]?\d{7,8}(?:\s*(?:转|分机)\s*\d{1,6})?\b"
-ZERO_WIDTH = r"[​‌‍‎‏﻿­⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯]"
+ZERO_WIDTH = r"[\u200B-\u200F\uFEFF\u00AD\u2060-\u2064\u2066-\u206F]"
 MAGIC_BYTES = {"25504446": [".pdf"], "504B0304": [".docx", ".zip", ".xlsx"], "D0CF11E0": [".doc", ".xls", ".ppt"], "EFBBBF": [".txt"], "89504E47": [".png"], "FFD8FF": [".jpg", ".jpeg"], "424D": [".bmp"], "49492A00": [".tiff", ".tif"], "4D4D002A": [".tiff", ".tif"], "52494646": [".webp"]}
 IMAGE_TYPES = [".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".tif", ".webp"]
 UPLOAD_TYPES = [".pdf", ".docx", ".xlsx", *IMAGE_TYPES]

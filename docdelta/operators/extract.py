@@ -16,7 +16,6 @@ from ..functions import text as T
 from ..functions import vocab
 from ..functions.spans import after, before, context, disjoint, spans
 
-_T = F.col("text")
 
 
 def _rows(docs: DataFrame, found: Column, *fields: Column) -> DataFrame:
@@ -36,29 +35,29 @@ def numbers(docs: DataFrame) -> DataFrame:
     """FN-10: numbers of 3 to 12 digits that are no codes, clause or figure numbers."""
 
     def keep(s: Column) -> Column:
-        raw, prev, nxt = s["raw"], before(_T, s["start"]), after(_T, s["end"])
+        raw, prev, nxt = s["raw"], before(F.col("text"), s["start"]), after(F.col("text"), s["end"])
         value, whole, part = T.number(raw), F.substring_index(F.replace(raw, F.lit(","), F.lit("")), ".", 1), F.when(F.contains(raw, F.lit(".")), F.substring_index(raw, ".", -1)).otherwise("")
         letter = F.rlike(F.concat(prev, nxt), F.lit("[A-Za-z]"))
-        clause = (prev == "第") & F.rlike(after(_T, s["end"], 2), F.lit("[条款项]"))
+        clause = (prev == "第") & F.rlike(after(F.col("text"), s["end"], 2), F.lit("[条款项]"))
         figure = prev.isin("附", "图", "表", "章", "节", "号") | (nxt.isin("号", "条") & prev.isin("第", "条"))
         short = (F.length(part) == 1) & (F.length(whole) <= 2) & (value < 10)
         return _digits(raw).between(3, 12) & ~letter & ~((value == 1.0) & F.contains(raw, F.lit("."))) & ~clause & ~figure & ~short
 
-    found = F.filter(spans(_T, vocab.NUMBER), keep)
-    return _rows(docs, found, _s("raw").alias("raw"), T.number(_s("raw")).alias("value"), context(_T, _s("start"), _s("end"), 30, 30).alias("context"))
+    found = F.filter(spans(F.col("text"), vocab.NUMBER), keep)
+    return _rows(docs, found, _s("raw").alias("raw"), T.number(_s("raw")).alias("value"), context(F.col("text"), _s("start"), _s("end"), 30, 30).alias("context"))
 
 
 def dates(docs: DataFrame) -> DataFrame:
     """FN-11: each normalised date once, at its first place in pattern order (AGG-13)."""
-    found = F.concat(*(F.transform(spans(_T, p), lambda s: F.struct(s["raw"].alias("raw"), s["start"].alias("start"), s["end"].alias("end"), T.normalise_date(s["raw"]).alias("norm"))) for p in vocab.DATE_PATTERNS))
+    found = F.concat(*(F.transform(spans(F.col("text"), p), lambda s: F.struct(s["raw"].alias("raw"), s["start"].alias("start"), s["end"].alias("end"), T.normalise_date(s["raw"]).alias("norm"))) for p in vocab.DATE_PATTERNS))
     first = F.aggregate(F.filter(found, lambda s: s["norm"].isNotNull()), F.filter(found, lambda s: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda k: k["norm"] == s["norm"]), a).otherwise(F.array_append(a, s)))
-    return _rows(docs, first, _s("raw").alias("raw"), _s("norm").alias("norm"), context(_T, _s("start"), _s("end"), 20, 20).alias("context"))
+    return _rows(docs, first, _s("raw").alias("raw"), _s("norm").alias("norm"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
 
 
 def amount_words(docs: DataFrame) -> DataFrame:
     """FN-12 with FN-22."""
     valid = lambda s: (F.length(s["raw"]) >= 4) & F.rlike(s["raw"], F.lit("[元圆]")) & ~F.startswith(s["raw"], F.lit("零")) & ~F.contains(s["raw"], F.lit("零零零")) & F.rlike(s["raw"], F.lit("[壹贰叁肆伍陆柒捌玖拾佰仟万亿]"))
-    return _rows(docs, F.filter(spans(_T, vocab.AMOUNT_WORDS), valid), _s("raw").alias("raw"), context(_T, _s("start"), _s("end"), 20, 20).alias("context"))
+    return _rows(docs, F.filter(spans(F.col("text"), vocab.AMOUNT_WORDS), valid), _s("raw").alias("raw"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
 
 
 def amounts(docs: DataFrame, keywords: list[str] | None = None) -> DataFrame:
@@ -77,30 +76,30 @@ def amounts(docs: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     def label(s: Column, symbol: bool) -> Column:
         if not symbol:
             return s["g1"]
-        head = T.strip(F.substr(_T, F.greatest(s["start"] - 30, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - 30, F.lit(0))))
+        head = T.strip(F.substr(F.col("text"), F.greatest(s["start"] - 30, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - 30, F.lit(0))))
         money, plain = F.regexp_extract(head, rf"({run}*(?:费用|金额|总价|总额|合计|包干){run}*)$", 1), F.regexp_extract(head, rf"({run}+)$", 1)
         return F.coalesce(F.nullif(money, F.lit("")), F.nullif(plain, F.lit("")), s["g1"])
 
     def candidates(k: int, pattern: str, left: int) -> Column:
-        valid = F.filter(spans(_T, pattern, 1, 2), lambda s: _digits(s["g2"]).between(3, 12) & (F.translate(s["g2"], ",.", "").cast("double") >= 100))
-        phrase = lambda s: T.strip(F.substr(_T, F.greatest(s["start"] - 10, F.lit(0)) + 1, s["end"] + 10 - F.greatest(s["start"] - 10, F.lit(0)))) if k == 4 else s["raw"]
+        valid = F.filter(spans(F.col("text"), pattern, 1, 2), lambda s: _digits(s["g2"]).between(3, 12) & (F.translate(s["g2"], ",.", "").cast("double") >= 100))
+        phrase = lambda s: T.strip(F.substr(F.col("text"), F.greatest(s["start"] - 10, F.lit(0)) + 1, s["end"] + 10 - F.greatest(s["start"] - 10, F.lit(0)))) if k == 4 else s["raw"]
         return F.transform(valid, lambda s: F.struct(F.lit(k).alias("shape"), s["start"].alias("start"), s["end"].alias("end"), s["g2"].alias("raw"), label(s, k == 4).alias("keyword"), phrase(s).alias("phrase"), F.lit(left).alias("left")))
 
     found = disjoint(F.concat(*(candidates(k, p, left) for k, (p, left) in enumerate(shapes))))
-    around = F.when(_s("left") == 50, context(_T, _s("start"), _s("end"), 50, 20)).otherwise(context(_T, _s("start"), _s("end"), 30, 20))
+    around = F.when(_s("left") == 50, context(F.col("text"), _s("start"), _s("end"), 50, 20)).otherwise(context(F.col("text"), _s("start"), _s("end"), 30, 20))
     return _rows(docs, found, _s("shape").alias("shape"), _s("raw").alias("raw"), T.number(_s("raw")).alias("value"), _s("keyword").alias("keyword"), _s("phrase").alias("phrase"), around.alias("context"))
 
 
 def percentages(docs: DataFrame) -> DataFrame:
     """FN-14."""
-    found = spans(_T, r"(\d+(?:\.\d+)?)%", 1)
-    return _rows(docs, found, _s("raw").alias("raw"), (_s("g1").cast("double") / 100).alias("value"), context(_T, _s("start"), _s("end"), 20, 20).alias("context"))
+    found = spans(F.col("text"), r"(\d+(?:\.\d+)?)%", 1)
+    return _rows(docs, found, _s("raw").alias("raw"), (_s("g1").cast("double") / 100).alias("value"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
 
 
 def parties(docs: DataFrame) -> DataFrame:
     """FN-15: label and organisation after a colon, in brackets, or after a blank unless found before (AGG-15)."""
     shapes = [rf"({vocab.PARTY})\s*[）)]?\s*[:：]\s*({vocab.ORGANISATION})", rf"({vocab.PARTY})[（(]\s*({vocab.ORGANISATION})[）)]", rf"({vocab.PARTY})\s+({vocab.ORGANISATION})"]
-    first, second, third = (F.transform(spans(_T, p, 1, 2), lambda s: F.struct(s["raw"].alias("raw"), s["g1"].alias("party"), T.strip(s["g2"]).alias("name"))) for p in shapes)
+    first, second, third = (F.transform(spans(F.col("text"), p, 1, 2), lambda s: F.struct(s["raw"].alias("raw"), s["g1"].alias("party"), T.strip(s["g2"]).alias("name"))) for p in shapes)
     found = F.aggregate(third, F.concat(first, second), lambda a, s: F.when(F.exists(a, lambda k: (k["party"] == s["party"]) & (k["name"] == s["name"])), a).otherwise(F.array_append(a, s)))
     return _rows(docs, found, _s("raw").alias("raw"), _s("party").alias("party"), _s("name").alias("name"))
 
@@ -109,15 +108,15 @@ def contract_numbers(docs: DataFrame) -> DataFrame:
     """FN-16."""
     trim = lambda c: F.regexp_replace(c, r"\.+$", "")
     row = lambda k, raw, norm: F.struct(F.lit(k).alias("shape"), raw.alias("raw"), norm.alias("norm"))
-    first = F.filter(F.transform(spans(_T, r"合同编号\s*[:：]\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(0, trim(s["raw"]), trim(s["g1"]))), lambda s: F.length(s["norm"]) >= 2)
-    second = F.filter(F.transform(spans(_T, r"(?i)No\.?\s*[:：]?\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(1, s["raw"], s["g1"])), lambda s: F.length(F.translate(s["norm"], "-_./", "")) >= 3)
-    third = F.transform(spans(_T, r"(?:^|[\n\r。，,;；])\s*编号\s*[:：]\s*([A-Za-z0-9\-_./]{4,})", 1), lambda s: row(2, s["raw"], s["g1"]))
+    first = F.filter(F.transform(spans(F.col("text"), r"合同编号\s*[:：]\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(0, trim(s["raw"]), trim(s["g1"]))), lambda s: F.length(s["norm"]) >= 2)
+    second = F.filter(F.transform(spans(F.col("text"), r"(?i)No\.?\s*[:：]?\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(1, s["raw"], s["g1"])), lambda s: F.length(F.translate(s["norm"], "-_./", "")) >= 3)
+    third = F.transform(spans(F.col("text"), r"(?:^|[\n\r。，,;；])\s*编号\s*[:：]\s*([A-Za-z0-9\-_./]{4,})", 1), lambda s: row(2, s["raw"], s["g1"]))
     return _rows(docs, F.concat(first, second, third), _s("shape").alias("shape"), _s("raw").alias("raw"), _s("norm").alias("norm"))
 
 
 def clauses(docs: DataFrame) -> DataFrame:
     """FN-17."""
-    found = spans(_T, r"(第[一二三四五六七八九十百千万\d]+[条章节])\s*([^\n\r,，。.;；]{1,50})", 1, 2)
+    found = spans(F.col("text"), r"(第[一二三四五六七八九十百千万\d]+[条章节])\s*([^\n\r,，。.;；]{1,50})", 1, 2)
     kind = F.when(F.contains(_s("g1"), F.lit("章")), "章").when(F.contains(_s("g1"), F.lit("节")), "节").otherwise("条")
     return _rows(docs, found, _s("raw").alias("raw"), kind.alias("clause_type"), F.replace(F.replace(_s("g1"), F.lit("第"), F.lit("")), kind, F.lit("")).alias("clause_num"), T.strip(_s("g2")).alias("title"))
 
@@ -127,7 +126,7 @@ def legal_terms(docs: DataFrame) -> DataFrame:
     pairs = [(c, w) for c, words in vocab.LEGAL_TERMS.items() for w in words]
 
     def term(category: str, word: str) -> Column:
-        return F.transform(spans(_T, re.escape(word)), lambda s: F.struct(s["raw"].alias("raw"), F.lit(category).alias("category"), context(_T, s["start"], s["end"], 40, 40).alias("context")))
+        return F.transform(spans(F.col("text"), re.escape(word)), lambda s: F.struct(s["raw"].alias("raw"), F.lit(category).alias("category"), context(F.col("text"), s["start"], s["end"], 40, 40).alias("context")))
 
     found = F.concat(*(term(c, w) for c, w in pairs))
     ordered = F.transform(F.array_sort(F.transform(found, lambda s, i: F.struct((-F.length(s["raw"])).alias("n"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
@@ -138,9 +137,9 @@ def legal_terms(docs: DataFrame) -> DataFrame:
 def contacts(docs: DataFrame) -> DataFrame:
     """FN-19a to c."""
     row = lambda kind, raw, norm: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), norm.alias("norm"))
-    mobile = F.transform(spans(_T, r"(?<!\d)(1[3-9]\d{9})(?!\d)"), lambda s: row("mobile", s["raw"], s["raw"]))
-    landline = F.transform(spans(_T, r"(?:\(\d{3,4}\)\s*)?(?<!\d)(\d{3,4}[- ]\d{7,8})(?!\d)", 1), lambda s: row("landline", s["g1"], F.translate(s["g1"], " ", "-")))
-    email = F.filter(F.transform(spans(_T, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), lambda s: row("email", s["raw"], F.lower(s["raw"]))), lambda s: ~F.rlike(s["raw"], F.lit(r"^\d+@\d+")))
+    mobile = F.transform(spans(F.col("text"), r"(?<!\d)(1[3-9]\d{9})(?!\d)"), lambda s: row("mobile", s["raw"], s["raw"]))
+    landline = F.transform(spans(F.col("text"), r"(?:\(\d{3,4}\)\s*)?(?<!\d)(\d{3,4}[- ]\d{7,8})(?!\d)", 1), lambda s: row("landline", s["g1"], F.translate(s["g1"], " ", "-")))
+    email = F.filter(F.transform(spans(F.col("text"), r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), lambda s: row("email", s["raw"], F.lower(s["raw"]))), lambda s: ~F.rlike(s["raw"], F.lit(r"^\d+@\d+")))
     return _rows(docs, F.concat(mobile, landline, email), _s("kind").alias("kind"), _s("raw").alias("raw"), _s("norm").alias("norm"))
 
 
@@ -149,7 +148,7 @@ def durations(docs: DataFrame) -> DataFrame:
     pairs = [(c, w) for c, words in vocab.DURATION_TERMS.items() for w in words]
 
     def term(kind: str, word: str) -> Column:
-        return F.transform(spans(_T, rf"{re.escape(word)}\s*[:：]?\s*([^\n\r。；;\.]{{1,60}})", 1), lambda s: F.struct(s["raw"].alias("raw"), F.lit(kind).alias("term_type"), F.regexp_replace(s["g1"], "^[.,;；:： ]+|[.,;；:： ]+$", "").alias("norm")))
+        return F.transform(spans(F.col("text"), rf"{re.escape(word)}\s*[:：]?\s*([^\n\r。；;\.]{{1,60}})", 1), lambda s: F.struct(s["raw"].alias("raw"), F.lit(kind).alias("term_type"), F.regexp_replace(s["g1"], "^[.,;；:： ]+|[.,;；:： ]+$", "").alias("norm")))
 
     found = F.concat(*(term(c, w) for c, w in pairs))
     return _rows(docs, F.filter(found, lambda s: s["norm"] != ""), _s("raw").alias("raw"), _s("term_type").alias("term_type"), _s("norm").alias("norm"))

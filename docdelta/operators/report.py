@@ -77,7 +77,7 @@ def html_cards(ops: DataFrame, most: int = 100) -> DataFrame:
 
 def segments(text: Column, terms: Column, mode: str) -> Column:
     """FN-55: array<struct<mode, text>>: the first place of each term marked, the rest normal."""
-    mark, normal = "", "normal"
+    mark, normal = "\ue000", "normal"  # a private character, in no text
     marked = F.aggregate(terms, text, lambda a, t: T.let(F.position(t, a), lambda at: F.when((at > 0) & (t != ""), F.concat(F.substr(a, F.lit(1), at - 1), F.lit(mark + "1"), t, F.lit(mark + "0"), F.substr(a, at + F.length(t)))).otherwise(a)))
     parts = F.split(F.concat(F.lit("0"), marked), mark, -1)
     return F.filter(F.transform(parts, lambda p: F.struct(F.when(F.startswith(p, F.lit("1")), mode).otherwise(normal).alias("mode"), F.substr(p, F.lit(2)).alias("text"))), lambda s: s["text"] != "")

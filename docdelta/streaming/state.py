@@ -80,6 +80,6 @@ def life_cycle(changes: DataFrame) -> DataFrame:
 
 def trail(steps: DataFrame) -> DataFrame:
     """STR-06: (operation_id, step, at, details) → the last step and all details, later ones over earlier."""
-    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "details"))), lambda s: F.map_entries(s["details"])))
+    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.map_entries("details").alias("entries")))), lambda s: s["entries"]))
     merged = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda a, e: F.map_concat(F.map_filter(a, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
     return steps.groupBy("operation_id").agg(F.max_by("step", "at").alias("status"), merged.alias("details"))
