@@ -15,6 +15,8 @@ SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 #: A line fails with this share of symbols to its letters, so many words of capitals, or so many bars between short items.
 SYMBOL_SHARE, SHOUTED_WORDS, BARS = 0.08, 4, 3
+#: Words of capitals in a row. It starts at a word's first letter and never tries a word again, so its time is linear.
+SHOUTING = r"(?<!\p{Lu})(?:\p{Lu}{2,}+[^\p{L}]++){%d}" % SHOUTED_WORDS
 #: Boilerplate that a line is, or begins with.
 BOILERPLATE = r"(?i)^\W*(?:all rights reserved|cookies? (?:policy|notice|settings)|accept (?:all )?cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)|subscribe (?:to|now)|sign (?:in|up)|log ?in|share (?:this|on)|click here|read more|skip to (?:main )?content|back to top|powered by|copyright (?:©|\(c\)|\d{4})|©)\b?.{0,80}$"
 #: A document is rejected if removed lines held more than this share of its words, or it shrinks below MIN_WORDS.
@@ -60,7 +62,7 @@ def line_fails(line: Column) -> Column:
     return (
         (symbols > F.lit(SYMBOL_SHARE) * n)
         | (bars >= BARS)
-        | ((F.upper(line) == line) & (F.lower(line) != line) & F.rlike(line, F.lit(r"(?:\p{Lu}{2,}[^\p{L}]+){%d}" % SHOUTED_WORDS)))
+        | ((F.upper(line) == line) & (F.lower(line) != line) & F.rlike(line, F.lit(SHOUTING)))
         | ((n < 200) & F.rlike(line, F.lit(BOILERPLATE)))
     )
 

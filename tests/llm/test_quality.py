@@ -59,3 +59,10 @@ def test_stage(spark, odd):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 2] or 7 in [r.doc_id for r in kept.collect()]
+
+
+def test_long_lines_of_capitals_take_linear_time(spark):
+    """One word of 400,000 capitals is no shouting; four words of capitals are, wherever they begin."""
+    texts = ["A" * 400_000, "AB" + "1" * 400_000, "A BC 1 DE, FG: HI. ", "AB CD EF GH", "1ÄÖ ÜÄ ÖÜ ÄÖ !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_lines_removed for r in quality.assess(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 1}
