@@ -34,9 +34,10 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "(?:" + "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]) + ")"
-#: Kind → pattern; a text is searched for all at once, the first in this order at a place wins.
+#: Kind → pattern; a text is searched for all at once, the first in this order at a place wins. Repeated groups are
+#: bounded (a domain has at most 127 labels), since the search recurses once for each repetition.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?<!\.)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?<!\.)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![A-Za-z0-9]|[.-]\d)",
     "phone": r"(?<![A-Za-z0-9+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-. ]\d{4}(?![A-Za-z0-9])",
@@ -180,7 +181,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     """The rows of ``docs`` with every entity in ``text_col`` replaced; with ``count_col`` the number of mentions.
 
     Other columns pass through, whatever their names. A null text stays null (0 mentions), a text without entities
-    stays as it is; repeated rows are kept; an empty table gives no rows. The same key gives the same surrogates
+    stays as it is; what has no ending within 127 labels is no e-mail address; repeated rows are kept; an empty table gives no rows. The same key gives the same surrogates
     for the same set of entities. Tables of entities and mentions are shuffled, and those texts that have some;
     exact copies count as one text until the last join, in which Spark can split a text that many rows have.
     """
