@@ -129,6 +129,12 @@ def sheet_stats(cells: DataFrame, key_col: int) -> DataFrame:
     return diffs.unionByName(lone).groupBy("sheet").agg(n("row_added").alias("added"), n("row_deleted").alias("deleted"), n("cell_changed").alias("modified"), F.bool_or(F.col("risk") == "high").alias("has_high"))
 
 
+def sheet_presence(cells: DataFrame) -> DataFrame:
+    """JN-07: (sheet, in_a, in_b, status): the full outer join of both books' sheets by name, as one aggregation."""
+    found = cells.groupBy("sheet").agg(F.bool_or(F.col("book") == "a").alias("in_a"), F.bool_or(F.col("book") == "b").alias("in_b"))
+    return found.withColumn("status", F.when(F.col("in_a") & F.col("in_b"), "matched").when(F.col("in_a"), "only_in_a").otherwise("only_in_b"))
+
+
 def workbook_summary(cells: DataFrame, key_col: int) -> DataFrame:
     """AGG-05 with JN-07: sheets, total differences and whether one is critical; a sheet on one side counts all its rows."""
     sheets = cells.groupBy("sheet").agg(F.bool_or(F.col("book") == "a").alias("a"), F.bool_or(F.col("book") == "b").alias("b"), (F.count_distinct("row") + 1).alias("rows"))
