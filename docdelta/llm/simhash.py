@@ -28,8 +28,8 @@ _LANES = 0o1111111111111111111111  # the lowest bit of each segment
 _LANES -= (1 << 64) * (_LANES >> 63)
 
 
-def _slices(data: bytes) -> Iterator[list[bytes]]:
-    """The words in lists that overlap by WORDS - 1, so that each shingle lies in exactly one."""
+def _slices(data: bytes, width: int) -> Iterator[list[bytes]]:
+    """The words in lists that overlap by ``width`` - 1, so that each shingle lies in exactly one."""
     if len(data) < 8 * SLICE:
         yield data.split()
         return
@@ -37,23 +37,30 @@ def _slices(data: bytes) -> Iterator[list[bytes]]:
     while some := list(itertools.islice(found, SLICE)):
         words = kept + some
         yield words
-        kept = words[-(WORDS - 1) :]
+        kept = words[-(width - 1) :] if width > 1 else []
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a text's three-word shingles, repeats included, as an unsigned integer."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()  # A-Z only
-    ones, n = np.zeros(64, np.int64), 0
-    for words in _slices(data):
+def shingle_hashes(text: str | None, width: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles of ``width`` words, repeats included; fewer words are one shingle, none are none."""
+    data, n = (text or "").encode("utf-8", "surrogatepass").lower(), 0  # A-Z only
+    for words in _slices(data, width):
         if not words:
             continue
-        if len(words) < WORDS:
+        if len(words) < width:
             if n:  # the rest of a long text, already part of its last shingles
                 continue
             shingles = [b" ".join(words)]
         else:
-            shingles = map(b" ".join, zip(*(words[k:] for k in range(WORDS))))
+            shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(SEED)), np.uint64)
+        n += len(h)
+        yield h
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of a text's three-word shingles, repeats included, as an unsigned integer."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text):
         n += len(h)
         for at in range(0, len(h), 65536):
             part = h[at : at + 65536]
@@ -138,12 +145,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=near_duplicates) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id; repeated rows of an id stay once.
 
-    Rows with a null id name nothing and stay.
+    ``grouped`` gives (doc_id, component_id) of the rows. Rows with a null id name nothing and stay.
     """
-    found, _ = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col), "components")
+    found, _ = materialise(grouped(docs, id_col=id_col, text_col=text_col), "components")
     copies = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
     kept = docs.join(copies.where("not first").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
     if copies.where("n > 1").isEmpty():
