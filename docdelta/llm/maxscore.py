@@ -3,7 +3,8 @@
 A component is a term, a vector's scaled component its posting. In each shard, block by block, a query's terms are
 split by their largest possible contributions: the lists whose bounds together stay under the k-th score so far are
 non-essential. Vectors in an essential list are scored on those terms; the rest are probed, largest bound first, for
-as long as a vector can still compete. The shards' lists are merged at the end.
+as long as a vector can still compete. While the k-th score is zero or less every vector is scored, since one in no
+essential list can reach it. The shards' lists are merged at the end.
 """
 
 from __future__ import annotations
@@ -61,6 +62,10 @@ class _Best:
 
 def _score_block(q: np.ndarray, x: np.ndarray, high: np.ndarray, low: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows, scores) of the block's vectors that reach ``bar``; high, low: the block's extreme components."""
+    if bar <= 0:  # scores up to zero reach it, which no list holds
+        score = x @ q
+        rows = np.flatnonzero(score >= bar)
+        return rows, score[rows]
     bound = np.maximum(np.maximum(q * high, q * low), 0)
     order = np.argsort(bound, kind="stable")
     sums = np.cumsum(bound[order])
@@ -68,8 +73,6 @@ def _score_block(q: np.ndarray, x: np.ndarray, high: np.ndarray, low: np.ndarray
     if split == len(order):
         return np.zeros(0, np.int64), np.zeros(0)
     essential, others = order[split:], order[:split][::-1]
-    if np.isneginf(bar):
-        return np.arange(len(x)), x @ q
     part = x[:, essential]
     listed = ((part * np.sign(q[essential])) > 0).any(axis=1)
     score = part @ q[essential]
