@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: each used in a dictionary, and languages (the most frequent).
 SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 40, 3_000, 64
 LEVEL = 6
+#: Bytes compressed at a time. A longer text goes in pieces, each against the dictionary alone: within one run a text
+#: soon compresses against itself, and the margin would shrink with its length.
+PIECE = 8_192
 #: Bytes a text's margin must reach for acceptance, as a share of the larger size.
 MARGIN = 0.003
 UNKNOWN = "und"
@@ -65,6 +68,21 @@ def letters(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """The data in pieces of about PIECE bytes, cut before words where there are any; none is much shorter than the others."""
+    n, out, at = max(round(len(data) / PIECE), 1), [], 0
+    for k in range(1, n):
+        target = len(data) * k // n
+        cut = data.rfind(b" ", max(at, target - 256), target) if target > at else -1
+        if cut < 0:  # no word begins nearby: between two characters
+            cut = target
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+        out.append(data[at:cut])
+        at = cut
+    return [*out, data[at:]]
+
+
 def judge(text: str, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
     """(language, score, margin) of a text with letters. Ties go to the first language by name."""
     data = letters(text)
@@ -72,7 +90,8 @@ def judge(text: str, compressors: list[tuple[str, zstandard.ZstdCompressor]]) ->
         tries = (data, b" " + data + b" ", data + b" " + data)
         sizes = [(sum(len(c.compress(d)) for d in tries), lang) for lang, c in compressors]
     else:
-        sizes = [(len(c.compress(data)), lang) for lang, c in compressors]
+        parts = pieces(data)
+        sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors]
     sizes.sort()
     if len(sizes) == 1:
         return sizes[0][1], 1.0, 1.0
@@ -87,7 +106,7 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
 
     A null text or one without letters is ``und`` with score 0 and not accepted, and so is any text if no language
     was learned. Others get a learned language; ``accepted`` is false when the margin is narrower than ``margin``.
-    Whole texts are compressed, once a language. No shuffle; the dictionaries' size is bounded.
+    Whole texts are compressed in pieces, once a language. No shuffle; the dictionaries' size is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     source = docs.select(*(docs[c] for c in keep))
