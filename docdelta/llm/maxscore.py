@@ -1,15 +1,15 @@
 """Operator 4: exact top-k inner products by MaxScore over the components of vectors.
 
-A component is a term, a vector's scaled component its posting. In each shard, block by block, a query's terms are
-split by their largest possible contributions: the lists whose bounds together stay under the k-th score so far are
-non-essential. Vectors in an essential list are scored on those terms; the rest are probed, largest bound first, for
-as long as a vector can still compete. While the k-th score is zero or less every vector is scored, since one in no
-essential list can reach it. The shards' lists are merged at the end.
+A component is a term, a vector's scaled component its posting. The vectors are dealt into shards of bounded size, and
+every query is sent to each shard, where it meets the vectors block by block. Its terms are split by their largest
+possible contributions in a block: the lists whose bounds together stay under the k-th score so far are non-essential.
+Vectors in an essential list are scored on those terms; the rest are probed, largest bound first, for as long as a
+vector can still compete. While the k-th score is zero or less every vector is scored, since one in no essential list
+can reach it. The shards' lists are merged at the end.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 SCALE = 1024
-#: Vectors handled at a time in a shard; queries broadcast at a time (their size: block x components x 8 bytes).
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 4096
+#: Components of a shard (of 8 bytes in a task's memory); vectors of a block and components it may be padded to.
+SHARD_CELLS, VECTOR_BLOCK, BLOCK_CELLS = 2**24, 2048, 2**21
 _LONG = 2**63 - 1
 
 
@@ -88,55 +90,90 @@ def _score_block(q: np.ndarray, x: np.ndarray, high: np.ndarray, low: np.ndarray
     return rows, score
 
 
+class _Shard:
+    """The vectors of a shard in blocks, each with its extreme components."""
+
+    def __init__(self):
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: pa.Array, vectors: pa.ListArray) -> None:
+        for at, some in _blocks(vectors):
+            good, x = _matrix(some)
+            if good.any():
+                x = x[good]
+                self.blocks.append((ids.slice(at, len(some)).to_numpy()[good], x, x.max(axis=0, initial=-np.inf), x.min(axis=0, initial=np.inf)))
+
+    def answer(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[_Best]:
+        best = [_Best(k) for _ in own]
+        for ids, x, high, low in self.blocks:
+            width = max(x.shape[1], queries.shape[1])
+            wide, high, low = _widen(x, width), _widen(high, width), _widen(low, width)
+            for q, itself, top in zip(_widen(queries, width), own, best):
+                hits, score = _score_block(q, wide, high, low, top.bar)
+                other = ids[hits] != itself
+                if other.any():
+                    top.add(score[other], ids[hits][other])
+        return best
+
+
+def _blocks(vectors: pa.ListArray) -> Iterator[tuple[int, pa.ListArray]]:
+    """(start, vectors) of at most VECTOR_BLOCK rows that padding makes no wider than BLOCK_CELLS in all."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    at = 0
+    while at < len(vectors):
+        widest = np.maximum.accumulate(sizes[at : at + VECTOR_BLOCK])
+        n = max(int(np.count_nonzero(widest * np.arange(1, len(widest) + 1) <= BLOCK_CELLS)), 1)
+        yield at, vectors.slice(at, n)
+        at += n
+
+
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's ``k`` best among the rows with other ids.
 
     A row whose vector or id is null, or whose vector holds a null or non-finite component, takes no part; an empty
     vector scores 0. Missing components of shorter vectors count as zero. Ties go to the smaller id. Repeated
     candidates are candidates each, a repeated query is answered each time. Scores beyond a long are held at its
-    limits; scores are exact while the sums stay under 2^53. Fewer candidates than ``k`` give fewer rows. Queries are
-    handled in blocks of at most QUERY_BLOCK, each broadcast and held against all shards; a task keeps one block of
-    vectors and k rows a query.
+    limits; scores are exact while the sums stay under 2^53. Fewer candidates than ``k`` give fewer rows. Other
+    columns, whatever their names, are left out; an empty table or no query gives no rows.
+
+    The driver gets three numbers. Vectors are shuffled once, queries once for each shard; a task holds a shard of
+    SHARD_CELLS components and answers the queries as they come, with k rows for each.
     """
-    spark = vectors.sparkSession
-    source = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
-    asked = vectors.where(is_query).select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null").toLocalIterator()
+    rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("vec_id is not null and vector is not null")
+    count, n_asked, cells = rows.agg(F.count("*"), F.count_if("asked"), F.sum(F.size("vector"))).first()
     schema = "query bigint, query_id bigint, vec_id bigint, score bigint"
-    found: DataFrame | None = None
-    number = 0
-    while rows := list(itertools.islice(asked, QUERY_BLOCK)):
-        good, q = _matrix(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())))
-        ids = np.array([r["vec_id"] for r in rows], np.int64)[good]
-        block = spark.sparkContext.broadcast((np.arange(number, number + len(ids)), ids, q[good]))
-        number += len(ids)
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            numbers, query_ids, queries = block.value
-            best = [_Best(k) for _ in numbers]
-            for batch in batches:
-                for at in range(0, batch.num_rows, VECTOR_BLOCK):
-                    some = batch.slice(at, VECTOR_BLOCK)
-                    good, x = _matrix(some.column(1))
-                    ids, x = some.column(0).to_numpy()[good], x[good]
-                    if not len(ids):
-                        continue
-                    width = max(x.shape[1], queries.shape[1])
-                    x, all_q = _widen(x, width), _widen(queries, width)
-                    high, low = x.max(axis=0, initial=-np.inf), x.min(axis=0, initial=np.inf)
-                    for q, own, top in zip(all_q, query_ids, best):
-                        hits, score = _score_block(q, x, high, low, top.bar)
-                        other = ids[hits] != own
-                        if other.any():
-                            top.add(score[other], ids[hits][other])
-            sizes = [len(b.id) for b in best]
-            if sum(sizes):
-                score = np.concatenate([b.score for b in best])
-                score = pa.array([int(min(max(s, -_LONG - 1), _LONG)) for s in score.tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, sizes)), pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([b.id for b in best])), score], names=["query", "query_id", "vec_id", "score"])
-
-        shard = source.mapInArrow(run, schema)
-        found = shard if found is None else found.unionByName(shard)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    spark = vectors.sparkSession
+    # Shards fill the cores of a small input; the result does not depend on their number.
+    shards = max(-(-(cells or 0) // SHARD_CELLS), min(spark.sparkContext.defaultParallelism, count), 1)
+    queries, _ = materialise(rows.where("asked").select("vec_id", "vector").withColumn("query", F.monotonically_increasing_id()), "queries")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "vec_id", "vector")
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("bigint").alias("query"), "vec_id", "vector")
+    met = dealt.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("query"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, current = _Shard(), None
+        for batch in batches:
+            number, asked = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(number) != 0) | (np.diff(asked.astype(int)) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == b:
+                    continue
+                if number[a] != current:
+                    shard, current = _Shard(), number[a]
+                some = batch.slice(a, b - a)
+                if not asked[a]:
+                    shard.add(some.column(2), some.column(3))
+                    continue
+                for at, vectors in _blocks(some.column(3)):
+                    good, q = _matrix(vectors)
+                    own, query = (some.column(c).slice(at, len(vectors)).to_numpy()[good] for c in (2, 1))
+                    best = shard.answer(own, q[good], k)
+                    sizes = [len(b.id) for b in best]
+                    if sum(sizes):
+                        score = np.concatenate([b.score for b in best])
+                        score = pa.array([int(min(max(s, -_LONG - 1), _LONG)) for s in score.tolist()], pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, sizes)), pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([b.id for b in best])), score], names=["query", "query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,9 +31,9 @@ def test_top_k(spark, monkeypatch):
     rows += [(800 + i, rows[5][1]) for i in range(30)]  # ties
     rows += [(901, None), (902, [1.0, None] + [0.0] * 6), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (905, []), (906, [3.0]), (None, [9.0] * 8), (1000, [-1.0] * 8), (1100, [0.0] * 8)]
     table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<float>, score int, rank string").repartition(5)
-    for block in (4096, 3):
-        monkeypatch.setattr(maxscore, "QUERY_BLOCK", block)
-        monkeypatch.setattr(maxscore, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(maxscore, "VECTOR_BLOCK", 64)
+    for cells in (2**24, 700):
+        monkeypatch.setattr(maxscore, "SHARD_CELLS", cells)
         got = [tuple(r) for r in maxscore.top_k(table, F.col("vec_id") % 100 == 0).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_top(rows, 10)
     few = table.where("vec_id in (0, 1, 2)")
