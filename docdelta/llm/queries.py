@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attribution, chat, encoding, language, maxscore, packing, pii, quality, secrets, simhash
 
-#: The key of surrogates; a deployment sets its own in ``docdelta.pii.key``.
-PII_KEY = "docdelta-surrogates"
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("docdelta.pii.key", PII_KEY)
+    """The key of surrogates in ``docdelta.pii.key``; unset, a random one that serves this session alone."""
+    if not spark.conf.get("docdelta.pii.key", None):
+        spark.conf.set("docdelta.pii.key", token_hex(32))
+    return spark.conf.get("docdelta.pii.key")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language)}
 
 _TOPK = """
 WITH v AS (

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -158,13 +159,70 @@ def test_surrogates(spark, odd, empty):
 
 def test_surrogates_stay_distinct(spark):
     """More entities than a small space of draws has room for without collisions."""
-    entities = spark.createDataFrame([("ip", f"1.1.{a}.{b}", "") for a in range(40) for b in range(40)] + [("email", f"{chr(97 + k)}@b.co", "") for k in range(26)], "kind string, entity string, gender string")
+    entities = spark.createDataFrame([("ip", f"1.1.{a}.{b}") for a in range(40) for b in range(40)] + [("email", f"{chr(97 + k)}@b.co") for k in range(26)], "kind string, entity string")
     rows = pii.assign(entities, "k").collect()
     assert len(rows) == len({(r.kind, r.surrogate) for r in rows}) == 1626
     originals = {(r.kind, r.entity) for r in rows}
     assert not any((r.kind, r.surrogate) in originals for r in rows)
 
 
+def replaced(spark, texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.text for r in sorted(pii.pseudonymise(docs, key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_full_formats_get_longer_surrogates(spark):
+    """Every address of a format is an entity: what is written is distinct, and nobody's."""
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = replaced(spark, mails)
+    assert len(set(out)) == 676 and not set(out) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", m) for m in out)
+
+
+def test_written_surrogates_by_brute_force(spark):
+    """Whatever the writing, equal entities have equal replacements, different ones different, and none is an original."""
+    rng = np.random.default_rng(11)
+    kinds = {
+        "phone": [f"+1 ({a}) 555-{b:04d}" for a, b in zip(rng.integers(200, 999, 60), rng.integers(0, 9999, 60))],
+        "ssn": [f"{a}-{b:02d}-{c:04d}" for a, b, c in zip(rng.integers(100, 899, 60), rng.integers(1, 99, 60), rng.integers(1, 9999, 60))],
+        "ip": [f"10.0.{a}.{b}" for a in range(6) for b in range(10)],
+        "surname": [f"Mr. {w}" for w in (f"{x}{y}" for x in ("Stone", "Wood", "Hill", "Lake", "Field", "Brook") for y in ("er", "man", "son", "ton", "ley", "by", "wick", "worth", "ham", "ford"))],
+    }
+    for values in kinds.values():
+        out = replaced(spark, [f"see {v}, again {v} end" for v in values])
+        pairs = [re.fullmatch(r"see (.+), again (.+) end", t).groups() for t in out]
+        assert all(a == b for a, b in pairs)
+        new = {a for a, _ in pairs}
+        assert len(new) == len(set(values)) and not new & set(values)
+
+
+def test_people_keep_gender_and_coreference(spark):
+    out = replaced(spark, [
+        "Mrs. Alex Stone met Mr. Alex Stone; Dr Alex Wood came.", "Mr. Alex Wood", "Dr Anna Weiss spoke. Weiss left, and Anna Weiss returned with ANNA WEISS.",
+        "My name is Peter Parker, contact Mr John Smith-Jones.", "Mr. Smith and John Smith", "Госпожа Анна Иванова и господин. Господин Иванов", "Prof. Dr. Clara Weiss", "An ordinary Stone of Alex",
+    ])
+    her, him, other = re.fullmatch(r"Mrs\. (\w+ \w+) met Mr\. (\w+ \w+); Dr (\w+ \w+) came\.", out[0]).groups()
+    female = {n for n in pii.NAMES["latin", "f"]}
+    assert her.split()[1] == him.split()[1] and her.split()[0] in female and him.split()[0] in pii.NAMES["latin", "m"]
+    assert out[1] == f"Mr. {other}" and other.split()[0] == him.split()[0]
+    full, last, again, loud = re.fullmatch(r"Dr (\w+ \w+) spoke\. (\w+) left, and (\w+ \w+) returned with (\w+ \w+)\.", out[2]).groups()
+    assert again == full and last == full.split()[1] and loud == full.upper() and full.split()[0] in female
+    assert out[6] == f"Prof. Dr. {out[6].split()[2]} {last}"
+    assert not re.search("Peter|Parker|John|Smith|Jones", out[3]) and out[3].startswith("My name is ")
+    smith = re.fullmatch(r"Mr\. (\w+) and \w+ (\w+)", out[4])
+    assert smith[1] == smith[2]
+    assert re.fullmatch(r"Госпожа \w+ \w+ова и господин\. Господин \w+ов", out[5]) and "Иванов" not in out[5]
+    assert out[7] == "An ordinary Stone of Alex"
+
+
+def test_surrogates_pass_any_columns_through(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.example.com", "m", "k", "p", 5)], "doc_id bigint, text string, __mentions string, __key string, `put new` string, row int")
+    got = pii.pseudonymise(docs, "k", count_col="n").first()
+    assert got[0] == 1 and "a.b" not in got[1] and tuple(got[2:]) == ("m", "k", "p", 5, 1)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+
+
 def test_native_surrogates(spark, odd):
     plan = pii.pseudonymise(odd, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow", plan)
