@@ -1,26 +1,29 @@
 """Operator 6: near-duplicates by SimHash, found through a grid of per-segment bit counts.
 
 A fingerprint's 64 bits fall into segments (21 of three bits, one of one); the vector of their bit counts differs
-between two fingerprints by at most their Hamming distance in Manhattan distance. Fingerprints that have another
-within that range on the grid are verified exactly, the rest can have no link.
+between two fingerprints by at most their Hamming distance in Manhattan distance. A range join on the grid of these
+vectors proposes pairs, which are verified exactly on the fingerprints.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import join_hot
 from .storage import materialise
 
 SEED, WORDS = 42, 3
+#: Fingerprints in a cell of the grid up to which all its pairs are verified; a fuller cell's meet at shared neighbours.
+CROWD = 8
 #: Words of a text handled at a time.
 SLICE = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,8 +62,13 @@ def shingle_hashes(text: str | None, width: int = WORDS) -> Iterator[np.ndarray]
 
 def fingerprint(text: str | None) -> int:
     """SimHash of a text's three-word shingles, repeats included, as an unsigned integer."""
+    return simhash(shingle_hashes(text))
+
+
+def simhash(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes; zero without hashes."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text):
+    for h in hashes:
         n += len(h)
         for at in range(0, len(h), 65536):
             part = h[at : at + 65536]
@@ -102,28 +110,25 @@ def _hubs(fp: Column) -> Column:
     return F.array(fp, *(fp.bitwiseXOR(F.lit((1 << b) if b < 63 else -(1 << 63))) for b in range(64)))
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """(key, least) of the keys that at least two different fingerprints have."""
-    return rows.groupBy(key).agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select(key, "least")
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): edges between fingerprints that differ in at most 2 bits, enough of them that their components are
     those of all such pairs. ``distinct`` has a column fp without repeats.
 
-    On the grid two cells at distance 2 have a cell between them, so each fingerprint goes to its own cell and those
-    beside it. Those alone in all of their cells are done. The others meet at the fingerprints one bit away, where
-    each is linked to the smallest: rows are a constant times the fingerprints, never pairs of a group.
+    Two cells at Manhattan distance 2 or less have a cell in common among themselves and those beside them, so each
+    fingerprint goes to its own cell and those beside it: two within range meet in one. All pairs of a cell with up to
+    CROWD fingerprints are verified. Fingerprints of fuller cells meet at those one bit away instead, where each is
+    linked to the smallest: rows are a constant times the fingerprints, never pairs of a group.
     """
-    on_grid = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    # a merge join at any size: it can split cells that hold many fingerprints, and nothing grows into a broadcast
-    near = on_grid.join(_shared(on_grid, "cell").hint("merge"), "cell", "left_semi").select("fp").distinct()
-    near, _ = materialise(near, "near")
-    at_hub = near.select("fp", F.explode(_hubs(F.col("fp"))).alias("hub"))
-    return (
-        at_hub.join(_shared(at_hub, "hub"), "hub").where("fp <> least and bit_count(fp ^ least) <= 2")
-        .select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
-    )
+    cell = Window.partitionBy("cell")
+    on_grid = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell")).withColumn("n", F.count("*").over(cell))
+    shared, _ = materialise(on_grid.where("n > 1"), "cells")
+    few = shared.where(F.col("n") <= CROWD)
+    near = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")).hint("merge"), "cell")
+    pairs = near.where("u > v and bit_count(u ^ v) <= 2").select("u", "v")
+    at_hub = shared.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(_hubs(F.col("fp"))).alias("hub"))
+    least = at_hub.groupBy("hub").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("hub", "least")
+    stars = at_hub.join(least, "hub").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,17 +137,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Fingerprints link at 2 or fewer differing bits; ``component_id`` is the smallest id reachable over links.
     Null and wordless texts have fingerprint zero and link like any other; null ids keep their row and never name a
     component (a component of null ids only has a null one); repeated rows share a component; an empty table gives
-    no rows. Copies are grouped by fingerprint before anything is compared.
+    no rows. Whole texts count, in slices of SLICE words; other columns, whatever their names, are left out. Copies
+    are grouped by fingerprint before anything is compared, and rows of a fingerprint that very many have are
+    labelled where they are.
     """
     found, _ = materialise(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    first = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    first, _ = materialise(first, "distinct")
+    first, _ = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots, _ = materialise(components(links(first.select("fp"))), "roots")
-    linked = first.join(roots, first.fp == roots.node)
-    named = linked.groupBy("root").agg(F.min("first").alias("component"))
-    moved = linked.join(named, "root").select("fp", "component")
-    label = first.join(moved, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return found.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = named(first, "fp", roots)
+    total = first.agg(F.sum("n")).first()[0] or 0
+    return join_hot(found, label, "fp", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def named(first: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id, n) of all keys in ``first`` (key, first, n): the smallest ``first`` of the key's component."""
+    linked = first.join(roots.withColumnRenamed("node", key), key)
+    names = linked.groupBy("root").agg(F.min("first").alias("component"))
+    moved = linked.join(names, "root").select(key, "component")
+    return first.join(moved, key, "left").select(key, F.coalesce("component", "first").alias("component_id"), "n")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=near_duplicates) -> DataFrame:

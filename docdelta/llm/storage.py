@@ -26,21 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, *by: str, keep: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it back: (table, path).
 
-    The table is deleted with the :func:`scratch` it is written in, else at the end of the process.
+    The table is deleted with the :func:`scratch` it is written in; without one, or with ``keep``, at the end of the
+    process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written[-1].append((spark, path))
+    _written[0 if keep else -1].append((spark, path))
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Delete on leaving all tables written inside; what is to stay is written after it."""
+    """Delete on leaving all tables written inside but those to keep."""
     _written.append([])
     try:
         yield

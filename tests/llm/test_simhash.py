@@ -55,7 +55,10 @@ def test_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 1, 10_000])
+def test_near_copies_against_brute_force(spark, monkeypatch, crowd):
+    """Links by pairs of cells, by shared neighbours, and by both."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     base = [f"w{k * 7919 % 1009}" for k in range(400)]
     rows = [(1000 + k, " ".join(base[:k] + ["changed"] + base[k + 1 :])) for k in range(0, 400, 3)]
     rows += [(k, " ".join(f"v{(k * 31 + j * j) % 997}" for j in range(30))) for k in range(100)] + [(5000 + k, "tiny text") for k in range(5)]
@@ -88,3 +91,16 @@ def test_stage_keeps_one_of_each_group(spark, odd):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(2) == 0 and ids.count(1) == 1 and None in ids and 7 in ids
+
+
+def test_pairs_in_a_cell_are_verified(spark):
+    """One cell, Manhattan distance 0, but 4 bits apart: proposed and rejected."""
+    a, b = 0b001001, 0b010010
+    assert simhash.links(spark.createDataFrame([(a,), (b,)], "fp bigint")).count() == 0
+
+
+def test_hot_fingerprints(spark):
+    """A text that a third of the rows have is labelled like any other."""
+    rows = [(k, "the same words again and again") for k in range(50)] + [(100 + k, f"other {k * k} words {k} of row {k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=str) == brute_components(rows)
