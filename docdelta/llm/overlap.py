@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles, found exactly by prefixes.
-
-All shingles have one order, the frequent ones last. Two sets of similarity s share a shingle among the first
-n - ceil(s n) + 1 of each, whatever the order, so only texts that share one of these are compared, on all shingles.
-Texts already known to be of one group are not compared again: a few rounds link the texts at a shared shingle to one
-of them, drawn anew, which joins large groups; then all pairs at a shingle whose groups still differ are compared.
+"""Near-duplicates by the Jaccard similarity of their word shingles, exactly.
+
+Texts of similarity s have at least s n shingles in common, n being the size of either set. So a text is of interest
+only if that many of its shingles occur in other texts, which two rounds find out: first on a part of each set (all
+shingles have one order; if two sets have o shingles in common, their first n - o + k have at least k), then on whole
+sets of the texts that are left. These are linked by SimHash first, which joins most copies. Then two texts are
+compared if they share one of their first shingles, rare ones first; texts known to be of one group are not compared
+again.
 """
 
 from __future__ import annotations
@@ -13,27 +15,49 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .simhash import SEED, shingle_hashes
-from .storage import materialise
+from .skew import join_hot
+from .storage import discard, materialise
 
 WORDS, SIMILAR = 5, (4, 5)
-#: Rows whose shingles are counted for the order, frequent shingles kept, rounds before all pairs. Neither changes
-#: the result, only how many pairs are compared.
+#: Rows whose shingles are counted to know the most frequent ones, and how many of these are kept; rounds that compare
+#: with one text at a shingle before all do. None changes the result, only the amount of work.
 SAMPLE_ROWS, FREQUENT, ROUNDS = 5_000, 200_000, 3
+#: A text's part of the first round holds so many more shingles than one in common needs, as a share of its set.
+MORE = 20
+_OFTEN = 2**31 - 1
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The different shingles of a text as sorted hashes."""
-    found = list(shingle_hashes(text, WORDS))
+    return _set(list(shingle_hashes(text, WORDS)))
+
+
+def _set(found: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles sorted, their counts) of those that at least two rows of a sample have."""
+def _key(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+
+
+def least_common(n):
+    """What a set of n members has in common with a similar one, at least."""
+    num, den = SIMILAR
+    return -(-num * n // den)
+
+
+def _more(n):
+    return np.maximum(n // MORE, 1)
+
+
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """The shingles that at least two rows of a sample have, sorted."""
     some = texts.where(F.pmod("th", F.lit(max(texts.count() // SAMPLE_ROWS, 1))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,51 +66,66 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["h"])
 
     counted = some.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    return np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, key, n, prefix) of every row: key stands for the set of shingles, n for its size."""
-    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
-    num, den = SIMILAR
+def _is_in(h: np.ndarray, some: np.ndarray) -> np.ndarray:
+    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h if len(some) else np.zeros(len(h), bool)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _first_round(texts: DataFrame, shared) -> DataFrame:
+    """(doc_id, th, key, n, fp, often, part) of every row: key stands for the set of shingles, n for its size, fp is the
+    SimHash; part: the set's first shingles but for the frequent ones, which come last and are counted in often. A task
+    gives the part of a set once, so that copies are no load."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
+        frequent, seen = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                keys, sizes, prefixes = [], [], []
+                keys, sizes, fps, often, parts = [], [], [], [], []
                 for text in some.column(2).to_pylist():
-                    h = shingle_set(text)
-                    keys.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                    sizes.append(len(h))
-                    if len(often):
-                        place = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                        h = h[np.argsort(np.where(often[place] == h, times[place], 0), kind="stable")]
-                    prefixes.append(h[: len(h) + (-num * len(h) // den) + 1 if len(h) else 0].view(np.int64))
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), prefix], names=["doc_id", "th", "key", "n", "prefix"])
-
-    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, th bigint, key bigint, n bigint, prefix array<bigint>")
-
-
-def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted (key, th)."""
-    found = texts.join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+                    found = list(shingle_hashes(text, WORDS))
+                    h = _set(found)
+                    key, n = _key(h), len(h)
+                    keys.append(key)
+                    sizes.append(n)
+                    fps.append(simhash.simhash(found))
+                    hot = _is_in(h, frequent)
+                    length = n - least_common(n) + _more(n) if n else 0
+                    rare = h[~hot][:length]
+                    often.append(length - len(rare))
+                    parts.append(rare if key not in seen else h[:0])
+                    seen.add(key)
+                arrays = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, sizes, fps, often)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *arrays, _lists(parts)], names=["doc_id", "th", "key", "n", "fp", "often", "part"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, fp bigint, often bigint, part array<bigint>")
+
+
+def _whole_sets(texts: DataFrame, shared) -> DataFrame:
+    """(key, h, often): every shingle of every text; often: whether it is a frequent one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                sets = [shingle_set(t) for t in some.column(0).to_pylist()]
-                keys = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+            for text in batch.column(0).to_pylist():
+                h = shingle_set(text)
+                key = np.full(len(h), _key(h), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(_is_in(h, frequent))], names=["key", "h", "often"])
+
+    return texts.select("text").mapInArrow(run, "key bigint, h bigint, often boolean")
+
 
-    return found.select("text").mapInArrow(run, "key bigint, shingles array<bigint>")
+def _need(n: Column) -> Column:
+    num, den = SIMILAR
+    return F.ceil(F.lit(num) * n / F.lit(den)).cast("bigint")
 
 
 def _enough(m: Column, n: Column, common: Column) -> Column:
@@ -95,11 +134,47 @@ def _enough(m: Column, n: Column, common: Column) -> Column:
     return (num + den) * common >= num * (m + n)
 
 
+def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(rows, first, sets, paths): every row's key; each key's smallest id, size, fingerprint and number of rows; the
+    shared shingles, rare ones first, of the keys of which enough are; the tables to delete in the end."""
+    paths = []
+
+    def write(table: DataFrame, name: str) -> DataFrame:
+        out, path = materialise(table, name)
+        paths.append(path)
+        return out
+
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT numbers
+    rows = write(_first_round(texts, shared), "parts")
+    first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.count("*").alias("n")), "distinct")
+    at = Window.partitionBy("h")
+    postings = rows.select("key", F.explode("part").alias("h")).withColumns({"low": F.min("key").over(at), "high": F.max("key").over(at)}).where("low < high")
+    known = postings.groupBy("key").agg(F.count("*").alias("c"))
+    least = F.greatest(F.floor(_need(F.col("size")) / MORE), F.lit(1))
+    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", "th", "size"), "left")
+    whole = texts.join(left.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    salted = Window.partitionBy("h", F.when(F.col("often"), F.col("key")))
+    counted = _whole_sets(whole, shared).withColumn("df", F.when(F.col("often"), F.lit(_OFTEN)).otherwise(F.count("*").over(salted))).where("df > 1")
+    sets = counted.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("x"))
+    enough = sets.join(left.select("key", "size"), "key").where(F.size("x") >= _need(F.col("size")))
+    return rows, first, write(enough.select("key", "size", F.transform("x", lambda s: s["h"]).alias("shingles")), "sets"), paths
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are similar."""
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(_enough(F.size("a"), F.size("b"), common)).select("u", "v")
+    """Those of the pairs (u, v) whose sets are similar; all that they have in common is among the shared shingles."""
+    side = lambda key, s, n: sets.select(F.col("key").alias(key), F.col("shingles").alias(s), F.col("size").alias(n))
+    both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "k"), "v")
+    return both.where(_enough(F.col("m"), F.col("k"), F.size(F.array_intersect("a", "b")))).select("u", "v")
+
+
+def _by_fingerprint(sets: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs (u, v) that SimHash proposes: each key with the smallest of its fingerprint, and these along the links."""
+    known = sets.select("key").join(first.select("key", "fp"), "key")
+    head = known.groupBy("fp").agg(F.min("key").alias("head"))
+    same = known.join(head, "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    near = simhash.links(head.select("fp"))
+    of = lambda fp, key: head.select(F.col("fp").alias(fp), F.col("head").alias(key))
+    return same.unionByName(near.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,36 +182,49 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Texts link when the Jaccard similarity of their five-word shingles is at least 0.8 (sets of 64-bit hashes; A-Z in
     lower case; fewer words are one shingle); ``component_id`` is the smallest id reachable over links. Null and
-    wordless texts are alike. Null ids link but never name a component.
+    wordless texts are alike. Null ids link but never name a component; repeated rows share one; an empty table gives
+    no rows. Whole texts count, and other columns, whatever their names, are left out.
+
+    Shuffled are about a quarter of all shingles and then those of the texts of which enough occur elsewhere. At a
+    shingle that pairs meet at, the smaller set of a pair is in the part of it that any similar larger set would meet.
     """
     text = docs[text_col].cast("string")
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows, _ = materialise(_prefixes(texts), "prefixes")
-    first, _ = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n")), "distinct")
-    postings = rows.select("key", "n", F.explode("prefix").alias("h"))
-    shared = postings.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h")
-    hits, _ = materialise(postings.join(shared, "h", "left_semi").distinct(), "hits")
-    wanted = first.join(hits.select("key").distinct(), "key", "left_semi").select("key", "th")
-    sets, _ = materialise(_sets(texts, wanted), "sets")
+    rows, first, sets, paths = _candidates(texts)
+    num, den = SIMILAR
+    skipped = F.col("size") - F.size("shingles")  # shingles of no other text come first
+    places = F.slice("shingles", F.lit(1), (F.col("size") - _need(F.col("size")) + 1 - skipped).cast("int"))
+    short = F.col("size") - F.ceil(F.lit(2 * num) * F.col("size") / F.lit(num + den)) + 1 - skipped
+    hits, path = materialise(sets.select("key", "size", short.alias("short"), F.posexplode(places).alias("pos", "h")).select("key", "size", "h", (F.col("pos") < F.col("short")).alias("index")), "hits")
+    paths.append(path)
     edges = tested = roots = None
-    for attempt in range(ROUNDS + 1):
-        now = hits.withColumn("group", F.col("key")) if roots is None else hits.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "n", "h", F.coalesce("root", "key").alias("group"))
-        if attempt < ROUNDS:
-            centre = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", F.lit(attempt)).alias("x"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("group").alias("g"))).alias("c")).select("h", "c.other", "c.m", "c.g")
-            met = now.join(centre, "h").where("group <> g")
+    for attempt in range(ROUNDS + 2):
+        now = hits.withColumn("group", F.col("key")) if roots is None else hits.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "h", "index", F.coalesce("root", "key").alias("group"))
+        if not attempt:
+            pairs = _by_fingerprint(sets, first)
         else:
-            other = now.select("h", F.col("key").alias("other"), F.col("n").alias("m"), F.col("group").alias("g"))
-            met = now.join(other, "h").where("key < other and group <> g")
-        pairs = met.where(_enough(F.col("n"), F.col("m"), F.least("n", "m"))).select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct()
+            if attempt <= ROUNDS:
+                centre = F.min(F.struct(F.xxhash64("key", F.lit(attempt)).alias("x"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("index").alias("i")))
+                other = now.groupBy("h").agg(centre.alias("c")).select("h", "c.other", "c.m", "c.g", "c.i")
+                met = now.join(other, "h").where("group <> g and (index and size <= m or i and m <= size)")
+            else:
+                other = now.where("index").select("h", F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"))
+                met = now.join(other, "h").where("group <> g and m <= size")
+            pairs = met.where(_enough(F.col("size"), F.col("m"), F.least("size", "m"))).select(F.col("key").alias("u"), F.col("other").alias("v"))
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs, _ = materialise(pairs, "pairs")
+        pairs, path = materialise(pairs, "pairs")
+        paths.append(path)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new, _ = materialise(_verified(pairs, sets), "links")
+        new, path = materialise(_verified(pairs, sets), "links")
+        paths.append(path)
         edges = new if edges is None else edges.unionByName(new)
-        roots, _ = materialise(components(edges), "roots")
-    linked = first.join(roots, first.key == roots.node)
-    named = linked.groupBy("root").agg(F.min("first").alias("component"))
-    moved = linked.join(named, "root").select("key", "component")
-    label = first.join(moved, "key", "left").select("key", F.coalesce("component", "first").alias("component_id"))
-    return rows.select("doc_id", "key").join(label, "key").select("doc_id", "component_id")
+        roots, path = materialise(components(edges), "roots")
+        paths.append(path)
+    label, _ = materialise(simhash.named(first.select("key", "first", "n"), "key", roots), "labels")
+    named, _ = materialise(rows.select("doc_id", "key"), "keys")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    for path in paths:
+        discard(docs.sparkSession, path)
+    return join_hot(named, label, "key", total).select("doc_id", "component_id")

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 import corpus_pipeline
 from docdelta.llm import overlap, simhash
 
@@ -41,7 +43,9 @@ def test_stage_drops_copies_with_edits(spark):
     assert {r.doc_id for r in corpus_pipeline.first_copies(spark, docs, "").collect()} == {1, 3}
 
 
-def test_groups_against_brute_force(spark, odd, empty):
+@pytest.mark.parametrize("frequent", [overlap.FREQUENT, 0])
+def test_groups_against_brute_force(spark, odd, empty, monkeypatch, frequent):
+    monkeypatch.setattr(overlap, "FREQUENT", frequent)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     for g in range(12):  # chains of copies, each edited a little more, on a common passage
         words = ["common"] * 3 + [f"c{k}" for k in range(25)] + [f"g{g}x{k * k % 211}" for k in range(60 + 9 * g)]
@@ -50,3 +54,22 @@ def test_groups_against_brute_force(spark, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert sorted((tuple(r) for r in overlap.similar(docs).collect()), key=str) == brute_groups(rows)
     assert overlap.similar(empty).count() == 0
+
+
+def test_groups_of_documents(spark):
+    """All pairs of the small table, on sets of words instead of hashes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted((tuple(r) for r in overlap.similar(docs).collect()), key=str) == wanted
+
+
+def test_texts_of_common_passages(spark, monkeypatch):
+    """Texts that are four fifths or more of passages that all have, some similar, most not."""
+    monkeypatch.setattr(overlap, "FREQUENT", 20)
+    passages = [[f"p{p}w{k}" for k in range(40)] for p in range(6)]
+    rows = []
+    for d in range(80):
+        words = [w for p in range(6) if d >> p & 1 for w in passages[p]]
+        rows.append((d, " ".join([*words, *(f"d{d}x{k}" for k in range(d % 11))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted((tuple(r) for r in overlap.similar(docs).collect()), key=str) == brute_groups(rows)
