@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -142,6 +143,9 @@ class BpeModel:
             ends[node] = i
         for (a, b), (r, _) in self.merges.items():
             steps.append(r - max(self.born[a], self.born[b]))
+        #: Whether a token's id tells its place among the merges, as rank encoders take for granted.
+        made_ids = [i for _, i in self.merges.values()]
+        self.ranked = made_ids == sorted(set(made_ids))
         #: A pair's verdict follows from its history only if parts are always older than what they make.
         self.proper = min(steps, default=1) > 0
         keys = np.fromiter(nodes.keys(), np.int64, len(nodes))
@@ -221,6 +225,7 @@ class Encoder:
         self.plain, self.general = _word_patterns(model.kind)
         self.odd = re.compile(f"[^\\x00-\\u{_PLAIN:04x}]")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(model.specials, key=len, reverse=True))) + ")") if model.specials else None
+        self.mark = os.path.commonprefix(list(model.specials))
         self.library = Tokenizer.from_str(model.source)
         self.space = re.compile(f"[{_SPACE}]+")
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -243,9 +248,13 @@ class Encoder:
         """Whether only the library knows how to split this text."""
         return bool(self.odd.search(text) and _unsure().search(text))
 
+    def has_special(self, text: str) -> bool:
+        """Whether one of the file's special tokens may stand in the text: what they all begin with does."""
+        return self.special is not None and self.mark in text and bool(self.special.search(text))
+
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text) in order."""
-        if self.special is None or "<|" not in text:
+        if not self.has_special(text):
             yield False, text
             return
         for k, part in enumerate(self.special.split(text)):

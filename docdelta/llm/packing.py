@@ -1,18 +1,20 @@
 """Operator 2: packing tokenised documents into fixed-length sequences.
 
 The plan works on a histogram of piece lengths, which has as many entries as the capacity whatever the corpus
-size: best-fit-decreasing makes classes of equal bins, then the local search moves and exchanges documents
-between underfull bins of two classes (for as many bins at once as both have) while that raises the sum of
-squared fills, until no bin can be emptied. Pieces then find their place by their rank among equal lengths.
+size: best-fit-decreasing makes classes of equal bins, then the local search moves and exchanges documents (one for
+one, two for one, one for two) between underfull bins of two classes, for as many bins at once as both have, while that
+raises the sum of squared fills. It ends when no two bins can be improved or the bins are as few as all ids need.
+Pieces then find their place by their rank among equal lengths.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import logging
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import BpeModel, encoder_of, model_of
 from .storage import materialise
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+LOG = logging.getLogger(__name__)
+PIECES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Texts above this go to the slower encoder, whose memory does not depend on the regular expression's depth.
 RUN_CHARS = 200_000
 
@@ -35,10 +38,10 @@ class FastIds:
         self.exact = encoder_of(model)
         ranks = {raw: i for i, raw in enumerate(model.raw) if raw and i not in model.specials.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if model.ranked and model.kind == "spaced" else None
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) > RUN_CHARS or "<|" in text or self.exact.is_unsure(text):
+        if len(text) > RUN_CHARS or self.ranks is None or self.exact.has_special(text) or self.exact.is_unsure(text):
             return self.exact.encode(text)
         return self.ranks.encode_to_numpy(text, disallowed_special=())
 
@@ -63,25 +66,50 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, id_col: str =
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 out: list[list] = [[], [], [], [], []]
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                for row, text in enumerate(some.column(1).to_pylist()):
                     ids = np.append(ids_of(text or ""), end_id).astype("<u4")
                     data, n = memoryview(ids.tobytes()), len(ids)
                     first = n % capacity or capacity
                     for piece, start in enumerate([0, *range(first, n, capacity)]):
                         length = capacity if piece else first
-                        for column, value in zip(out, (doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]))):
+                        for column, value in zip(out, (row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]))):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                numbers = [pa.array(v, k) for v, k in zip(out[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(out[0], pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, PIECES)
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return source.mapInArrow(run, PIECES.format(source.schema["doc_id"].dataType.simpleString()))
+
+
+class _Offers:
+    """What underfull bins can give: by the length of a piece or of two pieces, the classes that hold them, emptiest first."""
+
+    def __init__(self):
+        self.lengths: list[int] = []
+        self.by_length: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def add(self, length: int, contents: tuple[int, ...]) -> None:
+        if length not in self.by_length:
+            bisect.insort(self.lengths, length)
+            self.by_length[length] = []
+        bisect.insort(self.by_length[length], (sum(contents), contents))
+
+    def remove(self, length: int, contents: tuple[int, ...]) -> None:
+        held = self.by_length[length]
+        held.pop(bisect.bisect_left(held, (sum(contents), contents)))
+        if not held:
+            del self.by_length[length]
+            self.lengths.pop(bisect.bisect_left(self.lengths, length))
 
 
 class Bins:
-    """Classes of equal bins: contents (lengths, descending) → how many bins."""
+    """Classes of equal bins: contents (lengths, descending) → how many bins. ``changes`` counts what the search did to
+    how many pairs of bins, and the bins it emptied."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.count: Counter[tuple[int, ...]] = Counter()
+        self.changes: Counter[str] = Counter()
 
     def best_fit(self, histogram: dict[int, int]) -> None:
         """Best-fit-decreasing, for all pieces of a length at once."""
@@ -120,75 +148,108 @@ class Bins:
             for contents, bins in groups:
                 self.count[contents] += bins
 
-    def _change(self, old: list[tuple[int, ...]], new: list[tuple[int, ...]], bins: int) -> None:
-        for x in old:
-            self.count[x] -= bins
-            if not self.count[x]:
-                del self.count[x]
-        for x in new:
-            if x:
-                self.count[tuple(sorted(x, reverse=True))] += bins
-
-    def search(self, rounds: int = 10_000) -> int:
-        """Local search; returns the number of changes. Each raises the sum of squared fills, so it ends."""
-        cap, done = self.capacity, 0
-        least = -(-sum(sum(c) * n for c, n in self.count.items()) // cap)
-        tried: set[tuple] = set()
-        while done < rounds and sum(self.count.values()) > least:
-            loose = sorted((c for c in self.count if sum(c) < cap), key=lambda c: (sum(c), c))
-            for a, b in itertools.combinations_with_replacement(loose, 2):  # a: the emptier one, to be emptied
-                if (a, b) in tried or a == b and self.count[a] < 2:
-                    continue
-                if change := self._better(a, b):
-                    bins = self.count[a] // 2 if a == b else min(self.count[a], self.count[b])
-                    self._change([a, b], list(change), bins)
-                    done += 1
-                    break
-                if len(tried) < 4_000_000:
-                    tried.add((a, b))
-            else:
-                break
-        return done
-
-    def _better(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """The move (first), one-for-one or two-for-one exchange that fills ``b`` most, taking from ``a``."""
-        room = self.capacity - sum(b)
-        over = max(sum(a) - sum(b), 0)  # what must pass from a to b at least, for the squares to grow
-        best: tuple[int, tuple, tuple] | None = None
-        once = sorted(set(a))
-        pairs = sorted({(x, y) for k, x in enumerate(a) for y in a[k + 1 :]}, key=sum) if len(a) <= 40 else []
-        for back in (0, *set(b)):
-            for give in [(x,) for x in once] + (pairs if back else []):
-                gain = sum(give) - back
-                if over < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, give, (back,) if back else ())
-            if best and not back:
+    def search(self) -> int:
+        """Local search; returns the number of bins emptied. Each change raises the sum of squared fills, so it ends."""
+        self.ones, self.twos = _Offers(), _Offers()
+        for contents in self.count:
+            self._offer(contents, _Offers.add)
+        left = sum(self.count.values())
+        least = -(-sum(sum(c) * n for c, n in self.count.items()) // self.capacity)
+        while left > least:
+            waiting = sorted((c for c in self.count if sum(c) < self.capacity), key=lambda c: (sum(c), c))
+            before = sum(self.changes.values())
+            while waiting and left > least:
+                taker = waiting.pop()  # the fullest
+                while left > least and self.count[taker] and (found := self._better(taker)):
+                    _, giver, give, back = found
+                    bins = self.count[giver] // 2 if giver == taker else min(self.count[giver], self.count[taker])
+                    made = self._exchange(taker, giver, give, back, bins)
+                    self.changes["moves" if not back else f"{len(give)} for {len(back)}"] += bins
+                    if not all(made):
+                        self.changes["emptied"] += bins
+                        left -= bins
+                    waiting += [c for c in made if 0 < sum(c) < self.capacity]
+                if not self.count[taker]:
+                    del self.count[taker]
+            if sum(self.changes.values()) == before:
                 break
-        if not best:
-            return None
-        _, give, back = best
-        left, other = list(a), list(b)
-        for x in give:
-            left.remove(x)
-        for x in back:
-            other.remove(x)
-        return (*left, *back), (*other, *give)
+        return self.changes["emptied"]
+
+    def _offer(self, contents: tuple[int, ...], put: Callable) -> None:
+        """Put a class of underfull bins into the offers, or take it out."""
+        if contents and sum(contents) < self.capacity:
+            for x in set(contents):
+                put(self.ones, x, contents)
+            for x in {x + y for x, y in _pairs(contents)}:
+                put(self.twos, x, contents)
+
+    def _exchange(self, taker: tuple, giver: tuple, give: tuple, back: tuple, bins: int) -> list[tuple[int, ...]]:
+        after = []
+        for old, out, into in ((giver, give, back), (taker, back, give)):
+            new = list(old)
+            for x in out:
+                new.remove(x)
+            after.append(tuple(sorted((*new, *into), reverse=True)))
+        for change, classes in ((-bins, (giver, taker)), (bins, after)):
+            for c in classes:
+                had = self.count[c]
+                self.count[c] = had + change
+                if c and bool(had) != bool(self.count[c]):
+                    self._offer(c, _Offers.add if change > 0 else _Offers.remove)
+        del self.count[()]
+        if not self.count[giver]:
+            del self.count[giver]
+        return after
+
+    def _better(self, taker: tuple[int, ...]) -> tuple[int, tuple, tuple, tuple] | None:
+        """(gain, giver, what it gives, what it gets back) of the change that fills ``taker`` most: moves before exchanges."""
+        room, best = self.capacity - sum(taker), None
+        singles, doubles = [(y,) for y in sorted(set(taker))], sorted(_pairs(taker), key=sum)
+        for offers, backs in ((self.ones, [()]), (self.ones, singles), (self.twos, singles), (self.ones, doubles)):
+            for back in backs:
+                if best and best[0] == room:
+                    return best
+                found = self._offered(offers, taker, sum(back), room, best[0] if best else 0)
+                if found:
+                    gain, giver, length = found
+                    best = gain, giver, (length,) if offers is self.ones else next(p for p in _pairs(giver) if sum(p) == length), back
+        return best
+
+    def _offered(self, offers: _Offers, taker: tuple[int, ...], back: int, room: int, beyond: int) -> tuple[int, tuple, int] | None:
+        """(gain, giver, length) of the largest length that fits in exchange for ``back`` and gains more than ``beyond``.
+        What a fuller bin gives must outweigh the difference, for the squares to grow."""
+        at = bisect.bisect_right(offers.lengths, back + room)
+        while at and (gain := offers.lengths[at - 1] - back) > beyond:
+            at -= 1
+            for total, giver in itertools.islice(offers.by_length[offers.lengths[at]], 2):
+                if (giver != taker or self.count[taker] > 1) and gain > total - sum(taker):
+                    return gain, giver, offers.lengths[at]
+        return None
+
+
+def _pairs(contents: tuple[int, ...]) -> set[tuple[int, int]]:
+    """The different pairs of lengths in a bin; its different lengths are few, since they add up to the capacity."""
+    once = sorted(set(contents))
+    return {*itertools.combinations(once, 2), *((x, x) for x, n in Counter(contents).items() if n > 1)}
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(contents, bins) of each class of bins for these counts of lengths."""
     bins = Bins(capacity)
     bins.best_fit(histogram)
+    before = sum(bins.count.values())
     bins.search()
+    LOG.info("%d bins by best fit, %d after the search: %s", before, sum(bins.count.values()), dict(bins.changes))
     return sorted(bins.count.items(), reverse=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Pack every piece of every document into sequences of at most ``capacity`` ids.
 
-    Returns the columns of :data:`PIECES` with ``sequence_id`` and ``offset``. A null text is an empty document (one
-    id); a null id stays null; repeated rows are packed each; an empty table gives no rows. Ties between equal
-    lengths fall by id, piece, checksum. Texts are encoded once; what follows sees a few numbers for each piece.
+    Returns the columns of :data:`PIECES` with ``sequence_id`` and ``offset``; other columns, whatever their names, are
+    left out, and ids may be of any orderable type. A null text is an empty document (one id); a null id stays null;
+    repeated rows are packed each; an empty table gives no rows. Whole texts are encoded, once, very long ones in
+    slices; what follows sees a few numbers for each piece. Ties between equal lengths fall by id, piece, checksum.
     Ranks among equal lengths are counted in two steps over ranges of the sorted pieces, so that a length that
     holds many rows is no single task. The driver gets one count for each length.
     """
@@ -231,4 +292,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_
                 where[rows], offset[rows] = sequence[at] + rank[rows] - first[at], shift[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(where), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return placed.mapInArrow(place, PIECES + ", sequence_id bigint, offset bigint")
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    return placed.mapInArrow(place, PIECES.format(kind) + ", sequence_id bigint, offset bigint")

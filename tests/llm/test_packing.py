@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docdelta.llm.packing import Bins, pack_documents, plan_bins
+from docdelta.llm.packing import Bins, _pairs, pack_documents, plan_bins
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +30,62 @@ def test_search_empties_a_bin():
     assert sum(bins.count.values()) == 2
 
 
+def improvements(bins):
+    """All moves and exchanges between two underfull bins that raise the sum of squared fills, by brute force."""
+    cap, loose = bins.capacity, [c for c, n in bins.count.items() for _ in range(min(n, 2)) if sum(c) < bins.capacity]
+    for i, j in itertools.permutations(range(len(loose)), 2):
+        a, b = loose[i], loose[j]
+        for k, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+            for give, back in itertools.product(itertools.combinations(a, k), itertools.combinations(b, m)):
+                x, y = sum(a) - sum(give) + sum(back), sum(b) + sum(give) - sum(back)
+                if max(x, y) <= cap and x * x + y * y > sum(a) ** 2 + sum(b) ** 2:
+                    yield a, b, give, back
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_ends_where_nothing_improves(seed):
+    """No cap stops it: what is left is as few bins as the ids need, or no exchange of two bins helps."""
+    rng = np.random.default_rng(seed)
+    histogram = Counter(rng.integers(20 + 5 * seed, 75, 60).tolist())
+    bins = Bins(100)
+    bins.best_fit(dict(histogram))
+    before = sum(bins.count.values())
+    emptied = bins.search()
+    after, least = sum(bins.count.values()), -(-sum(k * n for k, n in histogram.items()) // 100)
+    assert before - after == emptied == bins.changes["emptied"]
+    assert after == least or next(improvements(bins), None) is None
+
+
+def test_search_on_many_classes():
+    """Where best fit leaves over 400 bins too many and a search of 10,000 changes stopped half-way."""
+    histogram = Counter(np.random.default_rng(1).integers(300, 1501, 200_000).tolist())
+    bins = Bins(2048)
+    bins.best_fit(dict(histogram))
+    before = sum(bins.count.values())
+    assert bins.search() > 300 and sum(bins.changes.values()) > 10_000
+    got = Counter()
+    for contents, n in bins.count.items():
+        assert sum(contents) <= 2048
+        for x in contents:
+            got[x] += n
+    assert got == histogram and sum(bins.count.values()) < before - 300
+
+
+def test_bins_of_many_pieces_are_paired():
+    """Two pieces of a bin of 66 go for one of another: nothing else fills it."""
+    bins = Bins(200)
+    bins.count = Counter({(101, 91, 5): 1, (4,) * 33 + (2,) * 33: 1, (90,): 1})
+    assert bins.search() == 0 or sum(bins.count.values()) == 2
+    assert {(4, 4), (4, 2), (2, 2)} == _pairs((4,) * 33 + (2,) * 33)
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("b", "some words here", "x", 1), ("a", None, "y", 2), (None, "more", "z", 3)], "doc_id string, text string, length string, piece int")
+    rows = pack_documents(docs, PATH).collect()
+    assert sorted((r.doc_id or "", r.piece) for r in rows) == [("", 0), ("a", 0), ("b", 0)]
+    assert len({r.sequence_id for r in rows}) == 1
+
+
 def test_rows(spark, odd, empty):
     library = Tokenizer.from_file(PATH)
     capacity = 64
