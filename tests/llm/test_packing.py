@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from docdelta.llm.packing import Bins, _pairs, pack_documents, plan_bins
+from docdelta.llm.packing import Bins, _Offers, _pairs, pack_documents, plan_bins
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,11 +72,14 @@ def test_search_on_many_classes():
 
 
 def test_bins_of_many_pieces_are_paired():
-    """Two pieces of a bin of 66 go for one of another: nothing else fills it."""
+    """Two pieces of a bin of 66, together 6, fill a bin that has room for one more than it gives back."""
     bins = Bins(200)
-    bins.count = Counter({(101, 91, 5): 1, (4,) * 33 + (2,) * 33: 1, (90,): 1})
-    assert bins.search() == 0 or sum(bins.count.values()) == 2
-    assert {(4, 4), (4, 2), (2, 2)} == _pairs((4,) * 33 + (2,) * 33)
+    bins.count = Counter({(102, 92, 5): 1, (3,) * 66: 1, (7, 7): 1})
+    assert _pairs((4,) * 33 + (2,) * 33) == {(4, 4), (2, 4), (2, 2)}
+    bins.ones, bins.twos = _Offers(), _Offers()
+    for c in bins.count:
+        bins._offer(c, _Offers.add)
+    assert bins._better((102, 92, 5)) == (1, (3,) * 66, (3, 3), (5,))
 
 
 def test_text_ids(spark):
