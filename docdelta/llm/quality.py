@@ -1,24 +1,43 @@
 """Operator 5: line-first quality rules, in DataFrame functions only.
 
-Lines are judged one by one (symbols, shouting, navigation bars, boilerplate); the failing ones are removed, and a
-document that loses too much of its text is rejected.
+Lines are judged one by one (punctuation, symbols, shouting, navigation, boilerplate); the failing ones are removed, and
+a document that loses too much of its text is rejected.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
-#: A line fails with this share of symbols to its letters, so many words of capitals, or so many bars between short items.
-SYMBOL_SHARE, SHOUTED_WORDS, BARS = 0.08, 4, 3
+#: A line fails with this share of symbols to its letters, or so many words of capitals.
+SYMBOL_SHARE, SHOUTED_WORDS = 0.08, 4
 #: Words of capitals in a row. It starts at a word's first letter and never tries a word again, so its time is linear.
 SHOUTING = r"(?<!\p{Lu})(?:\p{Lu}{2,}+[^\p{L}]++){%d}" % SHOUTED_WORDS
-#: Boilerplate that a line is, or begins with.
-BOILERPLATE = r"(?i)^\W*(?:all rights reserved|cookies? (?:policy|notice|settings)|accept (?:all )?cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)|subscribe (?:to|now)|sign (?:in|up)|log ?in|share (?:this|on)|click here|read more|skip to (?:main )?content|back to top|powered by|copyright (?:©|\(c\)|\d{4})|©)\b?.{0,80}$"
+#: Punctuation: a line of LONG_LINE words fails without a mark that ends or divides sentences, any line with a run of marks.
+LONG_LINE, MARK, MARK_RUN = 30, "[.!?…:;。！？]", r"[.…_=~-]{5}|[!?]{4}"
+#: What prose ends a line with.
+ENDING = rf"""[.!?…:;,。！？)\]"'»”’][{SPACE}]*$"""
+#: Navigation: three separators between items; a lone word of a menu; a few capitalised words that end like no prose.
+SEPARATED = "^(?:[^|»›•·→]*[|»›•·→]){3}"
+MENU = r"^\W*(?:home|menu|search|next|previous|contact(?: us)?|about(?: us)?|log ?in|sign (?:in|up)|register|faq|sitemap|share|print|startseite|suche|kontakt|accueil|recherche|inicio|buscar|contacto)\W*$"
+ITEMS = rf"^(?:\p{{Lu}}\p{{Ll}}[^{SPACE}]*[{SPACE}]+){{1,11}}\p{{Lu}}\p{{Ll}}[^{SPACE}]*[{SPACE}]*$"
+#: Phrases of boilerplate, in lower case. A line fails that consists of them by this share, or that begins
+#: with one and has no more than so many words.
+PHRASES = [
+    "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados", "copyright", "©", "(c) 19", "(c) 20",
+    "cookie policy", "cookie notice", "cookie settings", "accept cookies", "accept all cookies", "cookie-einstellungen", "politique de cookies", "política de cookies",
+    "privacy policy", "datenschutzerklärung", "politique de confidentialité", "política de privacidad", "terms of use", "terms of service", "terms and conditions", "nutzungsbedingungen", "mentions légales", "aviso legal",
+    "licensed under", "creative commons", "subscribe to", "subscribe now", "sign in", "sign up", "share this", "share on", "click here", "read more", "weiterlesen", "lire la suite", "leer más",
+    "skip to content", "skip to main content", "back to top", "powered by",
+]
+PHRASE_SHARE, PHRASE_WORDS = 0.2, 12
+_PHRASE = "|".join(re.escape(p) for p in sorted(PHRASES, key=len, reverse=True)).replace(r"\ ", " ")
 #: A document is rejected if removed lines held more than this share of its words, or it shrinks below MIN_WORDS.
 MAX_LOST, MIN_WORDS, MAX_REPEATED = 0.5, 10, 20
 
@@ -54,16 +73,26 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) >= 6, some).otherwise(0).cast("bigint")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words is removed."""
+def has_phrase(text: Column) -> Column:
+    """Whether a phrase of boilerplate occurs anywhere; lines of other texts need no search."""
+    return _let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in PHRASES)))
+
+
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Whether a line with words is removed; ``phrases``: :func:`has_phrase` of its text."""
     n = F.length(line)
     symbols = n - F.length(_drop(line, SYMBOLS))
-    bars = n - F.length(_drop(line, "|"))
+    low = F.lower(line)
+    consists = n - F.length(F.regexp_replace(low, _PHRASE, "")) >= F.lit(PHRASE_SHARE) * n
+    begins = F.rlike(low, F.lit(rf"^\W*(?:{_PHRASE})")) & (F.size(words(line)) <= PHRASE_WORDS)
     return (
         (symbols > F.lit(SYMBOL_SHARE) * n)
-        | (bars >= BARS)
-        | ((F.upper(line) == line) & (F.lower(line) != line) & F.rlike(line, F.lit(SHOUTING)))
-        | ((n < 200) & F.rlike(line, F.lit(BOILERPLATE)))
+        | (~F.rlike(line, F.lit(MARK)) & (F.size(words(line)) >= LONG_LINE))
+        | F.rlike(line, F.lit(MARK_RUN))
+        | F.rlike(line, F.lit(SEPARATED))
+        | (~F.rlike(line, F.lit(ENDING)) & (F.rlike(line, F.lit(ITEMS)) | F.rlike(low, F.lit(MENU))))
+        | ((F.upper(line) == line) & (low != line) & F.rlike(line, F.lit(SHOUTING)))
+        | (phrases & (consists | begins))
     )
 
 
@@ -79,7 +108,7 @@ def _judged(docs: DataFrame, id_col: str | None, text_col: str, carried: Column)
         (F.length("text") - F.length(_drop(F.col("text"), SYMBOLS))).cast("bigint").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        F.filter("l", line_fails).alias("failing"),
+        _let(has_phrase(F.col("text")), lambda phrases: F.filter("l", lambda x: line_fails(x, phrases))).alias("failing"),
     )
     lost = F.aggregate("failing", F.lit(0).cast("bigint"), lambda a, x: a + F.size(words(x)))
     judged = counted.select("*", lost.alias("lost"), ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))).alias("base_failed"))
@@ -94,7 +123,8 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     A null text has no words and fails; so does an empty one. Null ids stay null; repeated rows are judged each; other
     columns, whatever their names, are left out; an empty table gives no rows.
     ``kept`` is false if base_failed, if the removed lines held more than MAX_LOST of the words, or if fewer than
-    MIN_WORDS stay. Lines without words stay. No shuffle and no Python; a row's arrays are of its own text's size.
+    MIN_WORDS stay. Lines without words stay. Lines of any length and whole texts are judged, in linear time. No shuffle
+    and no Python; a row's arrays are of its own text's size.
     """
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed"]
     judged = _judged(docs, id_col, text_col, F.lit(None))
@@ -111,4 +141,5 @@ def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def clean_text(text: Column) -> Column:
     """The text without its failing lines."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~(F.rlike(x, F.lit(f"[^{SPACE}]")) & line_fails(x))), "\n")
+    kept = lambda phrases: F.filter(F.split(text, "\n", -1), lambda x: ~(F.rlike(x, F.lit(f"[^{SPACE}]")) & line_fails(x, phrases)))
+    return F.array_join(_let(has_phrase(text), kept), "\n")

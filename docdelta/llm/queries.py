@@ -90,9 +90,13 @@ a AS (
     CASE WHEN len(w) >= 6 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(1))) ELSE [] END AS g,
     list_filter(l, lambda x:
       length(x) - length(translate(x, '#*$%&|<>', '')) > 0.08 * length(x)
-      OR length(x) - length(replace(x, '|', '')) >= 3
+      OR (NOT regexp_matches(x, '@MARK@') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 30)
+      OR regexp_matches(x, '@MARK_RUN@')
+      OR regexp_matches(x, '@SEPARATED@')
+      OR (NOT regexp_matches(x, '@ENDING@') AND (regexp_matches(x, '@ITEMS@') OR regexp_matches(lower(x), '@MENU@')))
       OR (upper(x) = x AND lower(x) <> x AND regexp_matches(x, '(?:\p{Lu}{2,}[^\p{L}]+){4}'))
-      OR (length(x) < 200 AND regexp_matches(x, '@BOILERPLATE@'))) AS f
+      OR length(x) - length(regexp_replace(lower(x), '@PHRASE@', '', 'g')) >= 0.2 * length(x)
+      OR (regexp_matches(lower(x), '^\W*(?:@PHRASE@)') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 12)) AS f
   FROM a
 ), k AS (
   SELECT doc_id, count(*) AS n_repeat FROM (
@@ -113,7 +117,9 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words,
   NOT (n < 10 OR 100 * n_repeat > 20 * n) AND lost <= 0.5 * n AND n - lost >= 10 AS kept,
   CAST(len(f) AS BIGINT) AS n_lines_removed
 FROM m
-""".replace("@BOILERPLATE@", quality.BOILERPLATE)
+"""
+for _name, _rx in {"MARK_RUN": quality.MARK_RUN, "MARK": quality.MARK, "SEPARATED": quality.SEPARATED, "ENDING": quality.ENDING, "ITEMS": quality.ITEMS, "MENU": quality.MENU, "PHRASE": quality._PHRASE}.items():
+    _QUALITY = _QUALITY.replace(f"@{_name}@", _rx.replace("'", "''"))
 
 _CHAT = """
 WITH t AS (

@@ -66,3 +66,29 @@ def test_long_lines_of_capitals_take_linear_time(spark):
     texts = ["A" * 400_000, "AB" + "1" * 400_000, "A BC 1 DE, FG: HI. ", "AB CD EF GH", "1ÄÖ ÜÄ ÖÜ ÄÖ !"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id: r.n_lines_removed for r in quality.assess(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_line_rules(spark):
+    """Each rule on a line of its own, and its neighbours that stay."""
+    long = " ".join(f"word{k}" for k in range(40))
+    fail = [
+        long, long + "\v" * 3, "Contents ........ 5", "what!!!! no", "Home | About | News | Contact", "Start » Shop » Shoes » Red", "Home About News Contact", "Impressum Datenschutz Kontakt",
+        "menu", "Log in", "SOME WORDS ARE LOUD!", "All rights reserved", "© 2024 Example Ltd", "Copyright 2019 " + "x" * 20, "Alle Rechte vorbehalten.", "read more", "This work is licensed under the GNU General Public License, version 3.",
+        "Privacy policy, terms of use and cookie settings, " * 20,
+    ]
+    stay = [
+        long + ".", long.replace(" word9 ", "; word9 "), "He said: wait... what", "one › two › three", "home is where the heart is", "The Great War ended.", "NASA and ESA met.",
+        "Readers of the privacy policy " + long + ".", "a", "中文的句子", "x" * 500, "he had all rights of his own reserved for later use in the long winter of that year, said the old man.",
+    ]
+    docs = spark.createDataFrame([(k, line + "\n" + CLEAN) for k, line in enumerate(fail + stay)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in quality.assess(docs, cleaned=True).collect()}
+    for k, line in enumerate(fail + stay):
+        assert (rows[k].n_lines_removed, rows[k].cleaned) == ((1, CLEAN) if k < len(fail) else (0, line + "\n" + CLEAN)), line
+        assert rows[k].kept or k < len(fail)
+
+
+def test_rules_take_linear_time(spark):
+    """Endless lines of capitalised words, separators, marks and phrases."""
+    texts = ["Ab " * 200_000, "A-" * 200_000, "|" * 300_000, "." * 300_000, "© " * 200_000, "a b " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_lines_removed for r in quality.assess(docs).collect()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
