@@ -16,9 +16,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bound of the labelled sample: texts a language (those with the smallest hash of id and text), characters of
-#: each used in a dictionary, and languages (the most frequent).
-SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 40, 3_000, 64
+#: The bound of the labelled sample: texts of each language (those with the smallest hash of id and text) and characters
+#: of each used in a dictionary. Every language of the labels is learned.
+SAMPLE_TEXTS, SAMPLE_CHARS = 40, 3_000
 LEVEL = 6
 #: Bytes compressed at a time. A longer text goes in pieces, each against the dictionary alone: within one run a text
 #: soon compresses against itself, and the margin would shrink with its length.
@@ -47,16 +47,15 @@ class Dictionaries:
 def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Dictionaries:
     """Dictionaries from a bounded sample of the rows with a language and a text.
 
-    The sample is the SAMPLE_TEXTS rows of each language with the smallest hashes, found over ids and hashes alone;
-    its texts are at most LANGUAGES x SAMPLE_TEXTS, cut to SAMPLE_CHARS each. No labelled row: no language.
+    The sample is the SAMPLE_TEXTS rows of each language with the smallest hashes, found over languages and hashes
+    alone; the driver gets their beginnings, SAMPLE_CHARS each. Rows without letters teach nothing, repeated rows as
+    much as one. No labelled row: no language.
     """
-    rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()).select(
-        labelled[lang_col].cast("string").alias("lang"), labelled[text_col].cast("string").alias("text"), F.xxhash64(labelled[id_col].cast("string"), F.crc32(labelled[text_col].cast("binary"))).alias("h")
-    ).where("rlike(text, '\\\\p{L}')")
-    frequent = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.where(F.col("lang").isin(frequent)).select("lang", "h").withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).select("lang", "h")
-    texts = rows.join(F.broadcast(chosen.distinct()), ["lang", "h"]).select("lang", "h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    lang, text = labelled[lang_col].cast("string"), labelled[text_col].cast("string")
+    rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(labelled[id_col].cast("string"), text).alias("h")).where("rlike(text, '\\\\p{L}')")
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).select("lang", "h").distinct()
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).distinct()  # SAMPLE_TEXTS rows a language
     got: dict[str, list[tuple[int, str]]] = {}
     for r in texts.collect():
         got.setdefault(r["lang"], []).append((r["h"], r["text"]))
@@ -84,14 +83,13 @@ def pieces(data: bytes) -> list[bytes]:
 
 
 def judge(text: str, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
-    """(language, score, margin) of a text with letters. Ties go to the first language by name."""
-    data = letters(text)
-    if len(data) < 512:  # single bytes decide little here: the text in several surroundings
-        tries = (data, b" " + data + b" ", data + b" " + data)
-        sizes = [(sum(len(c.compress(d)) for d in tries), lang) for lang, c in compressors]
-    else:
-        parts = pieces(data)
-        sizes = [(sum(len(c.compress(p)) for p in parts), lang) for lang, c in compressors]
+    """(language, score, margin) of a text with letters. Ties go to the first language by name.
+
+    Each piece is compressed alone and twice over: in a short text single bytes decide little, and the second sum often
+    parts languages that tie in the first.
+    """
+    parts = [d for p in pieces(letters(text)) for d in (p, p + b" " + p)]
+    sizes = [(sum(len(c.compress(d)) for d in parts), lang) for lang, c in compressors]
     sizes.sort()
     if len(sizes) == 1:
         return sizes[0][1], 1.0, 1.0

@@ -1,8 +1,9 @@
 """Operator 8: secret scan, by fixed patterns and by formats inferred from what those find.
 
 The labelled credentials of each kind build a prefix tree; states whose futures the Hoeffding bound cannot tell
-apart are merged (ALERGIA, red-blue order) into a probabilistic automaton. Every other long token of every text is
-scored by its likelihood under the automata and is a secret if it is as likely as the labelled ones.
+apart are merged (ALERGIA, red-blue order) into a probabilistic automaton. Every other token of every text that could be
+one, from the shortest labelled length on, is scored by its likelihood under the automata and is a secret if it is as
+likely as the labelled ones.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +25,12 @@ KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, so the same as [0-9a-f]+ with the short ones dropped
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-#: Labelled credentials of each kind that an automaton is learned from (those with the smallest hash), and characters
-#: of each; ALERGIA's confidence; the share of labelled credentials that score below the threshold.
-SAMPLE, SAMPLE_LENGTH, ALPHA, QUANTILE = 300, 48, 0.05, 0.02
+#: The alphabet of labelled credentials; no labelled one is shorter.
+SHORTEST = 12
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
+#: Labelled credentials of each kind that an automaton is learned from: those with the smallest hash, whole, out of all of
+#: up to SAMPLE_LENGTH characters. ALERGIA's confidence; the share of labelled credentials that score below the threshold.
+SAMPLE, SAMPLE_LENGTH, ALPHA, QUANTILE = 300, 1024, 0.05, 0.02
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -42,12 +45,21 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens with letters and digits outside the spans already found."""
-    out = []
-    for m in _LONG.finditer(text):
-        token = m[0]
-        if _DIGIT.search(token) and not token.isdigit() and all(m.end() <= s or m.start() >= e for s, e, *_ in taken):
-            out.append((m.start(), m.end(), token))
+    """All tokens of the credentials' alphabet, but for full stops around them, that touch none of the spans found.
+
+    ``taken`` is sorted by start; both lists are walked once.
+    """
+    out, k, upto = [], 0, 0
+    for m in _TOKEN.finditer(text):
+        token = m[0].strip(".")
+        if len(token) < SHORTEST:
+            continue
+        start = m.start() + m[0].index(token)
+        end = start + len(token)
+        while k < len(taken) and taken[k][0] < end:
+            upto, k = max(upto, taken[k][1]), k + 1
+        if upto <= start:
+            out.append((start, end, token))
     return out
 
 
@@ -66,9 +78,11 @@ class Node:
 
 
 class Automaton:
-    """A probabilistic automaton learned by merging the states of a prefix tree."""
+    """A probabilistic automaton learned by merging the states of a prefix tree, and the lengths of what it learned from,
+    which merged states forget."""
 
     def __init__(self, samples: list[list[str]], alpha: float = ALPHA):
+        self.lengths = Counter(map(len, samples))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.nodes = [Node()]
         for sample in samples:
@@ -134,8 +148,10 @@ class Automaton:
                 red.append(b)
 
     def score(self, token: list[str]) -> float:
-        """Mean log2 likelihood a symbol, the end included; unseen steps count as one use in twice the visits."""
-        at, total = 0, 0.0
+        """Mean log2 likelihood a symbol, the end and the length included; what was never seen, a step or a length, costs 8
+        bits more than one use in twice the visits."""
+        n = self.lengths.total()
+        at, total = 0, math.log2(self.lengths[len(token)] / n) if len(token) in self.lengths else -8 - math.log2(2 + n)
         for k, x in enumerate(token):
             node = self.nodes[at]
             if x not in node.next:
@@ -156,7 +172,7 @@ class Formats:
     def learn(cls, labelled: dict[str, list[str]]) -> Formats:
         out = []
         for _, values in sorted(labelled.items()):
-            samples = [symbols(v) for v in values]
+            samples = [symbols(v) for v in sorted(values)]  # the order numbers the states
             if len(samples) < 10:  # too few to tell a format
                 continue
             automaton = Automaton(samples)
@@ -195,7 +211,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 def learn_formats(found: DataFrame) -> Formats:
     """Automata from at most SAMPLE distinct labelled credentials of each of the three kinds, over all rows."""
-    values = found.select(F.explode("base").alias("b")).select("b.kind", F.left("b.value", F.lit(SAMPLE_LENGTH)).alias("value")).distinct()
+    values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= SAMPLE_LENGTH).distinct()
     labelled = {}
     for kind in KINDS[:3]:
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
@@ -208,7 +224,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Positions are code points in the whole text, ends exclusive; spans are ``kind:start:end`` by start, then kind in the
     order of KINDS. A null text is empty (the digest of the empty string, no spans); null ids stay null; repeated rows
-    are scanned each; an empty table gives no rows. Without enough labelled credentials no format is learned.
+    are scanned each; an empty table gives no rows; other columns, whatever their names, are left out. Very long texts
+    are scanned whole, in linear time. Without enough labelled credentials no format is learned.
     """
     found, _ = materialise(scan(docs, id_col=id_col, text_col=text_col), "secrets")
     shared = docs.sparkSession.sparkContext.broadcast(learn_formats(found))  # bounded by the sample

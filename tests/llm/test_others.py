@@ -97,6 +97,53 @@ def test_automaton_likelihood():
     assert own > a.score(secrets.symbols("ordinary-words-here9")) + 1
 
 
+def test_model_spans_by_brute_force(spark):
+    """Unlabelled tokens of the labelled formats, found and scored one by one; words, numbers and addresses are none."""
+    rng = np.random.default_rng(4)
+    make = lambda n, alphabet: "".join(rng.choice(list(alphabet), n))
+    hexes, keys = [make(40, "0123456789abcdef") for _ in range(40)], ["ghp_" + make(60, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60)]
+    texts = [f"token: {k} and secret={h}." for k, h in zip(keys[:40], hexes)] + [f"found {k}. Then password='{h}', {k}" for k, h in zip(keys[40:], hexes)]
+    texts += ["10.20.30.40 aaaaaaaaaaaaaaaaa mail9.example.com 1234567890123 an-ordinary-hyphened-word 2024-01-02T03:04:05", "= " * 30 + keys[50], ("ab12" * 4 + " ") * 300 + keys[41]]
+    docs = spark.createDataFrame([(k, t, "s", 1) for k, t in enumerate(texts)], "doc_id bigint, text string, spans string, base int")
+    values = {}
+    for t in texts:
+        for _, _, kind, v in secrets.base_spans(t):
+            values.setdefault(kind, set()).add(v)
+    formats = secrets.Formats.learn({k: sorted(v) for k, v in values.items()})  # all of them: fewer than the sample
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    found = 0
+    for k, t in enumerate(texts):
+        base = [(s, e) for s, e, *_ in secrets.base_spans(t)]
+        wanted = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+            start, end = m.start(), m.end()
+            while t[start:end].startswith("."):
+                start += 1
+            while t[start:end].endswith("."):
+                end -= 1
+            if end - start >= 12 and not any(s < end and start < e for s, e in base) and any(a.score(secrets.symbols(t[start:end])) >= least for a, least in formats.automata):
+                wanted.add((start, end))
+        mine = {tuple(map(int, s.split(":")[1:])) for s in got[k].spans.split(",") if s.startswith("model")}
+        assert mine == wanted and got[k].n_model == len(wanted), t
+        found += len(wanted)
+    assert found >= 30 and got[len(texts) - 3].n_model == 0
+
+
+def test_long_credentials_are_learned_whole():
+    """Formats that differ after their 48th character stay apart."""
+    rng = np.random.default_rng(8)
+    long = lambda: "k" * 50 + "".join(rng.choice(list("0123456789"), 30))
+    formats = secrets.Formats.learn({"assign": [long() for _ in range(50)]})
+    assert formats.is_secret(long()) and not formats.is_secret("k" * 50) and not formats.is_secret("k" * 50 + "x" * 30)
+
+
+def test_candidates_in_linear_time():
+    """100,000 tokens among as many spans."""
+    text = ("0123456789abcdef plain-token-1 " * 100_000)
+    taken = secrets.base_spans(text)
+    assert len(taken) == 100_000 and len(secrets.candidates(text, taken)) == 100_000
+
+
 # Chats.
 def test_chats(spark):
     def conv(i, turns):
@@ -126,10 +173,51 @@ def test_language(spark, sf, odd, empty):
     got = {r.doc_id: r for r in language.identify(odd, learned, keep=("doc_id", "score"), names=("a", "b", "c")).collect()}
     assert {i for i, r in got.items() if r.a == "und"} == {3, 4, 5} and got[1].a == "en"
     assert language.identify(empty, learned).count() == 0
+    assert {language.judge(t, [("a", c[1]) for c in learned.compressors()][:1])[0] for t in ("x", "yes " * 9000)} == {"a"}
     nothing = language.learn(empty)
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def brute_language(text, dictionaries):
+    """The smallest sum of compressed sizes, piece by piece, with a new compressor each time."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    words = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+    sums = {}
+    for lang, data in dictionaries.content.items():
+        for piece in language.pieces(words):
+            for d in (piece, piece + b" " + piece):
+                made = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sums[lang] = sums.get(lang, 0) + len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(d))
+    return min(sums, key=lambda k: (sums[k], k))
+
+
+def test_language_by_brute_force(spark):
+    """Every text's language, short and long, from the same dictionaries; the dictionaries from the labelled fold alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    learned = language.learn(docs.where(docs.doc_id.isNotNull() & ~language.held_out(docs.doc_id)))
+    by = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang and r.text:
+            by.setdefault(r.lang, set()).add(language.letters(r.text[:3000]))
+    for lang, data in learned.content.items():
+        assert sum(part in data for part in by[lang]) >= min(len(by[lang]), 30)  # 40 texts, some of them copies
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, learned, keep=("doc_id",)).collect()}
+    assert got == {r.doc_id: brute_language(r.text, learned) for r in rows}
+
+
+def test_every_language_is_learned(spark):
+    """A hundred languages, each with words of its own."""
+    rows = [(k * 10 + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (i * 7 + j) % 26)}{chr(97 + i % 26)}o" for i in range(60)), f"l{k:03d}") for k in range(100) for j in range(3)]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(learned.content) == 100
+    judged = [language.judge(t, learned.compressors())[0] for _, t, _ in rows[::30]]
+    assert judged == [lang for *_, lang in rows[::30]]
+
+
 # Personal data.
 PRIVATE = [
     "Mr. John Smith and Mrs. Anna Miller met; Mr. John Smith called +1 (743) 555-3824 or +17435553824.",
