@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import discard, materialise
@@ -31,15 +31,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     start = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, path = materialise(start, "stars")
+    now, path, mark = _marked(start)
     seen = None
-    while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
+    while mark[0] and mark != seen:
         seen = mark
-        after, new_path = materialise(_small_star(_large_star(now)), "stars")
+        after, new_path, mark = _marked(_small_star(_large_star(now)))
         discard(spark, path)
         now, path = after, new_path
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _marked(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """(table, path, number and sum of hashes of the rows): written, and marked on the way."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    table, path = materialise(marked, "stars")
+    return table, path, (seen.get["n"], seen.get["sum"])

@@ -3,9 +3,9 @@
 Texts of similarity s have at least s n shingles in common, n being the size of either set. So a text is of interest
 only if that many of its shingles occur in other texts, which two rounds find out: first on a part of each set (all
 shingles have one order; if two sets have o shingles in common, their first n - o + k have at least k), then on whole
-sets of the texts that are left. These are linked by SimHash first, which joins most copies. Then two texts are
-compared if they share one of their first shingles, rare ones first; texts known to be of one group are not compared
-again.
+sets of the texts that are left. These are first compared with those that SimHash proposes and with two texts at each
+of their first shingles, rare ones first, which joins most copies. Then any two that meet at such a shingle are compared
+if they are not yet of one group.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from .skew import join_hot
 from .storage import discard, materialise
 
 WORDS, SIMILAR = 5, (4, 5)
-#: Rows whose shingles are counted to know the most frequent ones, and how many of these are kept; rounds that compare
-#: with one text at a shingle before all do. None changes the result, only the amount of work.
-SAMPLE_ROWS, FREQUENT, ROUNDS = 5_000, 200_000, 3
+#: Rows whose shingles are counted to know the most frequent ones, and how many of these are kept. Neither changes the
+#: result, only the amount of work.
+SAMPLE_ROWS, FREQUENT = 5_000, 200_000
 #: A text's part of the first round holds so many more shingles than one in common needs, as a share of its set.
 MORE = 20
-_OFTEN = 2**31 - 1
+#: A shared shingle is written as the number of sets it is in, up to OFTEN, above the other bits of its hash.
+OFTEN, COUNT_BITS = 127, 7
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -66,7 +67,7 @@ def _frequent(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["h"])
 
     counted = some.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+    return np.sort(counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _is_in(h: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -137,13 +138,8 @@ def _enough(m: Column, n: Column, common: Column) -> Column:
 def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(rows, first, sets, paths): every row's key; each key's smallest id, size, fingerprint and number of rows; the
     shared shingles, rare ones first, of the keys of which enough are; the tables to delete in the end."""
-    paths = []
-
-    def write(table: DataFrame, name: str) -> DataFrame:
-        out, path = materialise(table, name)
-        paths.append(path)
-        return out
-
+    paths: list[str] = []
+    write = lambda table, name: _write(table, name, paths)
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT numbers
     rows = write(_first_round(texts, shared), "parts")
     first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.count("*").alias("n")), "distinct")
@@ -154,15 +150,18 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list
     left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", "th", "size"), "left")
     whole = texts.join(left.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     salted = Window.partitionBy("h", F.when(F.col("often"), F.col("key")))
-    counted = _whole_sets(whole, shared).withColumn("df", F.when(F.col("often"), F.lit(_OFTEN)).otherwise(F.count("*").over(salted))).where("df > 1")
-    sets = counted.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("x"))
-    enough = sets.join(left.select("key", "size"), "key").where(F.size("x") >= _need(F.col("size")))
-    return rows, first, write(enough.select("key", "size", F.transform("x", lambda s: s["h"]).alias("shingles")), "sets"), paths
+    count = F.when(F.col("often"), F.lit(OFTEN)).otherwise(F.least(F.count("*").over(salted), F.lit(OFTEN - 1)))
+    counted = _whole_sets(whole, shared).withColumn("df", count).where("df > 1")
+    shingle = F.shiftleft(F.col("df").cast("bigint"), 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
+    sets = counted.select("key", shingle.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("shingles"))
+    enough = sets.join(left.select("key", "size"), "key").where(F.size("shingles") >= _need(F.col("size")))
+    return rows, first, write(enough.select("key", "size", "shingles"), "sets"), paths
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets are similar; all that they have in common is among the shared shingles."""
-    side = lambda key, s, n: sets.select(F.col("key").alias(key), F.col("shingles").alias(s), F.col("size").alias(n))
+    wanted = lambda key: sets.join(pairs.select(F.col(key).alias("key")), "key", "left_semi")
+    side = lambda key, s, n: wanted(key).select(F.col("key").alias(key), F.col("shingles").alias(s), F.col("size").alias(n))
     both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "k"), "v")
     return both.where(_enough(F.col("m"), F.col("k"), F.size(F.array_intersect("a", "b")))).select("u", "v")
 
@@ -177,6 +176,16 @@ def _by_fingerprint(sets: DataFrame, first: DataFrame) -> DataFrame:
     return same.unionByName(near.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _write(table: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    out, path = materialise(table, name)
+    paths.append(path)
+    return out
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+
+
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every input row.
 
@@ -185,8 +194,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     wordless texts are alike. Null ids link but never name a component; repeated rows share one; an empty table gives
     no rows. Whole texts count, and other columns, whatever their names, are left out.
 
-    Shuffled are about a quarter of all shingles and then those of the texts of which enough occur elsewhere. At a
-    shingle that pairs meet at, the smaller set of a pair is in the part of it that any similar larger set would meet.
+    Shuffled are about a quarter of all shingles and then those of the texts of which enough occur elsewhere. Two texts
+    that meet at shingles are compared only if these and all that follow them in both sets would do.
     """
     text = docs[text_col].cast("string")
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -194,34 +203,22 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     num, den = SIMILAR
     skipped = F.col("size") - F.size("shingles")  # shingles of no other text come first
     places = F.slice("shingles", F.lit(1), (F.col("size") - _need(F.col("size")) + 1 - skipped).cast("int"))
-    short = F.col("size") - F.ceil(F.lit(2 * num) * F.col("size") / F.lit(num + den)) + 1 - skipped
-    hits, path = materialise(sets.select("key", "size", short.alias("short"), F.posexplode(places).alias("pos", "h")).select("key", "size", "h", (F.col("pos") < F.col("short")).alias("index")), "hits")
-    paths.append(path)
-    edges = tested = roots = None
-    for attempt in range(ROUNDS + 2):
-        now = hits.withColumn("group", F.col("key")) if roots is None else hits.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "h", "index", F.coalesce("root", "key").alias("group"))
-        if not attempt:
-            pairs = _by_fingerprint(sets, first)
-        else:
-            if attempt <= ROUNDS:
-                centre = F.min(F.struct(F.xxhash64("key", F.lit(attempt)).alias("x"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("index").alias("i")))
-                other = now.groupBy("h").agg(centre.alias("c")).select("h", "c.other", "c.m", "c.g", "c.i")
-                met = now.join(other, "h").where("group <> g and (index and size <= m or i and m <= size)")
-            else:
-                other = now.where("index").select("h", F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"))
-                met = now.join(other, "h").where("group <> g and m <= size")
-            pairs = met.where(_enough(F.col("size"), F.col("m"), F.least("size", "m"))).select(F.col("key").alias("u"), F.col("other").alias("v"))
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs, path = materialise(pairs, "pairs")
-        paths.append(path)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new, path = materialise(_verified(pairs, sets), "links")
-        paths.append(path)
-        edges = new if edges is None else edges.unionByName(new)
-        roots, path = materialise(components(edges), "roots")
-        paths.append(path)
+    hits = _write(sets.select("key", "size", F.size("shingles").alias("k"), F.posexplode(places).alias("pos", "h")).select("key", "size", "h", (F.col("k") - F.col("pos")).alias("rest")), "hits", paths)
+    index = F.lit(num + den) * F.col("rest") >= F.lit(2 * num) * F.col("size")  # where the smaller of two similar sets has their first in common
+    one = F.struct(F.xxhash64("key").alias("x"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"))
+    centres = hits.groupBy("h").agg(F.array(F.min(one), F.max(one)).alias("c")).select("h", F.inline("c")).drop("x")
+    star = hits.join(centres, "h").where(_enough(F.col("size"), F.col("m"), F.least("rest", "r")))
+    tested = _write(_ordered(_by_fingerprint(sets, first).unionByName(star.select(F.col("key").alias("u"), F.col("other").alias("v")))), "pairs", paths)
+    edges = _write(_verified(tested, sets), "links", paths)
+    groups = _write(components(edges), "roots", paths)
+    now = hits.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "h", "rest", F.coalesce("root", "key").alias("group"))
+    other = now.where(index).select("h", F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"))
+    met = now.join(other, "h").where("group <> g").groupBy("key", "other", "size", "m").agg(F.count("*").alias("c"), F.min("rest").alias("rest"), F.min("r").alias("r"))
+    # What two sets have in common up to the last shingle they met at is counted; what follows may be in common.
+    pairs = met.where(_enough(F.col("size"), F.col("m"), F.col("c") - 1 + F.least("rest", "r"))).select(F.col("key").alias("u"), F.col("other").alias("v"))
+    pairs = _write(_ordered(pairs).join(tested, ["u", "v"], "left_anti"), "pairs", paths)
+    edges = edges.unionByName(_write(_verified(pairs, sets), "links", paths))
+    roots = _write(components(edges), "roots", paths)
     label, _ = materialise(simhash.named(first.select("key", "first", "n"), "key", roots), "labels")
     named, _ = materialise(rows.select("doc_id", "key"), "keys")
     total = first.agg(F.sum("n")).first()[0] or 0
