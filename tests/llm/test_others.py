@@ -162,6 +162,46 @@ def test_chats(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def brute_chats(rows):
+    """{conv: (turns, rendered)} of the maximal conversations, by comparing all pairs."""
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
+    by = {}
+    for conv, turn, role, text, *_ in rows:
+        by.setdefault(conv, []).append((turn, role, text))
+    said = {c: [(r, t) for _, r, t in sorted(v, key=key)] for c, v in by.items()}
+    keep = {}
+    for c, v in said.items():
+        if any(len(o) > len(v) and o[: len(v)] == v for o in said.values()):
+            continue
+        same = [o for o, w in said.items() if w == v and o is not None]
+        if c == (min(same) if same else None):
+            keep[c] = (len(v), "".join(f"<|im_start|>{'unknown' if r is None else r}\n{t or ''}<|im_end|>\n" for r, t in v))
+    return keep
+
+
+@pytest.mark.parametrize("ranges", [1, 13])
+def test_chats_by_brute_force(spark, ranges):
+    """Few words, so that prefixes, ties and copies abound; a conversation with a third of all turns; very long turns."""
+    rng = np.random.default_rng(ranges)
+    rows = []
+    for c in range(120):
+        n = int(rng.integers(1, 7))
+        rows += [(c, int(rng.integers(0, 4)) if c % 5 == 0 else k, str(rng.choice(["user", "assistant"])) if c % 7 else None, str(rng.choice(["a", "b"])) if k % 6 != 5 else None) for k in range(n)]
+    rows += [(1000, k, "user", f"t{k}") for k in range(300)] + [(1001, k, "user", f"t{k}") for k in range(290)] + [(None, 0, "user", "a"), (None, None, "user", "b")]
+    rows += [(2000, k, "user", "long " * 40_000 + str(k)) for k in range(3)] + [(2001, k, "user", "long " * 40_000 + str(k)) for k in range(2)]
+    rows = [(*r, "x", 5) for r in rows]
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, rendered string, range int").repartition(5)
+        got = {}
+        for r in sorted(chat.format_chats(turns).collect(), key=lambda r: r.part):
+            n, text = got.get(r.conv_id, (0, ""))
+            got[r.conv_id] = (r.n_turns, text + r.rendered)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute_chats(rows)
+
+
 # Language.
 def test_language(spark, sf, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
