@@ -72,3 +72,5 @@ RISK_LABELS = {"high": "高风险", "medium": "中风险", "low": "低风险"}
 RISK_COLOURS = {"high": "D32F2F", "medium": "F57C00", "low": "1976D2"}
 DIRECTION_LABELS = {"missing_in_pdf": "PDF 缺失", "extra_in_pdf": "PDF 多出"}
 ROLE_PERMISSIONS = {"admin": ["compare", "export", "manage_keys", "manage_profiles", "view_audit"], "analyst": ["compare", "export", "manage_profiles"], "viewer": []}
+#: A cell's text that stands for the number zero.
+ZERO = r"^-?0+(?:\.0*)?$"

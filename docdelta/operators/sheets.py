@@ -66,41 +66,86 @@ def key_columns(cells: DataFrame) -> DataFrame:
     return stats.withColumn("is_key", named & (F.col("n_distinct") / F.col("n") >= vocab.KEY_UNIQUENESS))
 
 
-def match_rows(cells: DataFrame, key_col: int) -> DataFrame:
-    """JN-09: (sheet, row_a, row_b): rows with one key in order of appearance, the k-th with the k-th; one side null: JN-14."""
-    keys = cells.where((F.col("col") == key_col) & (F.trim("value") != "")).select("book", "sheet", "row", F.trim("value").alias("key"))
+def filled(value: Column) -> Column:
+    """Whether a cell holds something: neither nothing nor a number that is zero. Blanks and texts like "0%" count."""
+    return (value != "") & ~F.rlike(value, F.lit(vocab.ZERO))
+
+
+def mapped_keys(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
+    """(book, sheet, col, k): where the key columns of book a are in each book, k in their order; the second book's by
+    :func:`column_map`. ``keys``: columns of all sheets, or a table (sheet, col)."""
+    columns = column_map(cells)
+    if isinstance(keys, DataFrame):
+        found = columns.join(keys.select("sheet", F.col("col").alias("col_a")), ["sheet", "col_a"])
+    else:
+        found = columns.where(F.col("col_a").isin([keys] if isinstance(keys, int) else keys))
+    sides = F.array(F.struct(F.lit("a").alias("book"), F.col("col_a").alias("col")), F.struct(F.lit("b").alias("book"), F.col("col_b").alias("col")))
+    return found.select("sheet", F.col("col_a").alias("k"), F.inline(sides))
+
+
+def row_keys(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
+    """(book, sheet, row, key) of the rows that hold something; ``key`` joins the stripped values of the key columns and is
+    null if all are blank or there are none. One aggregation by row."""
+    where = mapped_keys(cells, keys)
+    marked = cells.select("book", "sheet", "row", "col", "value").join(where, ["book", "sheet", "col"], "left")
+    held = F.max(filled(F.col("value"))).alias("held")
+    values = F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", T.strip(F.col("value")).alias("v"))))).alias("values")
+    order = where.where("book = 'a'").groupBy("sheet").agg(F.array_sort(F.collect_list("k")).alias("order"))
+    rows = marked.groupBy("book", "sheet", "row").agg(held, values).where("held").join(order, "sheet", "left")
+    parts = F.transform("order", lambda k: F.coalesce(F.element_at("values", k), F.lit("")))
+    return rows.select("book", "sheet", "row", F.when(F.exists(parts, lambda v: v != ""), F.array_join(parts, "||")).alias("key"))
+
+
+def match_rows(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
+    """JN-09: (sheet, row_a, row_b): rows with one key in order of appearance, the k-th with the k-th; rows without a
+    partner have one side null (JN-14). Key columns are those of book a; book b's may stand elsewhere."""
+    rows = row_keys(cells, keys)
     nth = F.row_number().over(Window.partitionBy("book", "sheet", "key").orderBy("row"))
-    ranked = keys.withColumn("nth", nth)
-    return ranked.groupBy("sheet", "key", "nth").agg(F.max(F.when(F.col("book") == "a", F.col("row"))).alias("row_a"), F.max(F.when(F.col("book") == "b", F.col("row"))).alias("row_b")).select("sheet", "row_a", "row_b")
+    of = lambda side: F.max(F.when(F.col("book") == side, F.col("row")))
+    keyed = rows.where("key is not null").withColumn("nth", nth).groupBy("sheet", "key", "nth").agg(of("a").alias("row_a"), of("b").alias("row_b")).select("sheet", "row_a", "row_b")
+    side = lambda b: F.when(F.col("book") == b, F.col("row"))
+    return keyed.unionByName(rows.where("key is null").select("sheet", side("a").alias("row_a"), side("b").alias("row_b")))
 
 
-def cell_differences(cells: DataFrame, key_col: int, tolerance: float = 0.01) -> DataFrame:
+def match_rows_auto(cells: DataFrame) -> DataFrame:
+    """JN-12: (sheet, row_a, row_b, how): by the detected key columns (AGG-06) where a sheet has some and a row of it
+    finds a partner, else by position: rows of one number that hold something on both sides. Rows without a partner
+    have one side null."""
+    keyed = match_rows(cells, key_columns(cells).where("is_key").select("sheet", "col"))
+    works = keyed.groupBy("sheet").agg(F.bool_or(F.col("row_a").isNotNull() & F.col("row_b").isNotNull()).alias("works")).where("works").select("sheet")
+    held = cells.groupBy("sheet", "row").agg(*(F.max((F.col("book") == b) & filled(F.col("value"))).alias(f"in_{b}") for b in "ab")).where("in_a or in_b")
+    placed = held.select("sheet", F.when(F.col("in_a"), F.col("row")).alias("row_a"), F.when(F.col("in_b"), F.col("row")).alias("row_b"))
+    by = lambda rows, how, kind: rows.join(works, "sheet", kind).select("sheet", "row_a", "row_b", F.lit(how).alias("how"))
+    return by(keyed, "key", "left_semi").unionByName(by(placed, "position", "left_anti"))
+
+
+def cell_differences(cells: DataFrame, keys: DataFrame | list[int] | int, tolerance: float = 0.01) -> DataFrame:
     """FN-36: sheet, row, col, col_name, value_a, value_b, category, risk of matched rows' cells that differ."""
-    rows = match_rows(cells, key_col).where("row_a is not null and row_b is not null")
-    a = cells.where("book = 'a'").select("sheet", F.col("row").alias("row_a"), "col", F.col("header").alias("col_name"), F.col("value").alias("value_a"))
-    b = cells.where("book = 'b'").select("sheet", F.col("row").alias("row_b"), "col", F.col("value").alias("value_b"))
-    columns = F.broadcast(column_map(cells))  # a row for each header
-    joined = a.join(rows, ["sheet", "row_a"]).join(columns, (F.col("col") == F.col("col_a")) & (a.sheet == columns.sheet)).select(a.sheet, "row_a", "row_b", "col", "col_b", "col_name", "value_a")
-    met = joined.join(b.withColumnRenamed("col", "col_b"), ["sheet", "row_b", "col_b"])
+    rows = match_rows(cells, keys).where("row_a is not null and row_b is not null")
+    columns = column_map(cells)
+    a = cells.where("book = 'a'").join(columns.select("sheet", F.col("col_a").alias("col"), "col_b"), ["sheet", "col"]).select("sheet", F.col("row").alias("row_a"), "col", "col_b", F.col("header").alias("col_name"), F.col("value").alias("value_a"))
+    b = cells.where("book = 'b'").select("sheet", F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("value").alias("value_b"))
+    met = a.join(rows, ["sheet", "row_a"]).join(b, ["sheet", "row_b", "col_b"])
     na, nb = T.cell_number(F.col("value_a")), T.cell_number(F.col("value_b"))
-    same = (T.cell(F.col("value_a")) == T.cell(F.col("value_b"))) | F.coalesce(F.abs(na - nb) <= tolerance, F.lit(False))
     category = T.cell_category(F.col("value_a"), F.col("value_b"), F.col("col_name"))
+    close = (category == "number") & F.coalesce(F.abs(na - nb) <= tolerance, F.lit(False))
+    same = (T.cell(F.col("value_a")) == T.cell(F.col("value_b"))) | close
     return met.where(~same).select("sheet", F.col("row_a").alias("row"), "col", "col_name", "value_a", "value_b", category.alias("category")).withColumn("risk", T.cell_risk(F.col("category"), F.col("col_name")))
 
 
-def row_changes(cells: DataFrame, key_col: int) -> DataFrame:
+def row_changes(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
     """JN-14: (sheet, type, row) of rows without a partner."""
-    lone = match_rows(cells, key_col).where("row_a is null or row_b is null")
+    lone = match_rows(cells, keys).where("row_a is null or row_b is null")
     return lone.select("sheet", F.when(F.col("row_b").isNull(), "row_deleted").otherwise("row_added").alias("type"), F.coalesce("row_a", "row_b").alias("row"))
 
 
-def moved_rows(cells: DataFrame, key_col: int) -> DataFrame:
+def moved_rows(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
     """JN-13: (sheet, row_a, row_b, ratio): each deleted row takes the most alike free added row above the limit.
 
     The greedy order makes a sheet's lone rows one group; a sheet is bounded by its file.
     """
-    text = cells.groupBy("book", "sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), " ").alias("line"))
-    lone = row_changes(cells, key_col).withColumn("book", F.when(F.col("type") == "row_deleted", "a").otherwise("b")).join(text, ["book", "sheet", "row"])
+    text = cells.where("value <> ''").groupBy("book", "sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), " ").alias("line"))
+    lone = row_changes(cells, keys).withColumn("book", F.when(F.col("type") == "row_deleted", "a").otherwise("b")).join(text, ["book", "sheet", "row"])
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         gone, new = group[group.book == "a"].sort_values("row"), group[group.book == "b"].sort_values("row")
@@ -121,10 +166,10 @@ def moved_rows(cells: DataFrame, key_col: int) -> DataFrame:
     return lone.groupBy("sheet").applyInPandas(pair, "sheet string, row_a bigint, row_b bigint, ratio double")
 
 
-def sheet_stats(cells: DataFrame, key_col: int) -> DataFrame:
+def sheet_stats(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
     """AGG-04: sheet, added, deleted, modified, has_high; counts are those before moves are found."""
-    diffs = cell_differences(cells, key_col).select("sheet", F.lit("cell_changed").alias("type"), "risk")
-    lone = row_changes(cells, key_col).select("sheet", "type", F.lit("medium").alias("risk"))
+    diffs = cell_differences(cells, keys).select("sheet", F.lit("cell_changed").alias("type"), "risk")
+    lone = row_changes(cells, keys).select("sheet", "type", F.lit("medium").alias("risk"))
     n = lambda t: F.count_if(F.col("type") == t)
     return diffs.unionByName(lone).groupBy("sheet").agg(n("row_added").alias("added"), n("row_deleted").alias("deleted"), n("cell_changed").alias("modified"), F.bool_or(F.col("risk") == "high").alias("has_high"))
 
@@ -135,10 +180,10 @@ def sheet_presence(cells: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("in_a") & F.col("in_b"), "matched").when(F.col("in_a"), "only_in_a").otherwise("only_in_b"))
 
 
-def workbook_summary(cells: DataFrame, key_col: int) -> DataFrame:
+def workbook_summary(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
     """AGG-05 with JN-07: sheets, total differences and whether one is critical; a sheet on one side counts all its rows."""
     sheets = cells.groupBy("sheet").agg(F.bool_or(F.col("book") == "a").alias("a"), F.bool_or(F.col("book") == "b").alias("b"), (F.count_distinct("row") + 1).alias("rows"))
-    stats = sheet_stats(cells, key_col)
+    stats = sheet_stats(cells, keys)
     both = sheets.join(stats, "sheet", "left")
     status = F.when(F.col("a") & F.col("b"), "matched").when(F.col("a"), "only_in_a").otherwise("only_in_b")
     return both.select("sheet", status.alias("status"), F.when(F.col("a") & F.col("b"), F.coalesce(F.col("added") + F.col("deleted") + F.col("modified"), F.lit(0))).otherwise(F.col("rows")).alias("differences"), (F.coalesce("has_high", F.lit(False)) | ~(F.col("a") & F.col("b"))).alias("critical"))
@@ -146,33 +191,39 @@ def workbook_summary(cells: DataFrame, key_col: int) -> DataFrame:
 
 def by_position(cells: DataFrame) -> DataFrame:
     """JN-10: (sheet, row) of rows that have content on both sides."""
-    filled = cells.where((F.trim("value") != "") & (F.coalesce(T.cell_number(F.col("value")), F.lit(1.0)) != 0))
-    return filled.groupBy("sheet", "row").agg(F.count_distinct("book").alias("n")).where("n = 2").select("sheet", "row")
+    return cells.where(filled(F.col("value"))).groupBy("sheet", "row").agg(F.count_distinct("book").alias("n")).where("n = 2").select("sheet", "row")
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """SRC-13: a merged range (sheet, r0, r1, c0, c1) gives its top left value to all its cells.
+    """SRC-13: a merged range (book, sheet, r0, r1, c0, c1) gives its top left value to all its cells.
 
-    Ranges are met by sheet and row, one row of ``ranges`` for each row it covers, so the join is on keys.
+    Ranges are met by book, sheet and row, one row of ``ranges`` for each row it covers, so the join is on keys.
     """
-    corners = cells.select("sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("fill"))
-    spots = ranges.join(corners, ["sheet", "r0", "c0"]).select("sheet", F.explode(F.sequence("r0", "r1")).alias("row"), F.col("c0").alias("from_col"), F.col("c1").alias("to_col"), "fill").alias("s")
-    met = cells.alias("c").join(spots, F.expr("c.sheet = s.sheet and c.row = s.row and c.col between s.from_col and s.to_col"), "left")
-    return met.select("c.sheet", "c.row", "c.col", F.coalesce("s.fill", "c.value").alias("value"))
+    corners = cells.select("book", "sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("fill"))
+    spots = ranges.join(corners, ["book", "sheet", "r0", "c0"]).select("book", "sheet", F.explode(F.sequence("r0", "r1")).alias("row"), F.col("c0").alias("from_col"), F.col("c1").alias("to_col"), "fill").alias("s")
+    met = cells.alias("c").join(spots, F.expr("c.book = s.book and c.sheet = s.sheet and c.row = s.row and c.col between s.from_col and s.to_col"), "left")
+    return met.select("c.book", "c.sheet", "c.row", "c.col", F.coalesce("s.fill", "c.value").alias("value"))
 
 
 def rows_to_text(cells: DataFrame) -> DataFrame:
     """SRC-14: (book, sheet, row, line): the filled cells as ``name: value``."""
-    filled = cells.where("value <> ''")
+    some = cells.where("value <> ''")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("col", "header", "value"))), lambda x: F.concat_ws(": ", x["header"], x["value"]))
-    return filled.groupBy("book", "sheet", "row").agg(F.array_join(parts, " | ").alias("joined")).select("book", "sheet", "row", F.concat(F.lit("行"), F.col("row"), F.lit(": "), F.col("joined")).alias("line"))
+    return some.groupBy("book", "sheet", "row").agg(F.array_join(parts, " | ").alias("joined")).select("book", "sheet", "row", F.concat(F.lit("行"), F.col("row"), F.lit(": "), F.col("joined")).alias("line"))
 
 
 def infer_headers(cells: DataFrame) -> DataFrame:
-    """SRC-12: (sheet, col, header): the first row with content; a blank header is named by its place."""
-    real = (F.col("value") != "") & (F.coalesce(T.cell_number(F.col("value")), F.lit(1.0)) != 0)
-    first = cells.groupBy("sheet").agg(F.min(F.when(real, F.col("row"))).alias("row"))
-    return cells.join(first, ["sheet", "row"]).select("sheet", "col", F.when(F.trim("value") == "", F.concat(F.lit("列"), F.col("col"))).otherwise(F.col("value")).alias("header"))
+    """SRC-12: (book, sheet, col, header): the first row that holds something, else the first; an empty header is named
+    by its place."""
+    first = cells.groupBy("book", "sheet").agg(F.coalesce(F.min(F.when(filled(F.col("value")), F.col("row"))), F.min("row")).alias("row"))
+    return cells.join(first, ["book", "sheet", "row"]).select("book", "sheet", "col", F.when(F.col("value") == "", F.concat(F.lit("列"), F.col("col"))).otherwise(F.col("value")).alias("header"))
+
+
+def book_text(cells: DataFrame) -> DataFrame:
+    """SRC-14: (book, full_text): the lines of each sheet under its title, sheets by name."""
+    lines = rows_to_text(cells).groupBy("book", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    titled = F.concat(F.lit("=== 工作表: "), F.col("sheet"), F.lit(" ===\n"), F.col("body"))
+    return lines.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", titled.alias("t")))), lambda x: x["t"]), "\n\n").alias("full_text"))
 
 
 def ratio_column(a: Column, b: Column) -> Column:

@@ -54,6 +54,8 @@ _CELL = {
     1: ("订单号", "k || ''", "订 单号"), 2: ("客户", "c || ''", "客户"), 3: ("金额", "price", "金额"),
     4: ("日期", "day", "日期"), 5: ("优先级", "p", "优先级"), 6: ("备注note", "note", "备注_note"),
 }
+#: Where the second book has the columns.
+_IN_B = {1: 2, 2: 1, 3: 3, 4: 6, 5: 5, 6: 4}
 
 
 def _sheet_rows(dialect: dict[str, str]) -> str:
@@ -73,11 +75,11 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, sheet, row, col, header, value): two books of eight sheets over the orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("book", F.explode(F.array(F.lit("a"), F.lit("b"))))
     rows = spark.sql(_sheet_rows(_SPARK).replace("FROM base", "FROM {base}"), base=orders)
-    cells = F.array(*(F.struct(F.lit(i).alias("col"), F.when(F.col("book") == "a", h).otherwise(hb).alias("header"), F.expr(e).cast("string").alias("value")) for i, (h, e, hb) in _CELL.items()))
+    cells = F.array(*(F.struct(F.when(F.col("book") == "a", i).otherwise(_IN_B[i]).alias("col"), F.when(F.col("book") == "a", h).otherwise(hb).alias("header"), F.expr(e).cast("string").alias("value")) for i, (h, e, hb) in _CELL.items()))
     return rows.select("book", "sheet", "row", F.inline(cells))
 
 
-_DUCK_CELLS = " UNION ALL ".join(f"SELECT book, sheet, row, {i} AS col, CASE WHEN book = 'a' THEN '{h}' ELSE '{hb}' END AS header, {e} AS value FROM srows" for i, (h, e, hb) in _CELL.items())
+_DUCK_CELLS = " UNION ALL ".join(f"SELECT book, sheet, row, CASE WHEN book = 'a' THEN {i} ELSE {_IN_B[i]} END AS col, CASE WHEN book = 'a' THEN '{h}' ELSE '{hb}' END AS header, {e} AS value FROM srows" for i, (h, e, hb) in _CELL.items())
 DUCK_SHEETS = f"""base AS (SELECT *, unnest(['a', 'b']) AS book FROM orders), srows AS ({_sheet_rows(_DUCK)}), cells AS ({_DUCK_CELLS})"""
 
 

@@ -130,15 +130,20 @@ _CELLNUM = lambda x: f"CASE WHEN ends_with(trim({x}), '%') THEN TRY_CAST(regexp_
 _CELL = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _HAS = lambda x, ws: f"regexp_matches(lower({x}), {q('|'.join(ws))})"
 _DATEISH = lambda x: f"regexp_matches(trim({x}), '^(?:\\d{{4}}[-/.年]\\d{{1,2}}[-/.月]\\d{{1,2}}[日号]?|\\d{{4}}年\\s*\\d{{1,2}}月\\s*\\d{{1,2}}日|\\d{{1,2}}[-/.]\\d{{1,2}}[-/.]\\d{{2,4}})$')"
-_MATCH = """keyed AS (SELECT book, sheet, row, trim(value) AS key, row_number() OVER (PARTITION BY book, sheet, trim(value) ORDER BY row) AS nth FROM cells WHERE col = 1 AND trim(value) <> ''),
-  pairs AS (SELECT coalesce(a.sheet, b.sheet) AS sheet, a.row AS row_a, b.row AS row_b FROM (SELECT * FROM keyed WHERE book = 'a') a FULL OUTER JOIN (SELECT * FROM keyed WHERE book = 'b') b ON a.sheet = b.sheet AND a.key = b.key AND a.nth = b.nth)"""
+_NORM_HEADER = lambda x: f"lower(regexp_replace({x}, '[\\s\\-_·•:：()（）\\[\\]【】]', '', 'g'))"
+_COLUMNS = f"""heads AS (SELECT DISTINCT book, sheet, col, header FROM cells),
+  cmap AS (SELECT a.sheet, a.col AS col_a, b.col AS col_b, a.header AS name FROM heads a JOIN heads b ON a.book = 'a' AND b.book = 'b' AND a.sheet = b.sheet AND {_NORM_HEADER('a.header')} = {_NORM_HEADER('b.header')})"""
+_HELD = lambda x: f"({x} <> '' AND NOT regexp_matches({x}, '{V.ZERO}'))"
+_MATCH = _COLUMNS + """,
+  keyed AS (SELECT c.book, c.sheet, c.row, trim(c.value) AS key, row_number() OVER (PARTITION BY c.book, c.sheet, trim(c.value) ORDER BY c.row) AS nth FROM cells c JOIN cmap m ON c.sheet = m.sheet AND m.col_a = 1 AND c.col = CASE WHEN c.book = 'a' THEN m.col_a ELSE m.col_b END WHERE trim(c.value) <> ''),
+  pairs AS (SELECT sheet, max(row) FILTER (book = 'a') AS row_a, max(row) FILTER (book = 'b') AS row_b FROM keyed GROUP BY sheet, key, nth)"""
 _DIFFS = f"""diffs AS (SELECT *, CASE WHEN category = 'date' OR (category = 'number' AND {_HAS('col_name', V.FINANCIAL_HEADERS)}) THEN 'high' ELSE 'medium' END AS risk FROM (
     SELECT p.sheet, p.row_a AS row, a.col, a.header AS col_name, a.value AS value_a, b.value AS value_b,
       CASE WHEN {_HAS('a.header', V.DATE_HEADERS)} AND ({_DATEISH('a.value')} OR {_DATEISH('b.value')}) THEN 'date'
         WHEN ({_CELLNUM('a.value')}) IS NOT NULL AND ({_CELLNUM('b.value')}) IS NOT NULL THEN 'number'
         WHEN (({_CELLNUM('a.value')}) IS NOT NULL OR ({_CELLNUM('b.value')}) IS NOT NULL) AND {_HAS('a.header', V.FINANCIAL_HEADERS)} THEN 'number'
         WHEN starts_with(a.value, '=') OR starts_with(b.value, '=') THEN 'formula' ELSE 'text' END AS category
-    FROM pairs p JOIN cells a ON a.book = 'a' AND a.sheet = p.sheet AND a.row = p.row_a JOIN cells b ON b.book = 'b' AND b.sheet = p.sheet AND b.row = p.row_b AND b.col = a.col
+    FROM pairs p JOIN cells a ON a.book = 'a' AND a.sheet = p.sheet AND a.row = p.row_a JOIN cmap m ON m.sheet = a.sheet AND m.col_a = a.col JOIN cells b ON b.book = 'b' AND b.sheet = p.sheet AND b.row = p.row_b AND b.col = m.col_b
     WHERE {_CELL('a.value')} <> {_CELL('b.value')} AND NOT coalesce(abs(({_CELLNUM('a.value')}) - ({_CELLNUM('b.value')})) <= 0.01, false)))"""
 _LONE = "lone AS (SELECT sheet, CASE WHEN row_b IS NULL THEN 'row_deleted' ELSE 'row_added' END AS type, coalesce(row_a, row_b) AS row FROM pairs WHERE row_a IS NULL OR row_b IS NULL)"
 S = (DUCK_SHEETS, _MATCH, _DIFFS, _LONE)
@@ -178,7 +183,7 @@ _FIELDS = lambda industry: f"""SELECT doc_id, keyword, value, round_even(sure, 4
   LEFT JOIN adj a ON a.doc_id = t.doc_id AND a.page = t.page AND a.ord = t.ord) WHERE sure > 0) WHERE r = 1"""
 
 _AUD = "audit AS (SELECT event_id AS id, event_type, user_id, props AS details_json, ts AS logged_at, value FROM events)"
-_MERGED = "ranges AS (SELECT sheet, row AS r0, row AS r1, 5 AS c0, 6 AS c1 FROM cells WHERE book = 'a' AND col = 1 AND row % 4 = 0)"
+_MERGED = "ranges AS (SELECT book, sheet, row AS r0, row AS r1, 5 AS c0, 6 AS c1 FROM cells WHERE col = 1 AND row % 4 = 0)"
 
 ORACLES: dict[str, str] = {
     "fn_10_numbers": with_(C, NUMBERS) + "SELECT * FROM numbers",
@@ -208,14 +213,17 @@ ORACLES: dict[str, str] = {
     "agg_03_line_diff": with_(C) + f"""SELECT pair_id, count(*) AS total, count(*) FILTER (side = 'pdf') AS insertions, count(*) FILTER (side = 'word') AS deletions, bool_or({_CLASS} LIKE 'high%') AS has_risk FROM (
       SELECT pair_id, line, min(side) AS side FROM (SELECT DISTINCT pair_id, side, unnest(string_split(text, chr(10))) AS line FROM docs) GROUP BY pair_id, line HAVING count(*) = 1) GROUP BY pair_id""",
     "jn_09_row_match": with_(*S) + "SELECT * FROM pairs",
-    "jn_10_positions": with_(DUCK_SHEETS) + f"SELECT sheet, row FROM cells WHERE trim(value) <> '' AND coalesce({_CELLNUM('value')}, 1) <> 0 GROUP BY sheet, row HAVING count(DISTINCT book) = 2",
+    "jn_08_columns": with_(DUCK_SHEETS, _COLUMNS) + "SELECT * FROM cmap",
+    "jn_10_positions": with_(DUCK_SHEETS) + f"SELECT sheet, row FROM cells WHERE {_HELD('value')} GROUP BY sheet, row HAVING count(DISTINCT book) = 2",
+    "jn_12_row_match": with_(*S) + "SELECT *, 'key' AS how FROM pairs",
     "jn_14_row_changes": with_(*S) + "SELECT * FROM lone",
     "fn_36_cell_diffs": with_(*S) + "SELECT sheet, row, col, col_name, value_a, value_b, category, risk FROM diffs",
     "agg_04_sheet_stats": with_(*S, _STATS) + "SELECT * FROM stats",
     "agg_05_workbook": with_(*S, _STATS) + "SELECT sheet, 'matched' AS status, added + deleted + modified AS differences, has_high AS critical FROM stats",
     "agg_06_key_columns": with_(DUCK_SHEETS) + f"SELECT sheet, col, header, count(*) AS n, count(DISTINCT value) AS n_distinct, {_HAS('header', [w.lower() for w in V.ID_HEADERS])} AND count(DISTINCT value) / count(*) >= 0.8 AS is_key FROM cells WHERE book = 'a' AND value <> '' GROUP BY sheet, col, header",
-    "src_12_headers": with_(DUCK_SHEETS) + "SELECT c.sheet, c.col, CASE WHEN trim(value) = '' THEN '列' || c.col ELSE value END AS header FROM cells c JOIN (SELECT sheet, min(row) AS row FROM cells WHERE book = 'a' AND value <> '' GROUP BY sheet) f ON c.sheet = f.sheet AND c.row = f.row WHERE c.book = 'a'",
-    "src_13_merged": with_(DUCK_SHEETS, _MERGED) + "SELECT c.sheet, c.row, c.col, coalesce(f.value, c.value) AS value FROM cells c LEFT JOIN ranges r ON c.sheet = r.sheet AND c.row BETWEEN r.r0 AND r.r1 AND c.col BETWEEN r.c0 AND r.c1 LEFT JOIN cells f ON f.book = 'a' AND f.sheet = r.sheet AND f.row = r.r0 AND f.col = r.c0 WHERE c.book = 'a'",
+    "src_12_headers": with_(DUCK_SHEETS) + f"SELECT c.book, c.sheet, c.col, CASE WHEN value = '' THEN '列' || c.col ELSE value END AS header FROM cells c JOIN (SELECT book, sheet, min(row) AS row FROM cells WHERE {_HELD('value')} GROUP BY book, sheet) f ON c.book = f.book AND c.sheet = f.sheet AND c.row = f.row",
+    "src_13_merged": with_(DUCK_SHEETS, _MERGED) + "SELECT c.book, c.sheet, c.row, c.col, coalesce(f.value, c.value) AS value FROM cells c LEFT JOIN ranges r ON c.book = r.book AND c.sheet = r.sheet AND c.row = r.r0 AND c.col BETWEEN r.c0 AND r.c1 LEFT JOIN cells f ON f.book = r.book AND f.sheet = r.sheet AND f.row = r.r0 AND f.col = r.c0",
+    "src_14_book_text": with_(DUCK_SHEETS) + "SELECT book, string_agg('=== 工作表: ' || sheet || ' ===' || chr(10) || body, chr(10) || chr(10) ORDER BY sheet) AS full_text FROM (SELECT book, sheet, string_agg(line, chr(10) ORDER BY row) AS body FROM (SELECT book, sheet, row, '行' || row || ': ' || string_agg(header || ': ' || value, ' | ' ORDER BY col) AS line FROM cells WHERE value <> '' GROUP BY book, sheet, row) GROUP BY book, sheet) GROUP BY book",
     "src_14_row_text": with_(DUCK_SHEETS) + "SELECT book, sheet, row, '行' || row || ': ' || string_agg(header || ': ' || value, ' | ' ORDER BY col) AS line FROM cells WHERE value <> '' GROUP BY book, sheet, row",
     "flt_01_low_confidence": with_(DUCK_TOKENS) + "SELECT doc_id, page, ord, text, confidence FROM tokens WHERE confidence < 0.5",
     "agg_07_line_tolerance": with_(DUCK_TOKENS, _LINES) + "SELECT * FROM tol",

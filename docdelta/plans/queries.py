@@ -152,6 +152,11 @@ def jn_10_positions(spark, sf_dir):
     return sheets.by_position(corpus.sheet_cells(spark, sf_dir))
 
 
+@query
+def jn_12_row_match(spark, sf_dir):
+    return sheets.match_rows_auto(corpus.sheet_cells(spark, sf_dir))
+
+
 @query
 def jn_13_moved_rows(spark, sf_dir):
     return sheets.moved_rows(corpus.sheet_cells(spark, sf_dir), 1)
@@ -184,13 +189,13 @@ def agg_06_key_columns(spark, sf_dir):
 
 @query
 def src_12_headers(spark, sf_dir):
-    return sheets.infer_headers(corpus.sheet_cells(spark, sf_dir).where("book = 'a'"))
+    return sheets.infer_headers(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
 def src_13_merged(spark, sf_dir):
-    cells = corpus.sheet_cells(spark, sf_dir).where("book = 'a'")
-    ranges = cells.where("col = 1 and row % 4 = 0").select("sheet", F.col("row").alias("r0"), F.col("row").alias("r1"), F.lit(5).alias("c0"), F.lit(6).alias("c1"))
+    cells = corpus.sheet_cells(spark, sf_dir)
+    ranges = cells.where("col = 1 and row % 4 = 0").select("book", "sheet", F.col("row").alias("r0"), F.col("row").alias("r1"), F.lit(5).alias("c0"), F.lit(6).alias("c1"))
     return sheets.fill_merged(cells, ranges)
 
 
@@ -199,6 +204,11 @@ def src_14_row_text(spark, sf_dir):
     return sheets.rows_to_text(corpus.sheet_cells(spark, sf_dir))
 
 
+@query
+def src_14_book_text(spark, sf_dir):
+    return sheets.book_text(corpus.sheet_cells(spark, sf_dir))
+
+
 # Tokens.
 @query
 def flt_01_low_confidence(spark, sf_dir):

@@ -69,6 +69,47 @@ def test_sheets(spark):
     assert (stats.added, stats.deleted, stats.modified, stats.has_high) == (1, 1, 2, True)
 
 
+def book_of(spark, books):
+    rows = [(name, sheet, r, c, h, v) for name, sheet, heads, body in books for r, row in body.items() for c, (h, v) in enumerate(zip(heads, row), 1)]
+    return spark.createDataFrame(rows, "book string, sheet string, row bigint, col int, header string, value string")
+
+
+def test_rows_of_books_with_other_column_orders(spark):
+    """Equal books whose second has its columns elsewhere: nothing differs."""
+    a = {k: (f"k{k}", str(k * 10), "x") for k in range(2, 9)}
+    cells = book_of(spark, [("a", "S", ["编号", "金额", "备注"], a), ("b", "S", ["金额", "备 注", "编号"], {k: (v[1], v[2], v[0]) for k, v in a.items()})])
+    assert {(r.row_a, r.row_b) for r in sheets.match_rows(cells, 1).collect()} == {(k, k) for k in a}
+    assert sheets.cell_differences(cells, 1).count() == 0 and sheets.row_changes(cells, 1).count() == 0
+    assert {(r.row_a, r.row_b, r.how) for r in sheets.match_rows_auto(cells).collect()} == {(k, k, "key") for k in a}
+
+
+def test_composite_and_missing_keys(spark):
+    heads = ["编号", "分编号", "金额"]
+    cells = book_of(spark, [
+        ("a", "S", heads, {2: ("1", "a", "5"), 3: ("1", "b", "6"), 4: ("1", "b", "7"), 5: ("", "\u3000", "8"), 6: ("", "", ""), 7: (" 2 ", "", "9")}),
+        ("b", "S", heads, {2: ("1", "b", "6"), 3: ("1", "a", "5"), 4: ("2", "", "9"), 5: ("", "", "0"), 6: ("", "c", "1")}),
+    ])
+    got = {(r.row_a, r.row_b) for r in sheets.match_rows(cells, [1, 2]).collect()}
+    assert got == {(2, 3), (3, 2), (4, None), (5, None), (7, 4), (None, 6)}
+
+
+def test_rows_by_position_without_keys(spark):
+    """No key column, or one without a partner: rows of one number that hold something."""
+    cells = book_of(spark, [
+        ("a", "S", ["名称", "值"], {2: ("x", "1"), 3: ("", "0"), 4: ("y", "2")}), ("b", "S", ["名称", "值"], {2: ("z", "1"), 3: ("q", "1"), 4: ("y", "2")}),
+        ("a", "T", ["编号", "值"], {2: ("k1", "0%")}), ("b", "T", ["编号", "值"], {2: ("k9", "¥0")}),
+    ])
+    got = {(r.sheet, r.row_a, r.row_b, r.how) for r in sheets.match_rows_auto(cells).collect()}
+    assert got == {("S", 2, 2, "position"), ("S", None, 3, "position"), ("S", 4, 4, "position"), ("T", 2, 2, "position")}
+    assert {(r.sheet, r.row) for r in sheets.by_position(cells).collect()} == {("S", 2), ("S", 4), ("T", 2)}
+
+
+def test_headers_and_texts(spark):
+    cells = book_of(spark, [("a", "S", ["p", "q"], {1: ("", "0"), 2: (" ", "v"), 3: ("w", "")}), ("a", "R", ["p", "q"], {1: ("", "")})])
+    assert {(r.sheet, r.col): r.header for r in sheets.infer_headers(cells).collect()} == {("S", 1): " ", ("S", 2): "v", ("R", 1): "列1", ("R", 2): "列2"}
+    assert sheets.book_text(cells.where("sheet = 'S'")).first().full_text == "=== 工作表: S ===\n行1: q: 0\n行2: p:   | q: v\n行3: p: w"
+
+
 def test_tokens(spark):
     rows = [(0, "合同编号：HT-2024-001", 0.95, 10, 20, 200, 40), (1, "甲方：深圳市XX科技有限公司", 0.92, 10, 50, 250, 70), (2, "包干费用为¥900000.00元", 0.88, 10, 120, 220, 140), (3, "工期：180天", 0.91, 10, 160, 130, 180), (4, "违约金50000元", 0.75, 10, 220, 150, 240), (5, "5%", 0.65, 10, 260, 50, 280)]
     table = spark.createDataFrame([(1, 1, *r) for r in rows], "doc_id bigint, page int, ord int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
