@@ -14,14 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab
 
-#: Fields of a pair whose greedy match runs as one fold; larger pairs are folded too, in the time of their product.
-_DIRECTIONS = ("matched", "missing_in_pdf", "extra_in_pdf")
-
-
-def _side(fields: DataFrame, side: str) -> DataFrame:
-    return fields.where(F.col("side") == side).drop("side")
-
-
 def set_match(fields: DataFrame, value: str) -> DataFrame:
     """JN-01, JN-02: word items with their value on the other side match, duplicates kept; the rest by anti-joins.
 
@@ -84,15 +76,12 @@ def match_amounts(fields: DataFrame) -> DataFrame:
     return greedy_match(ready, ["kw", "ctx"], lambda w, p: ((w["kw"] != "") & (w["kw"] == p["kw"]) & T.is_close(w["value"], p["value"])) | ((w["value"] == p["value"]) & F.arrays_overlap(w["ctx"], p["ctx"])))
 
 
-def summarise(sections: dict[str, DataFrame]) -> DataFrame:
-    """AGG-01: pair_id, family, missing, extra, total_diffs, has_critical_diff of the families with differences."""
+def summarise(items: DataFrame) -> DataFrame:
+    """AGG-01: pair_id, family, missing, extra, total_diffs, has_critical_diff of the families with differences, from
+    matched items (pair_id, family, direction)."""
     from pyspark.sql import Window
 
-    out = None
-    for family, rows in sections.items():
-        one = rows.select("pair_id", F.lit(family).alias("family"), "direction")
-        out = one if out is None else out.unionByName(one)
     count = lambda d: F.count_if(F.col("direction") == d).alias(d.split("_")[0])
-    each = out.groupBy("pair_id", "family").agg(count("missing_in_pdf"), count("extra_in_pdf")).where("missing + extra > 0")
+    each = items.where("direction <> 'matched'").groupBy("pair_id", "family").agg(count("missing_in_pdf"), count("extra_in_pdf"))
     pair = Window.partitionBy("pair_id")
     return each.withColumns({"total_diffs": F.sum(F.col("missing") + F.col("extra")).over(pair), "has_critical_diff": F.max(F.col("family").isin("amounts_words", "amounts_digits")).over(pair)})

@@ -44,6 +44,16 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(F.col("k").alias("pair_id"), "side", F.expr(contract_text(_SPARK)).alias("text"))
 
 
+def contract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pair_id, word, pdf): the same texts, both sides of a contract in one row."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).withColumn("k", F.col("o_orderkey")).select("k", "c_name", "o_totalprice", "o_orderdate")
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+    text = contract_text(_SPARK)
+    return dealt.select(F.col("k").alias("pair_id"), *(F.expr(text.replace("side = 'pdf'", str(s == "pdf").lower())).alias(s) for s in ("word", "pdf")))
+
+
 _FOLD = "translate(text, '￥％：（），。', '¥%:(),.')"
 DUCK_CONTRACTS = f"""contracts AS (
   SELECT k AS pair_id, side, {contract_text(_DUCK)} AS raw_text

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import extract, mask, match, report, sheets, store, textdiff, tokens
+from ..operators import extract, mask, match, reconcile, report, sheets, store, textdiff, tokens
 from ..streaming import state
 from . import corpus
 
@@ -20,8 +20,8 @@ def query(f):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts in folded form; they hold no character that needs more than :func:`T.fold_width`."""
-    return corpus.contracts(spark, sf_dir).withColumn("text", T.fold_width(F.col("text")))
+    """Contracts, normalised."""
+    return corpus.contracts(spark, sf_dir).withColumn("text", T.normalise(F.col("text")))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +54,10 @@ def fn_23_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_all(_docs(spark, sf_dir)).groupBy("side", "family").agg(F.count("*").alias("n"), F.count_distinct("norm").alias("n_distinct"))
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = _docs(spark, sf_dir)
-    return {
-        "numbers": match.match_numbers(extract.numbers(docs)),
-        "dates": match.set_match(extract.dates(docs), "norm"),
-        "amounts_words": match.set_match(extract.amount_words(docs), "raw"),
-        "amounts_digits": match.match_amounts(extract.amounts(docs)),
-        "percentages": match.tolerance_match(extract.percentages(docs)),
-    }
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of all pairs, read and matched in one pass."""
+    both = corpus.contract_pairs(spark, sf_dir)
+    return reconcile.matched_items(both.select("pair_id", *(T.normalise(F.col(s)).alias(s) for s in ("word", "pdf"))))
 
 
 @query
@@ -92,17 +87,13 @@ def jn_05_amounts(spark, sf_dir):
 
 @query
 def agg_01_contract_summary(spark, sf_dir):
-    return match.summarise(_sections(spark, sf_dir))
+    return match.summarise(_matched(spark, sf_dir))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-04, FN-39: all sections as one list with risks."""
-    out = None
-    for family, rows in _sections(spark, sf_dir).items():
-        raw = F.col("raw") if "raw" in rows.columns else F.col("value").cast("string")
-        one = rows.select("pair_id", F.lit(family).alias("family"), "direction", raw.alias("raw"), F.lit(vocab.FAMILY_RISK[family]).alias("risk"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    risk = report.label(F.col("family"), vocab.FAMILY_RISK)
+    return _matched(spark, sf_dir).select("pair_id", "family", "direction", F.coalesce("raw", F.col("value").cast("string")).alias("raw"), risk.alias("risk"))
 
 
 @query
