@@ -24,7 +24,7 @@ LONG_LINE, MARK, MARK_RUN = 30, "[.!?…:;。！？]", r"[.…_=~-]{5}|[!?]{4}"
 #: What prose ends a line with.
 ENDING = rf"""[.!?…:;,。！？)\]"'»”’][{SPACE}]*$"""
 #: Navigation: three separators between items; a lone word of a menu; a few capitalised words that end like no prose.
-SEPARATED = "^(?:[^|»›•·→]*[|»›•·→]){3}"
+SEPARATORS, ITEM_SEPARATORS = "|»›•·→", 3
 MENU = r"^\W*(?:home|menu|search|next|previous|contact(?: us)?|about(?: us)?|log ?in|sign (?:in|up)|register|faq|sitemap|share|print|startseite|suche|kontakt|accueil|recherche|inicio|buscar|contacto)\W*$"
 ITEMS = rf"^(?:\p{{Lu}}\p{{Ll}}[^{SPACE}]*[{SPACE}]+){{1,11}}\p{{Lu}}\p{{Ll}}[^{SPACE}]*[{SPACE}]*$"
 #: Phrases of boilerplate, in lower case. A line fails that consists of them by this share, or that begins
@@ -37,6 +37,11 @@ PHRASES = [
     "skip to content", "skip to main content", "back to top", "powered by",
 ]
 PHRASE_SHARE, PHRASE_WORDS = 0.2, 12
+#: Each phrase holds one of these; a text without any needs no search for phrases.
+PHRASE_PARTS = [
+    "right", "rechte vorb", "droits r", "derechos", "©", "(c) ", "cookie", "privacy p", "datenschutze", "de confidentialit", "de privacidad", "terms ", "nutzungsb", "mentions l", "aviso l", "licensed u",
+    "creative c", "subscribe ", "sign in", "sign up", "share ", "click h", "read m", "weiterl", "lire la", "leer m", "skip to", "back to t", "powered b",
+]
 _PHRASE = "|".join(re.escape(p) for p in sorted(PHRASES, key=len, reverse=True)).replace(r"\ ", " ")
 #: A document is rejected if removed lines held more than this share of its words, or it shrinks below MIN_WORDS.
 MAX_LOST, MIN_WORDS, MAX_REPEATED = 0.5, 10, 20
@@ -73,13 +78,17 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) >= 6, some).otherwise(0).cast("bigint")
 
 
-def has_phrase(text: Column) -> Column:
-    """Whether a phrase of boilerplate occurs anywhere; lines of other texts need no search."""
-    return _let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in PHRASES)))
+def _has(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
+
+
+def hints(text: Column) -> Column:
+    """struct(phrases, separators): whether any line can hold a phrase of boilerplate, or a separator."""
+    return F.struct(_let(F.lower(text), lambda low: _has(low, PHRASE_PARTS)).alias("phrases"), _has(text, list(SEPARATORS)).alias("separators"))
 
 
-def line_fails(line: Column, phrases: Column) -> Column:
-    """Whether a line with words is removed; ``phrases``: :func:`has_phrase` of its text."""
+def line_fails(line: Column, hint: Column) -> Column:
+    """Whether a line with words is removed; ``hint``: :func:`hints` of its text, which spare searches."""
     n = F.length(line)
     symbols = n - F.length(_drop(line, SYMBOLS))
     low = F.lower(line)
@@ -89,10 +98,10 @@ def line_fails(line: Column, phrases: Column) -> Column:
         (symbols > F.lit(SYMBOL_SHARE) * n)
         | (~F.rlike(line, F.lit(MARK)) & (F.size(words(line)) >= LONG_LINE))
         | F.rlike(line, F.lit(MARK_RUN))
-        | F.rlike(line, F.lit(SEPARATED))
-        | (~F.rlike(line, F.lit(ENDING)) & (F.rlike(line, F.lit(ITEMS)) | F.rlike(low, F.lit(MENU))))
+        | (hint["separators"] & (n - F.length(_drop(line, SEPARATORS)) >= ITEM_SEPARATORS))
+        | ((F.rlike(line, F.lit(ITEMS)) | F.rlike(low, F.lit(MENU))) & ~F.rlike(line, F.lit(ENDING)))
         | ((F.upper(line) == line) & (low != line) & F.rlike(line, F.lit(SHOUTING)))
-        | (phrases & (consists | begins))
+        | (hint["phrases"] & (consists | begins))
     )
 
 
@@ -108,7 +117,7 @@ def _judged(docs: DataFrame, id_col: str | None, text_col: str, carried: Column)
         (F.length("text") - F.length(_drop(F.col("text"), SYMBOLS))).cast("bigint").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
-        _let(has_phrase(F.col("text")), lambda phrases: F.filter("l", lambda x: line_fails(x, phrases))).alias("failing"),
+        _let(hints(F.col("text")), lambda hint: F.filter("l", lambda x: line_fails(x, hint))).alias("failing"),
     )
     lost = F.aggregate("failing", F.lit(0).cast("bigint"), lambda a, x: a + F.size(words(x)))
     judged = counted.select("*", lost.alias("lost"), ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))).alias("base_failed"))
@@ -141,5 +150,5 @@ def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def clean_text(text: Column) -> Column:
     """The text without its failing lines."""
-    kept = lambda phrases: F.filter(F.split(text, "\n", -1), lambda x: ~(F.rlike(x, F.lit(f"[^{SPACE}]")) & line_fails(x, phrases)))
-    return F.array_join(_let(has_phrase(text), kept), "\n")
+    kept = lambda hint: F.filter(F.split(text, "\n", -1), lambda x: ~(F.rlike(x, F.lit(f"[^{SPACE}]")) & line_fails(x, hint)))
+    return F.array_join(_let(hints(text), kept), "\n")

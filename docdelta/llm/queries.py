@@ -92,7 +92,7 @@ a AS (
       length(x) - length(translate(x, '#*$%&|<>', '')) > 0.08 * length(x)
       OR (NOT regexp_matches(x, '@MARK@') AND len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 30)
       OR regexp_matches(x, '@MARK_RUN@')
-      OR regexp_matches(x, '@SEPARATED@')
+      OR length(x) - length(translate(x, '|»›•·→', '')) >= 3
       OR (NOT regexp_matches(x, '@ENDING@') AND (regexp_matches(x, '@ITEMS@') OR regexp_matches(lower(x), '@MENU@')))
       OR (upper(x) = x AND lower(x) <> x AND regexp_matches(x, '(?:\p{Lu}{2,}[^\p{L}]+){4}'))
       OR length(x) - length(regexp_replace(lower(x), '@PHRASE@', '', 'g')) >= 0.2 * length(x)
@@ -118,7 +118,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words,
   CAST(len(f) AS BIGINT) AS n_lines_removed
 FROM m
 """
-for _name, _rx in {"MARK_RUN": quality.MARK_RUN, "MARK": quality.MARK, "SEPARATED": quality.SEPARATED, "ENDING": quality.ENDING, "ITEMS": quality.ITEMS, "MENU": quality.MENU, "PHRASE": quality._PHRASE}.items():
+for _name, _rx in {"MARK_RUN": quality.MARK_RUN, "MARK": quality.MARK, "ENDING": quality.ENDING, "ITEMS": quality.ITEMS, "MENU": quality.MENU, "PHRASE": quality._PHRASE}.items():
     _QUALITY = _QUALITY.replace(f"@{_name}@", _rx.replace("'", "''"))
 
 _CHAT = """

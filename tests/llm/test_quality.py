@@ -92,3 +92,7 @@ def test_rules_take_linear_time(spark):
     texts = ["Ab " * 200_000, "A-" * 200_000, "|" * 300_000, "." * 300_000, "© " * 200_000, "a b " * 200_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.doc_id: r.n_lines_removed for r in quality.assess(docs).collect()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def test_every_phrase_has_a_part():
+    assert all(any(part in phrase for part in quality.PHRASE_PARTS) for phrase in quality.PHRASES)
