@@ -10,7 +10,9 @@ if they are not yet of one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,12 @@ WORDS, SIMILAR = 5, (4, 5)
 SAMPLE_ROWS, FREQUENT = 5_000, 200_000
 #: A text's part of the first round holds so many more shingles than one in common needs, as a share of its set.
 MORE = 20
-#: A shared shingle is written as the number of sets it is in, up to OFTEN, above the other bits of its hash.
-OFTEN, COUNT_BITS = 127, 7
+#: Sets are described by how many of their shingles fall into each of these classes of hashes, up to 127: where the counts
+#: differ, so do the sets.
+SEGMENTS = 32
+#: A shared shingle is written as how many sets it is in, in steps of a quarter octave, above the other bits of its hash.
+#: Two similar sets are at most SIZES_APART classes of sizes apart, when a class reaches from n to n / 0.8.
+COUNT_BITS, SIZES_APART = 7, 1
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -57,9 +63,10 @@ def _more(n):
     return np.maximum(n // MORE, 1)
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """The shingles that at least two rows of a sample have, sorted."""
-    some = texts.where(F.pmod("th", F.lit(max(texts.count() // SAMPLE_ROWS, 1))) == 0)
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least two rows of a sample have, sorted, with the quarter octaves of how many sets have them."""
+    one_in = max(texts.count() // SAMPLE_ROWS, 1)
+    some = texts.where(F.pmod("th", F.lit(one_in)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,11 +74,19 @@ def _frequent(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["h"])
 
     counted = some.select("text").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    return np.sort(counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    found = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.float64)
+    order = np.argsort(h)
+    return h[order], np.minimum(4 * np.log2(n * one_in), 2**COUNT_BITS - 1).astype(np.int8)[order]
 
 
-def _is_in(h: np.ndarray, some: np.ndarray) -> np.ndarray:
-    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h if len(some) else np.zeros(len(h), bool)
+def _often(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The quarter octaves of the frequent shingles, 0 for others."""
+    some, count = frequent
+    if not len(some):
+        return np.zeros(len(h), np.int8)
+    at = np.minimum(np.searchsorted(some, h), len(some) - 1)
+    return np.where(some[at] == h, count[at], 0).astype(np.int8)
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -80,16 +95,16 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _first_round(texts: DataFrame, shared) -> DataFrame:
-    """(doc_id, th, key, n, fp, often, part) of every row: key stands for the set of shingles, n for its size, fp is the
-    SimHash; part: the set's first shingles but for the frequent ones, which come last and are counted in often. A task
-    gives the part of a set once, so that copies are no load."""
+    """(doc_id, th, key, n, fp, often, seg, part) of every row: key stands for the set of shingles, n for its size, fp is
+    the SimHash, seg counts the shingles in each segment; part: the set's first shingles but for the frequent ones,
+    which come last and are counted in often. A task gives the part of a set once, so that copies are no load."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                keys, sizes, fps, often, parts = [], [], [], [], []
+                keys, sizes, fps, often, segs, parts = [], [], [], [], [], []
                 for text in some.column(2).to_pylist():
                     found = list(shingle_hashes(text, WORDS))
                     h = _set(found)
@@ -97,21 +112,23 @@ def _first_round(texts: DataFrame, shared) -> DataFrame:
                     keys.append(key)
                     sizes.append(n)
                     fps.append(simhash.simhash(found))
-                    hot = _is_in(h, frequent)
+                    hot = _often(h, frequent) > 0
                     length = n - least_common(n) + _more(n) if n else 0
                     rare = h[~hot][:length]
                     often.append(length - len(rare))
+                    segs.append(np.minimum(np.bincount((h % SEGMENTS).astype(np.int64), minlength=SEGMENTS), 127).astype(np.int8))
                     parts.append(rare if key not in seen else h[:0])
                     seen.add(key)
                 arrays = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, sizes, fps, often)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *arrays, _lists(parts)], names=["doc_id", "th", "key", "n", "fp", "often", "part"])
+                seg = pa.ListArray.from_arrays(pa.array(np.arange(0, SEGMENTS * len(segs) + 1, SEGMENTS, np.int32)), pa.array(np.concatenate(segs)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *arrays, seg, _lists(parts)], names=["doc_id", "th", "key", "n", "fp", "often", "seg", "part"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, fp bigint, often bigint, part array<bigint>")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, fp bigint, often bigint, seg array<tinyint>, part array<bigint>")
 
 
 def _whole_sets(texts: DataFrame, shared) -> DataFrame:
-    """(key, h, often): every shingle of every text; often: whether it is a frequent one."""
+    """(key, h, often): every shingle of every text; often: for a frequent one its quarter octaves, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -119,9 +136,9 @@ def _whole_sets(texts: DataFrame, shared) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 h = shingle_set(text)
                 key = np.full(len(h), _key(h), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(_is_in(h, frequent))], names=["key", "h", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(_often(h, frequent))], names=["key", "h", "often"])
 
-    return texts.select("text").mapInArrow(run, "key bigint, h bigint, often boolean")
+    return texts.select("text").mapInArrow(run, "key bigint, h bigint, often tinyint")
 
 
 def _need(n: Column) -> Column:
@@ -135,27 +152,35 @@ def _enough(m: Column, n: Column, common: Column) -> Column:
     return (num + den) * common >= num * (m + n)
 
 
+def _may_be(m: Column, n: Column, rest: Column, a: Column, b: Column) -> Column:
+    """Whether sets of m and n members can be similar, if they have at most ``rest`` in common and these segments: what
+    the counts of segments differ by is not in common either."""
+    num, den = SIMILAR
+    apart = reduce(lambda x, y: x + y, (F.abs(F.get(a, k).cast("int") - F.get(b, k).cast("int")) for k in range(SEGMENTS)))
+    return _enough(m, n, rest) & ((num + den) * apart <= (den - num) * (m + n))
+
+
 def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(rows, first, sets, paths): every row's key; each key's smallest id, size, fingerprint and number of rows; the
     shared shingles, rare ones first, of the keys of which enough are; the tables to delete in the end."""
     paths: list[str] = []
     write = lambda table, name: _write(table, name, paths)
-    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT numbers
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT shingles
     rows = write(_first_round(texts, shared), "parts")
-    first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.count("*").alias("n")), "distinct")
+    first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.min("seg").alias("seg"), F.count("*").alias("n")), "distinct")
     at = Window.partitionBy("h")
     postings = rows.select("key", F.explode("part").alias("h")).withColumns({"low": F.min("key").over(at), "high": F.max("key").over(at)}).where("low < high")
     known = postings.groupBy("key").agg(F.count("*").alias("c"))
     least = F.greatest(F.floor(_need(F.col("size")) / MORE), F.lit(1))
-    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", "th", "size"), "left")
+    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", "th", "size", "seg"), "left")
     whole = texts.join(left.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    salted = Window.partitionBy("h", F.when(F.col("often"), F.col("key")))
-    count = F.when(F.col("often"), F.lit(OFTEN)).otherwise(F.least(F.count("*").over(salted), F.lit(OFTEN - 1)))
-    counted = _whole_sets(whole, shared).withColumn("df", count).where("df > 1")
-    shingle = F.shiftleft(F.col("df").cast("bigint"), 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
+    salted = Window.partitionBy("h", F.when(F.col("often") > 0, F.col("key")))
+    count = F.when(F.col("often") > 0, F.col("often").cast("bigint")).otherwise(F.least(4 * F.log2(F.count("*").over(salted)), F.lit(2**COUNT_BITS - 1)).cast("bigint"))
+    counted = _whole_sets(whole, shared).withColumn("df", count).where("df > 0")
+    shingle = F.shiftleft("df", 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
     sets = counted.select("key", shingle.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("shingles"))
-    enough = sets.join(left.select("key", "size"), "key").where(F.size("shingles") >= _need(F.col("size")))
-    return rows, first, write(enough.select("key", "size", "shingles"), "sets"), paths
+    enough = sets.join(left.select("key", "size", "seg"), "key").where(F.size("shingles") >= _need(F.col("size")))
+    return rows, first, write(enough.select("key", "size", "seg", "shingles"), "sets"), paths
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,7 +220,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     no rows. Whole texts count, and other columns, whatever their names, are left out.
 
     Shuffled are about a quarter of all shingles and then those of the texts of which enough occur elsewhere. Two texts
-    that meet at shingles are compared only if these and all that follow them in both sets would do.
+    that meet at a shingle are compared only if it and all that follow it in both sets would do, and if the counts of
+    their segments, whose Manhattan distance is a lower bound of what they do not have in common, allow it.
     """
     text = docs[text_col].cast("string")
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -203,19 +229,25 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     num, den = SIMILAR
     skipped = F.col("size") - F.size("shingles")  # shingles of no other text come first
     places = F.slice("shingles", F.lit(1), (F.col("size") - _need(F.col("size")) + 1 - skipped).cast("int"))
-    hits = _write(sets.select("key", "size", F.size("shingles").alias("k"), F.posexplode(places).alias("pos", "h")).select("key", "size", "h", (F.col("k") - F.col("pos")).alias("rest")), "hits", paths)
+    hits = _write(sets.select("key", "size", "seg", F.size("shingles").alias("k"), F.posexplode(places).alias("pos", "h")).select("key", "size", "seg", "h", (F.col("k") - F.col("pos")).alias("rest"), (F.col("size") - F.col("k")).alias("own")), "hits", paths)
     index = F.lit(num + den) * F.col("rest") >= F.lit(2 * num) * F.col("size")  # where the smaller of two similar sets has their first in common
-    one = F.struct(F.xxhash64("key").alias("x"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"))
-    centres = hits.groupBy("h").agg(F.array(F.min(one), F.max(one)).alias("c")).select("h", F.inline("c")).drop("x")
-    star = hits.join(centres, "h").where(_enough(F.col("size"), F.col("m"), F.least("rest", "r")))
+    # Centres: the text with the fewest shingles of its own, such as the one that others are edited copies of; any other.
+    fields = (F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"), F.col("seg").alias("b"))
+    fewest, drawn = (F.struct(x.cast("bigint").alias("x"), F.xxhash64("key").alias("y"), *fields) for x in (F.col("own"), F.lit(0)))
+    centres = hits.groupBy("h").agg(F.array(F.min(fewest), F.max(drawn)).alias("c")).select("h", F.inline("c")).drop("x", "y")
+    alike = _may_be(F.col("size"), F.col("m"), F.least("rest", "r"), F.col("seg"), F.col("b"))
+    star = hits.join(centres, "h").where(alike)
     tested = _write(_ordered(_by_fingerprint(sets, first).unionByName(star.select(F.col("key").alias("u"), F.col("other").alias("v")))), "pairs", paths)
     edges = _write(_verified(tested, sets), "links", paths)
     groups = _write(components(edges), "roots", paths)
-    now = hits.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "h", "rest", F.coalesce("root", "key").alias("group"))
-    other = now.where(index).select("h", F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"))
-    met = now.join(other, "h").where("group <> g").groupBy("key", "other", "size", "m").agg(F.count("*").alias("c"), F.min("rest").alias("rest"), F.min("r").alias("r"))
-    # What two sets have in common up to the last shingle they met at is counted; what follows may be in common.
-    pairs = met.where(_enough(F.col("size"), F.col("m"), F.col("c") - 1 + F.least("rest", "r"))).select(F.col("key").alias("u"), F.col("other").alias("v"))
+    now = hits.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "seg", "h", "rest", F.coalesce("root", "key").alias("group"))
+    sized = F.floor(F.log(F.col("size")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
+    larger = now.select("h", sized.alias("class"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"), F.col("seg").alias("b"))
+    smaller = now.where(index).withColumn("class", F.explode(F.sequence(sized, sized + SIZES_APART)))
+    here = now.select("h", "group").distinct()
+    others = here.join(here.withColumnRenamed("group", "g"), "h").where("group <> g")  # so that no group is held against itself
+    met = smaller.join(others, ["h", "group"]).join(larger, ["h", "g", "class"]).where(F.expr("size <= m") & alike)
+    pairs = met.select(F.col("key").alias("u"), F.col("other").alias("v"))
     pairs = _write(_ordered(pairs).join(tested, ["u", "v"], "left_anti"), "pairs", paths)
     edges = edges.unionByName(_write(_verified(pairs, sets), "links", paths))
     roots = _write(components(edges), "roots", paths)
