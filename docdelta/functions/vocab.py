@@ -74,3 +74,5 @@ DIRECTION_LABELS = {"missing_in_pdf": "PDF 缺失", "extra_in_pdf": "PDF 多出"
 ROLE_PERMISSIONS = {"admin": ["compare", "export", "manage_keys", "manage_profiles", "view_audit"], "analyst": ["compare", "export", "manage_profiles"], "viewer": []}
 #: A cell's text that stands for the number zero.
 ZERO = r"^-?0+(?:\.0*)?$"
+#: How much a token must resemble a keyword.
+SIMILAR_KEYWORD = 0.7

@@ -1,4 +1,4 @@
-"""Reports as tables and JSON (SNK-01 to SNK-03, SNK-05, SNK-08, SNK-09, SNK-11, SNK-16, WIN-05, FN-40, FN-55 to FN-57).
+"""Reports as tables, JSON and HTML (SNK-01 to SNK-03, SNK-05, SNK-08, SNK-09, SNK-11, WIN-05, FN-40, FN-55 to FN-57).
 
 Input: difference items (pair_id, family, direction, raw, risk and, if there, keyword, context, norm).
 """
@@ -53,6 +53,40 @@ def text_report(items: DataFrame) -> DataFrame:
     return whole.select("pair_id", F.concat(F.array_join(F.transform("b", lambda s: s["body"]), "\n\n"), F.lit("\n\n差异总数: "), F.col("n")).alias("report"))
 
 
+def full_json(items: DataFrame, files: DataFrame) -> DataFrame:
+    """SNK-02: (pair_id, payload): metadata of the files (pair_id, word_file, pdf_file, at), the summary, the details by
+    family and direction, and the doubtful items (those with a ``confidence`` below 0.6)."""
+    lists = lambda d: F.array_sort(F.filter(F.collect_list(F.when(F.col("direction") == d, F.struct("family", "raw"))), lambda x: x.isNotNull()))
+    doubtful = F.filter(F.collect_list(F.when(F.col("confidence") < 0.6, F.col("raw"))), lambda x: x.isNotNull()) if "confidence" in items.columns else F.array().cast("array<string>")
+    critical = F.coalesce(F.bool_or(F.col("family").isin("amounts_words", "amounts_digits") & (F.col("direction") != "matched")), F.lit(False))
+    sums = items.groupBy("pair_id").agg(
+        F.struct(F.count_if(F.col("direction") != "matched").alias("total_diffs"), critical.alias("has_critical_diff")).alias("summary"),
+        F.struct(*(lists(d).alias(d) for d in ("matched", "missing_in_pdf", "extra_in_pdf"))).alias("details"), F.array_sort(doubtful).alias("low_confidence_items"),
+    )
+    meta = F.struct(F.col("at").cast("string").alias("timestamp"), "word_file", "pdf_file").alias("metadata")
+    return files.join(sums, "pair_id").select("pair_id", F.to_json(F.struct(meta, "summary", "details", "low_confidence_items")).alias("payload"))
+
+
+def html_report(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """SNK-11: (pair_id, html): a page with the sums, a table of what the scan lacks and both texts (pair_id, word, pdf)."""
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    families = ["amounts_digits", "dates", "numbers"]
+    row = F.concat(F.lit("<tr>"), cell(label(F.col("family"), vocab.FAMILY_LABELS)), cell(T.escape_html(F.col("raw"))), cell(F.lit("缺失")), cell(F.lit("差异")), F.lit("</tr>"))
+    lost = (F.col("direction") == "missing_in_pdf") & F.col("family").isin(families)
+    place = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
+    rows = F.array_sort(F.filter(F.collect_list(F.when(lost, F.struct(place.alias("p"), F.col("raw"), row.alias("row")))), lambda x: x.isNotNull()))
+    critical = F.bool_or(F.col("family").isin("amounts_words", "amounts_digits") & (F.col("direction") != "matched"))
+    sums = items.groupBy("pair_id").agg(F.count_if(F.col("direction") != "matched").alias("n"), critical.alias("critical"), rows.alias("rows"))
+    both = texts.join(sums, "pair_id", "left")
+    page = F.concat(
+        F.lit('<!DOCTYPE html>\n<html lang="zh-CN"><head><meta charset="UTF-8"><title>合同比对报告</title></head><body>\n<h1>合同比对报告</h1>\n<p>差异总数: '), F.coalesce("n", F.lit(0)).cast("string"),
+        F.lit("</p>\n<p>存在金额差异: "), F.when(F.coalesce("critical", F.lit(False)), "是").otherwise("否"), F.lit("</p>\n<table>\n"),
+        F.coalesce(F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.lit("")),
+        F.lit("\n</table>\n<div>"), T.escape_html(F.coalesce("word", F.lit(""))), F.lit("</div>\n<div>"), T.escape_html(F.coalesce("pdf", F.lit(""))), F.lit("</div>\n</body></html>"),
+    )
+    return both.select("pair_id", page.alias("html"))
+
+
 def difference_tables(items: DataFrame) -> dict[str, DataFrame]:
     """SNK-05: the summary, a table for each family and the full list; long phrases are cut."""
     rows = numbered(items).withColumns({"risk_label": label(F.col("risk"), vocab.RISK_LABELS), "direction_label": label(F.col("direction"), vocab.DIRECTION_LABELS)})

@@ -26,9 +26,10 @@ def page(table: DataFrame, order: list[Column], limit: int, offset: int = 0) ->
     return table.orderBy(*order).offset(offset).limit(limit)
 
 
-def audit_window(log: DataFrame, start: str, end: str, user=None, event: str | None = None) -> DataFrame:
+def audit_window(log: DataFrame, start: str | Column, end: str | Column, user=None, event: str | None = None) -> DataFrame:
     """FLT-04: both ends inclusive; records without a time pass, as in the file log."""
-    out = log.where(F.col("logged_at").isNull() | F.col("logged_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    start, end = (F.lit(t).cast("timestamp") if isinstance(t, str) else t for t in (start, end))
+    out = log.where(F.col("logged_at").isNull() | F.col("logged_at").between(start, end))
     out = out if user is None else out.where(F.col("user_id") == user)
     return out if event is None else out.where(F.col("event_type") == event)
 
@@ -50,6 +51,12 @@ def toggle(table: DataFrame, key: str, value, flag: str = "is_active") -> DataFr
     return table.withColumn(flag, F.when(F.col(key) == value, 1 - F.col(flag)).otherwise(F.col(flag)))
 
 
+def set_default(table: DataFrame, key: str, value, flag: str = "is_default") -> DataFrame:
+    """SNK-13: one row alone has the flag; an unknown key changes nothing."""
+    known = table.agg(F.count_if(F.col(key) == value).alias("n")).scalar() > 0
+    return table.withColumn(flag, F.when(known, F.when(F.col(key) == value, 1).otherwise(0)).otherwise(F.col(flag)))
+
+
 def expire(table: DataFrame, column: str, cutoff: Column) -> DataFrame:
     """SNK-14, STR-07: rows that are not older than the cut-off."""
     return table.where(F.col(column) >= cutoff)
@@ -66,15 +73,33 @@ def ring(table: DataFrame, order: list[Column], size: int, *by: str) -> DataFram
 
 
 def progress(table: DataFrame, *by: str) -> DataFrame:
-    """AGG-08: completed, failed, total and per cent done."""
+    """AGG-08: completed, failed, total and per cent done; no tasks at all are done by 100."""
     done, n = F.count_if(F.col("status") == "completed"), F.count("*")
-    return table.groupBy(*by).agg(done.alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), n.alias("total"), F.bround(done / n * 100, 1).alias("percent"))
+    percent = F.when(n == 0, 100.0).otherwise(F.bround(done / F.greatest(n, F.lit(1)) * 100, 1))
+    return table.groupBy(*by).agg(done.alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), n.alias("total"), percent.alias("percent"))
+
+
+def trail_summary(records: DataFrame, at: str, key: str, *, recent: int = 10) -> DataFrame:
+    """AGG-10: one row with the number of operations, of completed, failed and running ones, and the ``recent`` newest
+    in order. Spark keeps the newest rows alone."""
+    count = lambda status: F.count_if(F.col("status") == status)
+    newest = records.orderBy(F.desc(at), F.desc(key)).limit(recent).agg(F.array_sort(F.collect_list(F.struct(at, key))).alias("x"))
+    sums = records.agg(F.count("*").alias("total_operations"), count("completed").alias("completed"), count("failed").alias("failed"), count("processing").alias("in_progress"))
+    return sums.withColumn("recent", newest.select(F.transform("x", lambda s: s[key])).scalar())
+
+
+def export_trail(records: DataFrame, at: str, key: str) -> DataFrame:
+    """SNK-16: a JSON line for each record, in order, with its number and the number of all; written as text files the
+    parts follow on."""
+    total = records.agg(F.count("*").alias("n")).scalar()
+    return records.orderBy(at, key).select(F.to_json(F.struct(*records.columns, total.alias("total_records"))).alias("value"))
 
 
-def health(parts: DataFrame) -> DataFrame:
-    """AGG-11: from (name, critical, available): unhealthy without critical parts, degraded if any part is missing."""
+def health(parts: DataFrame, every: bool = False) -> DataFrame:
+    """AGG-11: from (name, critical, available): unhealthy without critical parts (with ``every``: without one of them),
+    degraded if any part is missing."""
     counts = parts.agg(F.count_if("critical").alias("need"), F.count_if(F.col("critical") & F.col("available")).alias("have"), F.count_if(~F.col("available")).alias("gone"))
-    return counts.select(F.when((F.col("need") > 0) & (F.col("have") == 0), "unhealthy").when(F.col("gone") > 0, "degraded").otherwise("healthy").alias("status"), "need", "have", "gone")
+    return counts.select(F.when((F.col("need") > 0) & (F.col("have") < F.col("need") if every else F.col("have") == 0), "unhealthy").when(F.col("gone") > 0, "degraded").otherwise("healthy").alias("status"), "need", "have", "gone")
 
 
 def allowed(keys: DataFrame, permissions: DataFrame, wanted: str) -> DataFrame:

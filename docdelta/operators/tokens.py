@@ -90,20 +90,26 @@ def adjacent(tokens: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "page", "ord").agg(best.alias("b")).select("doc_id", "page", "ord", F.col("b")["text"].alias("value"), F.col("b")["confidence"].alias("value_confidence"))
 
 
-def keyword_hits(tokens: DataFrame, industry: str = "general") -> DataFrame:
-    """JN-15, FN-45: (doc_id, keyword, value, confidence): the most certain token that holds a keyword of an industry.
+def keyword_hits(tokens: DataFrame, industry: str = "general", least: float = vocab.SIMILAR_KEYWORD) -> DataFrame:
+    """JN-15, FN-45: (doc_id, keyword, value, confidence): the token that holds a keyword of an industry, or resembles it.
 
-    The value is what follows the keyword, or else the neighbour's text with the mean of both confidences.
+    Tokens are taken in reading order; one that holds the keyword replaces the best so far if it is more certain, one that
+    resembles it if it was before its certainty is lowered by the likeness. The value is what follows the keyword, or
+    else the neighbour's text with the mean of both confidences. Hits are few; a document's are folded for each keyword.
     """
     words = F.explode(F.array(*map(F.lit, vocab.INDUSTRY_KEYWORDS[industry]))).alias("keyword")
-    beside = adjacent(tokens)
-    found = tokens.select("*", words).where(F.contains("text", F.col("keyword")))
-    met = found.join(beside, ["doc_id", "page", "ord"], "left").withColumn("own", T.value_after(F.col("keyword"), F.col("text")))
+    longest, short = F.greatest(F.length("text"), F.length("keyword")), F.least(F.length("text"), F.length("keyword"))
+    likeness = F.when(short >= F.lit(least) * longest, T.similarity(F.col("keyword"), F.col("text"))).otherwise(0.0)
+    found = tokens.select("*", words).withColumn("holds", F.contains("text", F.col("keyword"))).withColumn("like", F.when(F.col("holds"), 1.0).otherwise(likeness)).where(F.col("like") >= least)
+    met = found.join(adjacent(tokens), ["doc_id", "page", "ord"], "left").withColumn("own", T.value_after(F.col("keyword"), F.col("text")))
+    beside = (F.col("own") == "") & (F.col("value_confidence") > 0)
     value = F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("value", F.lit("")))
-    sure = F.when((F.col("own") == "") & (F.col("value_confidence") > 0), (F.col("confidence") + F.col("value_confidence")) / 2).otherwise(F.col("confidence"))
-    rows = met.select("doc_id", "keyword", value.alias("value"), sure.alias("sure"), "page", "y1", "x1", "ord").where("sure > 0")
-    best = F.max_by(F.struct("value", "sure"), F.struct("sure", -F.col("page"), -F.col("y1"), -F.col("x1"), -F.col("ord")))
-    return rows.groupBy("doc_id", "keyword").agg(best.alias("b")).select("doc_id", "keyword", F.col("b")["value"].alias("value"), F.bround(F.col("b")["sure"], 4).alias("confidence"))
+    sure = F.when(beside, (F.col("confidence") + F.col("value_confidence")) / 2).otherwise(F.col("confidence") * F.col("like"))
+    hit = F.struct("page", "y1", "x1", "ord", value.alias("value"), sure.alias("sure"), F.when(F.col("holds"), sure).otherwise(F.col("confidence")).alias("claim"))
+    hits = met.groupBy("doc_id", "keyword").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    start = F.struct(F.lit(0.0).alias("sure"), F.lit(None).cast("string").alias("value"))
+    best = F.aggregate("hits", start, lambda a, h: F.when(h["claim"] > a["sure"], F.struct(h["sure"].alias("sure"), h["value"].alias("value"))).otherwise(a))
+    return hits.withColumn("b", best).where("b.value is not null").select("doc_id", "keyword", F.col("b")["value"].alias("value"), F.bround(F.col("b")["sure"], 4).alias("confidence"))
 
 
 def quality_actions(images: DataFrame) -> DataFrame:

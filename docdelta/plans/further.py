@@ -276,8 +276,7 @@ def agg_11_health(spark, sf_dir):
 @query(with_(corpus.DUCK_TASKS) + "SELECT task_id, created_at FROM tasks WHERE created_at >= (SELECT max(created_at) - INTERVAL 1 HOUR FROM tasks)")
 def str_02_ttl(spark, sf_dir):
     table = corpus.tasks(spark, sf_dir).select("task_id", "created_at")
-    last = table.agg(F.max("created_at").alias("m")).first()["m"]
-    return store.expire(table, "created_at", F.lit(last) - F.expr("interval 3600 seconds"))
+    return store.expire(table, "created_at", table.agg(F.max("created_at") - F.expr("interval 3600 seconds")).scalar())
 
 
 @query("SELECT event_id // 100 AS batch_id, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed, count(*) AS total FROM events GROUP BY 1")

@@ -175,12 +175,27 @@ _BOOST = f"""SELECT t.doc_id, t.page, t.ord, t.text, CASE WHEN t.confidence < 0.
     CASE WHEN regexp_matches(t.text, {q(V.BOOST_PERCENT)}) THEN 0.1::DOUBLE ELSE 0 END) AS r
   FROM tokens t JOIN whole w ON t.doc_id = w.doc_id) t"""
 _KW_G = words(V.INDUSTRY_KEYWORDS["general"] + V.INDUSTRY_KEYWORDS["construction"] + V.INDUSTRY_KEYWORDS["leasing"])
-_FIELDS = lambda industry: f"""SELECT doc_id, keyword, value, round_even(sure, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, keyword ORDER BY sure DESC, page, y1, x1, ord) AS r FROM (
-  SELECT t.doc_id, keyword, t.page, t.y1, t.x1, t.ord, CASE WHEN own <> '' THEN own ELSE coalesce(a.value, '') END AS value,
-    CASE WHEN own = '' AND a.value_confidence > 0 THEN (t.confidence + a.value_confidence) / 2 ELSE t.confidence END AS sure
-  FROM (SELECT *, {strip("CASE WHEN regexp_extract(text, keyword || '" + chr(92) + "s*[：:=＝]" + chr(92) + "s*(.+)', 1) <> '' THEN regexp_extract(text, keyword || '" + chr(92) + "s*[：:=＝]" + chr(92) + "s*(.+)', 1) ELSE regexp_extract(text, keyword || '" + chr(92) + "s+(" + chr(92) + "S+)', 1) END")} AS own
-    FROM (SELECT *, unnest({words(V.INDUSTRY_KEYWORDS[industry])}) AS keyword FROM tokens) WHERE contains(text, keyword)) t
-  LEFT JOIN adj a ON a.doc_id = t.doc_id AND a.page = t.page AND a.ord = t.ord) WHERE sure > 0) WHERE r = 1"""
+_OWN = strip("CASE WHEN regexp_extract(text, keyword || '" + chr(92) + "s*[：:=＝]" + chr(92) + "s*(.+)', 1) <> '' THEN regexp_extract(text, keyword || '" + chr(92) + "s*[：:=＝]" + chr(92) + "s*(.+)', 1) ELSE regexp_extract(text, keyword || '" + chr(92) + "s+(" + chr(92) + "S+)', 1) END")
+#: The other engine's edit distance counts bytes: for it, the characters that matter become single bytes that occur nowhere.
+_BYTES = [chr(k) for k in (*range(1, 9), *range(14, 32), *b"~`^|{}<>#*+;[]")]
+
+
+def _single(x: str, industry: str) -> str:
+    signs = sorted(set("".join(V.INDUSTRY_KEYWORDS[industry]) + "淮眼"))
+    assert len(signs) <= len(_BYTES)
+    return f"translate({x}, {q(''.join(signs))}, {q(''.join(_BYTES[: len(signs)]))})"
+
+
+_BEST = "STRUCT(sure DOUBLE, value VARCHAR, claim DOUBLE)"
+_FIELDS = lambda industry: f"""SELECT doc_id, keyword, b.value AS value, round_even(b.sure, 4) AS confidence FROM (
+  SELECT doc_id, keyword, list_reduce(hits, lambda a, h: CASE WHEN h.claim > a.sure THEN h ELSE a END, CAST({{'sure': 0, 'value': NULL, 'claim': 0}} AS {_BEST})) AS b FROM (
+    SELECT doc_id, keyword, list(CAST({{'sure': sure, 'value': value, 'claim': CASE WHEN holds THEN sure ELSE confidence END}} AS {_BEST}) ORDER BY page, y1, x1, ord) AS hits FROM (
+      SELECT t.doc_id, keyword, t.page, t.y1, t.x1, t.ord, holds, t.confidence, CASE WHEN own <> '' THEN own ELSE coalesce(a.value, '') END AS value,
+        CASE WHEN own = '' AND a.value_confidence > 0 THEN (t.confidence + a.value_confidence) / 2 ELSE t.confidence * likeness END AS sure
+      FROM (SELECT *, {_OWN} AS own FROM (
+          SELECT *, contains(text, keyword) AS holds, CASE WHEN contains(text, keyword) THEN 1 ELSE 1 - levenshtein({_single('text', industry)}, {_single('keyword', industry)})::DOUBLE / greatest(length(text), length(keyword)) END AS likeness
+          FROM (SELECT *, unnest({words(V.INDUSTRY_KEYWORDS[industry])}) AS keyword FROM tokens)) WHERE likeness >= 0.7) t
+      LEFT JOIN adj a ON a.doc_id = t.doc_id AND a.page = t.page AND a.ord = t.ord) GROUP BY doc_id, keyword)) WHERE b.value IS NOT NULL"""
 
 _AUD = "audit AS (SELECT event_id AS id, event_type, user_id, props AS details_json, ts AS logged_at, value FROM events)"
 _MERGED = "ranges AS (SELECT book, sheet, row AS r0, row AS r1, 5 AS c0, 6 AS c1 FROM cells WHERE col = 1 AND row % 4 = 0)"
@@ -245,7 +260,7 @@ ORACLES: dict[str, str] = {
     "flt_03_equal": with_(DUCK_TASKS) + "SELECT task_id, status, user_id FROM tasks WHERE status = 'failed' AND word_file = 'w7.docx'",
     "flt_04_audit_window": with_(_AUD) + "SELECT id, event_type, user_id, logged_at FROM audit WHERE logged_at BETWEEN (SELECT min(logged_at) + INTERVAL 1 DAY FROM audit) AND (SELECT min(logged_at) + INTERVAL 5 DAY FROM audit) AND event_type = 'click'",
     "agg_08_progress": with_(DUCK_TASKS) + "SELECT user_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) AS total, round_even(count(*) FILTER (status = 'completed') / count(*) * 100, 1) AS percent FROM tasks GROUP BY user_id",
-    "agg_10_trail": with_(DUCK_TASKS) + "SELECT status, count(*) AS n FROM tasks GROUP BY status",
+    "agg_10_trail": with_(DUCK_TASKS) + "SELECT count(*) AS total_operations, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS in_progress, (SELECT string_agg(task_id, ',' ORDER BY created_at, task_id) FROM (SELECT * FROM tasks ORDER BY created_at DESC, task_id DESC LIMIT 10)) AS recent FROM tasks",
     "win_07_history": with_(DUCK_TASKS) + "SELECT task_id, user_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, task_id) AS r FROM tasks) WHERE r <= 10",
     "str_05_latest": with_(DUCK_TASKS) + "SELECT user_id, arg_max(status, (created_at, status, task_id)) AS status, arg_max(task_id, (created_at, status, task_id)) AS task_id FROM tasks GROUP BY user_id",
     "str_07_expiry": with_(DUCK_TASKS) + "SELECT task_id, created_at FROM tasks WHERE created_at >= (SELECT max(created_at) - INTERVAL 7 DAY FROM tasks)",
@@ -256,3 +271,13 @@ ORACLES: dict[str, str] = {
     "win_05_difference_ids": with_(*ALL) + "SELECT pair_id, CAST(count(*) AS INTEGER) AS last_id FROM sections WHERE direction <> 'matched' GROUP BY pair_id",
     "snk_08_sheet_report": with_(*S) + "SELECT left(sheet, 31) AS tab, row, col, col_name, value_a, value_b, CASE risk WHEN 'high' THEN '高风险' ELSE '中风险' END AS risk, category, CASE risk WHEN 'high' THEN 'D32F2F' ELSE 'F57C00' END AS colour FROM diffs",
 }
+_NORMS = {
+    "numbers": ("fn_10_numbers", "raw"), "dates": ("fn_11_dates", "norm"), "amounts_words": ("fn_12_amount_words", "raw"), "amounts_digits": ("fn_13_amounts", "raw"), "percentages": ("fn_14_percentages", "raw"),
+    "party_names": ("fn_15_parties", "name"), "contract_numbers": ("fn_16_contract_numbers", "norm"), "clauses": ("fn_17_clauses", "title"), "legal_terms": ("fn_18_legal_terms", "category"), "contact_info": ("fn_19_contacts", "norm"), "terms": ("fn_19d_durations", "norm"),
+}
+ORACLES["fn_23_extract_all"] = " UNION ALL ".join(f"SELECT side, '{family}' AS family, count(*) AS n, count(DISTINCT {norm}) AS n_distinct FROM ({ORACLES[name]}) GROUP BY side" for family, (name, norm) in _NORMS.items())
+_LABELS = lambda x, labels: f"CASE {x} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in labels.items()) + f" ELSE {x} END"
+_PLACE = "list_position(['amounts_words', 'amounts_digits', 'dates', 'numbers', 'percentages'], family)"
+ORACLES["snk_01_text_report"] = with_(*ALL) + f"""SELECT pair_id, string_agg(body, chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || '差异总数: ' || CAST(sum(n) AS BIGINT) AS report FROM (
+  SELECT pair_id, family, {_PLACE} AS place, count(*) AS n, '【' || {_LABELS('family', V.FAMILY_LABELS)} || '】' || chr(10) || string_agg('  - ' || {_LABELS('direction', V.DIRECTION_LABELS)} || ': ' || raw, chr(10) ORDER BY list_position(['missing_in_pdf', 'extra_in_pdf'], direction), raw) AS body
+  FROM sections WHERE direction <> 'matched' GROUP BY pair_id, family) GROUP BY pair_id"""

@@ -311,8 +311,8 @@ def flt_03_equal(spark, sf_dir):
 @query
 def flt_04_audit_window(spark, sf_dir):
     log = corpus.audit(spark, sf_dir)
-    start, end = log.agg((F.min("logged_at") + F.expr("interval 1 day")).cast("string"), (F.min("logged_at") + F.expr("interval 5 day")).cast("string")).first()
-    return store.audit_window(log, start, end, event="click").select("id", "event_type", "user_id", "logged_at")
+    after = lambda days: log.agg(F.min("logged_at") + F.expr(f"interval {days} day")).scalar()
+    return store.audit_window(log, after(1), after(5), event="click").select("id", "event_type", "user_id", "logged_at")
 
 
 @query
@@ -322,7 +322,8 @@ def agg_08_progress(spark, sf_dir):
 
 @query
 def agg_10_trail(spark, sf_dir):
-    return corpus.tasks(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    found = store.trail_summary(corpus.tasks(spark, sf_dir), "created_at", "task_id")
+    return found.withColumn("recent", F.array_join("recent", ","))
 
 
 @query
@@ -338,8 +339,7 @@ def str_05_latest(spark, sf_dir):
 @query
 def str_07_expiry(spark, sf_dir):
     table = corpus.tasks(spark, sf_dir).select("task_id", "created_at")
-    last = table.agg(F.max("created_at").alias("m")).first()["m"]
-    return store.expire(table, "created_at", F.lit(last) - F.expr("interval 7 day"))
+    return store.expire(table, "created_at", table.agg(F.max("created_at") - F.expr("interval 7 day")).scalar())
 
 
 @query
@@ -386,6 +386,28 @@ def snk_03_json(spark, sf_dir):
     return report.export_json(_items(spark, sf_dir))
 
 
+@query
+def snk_02_full_json(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    files = orders.select(F.col("o_orderkey").alias("pair_id"), F.concat(F.lit("w"), "o_orderkey", F.lit(".docx")).alias("word_file"), F.concat(F.lit("p"), "o_orderkey", F.lit(".pdf")).alias("pdf_file"), F.col("o_orderdate").alias("at"))
+    return report.full_json(_items(spark, sf_dir), files)
+
+
+@query
+def snk_11_html_report(spark, sf_dir):
+    return report.html_report(_items(spark, sf_dir), corpus.contract_pairs(spark, sf_dir))
+
+
+@query
+def snk_16_trail_export(spark, sf_dir):
+    return store.export_trail(corpus.tasks(spark, sf_dir).select("task_id", "status", "user_id"), "task_id", "status")
+
+
+@query
+def agg_03_text_diff_summary(spark, sf_dir):
+    return textdiff.summary(fn_73_text_diff(spark, sf_dir))
+
+
 @query
 def win_05_difference_ids(spark, sf_dir):
     return report.numbered(_items(spark, sf_dir)).groupBy("pair_id").agg(F.max("id").alias("last_id"))
