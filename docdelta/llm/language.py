@@ -110,7 +110,8 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
     source = docs.select(*(docs[c] for c in keep))
     place = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else len(keep)
     if place == len(keep):
-        source = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias("__text__"))
+        spare = "text".ljust(max(map(len, keep), default=0) + 1, "_")  # a name that no column has
+        source = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias(spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = shared.value.compressors()

@@ -218,7 +218,7 @@ def test_language(spark, sf, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
-def brute_language(text, dictionaries):
+def brute_language(text, dictionaries, with_margin=False):
     """The smallest sum of compressed sizes, piece by piece, with a new compressor each time."""
     import zstandard
 
@@ -231,7 +231,9 @@ def brute_language(text, dictionaries):
             for d in (piece, piece + b" " + piece):
                 made = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 sums[lang] = sums.get(lang, 0) + len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(d))
-    return min(sums, key=lambda k: (sums[k], k))
+    best = min(sums, key=lambda k: (sums[k], k))
+    second = sorted(sums.values())[1]
+    return (best, (second - sums[best]) / second) if with_margin else best
 
 
 def test_language_by_brute_force(spark):
@@ -370,6 +372,64 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == before
 
 
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage on the rows that the one before kept, held against plain code."""
+    import duckdb
+
+    from docdelta.llm.queries import ORACLES
+
+    from .test_overlap import brute_groups
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    good = {i for i, kept in con.sql(f"SELECT doc_id, kept FROM ({ORACLES['op5_quality']})").fetchall() if kept}
+    rows = stages["quality"](spark, docs, sf).collect()
+    before = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in rows} == good
+    for r in rows:
+        lines = iter(before[r.doc_id].split("\n"))
+        assert all(any(x == y for y in lines) for x in r.text.split("\n")) and r.n_chars == len(r.text)
+    docs = spark.createDataFrame(rows, docs.schema)
+
+    learned = language.learn(docs.where(~language.held_out(docs.doc_id)))
+    clear = {r.doc_id for r in rows if (found := brute_language(r.text, learned, True)) != "und" and found[1] >= language.MARGIN}
+    rows = stages["language"](spark, docs, sf).collect()
+    assert {r.doc_id for r in rows} == clear
+    docs = spark.createDataFrame(rows, docs.schema)
+
+    first = {group for _, group in brute_groups([(r.doc_id, r.text) for r in rows])}
+    rows = stages["near_duplicates"](spark, docs, sf).collect()
+    assert {r.doc_id for r in rows} == first
+    docs = spark.createDataFrame(rows, docs.schema)
+
+    private = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]*\w|\+1 \(\d{3}\) \d{3}-\d{4}|\b(?:\d{1,3}\.){3}\d{1,3}\b|(?<![\w.-])\d{13,19}(?!\w)")
+    seen = {m for r in rows for m in private.findall(r.text)}
+    after = {r.doc_id: r.text for r in stages["pii"](spark, docs, sf).collect()}
+    assert seen and not seen & {m for t in after.values() for m in private.findall(t)}
+    swapped = {}
+    for r in rows:
+        old, new = private.split(r.text), private.split(after[r.doc_id])
+        assert old == new
+        for a, b in zip(private.findall(r.text), private.findall(after[r.doc_id])):
+            assert swapped.setdefault(a, b) == b
+    assert len(set(swapped.values())) == len(swapped)
+    docs = spark.createDataFrame([(i, t) for i, t in after.items()], "doc_id bigint, text string")
+
+    library = Tokenizer.from_file(BYTES)
+    lengths = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in after.items()}
+    packed, filled = {}, {}
+    for r in stages["packing"](spark, docs, sf).collect():
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert packed == lengths
+    for places in filled.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(filled) <= -(-sum(lengths.values()) // 2048) + 1
+
+
 def test_stages_on_odd_rows(spark, odd, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns, name
