@@ -35,6 +35,8 @@ MORE = 20
 #: Sets are described by how many of their shingles fall into each of these classes of hashes, up to 127: where the counts
 #: differ, so do the sets.
 SEGMENTS = 32
+#: The largest filter of texts, as a power of two of bits (16 MB). Beyond it more texts pass, and only work is lost.
+FILTER_BITS = 27
 #: A shared shingle is written as how many sets it is in, in steps of a quarter octave, above the other bits of its hash.
 #: Two similar sets are at most SIZES_APART classes of sizes apart, when a class reaches from n to n / 0.8.
 COUNT_BITS, SIZES_APART = 7, 1
@@ -127,18 +129,40 @@ def _first_round(texts: DataFrame, shared) -> DataFrame:
     return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, fp bigint, often bigint, seg array<tinyint>, part array<bigint>")
 
 
-def _whole_sets(texts: DataFrame, shared) -> DataFrame:
-    """(key, h, often): every shingle of every text; often: for a frequent one its quarter octaves, else 0."""
+def _filter(left: DataFrame, count: int) -> np.ndarray:
+    """Bits of a filter of the rows that are left, some sixteen for each of ``count``, at most FILTER_BITS: it passes them
+    all, and few others unless there are very many. Its words are put together before the driver gets them."""
+    bits = 1 << min(max(16 * count, 64).bit_length(), FILTER_BITS)
+    at = F.pmod("row", F.lit(bits))
+    words = left.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(row, {bits}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _passes(row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = row.astype(np.int64).view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+
+
+def _whole_sets(texts: DataFrame, shared, passing) -> DataFrame:
+    """(key, h, often): every shingle of the texts that pass the filter, which knows one row of each set; often: for a
+    frequent one its quarter octaves, else 0. Texts are read where they lie; a task gives a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent, words, seen = shared.value, passing.value, set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            rows = np.flatnonzero(_passes(batch.column(0).to_numpy(), words))
+            for text in batch.column(1).take(pa.array(rows)).to_pylist():
                 h = shingle_set(text)
-                key = np.full(len(h), _key(h), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(_often(h, frequent))], names=["key", "h", "often"])
+                key = _key(h)
+                if key in seen:
+                    continue
+                seen.add(key)
+                keys = np.full(len(h), key, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h.view(np.int64)), pa.array(_often(h, frequent))], names=["key", "h", "often"])
 
-    return texts.select("text").mapInArrow(run, "key bigint, h bigint, often tinyint")
+    return texts.select(F.xxhash64("doc_id", "th"), "text").mapInArrow(run, "key bigint, h bigint, often tinyint")
 
 
 def _need(n: Column) -> Column:
@@ -167,16 +191,16 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list
     write = lambda table, name: _write(table, name, paths)
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT shingles
     rows = write(_first_round(texts, shared), "parts")
-    first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.min("seg").alias("seg"), F.count("*").alias("n")), "distinct")
+    first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.min("seg").alias("seg"), F.count("*").alias("n")), "distinct")
     at = Window.partitionBy("h")
     postings = rows.select("key", F.explode("part").alias("h")).withColumns({"low": F.min("key").over(at), "high": F.max("key").over(at)}).where("low < high")
     known = postings.groupBy("key").agg(F.count("*").alias("c"))
     least = F.greatest(F.floor(_need(F.col("size")) / MORE), F.lit(1))
-    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", "th", "size", "seg"), "left")
-    whole = texts.join(left.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", F.xxhash64("row.doc_id", "row.th").alias("row"), "size", "seg"), "left")
+    passing = texts.sparkSession.sparkContext.broadcast(_filter(left, left.count()))  # at most 2^FILTER_BITS bits
     salted = Window.partitionBy("h", F.when(F.col("often") > 0, F.col("key")))
     count = F.when(F.col("often") > 0, F.col("often").cast("bigint")).otherwise(F.least(4 * F.log2(F.count("*").over(salted)), F.lit(2**COUNT_BITS - 1)).cast("bigint"))
-    counted = _whole_sets(whole, shared).withColumn("df", count).where("df > 0")
+    counted = _whole_sets(texts, shared, passing).withColumn("df", count).where("df > 0")
     shingle = F.shiftleft("df", 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
     sets = counted.select("key", shingle.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("shingles"))
     enough = sets.join(left.select("key", "size", "seg"), "key").where(F.size("shingles") >= _need(F.col("size")))
@@ -229,24 +253,27 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     num, den = SIMILAR
     skipped = F.col("size") - F.size("shingles")  # shingles of no other text come first
     places = F.slice("shingles", F.lit(1), (F.col("size") - _need(F.col("size")) + 1 - skipped).cast("int"))
-    hits = _write(sets.select("key", "size", "seg", F.size("shingles").alias("k"), F.posexplode(places).alias("pos", "h")).select("key", "size", "seg", "h", (F.col("k") - F.col("pos")).alias("rest"), (F.col("size") - F.col("k")).alias("own")), "hits", paths)
+    hits = _write(sets.select("key", "size", F.size("shingles").alias("k"), F.posexplode(places).alias("pos", "h")).select("key", "size", "h", (F.col("k") - F.col("pos")).alias("rest"), (F.col("size") - F.col("k")).alias("own")), "hits", paths)
     index = F.lit(num + den) * F.col("rest") >= F.lit(2 * num) * F.col("size")  # where the smaller of two similar sets has their first in common
     # Centres: the text with the fewest shingles of its own, such as the one that others are edited copies of; any other.
-    fields = (F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"), F.col("seg").alias("b"))
+    fields = (F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"))
     fewest, drawn = (F.struct(x.cast("bigint").alias("x"), F.xxhash64("key").alias("y"), *fields) for x in (F.col("own"), F.lit(0)))
     centres = hits.groupBy("h").agg(F.array(F.min(fewest), F.max(drawn)).alias("c")).select("h", F.inline("c")).drop("x", "y")
-    alike = _may_be(F.col("size"), F.col("m"), F.least("rest", "r"), F.col("seg"), F.col("b"))
-    star = hits.join(centres, "h").where(alike)
+    star = hits.join(centres, "h").where(_enough(F.col("size"), F.col("m"), F.least("rest", "r")))
     tested = _write(_ordered(_by_fingerprint(sets, first).unionByName(star.select(F.col("key").alias("u"), F.col("other").alias("v")))), "pairs", paths)
     edges = _write(_verified(tested, sets), "links", paths)
     groups = _write(components(edges), "roots", paths)
-    now = hits.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "size", "seg", "h", "rest", F.coalesce("root", "key").alias("group"))
+    now = hits.select("key", "h", "rest").join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "h", "rest", F.coalesce("root", "key").alias("group"))
+    # Only shingles where several groups meet; the members of the largest one there are not held against each other.
+    sizes = now.groupBy("h", "group").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("h").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("h", "largest")
+    described = sets.select("key", "size", "seg")
+    open_ = _write(now.join(largest, "h").withColumn("big", F.expr("group = largest")).drop("largest").join(described, "key"), "open", paths)
     sized = F.floor(F.log(F.col("size")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
-    larger = now.select("h", sized.alias("class"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"), F.col("seg").alias("b"))
-    smaller = now.where(index).withColumn("class", F.explode(F.sequence(sized, sized + SIZES_APART)))
-    here = now.select("h", "group").distinct()
-    others = here.join(here.withColumnRenamed("group", "g"), "h").where("group <> g")  # so that no group is held against itself
-    met = smaller.join(others, ["h", "group"]).join(larger, ["h", "g", "class"]).where(F.expr("size <= m") & alike)
+    larger = open_.select("h", sized.alias("class"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"), F.col("seg").alias("b"), F.col("big").alias("bg"))
+    smaller = open_.where(index).withColumn("class", F.explode(F.sequence(sized, sized + SIZES_APART)))
+    alike = F.expr("group <> g and size <= m") & _may_be(F.col("size"), F.col("m"), F.least("rest", "r"), F.col("seg"), F.col("b"))
+    met = smaller.where("not big").join(larger, ["h", "class"]).where(alike).select("key", "other").unionByName(smaller.where("big").join(larger.where("not bg"), ["h", "class"]).where(alike).select("key", "other"))
     pairs = met.select(F.col("key").alias("u"), F.col("other").alias("v"))
     pairs = _write(_ordered(pairs).join(tested, ["u", "v"], "left_anti"), "pairs", paths)
     edges = edges.unionByName(_write(_verified(pairs, sets), "links", paths))
