@@ -132,19 +132,22 @@ _HAS = lambda x, ws: f"regexp_matches(lower({x}), {q('|'.join(ws))})"  # noqa: E
 _DATEISH = lambda x: f"regexp_matches(trim({x}), '^(?:\\d{{4}}[-/.年]\\d{{1,2}}[-/.月]\\d{{1,2}}[日号]?|\\d{{4}}年\\s*\\d{{1,2}}月\\s*\\d{{1,2}}日|\\d{{1,2}}[-/.]\\d{{1,2}}[-/.]\\d{{2,4}})$')"
 _NORM_HEADER = lambda x: f"lower(regexp_replace({x}, '[\\s\\-_·•:：()（）\\[\\]【】]', '', 'g'))"
 _COLUMNS = f"""heads AS (SELECT DISTINCT book, sheet, col, header FROM cells),
-  cmap AS (SELECT a.sheet, a.col AS col_a, b.col AS col_b, a.header AS name FROM heads a JOIN heads b ON a.book = 'a' AND b.book = 'b' AND a.sheet = b.sheet AND {_NORM_HEADER('a.header')} = {_NORM_HEADER('b.header')})"""
+  cmap AS MATERIALIZED (SELECT a.sheet, a.col AS col_a, b.col AS col_b, a.header AS name FROM heads a JOIN heads b ON a.book = 'a' AND b.book = 'b' AND a.sheet = b.sheet AND {_NORM_HEADER('a.header')} = {_NORM_HEADER('b.header')})"""
 _HELD = lambda x: f"({x} <> '' AND NOT regexp_matches({x}, '{V.ZERO}'))"
 _MATCH = _COLUMNS + """,
   keyed AS (SELECT c.book, c.sheet, c.row, trim(c.value) AS key, row_number() OVER (PARTITION BY c.book, c.sheet, trim(c.value) ORDER BY c.row) AS nth FROM cells c JOIN cmap m ON c.sheet = m.sheet AND m.col_a = 1 AND c.col = CASE WHEN c.book = 'a' THEN m.col_a ELSE m.col_b END WHERE trim(c.value) <> ''),
-  pairs AS (SELECT sheet, max(row) FILTER (book = 'a') AS row_a, max(row) FILTER (book = 'b') AS row_b FROM keyed GROUP BY sheet, key, nth)"""
-_DIFFS = f"""diffs AS (SELECT *, CASE WHEN category = 'date' OR (category = 'number' AND {_HAS('col_name', V.FINANCIAL_HEADERS)}) THEN 'high' ELSE 'medium' END AS risk FROM (
-    SELECT p.sheet, p.row_a AS row, a.col, a.header AS col_name, a.value AS value_a, b.value AS value_b,
-      CASE WHEN {_HAS('a.header', V.DATE_HEADERS)} AND ({_DATEISH('a.value')} OR {_DATEISH('b.value')}) THEN 'date'
-        WHEN ({_CELLNUM('a.value')}) IS NOT NULL AND ({_CELLNUM('b.value')}) IS NOT NULL THEN 'number'
-        WHEN (({_CELLNUM('a.value')}) IS NOT NULL OR ({_CELLNUM('b.value')}) IS NOT NULL) AND {_HAS('a.header', V.FINANCIAL_HEADERS)} THEN 'number'
-        WHEN starts_with(a.value, '=') OR starts_with(b.value, '=') THEN 'formula' ELSE 'text' END AS category
-    FROM pairs p JOIN cells a ON a.book = 'a' AND a.sheet = p.sheet AND a.row = p.row_a JOIN cmap m ON m.sheet = a.sheet AND m.col_a = a.col JOIN cells b ON b.book = 'b' AND b.sheet = p.sheet AND b.row = p.row_b AND b.col = m.col_b
-    WHERE {_CELL('a.value')} <> {_CELL('b.value')} AND NOT coalesce(abs(({_CELLNUM('a.value')}) - ({_CELLNUM('b.value')})) <= 0.01, false)))"""
+  pairs AS MATERIALIZED (SELECT sheet, max(row) FILTER (book = 'a') AS row_a, max(row) FILTER (book = 'b') AS row_b FROM keyed GROUP BY sheet, key, nth)"""
+_DIFFS = f"""ca AS MATERIALIZED (SELECT c.sheet, c.row, c.col, c.header, c.value, m.col_b FROM cells c JOIN cmap m ON c.book = 'a' AND m.sheet = c.sheet AND m.col_a = c.col),
+  pa AS MATERIALIZED (SELECT a.*, p.row_b FROM pairs p JOIN ca a ON a.sheet = p.sheet AND a.row = p.row_a),
+  pb AS MATERIALIZED (SELECT a.sheet, a.row AS row_a, a.col, a.header, a.value AS value_a, b.value AS value_b FROM pa a JOIN (SELECT sheet || '/' || row || '/' || col AS spot, value FROM cells WHERE book = 'b') b ON a.sheet || '/' || a.row_b || '/' || a.col_b = b.spot),
+  diffs AS (SELECT *, CASE WHEN category = 'date' OR (category = 'number' AND {_HAS('col_name', V.FINANCIAL_HEADERS)}) THEN 'high' ELSE 'medium' END AS risk FROM (
+    SELECT sheet, row_a AS row, col, header AS col_name, value_a, value_b,
+      CASE WHEN {_HAS('header', V.DATE_HEADERS)} AND ({_DATEISH('value_a')} OR {_DATEISH('value_b')}) THEN 'date'
+        WHEN ({_CELLNUM('value_a')}) IS NOT NULL AND ({_CELLNUM('value_b')}) IS NOT NULL THEN 'number'
+        WHEN (({_CELLNUM('value_a')}) IS NOT NULL OR ({_CELLNUM('value_b')}) IS NOT NULL) AND {_HAS('header', V.FINANCIAL_HEADERS)} THEN 'number'
+        WHEN starts_with(value_a, '=') OR starts_with(value_b, '=') THEN 'formula' ELSE 'text' END AS category
+    FROM pb
+    WHERE {_CELL('value_a')} <> {_CELL('value_b')} AND NOT coalesce(abs(({_CELLNUM('value_a')}) - ({_CELLNUM('value_b')})) <= 0.01, false)))"""
 _LONE = "lone AS (SELECT sheet, CASE WHEN row_b IS NULL THEN 'row_deleted' ELSE 'row_added' END AS type, coalesce(row_a, row_b) AS row FROM pairs WHERE row_a IS NULL OR row_b IS NULL)"
 S = (DUCK_SHEETS, _MATCH, _DIFFS, _LONE)
 _STATS = "stats AS (SELECT sheet, count(*) FILTER (type = 'row_added') AS added, count(*) FILTER (type = 'row_deleted') AS deleted, count(*) FILTER (type = 'cell_changed') AS modified, bool_or(risk = 'high') AS has_high FROM (SELECT sheet, 'cell_changed' AS type, risk FROM diffs UNION ALL SELECT sheet, type, 'medium' FROM lone) GROUP BY sheet)"
