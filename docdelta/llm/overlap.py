@@ -24,7 +24,7 @@ from . import simhash
 from .components import components
 from .simhash import SEED, shingle_hashes
 from .skew import join_hot
-from .storage import discard, materialise
+from .storage import discard, materialise, release_shuffles
 
 WORDS, SIMILAR = 5, (4, 5)
 #: Rows whose shingles are counted to know the most frequent ones, and how many of these are kept. Neither changes the
@@ -185,18 +185,21 @@ def _may_be(m: Column, n: Column, rest: Column, a: Column, b: Column) -> Column:
 
 
 def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    """(rows, first, sets, paths): every row's key; each key's smallest id, size, fingerprint and number of rows; the
+    """(keys, first, sets, paths): every row's (doc_id, key); each key's smallest id, size, fingerprint and number of rows; the
     shared shingles, rare ones first, of the keys of which enough are; the tables to delete in the end."""
     paths: list[str] = []
     write = lambda table, name: _write(table, name, paths)
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most FREQUENT shingles
-    rows = write(_first_round(texts, shared), "parts")
+    rows, parts = materialise(_first_round(texts, shared), "parts")
     first = write(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.min("fp").alias("fp"), F.min("often").alias("often"), F.min("seg").alias("seg"), F.count("*").alias("n")), "distinct")
     at = Window.partitionBy("h")
     postings = rows.select("key", F.explode("part").alias("h")).withColumns({"low": F.min("key").over(at), "high": F.max("key").over(at)}).where("low < high")
     known = postings.groupBy("key").agg(F.count("*").alias("c"))
     least = F.greatest(F.floor(_need(F.col("size")) / MORE), F.lit(1))
     left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", F.xxhash64("row.doc_id", "row.th").alias("row"), "size", "seg"), "left")
+    keys = write(rows.select("doc_id", "key"), "keys")
+    discard(texts.sparkSession, parts)  # the largest of the tables, and done with
+    release_shuffles(texts.sparkSession)
     passing = texts.sparkSession.sparkContext.broadcast(_filter(left, left.count()))  # at most 2^FILTER_BITS bits
     salted = Window.partitionBy("h", F.when(F.col("often") > 0, F.col("key")))
     count = F.when(F.col("often") > 0, F.col("often").cast("bigint")).otherwise(F.least(4 * F.log2(F.count("*").over(salted)), F.lit(2**COUNT_BITS - 1)).cast("bigint"))
@@ -204,7 +207,7 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list
     shingle = F.shiftleft("df", 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
     sets = counted.select("key", shingle.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("shingles"))
     enough = sets.join(left.select("key", "size", "seg"), "key").where(F.size("shingles") >= _need(F.col("size")))
-    return rows, first, write(enough.select("key", "size", "seg", "shingles"), "sets"), paths
+    return keys, first, write(enough.select("key", "size", "seg", "shingles"), "sets"), paths
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,7 +252,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     text = docs[text_col].cast("string")
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows, first, sets, paths = _candidates(texts)
+    keys, first, sets, paths = _candidates(texts)
+    release_shuffles(docs.sparkSession)
     num, den = SIMILAR
     skipped = F.col("size") - F.size("shingles")  # shingles of no other text come first
     places = F.slice("shingles", F.lit(1), (F.col("size") - _need(F.col("size")) + 1 - skipped).cast("int"))
@@ -279,8 +283,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     edges = edges.unionByName(_write(_verified(pairs, sets), "links", paths))
     roots = _write(components(edges), "roots", paths)
     label, _ = materialise(simhash.named(first.select("key", "first", "n"), "key", roots), "labels")
-    named, _ = materialise(rows.select("doc_id", "key"), "keys")
-    total = first.agg(F.sum("n")).first()[0] or 0
+    named, _ = materialise(join_hot(keys, label, "key", first.agg(F.sum("n")).first()[0] or 0).select("doc_id", "component_id"), "components")
     for path in paths:
         discard(docs.sparkSession, path)
-    return join_hot(named, label, "key", total).select("doc_id", "component_id")
+    return named

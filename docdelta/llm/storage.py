@@ -56,6 +56,11 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries, which otherwise stay until the driver happens to collect garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _leave() -> None:
     for spark, path in _written[0]:
