@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, encoding, language, maxscore, packing, pii, quality, secrets, simhash
+from . import attribution, chat, divergence, encoding, language, maxscore, packing, pii, quality, resampling, secrets, simhash
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,7 +65,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language, op12_resampling, op13_divergence)}
 
 _TOPK = """
 WITH v AS (
@@ -137,4 +145,55 @@ SELECT conv_id, CAST(pos // 256 AS INTEGER) AS part, CAST(n AS BIGINT) AS n_turn
 FROM t WHERE conv_id IN (SELECT conv_id FROM keep) GROUP BY conv_id, pos // 256, n
 """
 
-ORACLES = {"op4_topk": _TOPK, "op5_quality": _QUALITY, "op7_chat": _CHAT}
+#: crc32 four bits at a time, the lower ones first, by its table for these; hex() gives the higher ones first.
+_NIBBLES = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_RESAMPLING = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, TRUE AS raw FROM documents
+  UNION ALL
+  SELECT row_number() OVER (), 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), FALSE FROM benchmark
+), f AS (SELECT raw, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM d),
+n AS (SELECT raw, rid, feature, count(*) AS n FROM f GROUP BY raw, rid, feature),
+b AS (
+  SELECT feature, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x)), lambda i: CAST(strpos('0123456789ABCDEF', x[xor(i, 1) + 1]) - 1 AS BIGINT))),
+    lambda c, y: xor(c >> 4, CAST({_NIBBLES}[CAST(xor(c, y) & 15 AS INTEGER) + 1] AS BIGINT)))) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature, hex(encode(feature)) AS x FROM n)
+), s AS (SELECT bucket, CAST(sum(n) FILTER (raw) AS DOUBLE) AS s, CAST(sum(n) FILTER (NOT raw) AS DOUBLE) AS t FROM n JOIN b USING (feature) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM s),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(s.t, 0) + 1) * (a.s + 10000) / ((coalesce(s.s, 0) + 1) * (a.t + 10000)))) AS BIGINT) AS gain FROM s, a),
+m AS (SELECT rid, CAST(sum(n * gain) AS BIGINT) AS total FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE raw GROUP BY rid),
+x AS (
+  SELECT doc_id, len(w) AS words, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features,
+    CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % (2 * len(w) - 1)) + (2 * len(w) - 1)) % (2 * len(w) - 1)) // (2 * len(w) - 1) END AS weight,
+    (CAST(CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296 AS u
+  FROM d LEFT JOIN m ON m.rid = d.rid WHERE raw
+), y AS (SELECT doc_id, words, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY words >= 20) AS many FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * many // 100 THEN CAST(place AS BIGINT) END AS rank FROM r
+"""
+
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+size AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.n, 0) + v.v) AS p,
+    1 + 1000000000 * (k.total + 1) // (v.n + v.v) AS q
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN size s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op12_resampling": _RESAMPLING, "op13_divergence": _DIVERGENCE, "op4_topk": _TOPK, "op5_quality": _QUALITY, "op7_chat": _CHAT}
