@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, divergence, encoding, language, maxscore, packing, pii, quality, resampling, secrets, simhash
+from . import attribution, chat, divergence, encoding, language, maxscore, packing, parity, pii, quality, resampling, secrets, simhash
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +65,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.join_similar(_table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language, op12_resampling, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_pii, op4_topk, op5_quality, op6_simhash, op7_chat, op8_secrets, op9_token_counts, op10_language, op11_parity, op12_resampling, op13_divergence)}
 
 _TOPK = """
 WITH v AS (
