@@ -1,7 +1,8 @@
 """Workbook reconciliation (JN-07 to JN-14, FN-33 to FN-36, AGG-04 to AGG-06) over cells in long form.
 
-A cell is (book 'a' or 'b', sheet, row, col, header, value). Headers are few and planned per sheet; rows and cells
-are joined on (sheet, key), never on the driver.
+A cell is (book 'a' or 'b', sheet, row, col, header, value); of a cell that stands twice the least value counts. Each
+sheet is planned from its headers (columns and keys); rows are packed once and meet once, matched or alone, with their
+cells (:func:`matched`). Everything else reads that one table.
 """
 
 from __future__ import annotations
@@ -45,25 +46,44 @@ def match_columns(a: list[str], b: list[str], norm_a: list[str], norm_b: list[st
     return sorted([*pairs, *zip(still, free)])
 
 
+#: Sheets whose plans are broadcast; a larger number of plans is joined by shuffling.
+FEW_SHEETS = 20_000
+_PAIRS = "array<struct<col_a:int,col_b:int,name:string>>"
+
+
 def column_map(cells: DataFrame) -> DataFrame:
-    """(sheet, col_a, col_b, name): matched columns of each sheet. Groups hold the distinct headers of one sheet."""
-    heads = cells.select("book", "sheet", "col", "header", T.header(F.col("header")).alias("norm")).distinct()
+    """JN-08: (sheet, col_a, col_b, name): matched columns of each sheet."""
+    heads = cells.select("book", "sheet", "col", "header").distinct().withColumns({"is_key": F.lit(False)})
+    return _planned(heads).select("sheet", F.inline("pairs"))
+
+
+def _planned(heads: DataFrame) -> DataFrame:
+    """(sheet, pairs, keys): matched columns and, of these, key columns of each sheet. A group holds the distinct headers
+    of one sheet: (book, sheet, col, header, is_key)."""
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (group[group.book == k].sort_values("col") for k in "ab")
+        if a.empty or b.empty:
+            return pd.DataFrame([], columns=["sheet", "pairs", "keys"])
         found = match_columns(list(a.header), list(b.header), list(a.norm), list(b.norm))
-        return pd.DataFrame([(group.sheet.iloc[0], a.col.iloc[i], b.col.iloc[j], a.header.iloc[i]) for i, j in found], columns=["sheet", "col_a", "col_b", "name"])
+        pairs = [{"col_a": int(a.col.iloc[i]), "col_b": int(b.col.iloc[j]), "name": a.header.iloc[i]} for i, j in found]
+        keys = [k for k, (i, _) in enumerate(found) if a.is_key.iloc[i]]
+        return pd.DataFrame([(group.sheet.iloc[0], pairs, [pairs[k] for k in keys])], columns=["sheet", "pairs", "keys"])
+
+    normed = heads.select("book", "sheet", "col", "header", T.header(F.col("header")).alias("norm"), "is_key")
+    return normed.groupBy("sheet").applyInPandas(plan, f"sheet string, pairs {_PAIRS}, keys {_PAIRS}")
 
-    return heads.groupBy("sheet").applyInPandas(plan, "sheet string, col_a int, col_b int, name string")
+
+def _few(table: DataFrame) -> DataFrame:
+    """A table of a row for each sheet, at hand where it is small."""
+    found = table.limit(FEW_SHEETS + 1).toArrow()
+    return F.broadcast(table.sparkSession.createDataFrame(found, table.schema)) if found.num_rows <= FEW_SHEETS else table
 
 
 def key_columns(cells: DataFrame) -> DataFrame:
     """AGG-06: (sheet, col, header, n, n_distinct, is_key) of book a: distinct non-empty values over all of them."""
-    named = F.lit(False)
-    for w in vocab.ID_HEADERS:
-        named = named | F.contains(F.lower("header"), F.lit(w.lower()))
     stats = cells.where("book = 'a' and value <> ''").groupBy("sheet", "col", "header").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
-    return stats.withColumn("is_key", named & (F.col("n_distinct") / F.col("n") >= vocab.KEY_UNIQUENESS))
+    return stats.withColumn("is_key", _is_id(F.col("header")) & (F.col("n_distinct") / F.col("n") >= vocab.KEY_UNIQUENESS))
 
 
 def filled(value: Column) -> Column:
@@ -71,120 +91,185 @@ def filled(value: Column) -> Column:
     return (value != "") & ~F.rlike(value, F.lit(vocab.ZERO))
 
 
-def mapped_keys(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """(book, sheet, col, k): where the key columns of book a are in each book, k in their order; the second book's by
-    :func:`column_map`. ``keys``: columns of all sheets, or a table (sheet, col)."""
-    columns = column_map(cells)
-    if isinstance(keys, DataFrame):
-        found = columns.join(keys.select("sheet", F.col("col").alias("col_a")), ["sheet", "col_a"])
+def filled(value: Column) -> Column:
+    """Whether a cell holds something: neither nothing nor a number that is zero. Blanks and texts like "0%" count."""
+    return (value != "") & ~F.rlike(value, F.lit(vocab.ZERO))
+
+
+def _is_id(header: Column) -> Column:
+    return T.any_in(F.lower(header), [w.lower() for w in vocab.ID_HEADERS])
+
+
+def _plans(cells: DataFrame, keys: list[int] | int | None) -> DataFrame:
+    """:func:`_planned` with the given key columns of book a, or those of AGG-06: named like one and distinct in most rows.
+    One aggregation of the cells; only values that may be keys are counted apart."""
+    heads = ["book", "sheet", "col", "header"]
+    if keys is not None:
+        found = cells.select(*heads).distinct().withColumn("is_key", (F.col("book") == "a") & F.col("col").isin([keys] if isinstance(keys, int) else keys))
     else:
-        found = columns.where(F.col("col_a").isin([keys] if isinstance(keys, int) else keys))
-    sides = F.array(F.struct(F.lit("a").alias("book"), F.col("col_a").alias("col")), F.struct(F.lit("b").alias("book"), F.col("col_b").alias("col")))
-    return found.select("sheet", F.col("col_a").alias("k"), F.inline(sides))
-
-
-def row_keys(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """(book, sheet, row, key) of the rows that hold something; ``key`` joins the stripped values of the key columns and is
-    null if all are blank or there are none. One aggregation by row."""
-    where = mapped_keys(cells, keys)
-    marked = cells.select("book", "sheet", "row", "col", "value").join(where, ["book", "sheet", "col"], "left")
-    held = F.max(filled(F.col("value"))).alias("held")
-    values = F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", T.strip(F.col("value")).alias("v"))))).alias("values")
-    order = where.where("book = 'a'").groupBy("sheet").agg(F.array_sort(F.collect_list("k")).alias("order"))
-    rows = marked.groupBy("book", "sheet", "row").agg(held, values).where("held").join(order, "sheet", "left")
-    parts = F.transform("order", lambda k: F.coalesce(F.element_at("values", k), F.lit("")))
-    return rows.select("book", "sheet", "row", F.when(F.exists(parts, lambda v: v != ""), F.array_join(parts, "||")).alias("key"))
-
-
-def match_rows(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """JN-09: (sheet, row_a, row_b): rows with one key in order of appearance, the k-th with the k-th; rows without a
-    partner have one side null (JN-14). Key columns are those of book a; book b's may stand elsewhere."""
-    rows = row_keys(cells, keys)
-    nth = F.row_number().over(Window.partitionBy("book", "sheet", "key").orderBy("row"))
-    of = lambda side: F.max(F.when(F.col("book") == side, F.col("row")))
-    keyed = rows.where("key is not null").withColumn("nth", nth).groupBy("sheet", "key", "nth").agg(of("a").alias("row_a"), of("b").alias("row_b")).select("sheet", "row_a", "row_b")
-    side = lambda b: F.when(F.col("book") == b, F.col("row"))
-    return keyed.unionByName(rows.where("key is null").select("sheet", side("a").alias("row_a"), side("b").alias("row_b")))
+        value = F.when((F.col("book") == "a") & (F.col("value") != "") & _is_id(F.col("header")), F.col("value"))
+        found = cells.withColumn("v", value).groupBy(*heads).agg(F.count("v").alias("n"), F.count_distinct("v").alias("d")).withColumn("is_key", F.coalesce(F.col("d") / F.nullif("n", F.lit(0)) >= vocab.KEY_UNIQUENESS, F.lit(False)))
+    return _planned(found)
+
+
+def _value(cells: Column, col: Column) -> Column:
+    return F.coalesce(F.element_at(F.map_from_entries(cells), col), F.lit(""))
+
+
+def matched(cells: DataFrame, keys: list[int] | int | None = None, *, by_position: bool = True) -> DataFrame:
+    """JN-12, the root of the comparison: (sheet, how, row_a, row_b, cells_a, cells_b, pairs) of all rows that hold something.
+
+    A sheet's rows match by ``keys``, columns of book a whose place in book b the column map tells, or by the key columns
+    that AGG-06 finds: the k-th row of a key with the k-th (JN-09). Where there are none, or where no row finds a
+    partner, rows match that have one number (JN-10), if ``by_position`` is on. A row without a partner has nulls on the
+    other side; so has, in a sheet with keys, a row whose keys are blank. Header rows are rows like others if they are
+    among the cells. Sheets of one book have no rows here. ``cells`` are (col, value) in order, ``pairs`` the matched
+    columns.
+
+    Cells move once to their rows, and rows once to their partners.
+    """
+    plans = _few(_plans(cells, keys))
+    packed = cells.groupBy("book", "sheet", "row").agg(F.max(filled(F.col("value"))).alias("held"), F.array_sort(F.collect_list(F.struct("col", "value"))).alias("all")).where("held")
+    once = F.filter("all", lambda c, i: (i == 0) | (F.get(F.col("all"), i - 1)["col"] != c["col"]))
+    here = F.when(F.col("book") == "a", F.lit("a")).otherwise("b")
+    parts = F.transform("keys", lambda k: T.strip(_value(F.col("cells"), F.when(here == "a", k["col_a"]).otherwise(k["col_b"]))))
+    rows = packed.withColumn("cells", once).join(plans, "sheet").withColumn("parts", parts)
+    rows = rows.select("book", "sheet", "row", "cells", "pairs", F.when(F.exists("parts", lambda v: v != ""), F.array_join("parts", "||")).alias("key"))
+    if by_position:
+        met = rows.where("key is not null").groupBy("sheet", "key").agg(F.count_distinct("book").alias("n")).groupBy("sheet").agg(F.max(F.col("n") == 2).alias("works"))
+        rows = rows.join(_few(met), "sheet", "left").withColumn("works", F.coalesce("works", F.lit(False)))
+    else:
+        rows = rows.withColumn("works", F.lit(True))
+    at = F.when(~F.col("works"), F.concat(F.lit("#"), "row")).when(F.col("key").isNotNull(), F.concat(F.lit("="), "key")).otherwise(F.concat(F.lit("?"), "book", "row"))
+    nth = F.row_number().over(Window.partitionBy("sheet", "at", "book").orderBy("row"))
+    dealt = rows.withColumn("at", at).repartition("sheet", "at").withColumn("nth", nth)
+    side = lambda b, c, name: F.first(F.when(F.col("book") == b, F.col(c)), ignorenulls=True).alias(name)
+    both = dealt.groupBy("sheet", "at", "nth").agg(side("a", "row", "row_a"), side("b", "row", "row_b"), side("a", "cells", "cells_a"), side("b", "cells", "cells_b"), F.first("pairs").alias("pairs"), F.first("works").alias("works"))
+    return both.select("sheet", F.when(F.col("works"), "key").otherwise("position").alias("how"), "row_a", "row_b", "cells_a", "cells_b", "pairs")
+
+
+def match_rows(cells: DataFrame, keys: list[int] | int) -> DataFrame:
+    """JN-09: (sheet, row_a, row_b) by the given key columns alone."""
+    return matched(cells, keys, by_position=False).select("sheet", "row_a", "row_b")
 
 
 def match_rows_auto(cells: DataFrame) -> DataFrame:
-    """JN-12: (sheet, row_a, row_b, how): by the detected key columns (AGG-06) where a sheet has some and a row of it
-    finds a partner, else by position: rows of one number that hold something on both sides. Rows without a partner
-    have one side null."""
-    keyed = match_rows(cells, key_columns(cells).where("is_key").select("sheet", "col"))
-    works = keyed.groupBy("sheet").agg(F.bool_or(F.col("row_a").isNotNull() & F.col("row_b").isNotNull()).alias("works")).where("works").select("sheet")
-    held = cells.groupBy("sheet", "row").agg(*(F.max((F.col("book") == b) & filled(F.col("value"))).alias(f"in_{b}") for b in "ab")).where("in_a or in_b")
-    placed = held.select("sheet", F.when(F.col("in_a"), F.col("row")).alias("row_a"), F.when(F.col("in_b"), F.col("row")).alias("row_b"))
-    by = lambda rows, how, kind: rows.join(works, "sheet", kind).select("sheet", "row_a", "row_b", F.lit(how).alias("how"))
-    return by(keyed, "key", "left_semi").unionByName(by(placed, "position", "left_anti"))
-
-
-def cell_differences(cells: DataFrame, keys: DataFrame | list[int] | int, tolerance: float = 0.01) -> DataFrame:
-    """FN-36: sheet, row, col, col_name, value_a, value_b, category, risk of matched rows' cells that differ."""
-    rows = match_rows(cells, keys).where("row_a is not null and row_b is not null")
-    columns = column_map(cells)
-    a = cells.where("book = 'a'").join(columns.select("sheet", F.col("col_a").alias("col"), "col_b"), ["sheet", "col"]).select("sheet", F.col("row").alias("row_a"), "col", "col_b", F.col("header").alias("col_name"), F.col("value").alias("value_a"))
-    b = cells.where("book = 'b'").select("sheet", F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("value").alias("value_b"))
-    met = a.join(rows, ["sheet", "row_a"]).join(b, ["sheet", "row_b", "col_b"])
-    na, nb = T.cell_number(F.col("value_a")), T.cell_number(F.col("value_b"))
-    category = T.cell_category(F.col("value_a"), F.col("value_b"), F.col("col_name"))
-    close = (category == "number") & F.coalesce(F.abs(na - nb) <= tolerance, F.lit(False))
-    same = (T.cell(F.col("value_a")) == T.cell(F.col("value_b"))) | close
-    return met.where(~same).select("sheet", F.col("row_a").alias("row"), "col", "col_name", "value_a", "value_b", category.alias("category")).withColumn("risk", T.cell_risk(F.col("category"), F.col("col_name")))
+    """JN-12: (sheet, row_a, row_b, how), see :func:`matched`."""
+    return matched(cells).select("sheet", "row_a", "row_b", "how")
+
 
+_DIFFERENCE = ["sheet", "type", "row", "col", "col_name", "value_a", "value_b", "category", "risk"]
 
-def row_changes(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
+
+def _compared(rows: DataFrame, tolerance: float) -> DataFrame:
+    """The differences of matched rows, and rows without a partner, one after the other."""
+    both = F.col("row_a").isNotNull() & F.col("row_b").isNotNull()
+    a, b = F.map_from_entries("cells_a"), F.map_from_entries("cells_b")
+    value = lambda of, col: F.coalesce(F.element_at(of, col), F.lit(""))
+    spots = T.let(F.struct(a.alias("a"), b.alias("b")), lambda m: F.filter(F.transform("pairs", lambda p: F.struct(p["col_a"].alias("col"), p["name"].alias("col_name"), value(m["a"], p["col_a"]).alias("value_a"), value(m["b"], p["col_b"]).alias("value_b"))), lambda c: c["value_a"] != c["value_b"]))
+    line = lambda cells: F.array_join(F.filter(F.transform(cells, lambda c: c["value"]), lambda v: v != ""), " ")
+    lone = F.array(F.struct(F.lit(-1).alias("col"), F.lit("").alias("col_name"), line(F.col("cells_a")).alias("value_a"), line(F.col("cells_b")).alias("value_b")))
+    each = rows.select("sheet", "row_a", "row_b", F.inline(F.when(both, spots).otherwise(lone)))
+    na, nb = T.cell_number(F.col("value_a")), T.cell_number(F.col("value_b"))
+    kind = F.when(F.col("row_b").isNull(), "row_deleted").when(F.col("row_a").isNull(), "row_added").otherwise("cell_changed")
+    found = each.withColumn("type", kind).withColumn("category", F.when(F.col("type") == "cell_changed", T.cell_category(F.col("value_a"), F.col("value_b"), F.col("col_name"))).otherwise("text"))
+    close = (F.col("category") == "number") & F.coalesce(F.abs(na - nb) <= tolerance, F.lit(False))
+    same = (F.col("type") == "cell_changed") & ((T.cell(F.col("value_a")) == T.cell(F.col("value_b"))) | close)
+    risk = F.when(F.col("type") == "cell_changed", T.cell_risk(F.col("category"), F.col("col_name"))).otherwise("medium")
+    return found.where(~same).select("sheet", "type", F.coalesce("row_a", "row_b").alias("row"), "col", "col_name", "value_a", "value_b", "category", risk.alias("risk"))
+
+
+def differences(cells: DataFrame, keys: list[int] | int | None = None, *, tolerance: float = 0.01, moves: bool = False) -> DataFrame:
+    """All differences of the sheets that both books have: (sheet, type, row, col, col_name, value_a, value_b, category,
+    risk). ``type`` is cell_changed, row_deleted or row_added; with ``moves`` pairs of the latter two that are alike are one
+    row_moved each. Rows without a partner have column -1 and their filled cells as a line on their side."""
+    found = _compared(matched(cells, keys), tolerance)
+    if not moves:
+        return found
+    moved = moved_rows(cells, keys)
+    gone = moved.select("sheet", F.inline(F.array(F.struct(F.lit("row_deleted").alias("type"), F.col("row_a").alias("row")), F.struct(F.lit("row_added").alias("type"), F.col("row_b").alias("row")))))
+    as_one = moved.select("sheet", F.lit("row_moved").alias("type"), F.col("row_a").alias("row"), F.lit(-1).alias("col"), F.lit("").alias("col_name"), F.col("line_a").alias("value_a"), F.col("line_b").alias("value_b"), F.lit("text").alias("category"), F.lit("low").alias("risk"))
+    return found.join(gone, ["sheet", "type", "row"], "left_anti").select(*_DIFFERENCE).unionByName(as_one)
+
+
+def cell_differences(cells: DataFrame, keys: list[int] | int | None = None, tolerance: float = 0.01) -> DataFrame:
+    """FN-36: sheet, row, col, col_name, value_a, value_b, category, risk of matched rows' cells that differ. A cell that
+    one side does not have is empty there."""
+    return differences(cells, keys, tolerance=tolerance).where("type = 'cell_changed'").drop("type")
+
+
+def row_changes(cells: DataFrame, keys: list[int] | int | None = None) -> DataFrame:
     """JN-14: (sheet, type, row) of rows without a partner."""
-    lone = match_rows(cells, keys).where("row_a is null or row_b is null")
+    lone = matched(cells, keys).where("row_a is null or row_b is null")
     return lone.select("sheet", F.when(F.col("row_b").isNull(), "row_deleted").otherwise("row_added").alias("type"), F.coalesce("row_a", "row_b").alias("row"))
 
 
-def moved_rows(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """JN-13: (sheet, row_a, row_b, ratio): each deleted row takes the most alike free added row above the limit.
+#: Lengths of rows fall into classes a factor of 7/3 wide: rows further apart than neighbouring classes cannot be alike
+#: by more than 0.6, whose bound 2 min / (m + n) that factor meets. Characters are counted in so many classes.
+_LENGTHS, _CHARACTERS = 7 / 3, 24
+
+
+def moved_rows(cells: DataFrame, keys: list[int] | int | None = None) -> DataFrame:
+    """JN-13: (sheet, row_a, row_b, ratio, line_a, line_b): each deleted row, in order, takes the most alike free added row of
+    its sheet above the limit, the first of equals.
 
-    The greedy order makes a sheet's lone rows one group; a sheet is bounded by its file.
+    Pairs meet by sheet and class of length; how many characters they can have in common at most, counted in classes,
+    leaves few to compare. What is alike is decided pair by pair, wherever it lies; only (row, row, ratio) goes by sheet,
+    as a sorted stream that remembers the rows taken.
     """
-    text = cells.where("value <> ''").groupBy("book", "sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]), " ").alias("line"))
-    lone = row_changes(cells, keys).withColumn("book", F.when(F.col("type") == "row_deleted", "a").otherwise("b")).join(text, ["book", "sheet", "row"])
-
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        gone, new = group[group.book == "a"].sort_values("row"), group[group.book == "b"].sort_values("row")
-        free, out = list(new.itertuples()), []
-        for g in gone.itertuples():
-            matcher = difflib.SequenceMatcher(None)
-            matcher.set_seq1(g.line)
-            best, hit = vocab.MOVED_ROW, None
-            for n in free:
-                matcher.set_seq2(n.line)
-                if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
-                    best, hit = r, n
-            if hit is not None:
-                free.remove(hit)
-                out.append((g.sheet, g.row, hit.row, best))
-        return pd.DataFrame(out, columns=["sheet", "row_a", "row_b", "ratio"])
-
-    return lone.groupBy("sheet").applyInPandas(pair, "sheet string, row_a bigint, row_b bigint, ratio double")
-
-
-def sheet_stats(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """AGG-04: sheet, added, deleted, modified, has_high; counts are those before moves are found."""
-    diffs = cell_differences(cells, keys).select("sheet", F.lit("cell_changed").alias("type"), "risk")
-    lone = row_changes(cells, keys).select("sheet", "type", F.lit("medium").alias("risk"))
+    line = lambda cells: F.array_join(F.filter(F.transform(cells, lambda c: c["value"]), lambda v: v != ""), " ")
+    lone = matched(cells, keys).where("row_a is null or row_b is null").select("sheet", F.col("row_a").isNotNull().alias("gone"), F.coalesce("row_a", "row_b").alias("row"), line(F.coalesce("cells_a", "cells_b")).alias("line"))
+    letters = F.array_sort(F.transform(F.split("line", ""), lambda c: F.pmod(F.ascii(c) * 7 + F.length(c), F.lit(_CHARACTERS))))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(_CHARACTERS - 1)), lambda k: F.size(F.filter("letters", lambda c: c == k)))
+    told = lone.withColumn("letters", letters).withColumns({"counts": counts, "n": F.length("line")}).drop("letters").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(_LENGTHS))).cast("int"))
+    new = told.where("not gone").select("sheet", F.col("row").alias("row_b"), F.col("line").alias("line_b"), F.col("counts").alias("counts_b"), F.col("n").alias("m"), F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
+    common = F.aggregate(F.zip_with("counts", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    near = told.where("gone").join(new, ["sheet", "class"]).where(2 * common > vocab.MOVED_ROW * (F.col("n") + F.col("m")))
+    scored = near.select("sheet", F.col("row").alias("row_a"), "row_b", ratio_column(F.col("line"), F.col("line_b")).alias("ratio"), F.col("line").alias("line_a"), "line_b").where(F.col("ratio") > vocab.MOVED_ROW)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sheet, taken, placed = None, set(), None
+        for batch in batches:
+            keep = []
+            for s, a, b in zip(batch.sheet, batch.row_a, batch.row_b):
+                if s != sheet:
+                    sheet, taken, placed = s, set(), None
+                free = a != placed and b not in taken
+                if free:
+                    taken.add(b)
+                    placed = a
+                keep.append(free)
+            yield batch[keep]
+
+    ordered = scored.repartition("sheet").sortWithinPartitions("sheet", "row_a", F.desc("ratio"), "row_b")
+    return ordered.mapInPandas(take, ordered.schema)
+
+
+def sheet_stats(cells: DataFrame, keys: list[int] | int | None = None) -> DataFrame:
+    """AGG-04: sheet, added, deleted, modified, has_high of the sheets with differences; counts are those before moves are
+    found."""
     n = lambda t: F.count_if(F.col("type") == t)
-    return diffs.unionByName(lone).groupBy("sheet").agg(n("row_added").alias("added"), n("row_deleted").alias("deleted"), n("cell_changed").alias("modified"), F.bool_or(F.col("risk") == "high").alias("has_high"))
+    return differences(cells, keys).groupBy("sheet").agg(n("row_added").alias("added"), n("row_deleted").alias("deleted"), n("cell_changed").alias("modified"), F.bool_or(F.col("risk") == "high").alias("has_high"))
 
 
 def sheet_presence(cells: DataFrame) -> DataFrame:
-    """JN-07: (sheet, in_a, in_b, status): the full outer join of both books' sheets by name, as one aggregation."""
-    found = cells.groupBy("sheet").agg(F.bool_or(F.col("book") == "a").alias("in_a"), F.bool_or(F.col("book") == "b").alias("in_b"))
-    return found.withColumn("status", F.when(F.col("in_a") & F.col("in_b"), "matched").when(F.col("in_a"), "only_in_a").otherwise("only_in_b"))
-
-
-def workbook_summary(cells: DataFrame, keys: DataFrame | list[int] | int) -> DataFrame:
-    """AGG-05 with JN-07: sheets, total differences and whether one is critical; a sheet on one side counts all its rows."""
+    """JN-07: (sheet, in_a, in_b, status): the full outer join of both books' sheets by name, as one aggregation. With a
+    column ``sheet_no`` also ``place``: the first book's sheets in their order, then those that the second alone has."""
+    has = lambda b: F.bool_or(F.col("book") == b)
+    status = F.when(F.col("in_a") & F.col("in_b"), "matched").when(F.col("in_a"), "only_in_a").otherwise("only_in_b").alias("status")
+    if "sheet_no" not in cells.columns:
+        return cells.groupBy("sheet").agg(has("a").alias("in_a"), has("b").alias("in_b")).select("sheet", "in_a", "in_b", status)
+    least = lambda b: F.min(F.when(F.col("book") == b, F.col("sheet_no")))
+    found = cells.groupBy("sheet").agg(has("a").alias("in_a"), has("b").alias("in_b"), least("a").alias("no_a"), least("b").alias("no_b"))
+    place = F.row_number().over(Window.orderBy(~F.col("in_a"), F.coalesce("no_a", "no_b"), "sheet"))  # a row for each sheet
+    return found.select("sheet", "in_a", "in_b", status, place.alias("place"))
+
+
+def workbook_summary(cells: DataFrame, keys: list[int] | int | None = None) -> DataFrame:
+    """AGG-05 with JN-07: sheets, total differences and whether one is critical; a sheet on one side counts all its rows,
+    its header too."""
     sheets = cells.groupBy("sheet").agg(F.bool_or(F.col("book") == "a").alias("a"), F.bool_or(F.col("book") == "b").alias("b"), (F.count_distinct("row") + 1).alias("rows"))
-    stats = sheet_stats(cells, keys)
-    both = sheets.join(stats, "sheet", "left")
+    both = sheets.join(sheet_stats(cells, keys), "sheet", "left")
     status = F.when(F.col("a") & F.col("b"), "matched").when(F.col("a"), "only_in_a").otherwise("only_in_b")
     return both.select("sheet", status.alias("status"), F.when(F.col("a") & F.col("b"), F.coalesce(F.col("added") + F.col("deleted") + F.col("modified"), F.lit(0))).otherwise(F.col("rows")).alias("differences"), (F.coalesce("has_high", F.lit(False)) | ~(F.col("a") & F.col("b"))).alias("critical"))
 
@@ -207,9 +292,14 @@ def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def rows_to_text(cells: DataFrame) -> DataFrame:
     """SRC-14: (book, sheet, row, line): the filled cells as ``name: value``."""
-    some = cells.where("value <> ''")
+    return _lines(cells).drop("no")
+
+
+def _lines(cells: DataFrame) -> DataFrame:
+    no = F.min("sheet_no") if "sheet_no" in cells.columns else F.first(F.lit(0))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("col", "header", "value"))), lambda x: F.concat_ws(": ", x["header"], x["value"]))
-    return some.groupBy("book", "sheet", "row").agg(F.array_join(parts, " | ").alias("joined")).select("book", "sheet", "row", F.concat(F.lit("行"), F.col("row"), F.lit(": "), F.col("joined")).alias("line"))
+    joined = cells.where("value <> ''").groupBy("book", "sheet", "row").agg(no.alias("no"), F.array_join(parts, " | ").alias("joined"))
+    return joined.select("book", "sheet", "row", F.concat(F.lit("行"), F.col("row"), F.lit(": "), F.col("joined")).alias("line"), "no")
 
 
 def infer_headers(cells: DataFrame) -> DataFrame:
@@ -220,10 +310,11 @@ def infer_headers(cells: DataFrame) -> DataFrame:
 
 
 def book_text(cells: DataFrame) -> DataFrame:
-    """SRC-14: (book, full_text): the lines of each sheet under its title, sheets by name."""
-    lines = rows_to_text(cells).groupBy("book", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    """SRC-14: (book, full_text): the lines of each sheet under its title, sheets in the order of ``sheet_no`` if there is
+    such a column, else by name."""
+    lines = _lines(cells).groupBy("book", "sheet").agg(F.min("no").alias("no"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
     titled = F.concat(F.lit("=== 工作表: "), F.col("sheet"), F.lit(" ===\n"), F.col("body"))
-    return lines.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", titled.alias("t")))), lambda x: x["t"]), "\n\n").alias("full_text"))
+    return lines.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "sheet", titled.alias("t")))), lambda x: x["t"]), "\n\n").alias("full_text"))
 
 
 def ratio_column(a: Column, b: Column) -> Column:

@@ -61,35 +61,43 @@ DUCK_CONTRACTS = f"""contracts AS (
 ), docs AS (SELECT pair_id, side, {_FOLD.replace('text', 'raw_text', 1)} AS text FROM contracts)"""
 
 _CELL = {
-    1: ("订单号", "k || ''", "订 单号"), 2: ("客户", "c || ''", "客户"), 3: ("金额", "price", "金额"),
+    1: ("订单号", "key", "订 单号"), 2: ("客户", "c || ''", "客户"), 3: ("金额", "price", "金额"),
     4: ("日期", "day", "日期"), 5: ("优先级", "p", "优先级"), 6: ("备注note", "note", "备注_note"),
 }
 #: Where the second book has the columns.
 _IN_B = {1: 2, 2: 1, 3: 3, 4: 6, 5: 5, 6: 4}
+#: Orders in a block of eight sheets, so that sheets have a bounded number of rows and their number grows with the orders.
+_BLOCK = 8_000
+#: The first column's header by sheet: those of kind 4 have no key.
+_FIRST = {"a": "CASE WHEN kind = 4 THEN '单据' ELSE '订单号' END", "b": "CASE WHEN kind = 4 THEN '单 据' ELSE '订 单号' END"}
 
 
 def _sheet_rows(dialect: dict[str, str]) -> str:
-    """Rows of both books: the second lacks some, has some more, and differs in amounts, dates, priorities and notes."""
+    """Rows of both books: the second lacks some, has some more and some elsewhere, and differs in amounts, dates, priorities
+    and notes. Sheets of kind 4 have no key, those of kind 5 lack a third of their keys, in kind 6 one key in ten stands
+    twice, and kind 7 is in one book only."""
     money, day, b = dialect["money"].format, dialect["day"].format, "book = 'b'"
-    return f"""SELECT book, 'S' || (k % 8) AS sheet, CASE WHEN {b} AND k % 23 = 0 THEN k + 100000000 ELSE k END AS row,
-      CASE WHEN {b} AND k % 23 = 0 THEN k + 100000000 ELSE k END AS k, o_custkey AS c,
+    return f"""SELECT book, 'S' || kind || '-' || block AS sheet, CASE WHEN {b} THEN -1 - (block * 8 + kind) ELSE block * 8 + kind END AS sheet_no, kind,
+      CASE WHEN {b} AND k % 23 = 0 THEN k + 100000000 ELSE k END AS row,
+      CASE WHEN kind = 5 AND k % 3 = 0 THEN '' WHEN kind = 6 AND k % 80 = 6 AND k % {_BLOCK} >= 8 THEN (k - 8) || '' WHEN {b} AND k % 23 = 0 THEN (k + 100000000) || '' ELSE k || '' END AS key, o_custkey AS c,
       {money(f"CASE WHEN {b} AND k % 12 = 0 THEN o_totalprice + 100 ELSE o_totalprice END")} || CASE WHEN {b} AND k % 10 = 0 THEN '5' ELSE '' END AS price,
       {day(f"CASE WHEN {b} AND k % 14 = 0 THEN o_orderdate + INTERVAL '1' DAY ELSE o_orderdate END")} AS day,
       CASE WHEN {b} AND k % 9 = 0 THEN '  ' || o_orderpriority ELSE o_orderpriority END AS p,
       CASE WHEN {b} AND k % 15 = 0 THEN '=A1' WHEN k % 4 = 0 THEN '' ELSE 'note ' || (k % 100) END AS note
-    FROM (SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate, o_orderpriority, book FROM base) x
-    WHERE NOT (book = 'b' AND k % 19 = 0)"""
+    FROM (SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate, o_orderpriority, book, CAST(o_orderkey % 8 AS INT) AS kind, CAST(floor(o_orderkey / {_BLOCK}) AS BIGINT) AS block FROM base) x
+    WHERE NOT (book = 'b' AND k % 19 = 0) AND NOT (kind = 7 AND (block % 2 = 0) = (book = 'b'))"""
 
 
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book, sheet, row, col, header, value): two books of eight sheets over the orders."""
+    """(book, sheet, sheet_no, row, col, header, value): two books of sheets over the orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("book", F.explode(F.array(F.lit("a"), F.lit("b"))))
     rows = spark.sql(_sheet_rows(_SPARK).replace("FROM base", "FROM {base}"), base=orders)
-    cells = F.array(*(F.struct(F.when(F.col("book") == "a", i).otherwise(_IN_B[i]).alias("col"), F.when(F.col("book") == "a", h).otherwise(hb).alias("header"), F.expr(e).cast("string").alias("value")) for i, (h, e, hb) in _CELL.items()))
-    return rows.select("book", "sheet", "row", F.inline(cells))
+    of = lambda a, b: F.when(F.col("book") == "a", a).otherwise(b)
+    cells = F.array(*(F.struct(of(i, _IN_B[i]).alias("col"), (of(F.expr(_FIRST["a"]), F.expr(_FIRST["b"])) if i == 1 else of(h, hb)).alias("header"), F.expr(e).cast("string").alias("value")) for i, (h, e, hb) in _CELL.items()))
+    return rows.select("book", "sheet", "sheet_no", "row", F.inline(cells))
 
 
-_DUCK_CELLS = " UNION ALL ".join(f"SELECT book, sheet, row, CASE WHEN book = 'a' THEN {i} ELSE {_IN_B[i]} END AS col, CASE WHEN book = 'a' THEN '{h}' ELSE '{hb}' END AS header, {e} AS value FROM srows" for i, (h, e, hb) in _CELL.items())
+_DUCK_CELLS = " UNION ALL ".join(f"SELECT book, sheet, sheet_no, row, CASE WHEN book = 'a' THEN {i} ELSE {_IN_B[i]} END AS col, CASE WHEN book = 'a' THEN {_FIRST['a'] if i == 1 else repr(h)} ELSE {_FIRST['b'] if i == 1 else repr(hb)} END AS header, {e} AS value FROM srows" for i, (h, e, hb) in _CELL.items())
 DUCK_SHEETS = f"""base AS (SELECT *, unnest(['a', 'b']) AS book FROM orders), srows AS ({_sheet_rows(_DUCK)}), cells AS ({_DUCK_CELLS})"""
 
 

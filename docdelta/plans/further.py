@@ -291,6 +291,6 @@ def str_06_trail(spark, sf_dir):
     return state.trail(steps).select("operation_id", "status", F.try_element_at("details", F.lit("last")).alias("last"), F.try_element_at("details", F.lit("at-click")).cast("bigint").alias("click"))
 
 
-@query(with_(corpus.DUCK_SHEETS) + "SELECT sheet, bool_or(book = 'a') AS in_a, bool_or(book = 'b') AS in_b, 'matched' AS status FROM cells GROUP BY sheet")
+@query(with_(corpus.DUCK_SHEETS) + "SELECT sheet, in_a, in_b, CASE WHEN in_a AND in_b THEN 'matched' WHEN in_a THEN 'only_in_a' ELSE 'only_in_b' END AS status, CAST(row_number() OVER (ORDER BY NOT in_a, CASE WHEN in_a THEN no_a ELSE no_b END, sheet) AS INTEGER) AS place FROM (SELECT sheet, bool_or(book = 'a') AS in_a, bool_or(book = 'b') AS in_b, min(sheet_no) FILTER (book = 'a') AS no_a, min(sheet_no) FILTER (book = 'b') AS no_b FROM cells GROUP BY sheet)")
 def jn_07_sheets(spark, sf_dir):
     return sheets.sheet_presence(corpus.sheet_cells(spark, sf_dir))

@@ -134,9 +134,19 @@ _NORM_HEADER = lambda x: f"lower(regexp_replace({x}, '[\\s\\-_·•:：()（）\
 _COLUMNS = f"""heads AS (SELECT DISTINCT book, sheet, col, header FROM cells),
   cmap AS MATERIALIZED (SELECT a.sheet, a.col AS col_a, b.col AS col_b, a.header AS name FROM heads a JOIN heads b ON a.book = 'a' AND b.book = 'b' AND a.sheet = b.sheet AND {_NORM_HEADER('a.header')} = {_NORM_HEADER('b.header')})"""
 _HELD = lambda x: f"({x} <> '' AND NOT regexp_matches({x}, '{V.ZERO}'))"
-_MATCH = _COLUMNS + """,
-  keyed AS (SELECT c.book, c.sheet, c.row, trim(c.value) AS key, row_number() OVER (PARTITION BY c.book, c.sheet, trim(c.value) ORDER BY c.row) AS nth FROM cells c JOIN cmap m ON c.sheet = m.sheet AND m.col_a = 1 AND c.col = CASE WHEN c.book = 'a' THEN m.col_a ELSE m.col_b END WHERE trim(c.value) <> ''),
-  pairs AS MATERIALIZED (SELECT sheet, max(row) FILTER (book = 'a') AS row_a, max(row) FILTER (book = 'b') AS row_b FROM keyed GROUP BY sheet, key, nth)"""
+_KEYED = _COLUMNS + """,
+  keyed AS (SELECT c.book, c.sheet, c.row, trim(c.value) AS key, row_number() OVER (PARTITION BY c.book, c.sheet, trim(c.value) ORDER BY c.row) AS nth FROM cells c JOIN cmap m ON c.sheet = m.sheet AND @KEY AND c.col = CASE WHEN c.book = 'a' THEN m.col_a ELSE m.col_b END WHERE trim(c.value) <> ''),
+  met AS MATERIALIZED (SELECT sheet, max(row) FILTER (book = 'a') AS row_a, max(row) FILTER (book = 'b') AS row_b FROM keyed GROUP BY sheet, key, nth),
+  both_books AS (SELECT sheet FROM cells GROUP BY sheet HAVING count(DISTINCT book) = 2),
+  held AS (SELECT DISTINCT book, sheet, row FROM cells JOIN both_books USING (sheet) WHERE @HELD),
+  bare AS (SELECT h.* FROM held h LEFT JOIN keyed k ON k.book = h.book AND k.sheet = h.sheet AND k.row = h.row WHERE k.row IS NULL),
+  alone AS (SELECT sheet, CASE WHEN book = 'a' THEN row END AS row_a, CASE WHEN book = 'b' THEN row END AS row_b FROM bare)""".replace("@HELD", _HELD("value"))
+#: The given first column as the key, or what JN-12 chooses: a key column whose rows find partners, else the rows' numbers.
+_BY_KEY = _KEYED.replace("@KEY", "m.col_a = 1") + ", pairs AS MATERIALIZED (SELECT * FROM met UNION ALL SELECT * FROM alone)"
+_MATCH = f"kcols AS (SELECT sheet, col FROM cells WHERE book = 'a' AND value <> '' AND {_HAS('header', [w.lower() for w in V.ID_HEADERS])} GROUP BY sheet, col HAVING count(DISTINCT value) / count(*) >= 0.8), " + _KEYED.replace("@KEY", "EXISTS (SELECT 1 FROM kcols k WHERE k.sheet = m.sheet AND k.col = m.col_a)") + """,
+  works AS (SELECT DISTINCT sheet FROM met WHERE row_a IS NOT NULL AND row_b IS NOT NULL),
+  placed AS (SELECT sheet, row, max(CASE WHEN book = 'a' THEN row END) AS row_a, max(CASE WHEN book = 'b' THEN row END) AS row_b FROM held WHERE sheet NOT IN (SELECT sheet FROM works) GROUP BY sheet, row),
+  pairs AS MATERIALIZED (SELECT sheet, row_a, row_b, 'key' AS how FROM met WHERE sheet IN (SELECT sheet FROM works) UNION ALL SELECT sheet, row_a, row_b, 'key' FROM alone WHERE sheet IN (SELECT sheet FROM works) UNION ALL SELECT sheet, row_a, row_b, 'position' FROM placed)"""
 _DIFFS = f"""ca AS MATERIALIZED (SELECT c.sheet, c.row, c.col, c.header, c.value, m.col_b FROM cells c JOIN cmap m ON c.book = 'a' AND m.sheet = c.sheet AND m.col_a = c.col),
   pa AS MATERIALIZED (SELECT a.*, p.row_b FROM pairs p JOIN ca a ON a.sheet = p.sheet AND a.row = p.row_a),
   pb AS MATERIALIZED (SELECT a.sheet, a.row AS row_a, a.col, a.header, a.value AS value_a, b.value AS value_b FROM pa a JOIN (SELECT sheet || '/' || row || '/' || col AS spot, value FROM cells WHERE book = 'b') b ON a.sheet || '/' || a.row_b || '/' || a.col_b = b.spot),
@@ -230,18 +240,18 @@ ORACLES: dict[str, str] = {
     "fn_38_diff_classes": with_(C) + f"""SELECT pair_id, side, CAST(i - 1 AS INTEGER) AS n, line, split_part({_CLASS}, '/', 1) AS risk, split_part({_CLASS}, '/', 2) AS category FROM (SELECT pair_id, side, l[i] AS line, i FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT pair_id, side, string_split(text, chr(10)) AS l FROM docs)))""",
     "agg_03_line_diff": with_(C) + f"""SELECT pair_id, count(*) AS total, count(*) FILTER (side = 'pdf') AS insertions, count(*) FILTER (side = 'word') AS deletions, bool_or({_CLASS} LIKE 'high%') AS has_risk FROM (
       SELECT pair_id, line, min(side) AS side FROM (SELECT DISTINCT pair_id, side, unnest(string_split(text, chr(10))) AS line FROM docs) GROUP BY pair_id, line HAVING count(*) = 1) GROUP BY pair_id""",
-    "jn_09_row_match": with_(*S) + "SELECT * FROM pairs",
+    "jn_09_row_match": with_(DUCK_SHEETS, _BY_KEY) + "SELECT * FROM pairs",
     "jn_08_columns": with_(DUCK_SHEETS, _COLUMNS) + "SELECT * FROM cmap",
     "jn_10_positions": with_(DUCK_SHEETS) + f"SELECT sheet, row FROM cells WHERE {_HELD('value')} GROUP BY sheet, row HAVING count(DISTINCT book) = 2",
-    "jn_12_row_match": with_(*S) + "SELECT *, 'key' AS how FROM pairs",
+    "jn_12_row_match": with_(DUCK_SHEETS, _MATCH) + "SELECT * FROM pairs",
     "jn_14_row_changes": with_(*S) + "SELECT * FROM lone",
     "fn_36_cell_diffs": with_(*S) + "SELECT sheet, row, col, col_name, value_a, value_b, category, risk FROM diffs",
     "agg_04_sheet_stats": with_(*S, _STATS) + "SELECT * FROM stats",
-    "agg_05_workbook": with_(*S, _STATS) + "SELECT sheet, 'matched' AS status, added + deleted + modified AS differences, has_high AS critical FROM stats",
+    "agg_05_workbook": with_(*S, _STATS) + "SELECT c.sheet, CASE WHEN n = 2 THEN 'matched' ELSE 'only_in_' || book END AS status, CASE WHEN n = 2 THEN coalesce(added + deleted + modified, 0) ELSE nrows + 1 END AS differences, n = 1 OR coalesce(has_high, false) AS critical FROM (SELECT sheet, count(DISTINCT book) AS n, min(book) AS book, count(DISTINCT row) AS nrows FROM cells GROUP BY sheet) c LEFT JOIN stats s ON s.sheet = c.sheet",
     "agg_06_key_columns": with_(DUCK_SHEETS) + f"SELECT sheet, col, header, count(*) AS n, count(DISTINCT value) AS n_distinct, {_HAS('header', [w.lower() for w in V.ID_HEADERS])} AND count(DISTINCT value) / count(*) >= 0.8 AS is_key FROM cells WHERE book = 'a' AND value <> '' GROUP BY sheet, col, header",
     "src_12_headers": with_(DUCK_SHEETS) + f"SELECT c.book, c.sheet, c.col, CASE WHEN value = '' THEN '列' || c.col ELSE value END AS header FROM cells c JOIN (SELECT book, sheet, min(row) AS row FROM cells WHERE {_HELD('value')} GROUP BY book, sheet) f ON c.book = f.book AND c.sheet = f.sheet AND c.row = f.row",
     "src_13_merged": with_(DUCK_SHEETS, _MERGED) + "SELECT c.book, c.sheet, c.row, c.col, coalesce(f.value, c.value) AS value FROM cells c LEFT JOIN ranges r ON c.book = r.book AND c.sheet = r.sheet AND c.row = r.r0 AND c.col BETWEEN r.c0 AND r.c1 LEFT JOIN cells f ON f.book = r.book AND f.sheet = r.sheet AND f.row = r.r0 AND f.col = r.c0",
-    "src_14_book_text": with_(DUCK_SHEETS) + "SELECT book, string_agg('=== 工作表: ' || sheet || ' ===' || chr(10) || body, chr(10) || chr(10) ORDER BY sheet) AS full_text FROM (SELECT book, sheet, string_agg(line, chr(10) ORDER BY row) AS body FROM (SELECT book, sheet, row, '行' || row || ': ' || string_agg(header || ': ' || value, ' | ' ORDER BY col) AS line FROM cells WHERE value <> '' GROUP BY book, sheet, row) GROUP BY book, sheet) GROUP BY book",
+    "src_14_book_text": with_(DUCK_SHEETS) + "SELECT book, string_agg('=== 工作表: ' || sheet || ' ===' || chr(10) || body, chr(10) || chr(10) ORDER BY no) AS full_text FROM (SELECT book || '-' || split_part(sheet, '-', 2) AS book, sheet, min(no) AS no, string_agg(line, chr(10) ORDER BY row) AS body FROM (SELECT book, sheet, min(sheet_no) AS no, row, '行' || row || ': ' || string_agg(header || ': ' || value, ' | ' ORDER BY col) AS line FROM cells WHERE value <> '' GROUP BY book, sheet, row) GROUP BY book, sheet) GROUP BY book",
     "src_14_row_text": with_(DUCK_SHEETS) + "SELECT book, sheet, row, '行' || row || ': ' || string_agg(header || ': ' || value, ' | ' ORDER BY col) AS line FROM cells WHERE value <> '' GROUP BY book, sheet, row",
     "flt_01_low_confidence": with_(DUCK_TOKENS) + "SELECT doc_id, page, ord, text, confidence FROM tokens WHERE confidence < 0.5",
     "agg_07_line_tolerance": with_(DUCK_TOKENS, _LINES) + "SELECT * FROM tol",

@@ -150,27 +150,27 @@ def jn_12_row_match(spark, sf_dir):
 
 @query
 def jn_13_moved_rows(spark, sf_dir):
-    return sheets.moved_rows(corpus.sheet_cells(spark, sf_dir), 1)
+    return sheets.moved_rows(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
 def jn_14_row_changes(spark, sf_dir):
-    return sheets.row_changes(corpus.sheet_cells(spark, sf_dir), 1)
+    return sheets.row_changes(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
 def fn_36_cell_diffs(spark, sf_dir):
-    return sheets.cell_differences(corpus.sheet_cells(spark, sf_dir), 1)
+    return sheets.cell_differences(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
 def agg_04_sheet_stats(spark, sf_dir):
-    return sheets.sheet_stats(corpus.sheet_cells(spark, sf_dir), 1)
+    return sheets.sheet_stats(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
 def agg_05_workbook(spark, sf_dir):
-    return sheets.workbook_summary(corpus.sheet_cells(spark, sf_dir), 1)
+    return sheets.workbook_summary(corpus.sheet_cells(spark, sf_dir))
 
 
 @query
@@ -197,7 +197,9 @@ def src_14_row_text(spark, sf_dir):
 
 @query
 def src_14_book_text(spark, sf_dir):
-    return sheets.book_text(corpus.sheet_cells(spark, sf_dir))
+    """The eight sheets of a block are a book."""
+    cells = corpus.sheet_cells(spark, sf_dir)
+    return sheets.book_text(cells.withColumn("book", F.concat_ws("-", "book", F.substring_index("sheet", "-", -1))))
 
 
 # Tokens.
@@ -415,7 +417,7 @@ def win_05_difference_ids(spark, sf_dir):
 
 @query
 def snk_08_sheet_report(spark, sf_dir):
-    return report.sheet_report(sheets.cell_differences(corpus.sheet_cells(spark, sf_dir), 1))
+    return report.sheet_report(sheets.cell_differences(corpus.sheet_cells(spark, sf_dir)))
 
 
 @query

@@ -1,4 +1,5 @@
 import difflib
+import random
 import io
 import re
 import zipfile
@@ -104,6 +105,61 @@ def test_rows_by_position_without_keys(spark):
     assert {(r.sheet, r.row) for r in sheets.by_position(cells).collect()} == {("S", 2), ("S", 4), ("T", 2)}
 
 
+def greedy_moves(gone, new):
+    """(row_a, row_b) of the moves: each deleted row in order takes the most alike free added row above the limit."""
+    out, taken = [], set()
+    for a, x in sorted(gone.items()):
+        best, hit = 0.6, None
+        for b, y in sorted(new.items()):
+            if b not in taken and (r := difflib.SequenceMatcher(None, x, y).ratio()) > best:
+                best, hit = r, b
+        if hit is not None:
+            taken.add(hit)
+            out.append((a, hit))
+    return out
+
+
+def test_moved_rows_are_those_of_the_greedy_loop(spark):
+    draw = random.Random(11)
+    books, wanted = [], {}
+    for sheet in range(5):
+        words = [f"{draw.choice(['合同', '金额', 'row', 'x'])}{k}" for k in range(12)]
+        side = lambda mark, first: {first + k: (f"{mark}{k}", " ".join(draw.choice(words) for _ in range(draw.randrange(1, 9)))) for k in range(draw.randrange(5, 30))}  # noqa: E731, B023
+        a, b = side("p", 2), side("q", 40)
+        books += [("a", f"S{sheet}", ["编号", "备注"], {1: ("same", "same"), **a}), ("b", f"S{sheet}", ["编号", "备注"], {1: ("same", "same"), **b})]
+        wanted[f"S{sheet}"] = greedy_moves(*({k: " ".join(v) for k, v in x.items()} for x in (a, b)))
+    cells = book_of(spark, books).repartition(3)
+    got = {}
+    for r in sheets.moved_rows(cells).collect():
+        got.setdefault(r.sheet, []).append((r.row_a, r.row_b))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in wanted.items() if v}
+    n = sum(map(len, wanted.values()))
+    with_moves = sheets.differences(cells, moves=True).groupBy("type").count().collect()
+    assert n and {r["type"]: r["count"] for r in with_moves}["row_moved"] == n
+    before = sheets.differences(cells).count()
+    assert sheets.differences(cells, moves=True).count() == before - n
+    assert sum(r.added + r.deleted + r.modified for r in sheets.sheet_stats(cells).collect()) == before
+
+
+def test_sheets_without_keys_end_to_end(spark):
+    """Rows pair by position: changed cells, not deleted and added rows. Cells that stand twice count once; a cell that one
+    side lacks is empty there; sheets of one book have no differences of their own."""
+    heads = ["名称", "金额"]
+    cells = book_of(spark, [("a", "S", heads, {2: ("x", "1"), 3: ("y", "2"), 4: ("z", "3")}), ("b", "S", heads, {2: ("x", "1"), 3: ("w", "2"), 4: ("z", "9")}), ("a", "only", heads, {2: ("x", "1")})])
+    cells = cells.unionByName(cells.where("row = 3")).where("not (book = 'b' and row = 2 and col = 2)")
+    assert sorted((r.type, r.row, r.col, r.value_a, r.value_b) for r in sheets.differences(cells).collect()) == [("cell_changed", 2, 2, "1", ""), ("cell_changed", 3, 1, "y", "w"), ("cell_changed", 4, 2, "3", "9")]
+    assert sheets.row_changes(cells).count() == 0 and sheets.moved_rows(cells).count() == 0
+    assert {(r.sheet, r.status, r.differences, r.critical) for r in sheets.workbook_summary(cells).collect()} == {("S", "matched", 3, True), ("only", "only_in_a", 2, True)}
+
+
+@pytest.mark.parametrize("few", [sheets.FEW_SHEETS, 0])
+def test_many_sheets(spark, monkeypatch, few):
+    monkeypatch.setattr(sheets, "FEW_SHEETS", few)
+    cells = book_of(spark, [(b, f"S{k}", ["编号", "值"], {2: ("k", f"{b if k % 3 == 0 else k}"), 3: ("", "0"), 4: ("", "")}) for k in range(30) for b in "ab"])
+    assert sorted(r.sheet for r in sheets.cell_differences(cells).collect()) == sorted(f"S{k}" for k in range(0, 30, 3))
+    assert sheets.differences(cells.limit(0)).count() == 0
+
+
 def test_headers_and_texts(spark):
     cells = book_of(spark, [("a", "S", ["p", "q"], {1: ("", "0"), 2: (" ", "v"), 3: ("w", "")}), ("a", "R", ["p", "q"], {1: ("", "")})])
     assert {(r.sheet, r.col): r.header for r in sheets.infer_headers(cells).collect()} == {("S", 1): " ", ("S", 2): "v", ("R", 1): "列1", ("R", 2): "列2"}
