@@ -22,7 +22,7 @@ from .storage import materialise
 LEAST_DOCS, SCALE, TERMS = 3, 1_000_000_000, 200
 #: Counts that a task gathers before it passes them on, and documents between two looks at their number.
 GATHERED, STRIDE = 400_000, 256
-#: Sources of a language whose pairs a task sums up as one table. Terms of more sources are summed up by slices.
+#: A task sums up pairs in tables of up to four times this number squared. Terms of more sources are summed up by slices.
 TABLE = 1_024
 #: (language, source) groups up to which their totals are broadcast; beyond, they are joined by shuffling.
 FEW_GROUPS = 100_000
@@ -140,27 +140,55 @@ def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return apart * apart // q[None, :]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term, source, p, zero), the rows of a term together → partial (lang, source, item, value): over all terms that
-    both have, by how much their gap differs from what the rules for absent terms would add."""
-    lang, places, table = None, {}, None
+class _Sums:
+    """Sums over pairs of sources, a square table for each language."""
 
-    def summed() -> Iterator[pa.RecordBatch]:
-        names = list(places)
-        a, b = np.nonzero(table[: len(names), : len(names)]) if names else ([], [])
-        if len(a):
-            yield partial(lang, names, names, a, b, table[a, b])
+    def __init__(self):
+        self.places: dict[str, dict[str, int]] = {}
+        self.tables: dict[str, np.ndarray] = {}
 
-    def partial(lang, left, right, a, b, value) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), pa.array(left).take(pa.array(a)), pa.array(right).take(pa.array(b)), pa.array(value)], names=["lang", "source", "item", "value"])
+    def at(self, lang: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(table, places) of some sources; the table grows with the sources."""
+        places = self.places.setdefault(lang, {})
+        found = np.array([places.setdefault(s, len(places)) for s in names])
+        table = self.tables.get(lang, np.zeros((0, 0), np.int64))
+        if len(places) > len(table):
+            grown = np.zeros((2 * len(places),) * 2, np.int64)
+            grown[: len(table), : len(table)] = table
+            self.tables[lang] = table = grown
+        return table, found
 
-    def extra(p, zero, q, zero_q) -> np.ndarray:
-        return _gaps(p, q) - _gaps(p, zero_q) - _gaps(zero, q) + _gaps(zero, zero_q)
+    def cells(self) -> int:
+        return sum(t.size for t in self.tables.values())
 
-    carried = None
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """All sums that are not zero, which are then forgotten."""
+        for lang, table in self.tables.items():
+            a, b = np.nonzero(table)
+            names = list(self.places[lang])
+            yield _partial(lang, names, names, a, b, table[a, b])
+        self.places, self.tables = {}, {}
+
+
+def _partial(lang: str, left: list[str], right: list[str], a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(left).take(pa.array(a)), pa.array(right).take(pa.array(b)), pa.array(value)], names=["lang", "source", "item", "value"])
+
+
+def _extra(p: np.ndarray, zero: np.ndarray, q: np.ndarray, zero_q: np.ndarray) -> np.ndarray:
+    """By how much the gaps of a term that both have differ from what the rules for absent terms would add."""
+    return _gaps(p, q) - _gaps(p, zero_q) - _gaps(zero, q) + _gaps(zero, zero_q)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, source, p, zero), the rows of a term together → partial (lang, source, item, value): :func:`_extra` summed
+    over all terms that both sources have."""
+    sums, carried = _Sums(), None
     for batch in _and_end(batches):
-        rows = pa.Table.from_batches([x for x in (carried, batch) if x is not None]).combine_chunks() if carried is not None or batch is not None else None
-        if rows is None or not rows.num_rows:
+        parts = [x for x in (carried, batch) if x is not None]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if not rows.num_rows:
             continue
         first = np.flatnonzero(_starts(rows, ["lang", "term"]))
         ends = np.append(first, rows.num_rows)
@@ -168,25 +196,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources, p, zero = rows.column("source").to_pylist(), rows.column("p").to_numpy(), rows.column("zero").to_numpy()
         langs = rows.column("lang").take(pa.array(first)).to_pylist()
         for k in range(len(first) if batch is None else len(first) - 1):
-            some = slice(ends[k], ends[k + 1])
-            names = sources[some]
-            if len(names) < 2:
-                continue
-            if langs[k] != lang or len(places) + len(names) > TABLE:
-                yield from summed() if table is not None else ()
-                lang, places, table = langs[k], {}, np.zeros((TABLE, TABLE), np.int64)
-            if len(names) > TABLE:
-                for i in range(0, len(names), TABLE):
-                    for j in range(0, len(names), TABLE):
-                        x, y = slice(some.start + i, min(some.start + i + TABLE, some.stop)), slice(some.start + j, min(some.start + j + TABLE, some.stop))
-                        part = extra(p[x], zero[x], p[y], zero[y])
-                        a, b = np.nonzero(part)
-                        yield partial(lang, sources[x], sources[y], a, b, part[a, b])
+            at, end = first[k], ends[k + 1]
+            if end - at <= TABLE:
+                table, places = sums.at(langs[k], sources[at:end])
+                table[np.ix_(places, places)] += _extra(p[at:end], zero[at:end], p[at:end], zero[at:end])
+                if sums.cells() > 4 * TABLE * TABLE:
+                    yield from sums.told()
                 continue
-            at = np.array([places.setdefault(s, len(places)) for s in names])
-            table[np.ix_(at, at)] += extra(p[some], zero[some], p[some], zero[some])
-    if table is not None:
-        yield from summed()
+            for i in range(at, end, TABLE):
+                for j in range(at, end, TABLE):
+                    x, y = slice(i, min(i + TABLE, end)), slice(j, min(j + TABLE, end))
+                    part = _extra(p[x], zero[x], p[y], zero[y])
+                    a, b = np.nonzero(part)
+                    yield _partial(langs[k], sources[x], sources[y], a, b, part[a, b])
+    yield from sums.told()
 
 
 def audit(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
