@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .overlap import _enough, _filter, _frequent, _key, _passes, _verified, shingle_set
+from .overlap import _enough, _filter, _frequent, _key, _often, _passes, _verified, shingle_set
 from .simhash import named
 from .skew import join_hot
 from .storage import discard, materialise
@@ -93,7 +93,7 @@ def _described(texts: DataFrame, shared) -> DataFrame:
     """(doc_id, th, key, n, parities, signatures) of every row; a task gives a set's signatures once, so that copies are no load."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, seen = shared.value[0], set()
+        frequent, seen = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
@@ -105,7 +105,7 @@ def _described(texts: DataFrame, shared) -> DataFrame:
                     sizes.append(len(h))
                     bits.append(parities(h))
                     new = len(h) and key not in seen
-                    found.append(signatures(h, ~np.isin(h, hot)) if new else h[:0])
+                    found.append(signatures(h, _often(h, frequent) == 0) if new else h[:0])
                     seen.add(key)
                 ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))
