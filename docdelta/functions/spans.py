@@ -26,18 +26,22 @@ def spans(text: Column, pattern: str, *groups: int) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, build(found)).otherwise(none))
 
 
-def context(text: Column, start: Column, end: Column, left: int, right: int) -> Column:
-    """The text around a span, stripped."""
-    first = F.greatest(start - left, F.lit(0))
-    return strip(F.substr(text, first + 1, end + right - first))
+def tokens(text: Column, pattern: str) -> Column:
+    """array<struct<raw, start, end, before, after>> of all matches in order, with the text between each and its neighbours.
+    The text is searched once for matches and once for what lies between them."""
 
+    def build(found: Column, gaps: Column) -> Column:
+        ends = F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return let(ends, lambda e: F.transform(found, lambda m, i: F.struct(m.alias("raw"), (F.get(e, i + 1) - F.length(m)).alias("start"), F.get(e, i + 1).alias("end"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"))))
 
-def before(text: Column, start: Column) -> Column:
-    return F.when(start > 0, F.substr(text, start, F.lit(1))).otherwise("")
+    none = F.array().cast("array<struct<raw:string,start:int,end:int,before:string,after:string>>")
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: build(found, gaps))).otherwise(none))
 
 
-def after(text: Column, end: Column, n: int = 1) -> Column:
-    return F.substr(text, end + 1, F.lit(n))
+def context(text: Column, start: Column, end: Column, left: int, right: int) -> Column:
+    """The text around a span, stripped."""
+    first = F.greatest(start - left, F.lit(0))
+    return strip(F.substr(text, first + 1, end + right - first))
 
 
 def disjoint(found: Column) -> Column:

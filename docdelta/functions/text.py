@@ -13,6 +13,7 @@ from . import vocab
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_FOLDED = ("￥。　", "¥. ")
 
 
 def let(value: Column, body) -> Column:
@@ -27,22 +28,23 @@ def strip(x: Column) -> Column:
 
 def fold_width(x: Column) -> Column:
     """FN-01 for the characters that contracts have: full-width forms, the ideographic stop and space, the yen sign."""
-    return F.translate(x, _WIDE + "￥。　", _NARROW + "¥. ")
+    return F.translate(x, _WIDE + _FOLDED[0], _NARROW + _FOLDED[1])
 
 
 def _nfkc(x: Column) -> Column:
+    table = str.maketrans(_WIDE + _FOLDED[0], _NARROW + _FOLDED[1])
+
     @F.pandas_udf("string")
     def nfkc(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        return x.map(lambda t: unicodedata.normalize("NFKC", t.translate(table)), na_action="ignore")
 
     return nfkc(x)
 
 
 def normalise(x: Column) -> Column:
-    """FN-01 in full: :func:`fold_width`, then NFKC, which only texts with further special characters pay for."""
-    folded = fold_width(x)
-    odd = F.rlike(folded, F.lit(r"[^\x00-\x7F¥—‘-‟、〇-】一-鿿]"))
-    return F.when(odd, _nfkc(F.when(odd, folded))).otherwise(folded)
+    """FN-01 in full: :func:`fold_width`, then NFKC. Only texts with characters that need more than folding go to Python."""
+    odd = F.rlike(x, F.lit(r"[^\x00-\x7F\x{FF01}-\x{FF5E}￥。　¥—‘-‟、〇-】一-鿿]"))
+    return F.coalesce(_nfkc(F.when(odd, x)), fold_width(x))
 
 
 def diff_normalise(x: Column) -> Column:

@@ -5,8 +5,16 @@ AMOUNT_KEYWORDS = ["¥", "￥", "$", "金额", "总价", "合计", "总额", "
 DATE_PATTERNS = [r"\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}[日号]?", r"\d{4}年\s*\d{1,2}月\s*\d{1,2}日", r"\d{1,2}[-/.月]\d{1,2}[日号]?\s*\d{4}年?", r"\d{4}年\d{1,2}月\d{1,2}日"]
 AMOUNT_WORDS = "[零壹贰叁肆伍陆柒捌玖拾佰仟万亿圆元整角分]+"
 NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
+#: What stands before an amount, in order of precision, and whether the unit stands behind it. LABEL is any keyword.
+AMOUNT_SHAPES = [(r"LABEL\s*为\s*[¥＄$]?\s*", True), (r"(人民币)\s*", True), (r"(RMB)\s*", False), (r"LABEL\s*", True), (r"([¥＄$])\s*", False), (r"LABEL\s*[:：]?\s+", False)]
+SYMBOL_SHAPE, SYMBOL_LABELS = 4, [r"([一-鿿]*(?:费用|金额|总价|总额|合计|包干)[一-鿿]*)$", r"([一-鿿]+)$"]
+PERCENTAGE = r"(\d+(?:\.\d+)?)%"
 PARTY = r"[甲乙丙丁戊己庚辛壬癸\d]+方"
 ORGANISATION = r"[^\n\r]{4,40}(?:公司|中心|事务所|工作室|集团|厂|处|局|行|会|院|所|部|站)"
+PARTY_SHAPES = [rf"({PARTY})\s*[）)]?\s*[:：]\s*({ORGANISATION})", rf"({PARTY})[（(]\s*({ORGANISATION})[）)]", rf"({PARTY})\s+({ORGANISATION})"]
+CONTRACT_NUMBERS = [r"合同编号\s*[:：]\s*([A-Za-z0-9\-_./]+)", r"(?i)No\.?\s*[:：]?\s*([A-Za-z0-9\-_./]+)", r"(?:^|[\n\r。，,;；])\s*编号\s*[:：]\s*([A-Za-z0-9\-_./]{4,})"]
+CLAUSE = r"(第[一二三四五六七八九十百千万\d]+[条章节])\s*([^\n\r,，。.;；]{1,50})"
+CONTACT_MOBILE, CONTACT_LANDLINE, CONTACT_EMAIL = r"(?<!\d)(1[3-9]\d{9})(?!\d)", r"(?:\(\d{3,4}\)\s*)?(?<!\d)(\d{3,4}[- ]\d{7,8})(?!\d)", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 LEGAL_TERMS = {
     "违约责任": ["违约责任", "违约条款", "违约处理", "违约处罚"],
     "争议解决": ["争议解决", "纠纷解决", "争议处理", "争议管辖", "仲裁条款", "仲裁"],

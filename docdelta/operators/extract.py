@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..functions.spans import after, before, context, disjoint, spans
-
+from ..functions.spans import context, disjoint, spans, tokens
 
 
 def _rows(docs: DataFrame, found: Column, *fields: Column) -> DataFrame:
@@ -23,102 +22,151 @@ def _rows(docs: DataFrame, found: Column, *fields: Column) -> DataFrame:
     return docs.select("*", F.posexplode(found).alias("ord", "s")).select(*keys, "ord", *fields)
 
 
-def _s(name: str) -> Column:
-    return F.col("s")[name]
+def _s(*names: str) -> list[Column]:
+    return [F.col("s")[n].alias(n) for n in names]
 
 
 def _digits(raw: Column) -> Column:
     return F.length(F.translate(raw, ",.", ""))
 
 
-def numbers(docs: DataFrame) -> DataFrame:
-    """FN-10: numbers of 3 to 12 digits that are no codes, clause or figure numbers."""
+def number_items(text: Column) -> Column:
+    """FN-10 as array<struct<raw, value, context>>."""
 
     def keep(s: Column) -> Column:
-        raw, prev, nxt = s["raw"], before(F.col("text"), s["start"]), after(F.col("text"), s["end"])
+        raw, prev, nxt = s["raw"], F.right(s["before"], F.lit(1)), F.left(s["after"], F.lit(1))
         value, whole, part = T.number(raw), F.substring_index(F.replace(raw, F.lit(","), F.lit("")), ".", 1), F.when(F.contains(raw, F.lit(".")), F.substring_index(raw, ".", -1)).otherwise("")
         letter = F.rlike(F.concat(prev, nxt), F.lit("[A-Za-z]"))
-        clause = (prev == "第") & F.rlike(after(F.col("text"), s["end"], 2), F.lit("[条款项]"))
+        clause = (prev == "第") & F.rlike(F.left(s["after"], F.lit(2)), F.lit("[条款项]"))
         figure = prev.isin("附", "图", "表", "章", "节", "号") | (nxt.isin("号", "条") & prev.isin("第", "条"))
         short = (F.length(part) == 1) & (F.length(whole) <= 2) & (value < 10)
         return _digits(raw).between(3, 12) & ~letter & ~((value == 1.0) & F.contains(raw, F.lit("."))) & ~clause & ~figure & ~short
 
-    found = F.filter(spans(F.col("text"), vocab.NUMBER), keep)
-    return _rows(docs, found, _s("raw").alias("raw"), T.number(_s("raw")).alias("value"), context(F.col("text"), _s("start"), _s("end"), 30, 30).alias("context"))
+    item = lambda s: F.struct(s["raw"].alias("raw"), T.number(s["raw"]).alias("value"), context(text, s["start"], s["end"], 30, 30).alias("context"))
+    return F.transform(F.filter(tokens(text, vocab.NUMBER), keep), item)
+
+
+def numbers(docs: DataFrame) -> DataFrame:
+    """FN-10: numbers of 3 to 12 digits that are no codes, clause or figure numbers."""
+    return _rows(docs, number_items(F.col("text")), *_s("raw", "value", "context"))
+
+
+def date_items(text: Column) -> Column:
+    """FN-11 as array<struct<raw, start, end, norm>>."""
+    found = F.concat(*(F.transform(spans(text, p), lambda s: F.struct(s["raw"].alias("raw"), s["start"].alias("start"), s["end"].alias("end"), T.normalise_date(s["raw"]).alias("norm"))) for p in vocab.DATE_PATTERNS))
+    return T.let(F.filter(found, lambda s: s["norm"].isNotNull()), lambda all_: F.filter(all_, lambda s, i: F.array_position(F.transform(all_, lambda x: x["norm"]), s["norm"]) == i + 1))
 
 
 def dates(docs: DataFrame) -> DataFrame:
     """FN-11: each normalised date once, at its first place in pattern order (AGG-13)."""
-    found = F.concat(*(F.transform(spans(F.col("text"), p), lambda s: F.struct(s["raw"].alias("raw"), s["start"].alias("start"), s["end"].alias("end"), T.normalise_date(s["raw"]).alias("norm"))) for p in vocab.DATE_PATTERNS))
-    first = F.aggregate(F.filter(found, lambda s: s["norm"].isNotNull()), F.filter(found, lambda s: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda k: k["norm"] == s["norm"]), a).otherwise(F.array_append(a, s)))
-    return _rows(docs, first, _s("raw").alias("raw"), _s("norm").alias("norm"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
+    return _rows(docs, date_items(F.col("text")), *_s("raw", "norm"), context(F.col("text"), F.col("s")["start"], F.col("s")["end"], 20, 20).alias("context"))
+
+
+def word_items(text: Column) -> Column:
+    """FN-12 with FN-22 as array<struct<raw, start, end>>."""
+    valid = lambda s: (F.length(s["raw"]) >= 4) & F.rlike(s["raw"], F.lit("[元圆]")) & ~F.startswith(s["raw"], F.lit("零")) & ~F.contains(s["raw"], F.lit("零零零")) & F.rlike(s["raw"], F.lit("[壹贰叁肆伍陆柒捌玖拾佰仟万亿]"))
+    return F.filter(spans(text, vocab.AMOUNT_WORDS), valid)
 
 
 def amount_words(docs: DataFrame) -> DataFrame:
     """FN-12 with FN-22."""
-    valid = lambda s: (F.length(s["raw"]) >= 4) & F.rlike(s["raw"], F.lit("[元圆]")) & ~F.startswith(s["raw"], F.lit("零")) & ~F.contains(s["raw"], F.lit("零零零")) & F.rlike(s["raw"], F.lit("[壹贰叁肆伍陆柒捌玖拾佰仟万亿]"))
-    return _rows(docs, F.filter(spans(F.col("text"), vocab.AMOUNT_WORDS), valid), _s("raw").alias("raw"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
+    return _rows(docs, word_items(F.col("text")), *_s("raw"), context(F.col("text"), F.col("s")["start"], F.col("s")["end"], 20, 20).alias("context"))
+
+
+def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
+    """FN-13 as array<struct<shape, start, end, raw, keyword, phrase, left>>.
+
+    All six shapes end with a number, before which they look back as far as the number before it at most, as no label has
+    digits. So numbers are found once, with the text between them, and a shape is a pattern for the end of a gap.
+    """
+    label = f"({'|'.join(re.escape(k) for k in keywords or vocab.AMOUNT_KEYWORDS)})"
+    unit = lambda s: F.length(F.regexp_extract(s["after"], r"^\s*元", 0))
+    valid = lambda s: _digits(s["raw"]).between(3, 12) & (F.translate(s["raw"], ",.", "").cast("double") >= 100)
+
+    def item(k: int, s: Column, head: Column, pattern: str, end: Column) -> Column:
+        start = s["start"] - F.length(head)
+        keyword = F.regexp_extract(head, pattern, 1)
+        if k == vocab.SYMBOL_SHAPE:
+            first = F.greatest(start - 30, F.lit(0))
+            lead = T.strip(F.substr(text, first + 1, start - first))
+            keyword = F.coalesce(*(F.nullif(F.regexp_extract(lead, p, 1), F.lit("")) for p in vocab.SYMBOL_LABELS), keyword)
+            first = F.greatest(start - 10, F.lit(0))
+            phrase = T.strip(F.substr(text, first + 1, end + 10 - first))
+        else:
+            phrase = F.substr(text, start + 1, end - start)
+        return F.struct(F.lit(k).alias("shape"), start.alias("start"), end.alias("end"), s["raw"].alias("raw"), keyword.alias("keyword"), phrase.alias("phrase"), F.lit(50 if k == vocab.SYMBOL_SHAPE else 30).alias("left"))
+
+    def free(k: int, pattern: str, found: Column, with_unit: bool) -> Column:
+        """A shape whose finds cannot overlap each other."""
+        head = lambda s: F.regexp_extract(s["before"], pattern, 0)
+        fits = F.filter(found, lambda s: valid(s) & (F.rlike(s["before"], F.lit(pattern))) & ((unit(s) > 0) if with_unit else F.lit(True)))
+        return F.transform(fits, lambda s: item(k, s, head(s), pattern, s["end"] + unit(s) if with_unit else s["end"]))
+
+    def in_turn(k: int, pattern: str, found: Column) -> Column:
+        """A shape whose last sign may be the label of the next find: what one find has used, the next cannot."""
+        kind = "array<struct<shape:int,start:int,end:int,raw:string,keyword:string,phrase:string,left:int>>"
+        start = F.struct(F.lit(0).alias("used"), F.array().cast(kind).alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            head = F.regexp_extract(F.substr(s["before"], a["used"] + 1), pattern, 0)
+            told = lambda h, u: F.struct(u.alias("used"), F.when(valid(s), F.array_append(a["out"], item(k, s, h, pattern, s["end"] + u))).otherwise(a["out"]).alias("out"))
+            none = F.struct(F.lit(0).alias("used"), a["out"].alias("out"))
+            return T.let(unit(s), lambda u: F.when(u > 0, T.let(head, lambda h: F.when(h != "", told(h, u)).otherwise(none))).otherwise(none))
+
+        return F.aggregate(found, start, step, lambda a: a["out"])
+
+    def shapes(found: Column) -> Column:
+        out = []
+        for k, (pattern, with_unit) in enumerate(vocab.AMOUNT_SHAPES):
+            ending = pattern.replace("LABEL", label) + r"\z"
+            out.append(in_turn(k, ending, found) if with_unit and "LABEL" in pattern else free(k, ending, found, with_unit))
+        return disjoint(F.concat(*out))
+
+    return T.let(tokens(text, vocab.NUMBER), shapes)
+
+
+def amount_context(text: Column, s: Column) -> Column:
+    first = F.greatest(s["start"] - s["left"], F.lit(0))
+    return T.strip(F.substr(text, first + 1, s["end"] + 20 - first))
 
 
 def amounts(docs: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """FN-13: amounts in digits by six patterns in order of precision; a span that overlaps an earlier one is dropped."""
-    kw, num = "|".join(re.escape(k) for k in keywords or vocab.AMOUNT_KEYWORDS), vocab.NUMBER
-    run = "[一-鿿]"
-    shapes = [
-        (rf"({kw})\s*为\s*[¥＄$]?\s*({num})\s*元", 30),
-        (rf"(人民币)\s*({num})\s*元", 30),
-        (rf"(RMB)\s*({num})", 30),
-        (rf"({kw})\s*({num})\s*元", 30),
-        (rf"([¥＄$])\s*({num})", 50),
-        (rf"({kw})\s*[:：]?\s+({num})", 30),
-    ]
-
-    def label(s: Column, symbol: bool) -> Column:
-        if not symbol:
-            return s["g1"]
-        head = T.strip(F.substr(F.col("text"), F.greatest(s["start"] - 30, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - 30, F.lit(0))))
-        money, plain = F.regexp_extract(head, rf"({run}*(?:费用|金额|总价|总额|合计|包干){run}*)$", 1), F.regexp_extract(head, rf"({run}+)$", 1)
-        return F.coalesce(F.nullif(money, F.lit("")), F.nullif(plain, F.lit("")), s["g1"])
-
-    def candidates(k: int, pattern: str, left: int) -> Column:
-        valid = F.filter(spans(F.col("text"), pattern, 1, 2), lambda s: _digits(s["g2"]).between(3, 12) & (F.translate(s["g2"], ",.", "").cast("double") >= 100))
-        phrase = lambda s: T.strip(F.substr(F.col("text"), F.greatest(s["start"] - 10, F.lit(0)) + 1, s["end"] + 10 - F.greatest(s["start"] - 10, F.lit(0)))) if k == 4 else s["raw"]
-        return F.transform(valid, lambda s: F.struct(F.lit(k).alias("shape"), s["start"].alias("start"), s["end"].alias("end"), s["g2"].alias("raw"), label(s, k == 4).alias("keyword"), phrase(s).alias("phrase"), F.lit(left).alias("left")))
-
-    found = disjoint(F.concat(*(candidates(k, p, left) for k, (p, left) in enumerate(shapes))))
-    around = F.when(_s("left") == 50, context(F.col("text"), _s("start"), _s("end"), 50, 20)).otherwise(context(F.col("text"), _s("start"), _s("end"), 30, 20))
-    return _rows(docs, found, _s("shape").alias("shape"), _s("raw").alias("raw"), T.number(_s("raw")).alias("value"), _s("keyword").alias("keyword"), _s("phrase").alias("phrase"), around.alias("context"))
+    return _rows(docs, amount_items(F.col("text"), keywords), *_s("shape", "raw"), T.number(F.col("s")["raw"]).alias("value"), *_s("keyword", "phrase"), amount_context(F.col("text"), F.col("s")).alias("context"))
+
+
+def percentage_items(text: Column) -> Column:
+    """FN-14 as array<struct<raw, start, end, g1>>."""
+    return spans(text, vocab.PERCENTAGE, 1)
 
 
 def percentages(docs: DataFrame) -> DataFrame:
     """FN-14."""
-    found = spans(F.col("text"), r"(\d+(?:\.\d+)?)%", 1)
-    return _rows(docs, found, _s("raw").alias("raw"), (_s("g1").cast("double") / 100).alias("value"), context(F.col("text"), _s("start"), _s("end"), 20, 20).alias("context"))
+    return _rows(docs, percentage_items(F.col("text")), *_s("raw"), (F.col("s")["g1"].cast("double") / 100).alias("value"), context(F.col("text"), F.col("s")["start"], F.col("s")["end"], 20, 20).alias("context"))
 
 
 def parties(docs: DataFrame) -> DataFrame:
     """FN-15: label and organisation after a colon, in brackets, or after a blank unless found before (AGG-15)."""
-    shapes = [rf"({vocab.PARTY})\s*[）)]?\s*[:：]\s*({vocab.ORGANISATION})", rf"({vocab.PARTY})[（(]\s*({vocab.ORGANISATION})[）)]", rf"({vocab.PARTY})\s+({vocab.ORGANISATION})"]
-    first, second, third = (F.transform(spans(F.col("text"), p, 1, 2), lambda s: F.struct(s["raw"].alias("raw"), s["g1"].alias("party"), T.strip(s["g2"]).alias("name"))) for p in shapes)
+    first, second, third = (F.transform(spans(F.col("text"), p, 1, 2), lambda s: F.struct(s["raw"].alias("raw"), s["g1"].alias("party"), T.strip(s["g2"]).alias("name"))) for p in vocab.PARTY_SHAPES)
     found = F.aggregate(third, F.concat(first, second), lambda a, s: F.when(F.exists(a, lambda k: (k["party"] == s["party"]) & (k["name"] == s["name"])), a).otherwise(F.array_append(a, s)))
-    return _rows(docs, found, _s("raw").alias("raw"), _s("party").alias("party"), _s("name").alias("name"))
+    return _rows(docs, found, F.col("s")["raw"].alias("raw"), F.col("s")["party"].alias("party"), F.col("s")["name"].alias("name"))
 
 
 def contract_numbers(docs: DataFrame) -> DataFrame:
     """FN-16."""
     trim = lambda c: F.regexp_replace(c, r"\.+$", "")
     row = lambda k, raw, norm: F.struct(F.lit(k).alias("shape"), raw.alias("raw"), norm.alias("norm"))
-    first = F.filter(F.transform(spans(F.col("text"), r"合同编号\s*[:：]\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(0, trim(s["raw"]), trim(s["g1"]))), lambda s: F.length(s["norm"]) >= 2)
-    second = F.filter(F.transform(spans(F.col("text"), r"(?i)No\.?\s*[:：]?\s*([A-Za-z0-9\-_./]+)", 1), lambda s: row(1, s["raw"], s["g1"])), lambda s: F.length(F.translate(s["norm"], "-_./", "")) >= 3)
-    third = F.transform(spans(F.col("text"), r"(?:^|[\n\r。，,;；])\s*编号\s*[:：]\s*([A-Za-z0-9\-_./]{4,})", 1), lambda s: row(2, s["raw"], s["g1"]))
-    return _rows(docs, F.concat(first, second, third), _s("shape").alias("shape"), _s("raw").alias("raw"), _s("norm").alias("norm"))
+    first = F.filter(F.transform(spans(F.col("text"), vocab.CONTRACT_NUMBERS[0], 1), lambda s: row(0, trim(s["raw"]), trim(s["g1"]))), lambda s: F.length(s["norm"]) >= 2)
+    second = F.filter(F.transform(spans(F.col("text"), vocab.CONTRACT_NUMBERS[1], 1), lambda s: row(1, s["raw"], s["g1"])), lambda s: F.length(F.translate(s["norm"], "-_./", "")) >= 3)
+    third = F.transform(spans(F.col("text"), vocab.CONTRACT_NUMBERS[2], 1), lambda s: row(2, s["raw"], s["g1"]))
+    return _rows(docs, F.concat(first, second, third), F.col("s")["shape"].alias("shape"), F.col("s")["raw"].alias("raw"), F.col("s")["norm"].alias("norm"))
 
 
 def clauses(docs: DataFrame) -> DataFrame:
     """FN-17."""
-    found = spans(F.col("text"), r"(第[一二三四五六七八九十百千万\d]+[条章节])\s*([^\n\r,，。.;；]{1,50})", 1, 2)
-    kind = F.when(F.contains(_s("g1"), F.lit("章")), "章").when(F.contains(_s("g1"), F.lit("节")), "节").otherwise("条")
-    return _rows(docs, found, _s("raw").alias("raw"), kind.alias("clause_type"), F.replace(F.replace(_s("g1"), F.lit("第"), F.lit("")), kind, F.lit("")).alias("clause_num"), T.strip(_s("g2")).alias("title"))
+    found = spans(F.col("text"), vocab.CLAUSE, 1, 2)
+    kind = F.when(F.contains(F.col("s")["g1"], F.lit("章")), "章").when(F.contains(F.col("s")["g1"], F.lit("节")), "节").otherwise("条")
+    return _rows(docs, found, F.col("s")["raw"].alias("raw"), kind.alias("clause_type"), F.replace(F.replace(F.col("s")["g1"], F.lit("第"), F.lit("")), kind, F.lit("")).alias("clause_num"), T.strip(F.col("s")["g2"]).alias("title"))
 
 
 def legal_terms(docs: DataFrame) -> DataFrame:
@@ -131,16 +179,16 @@ def legal_terms(docs: DataFrame) -> DataFrame:
     found = F.concat(*(term(c, w) for c, w in pairs))
     ordered = F.transform(F.array_sort(F.transform(found, lambda s, i: F.struct((-F.length(s["raw"])).alias("n"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
     once = F.aggregate(ordered, F.filter(found, lambda s: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda k: (k["category"] == s["category"]) & (F.left(k["context"], F.lit(20)) == F.left(s["context"], F.lit(20)))), a).otherwise(F.array_append(a, s)))
-    return _rows(docs, once, _s("raw").alias("raw"), _s("category").alias("category"), _s("context").alias("context"))
+    return _rows(docs, once, F.col("s")["raw"].alias("raw"), F.col("s")["category"].alias("category"), F.col("s")["context"].alias("context"))
 
 
 def contacts(docs: DataFrame) -> DataFrame:
     """FN-19a to c."""
     row = lambda kind, raw, norm: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), norm.alias("norm"))
-    mobile = F.transform(spans(F.col("text"), r"(?<!\d)(1[3-9]\d{9})(?!\d)"), lambda s: row("mobile", s["raw"], s["raw"]))
-    landline = F.transform(spans(F.col("text"), r"(?:\(\d{3,4}\)\s*)?(?<!\d)(\d{3,4}[- ]\d{7,8})(?!\d)", 1), lambda s: row("landline", s["g1"], F.translate(s["g1"], " ", "-")))
-    email = F.filter(F.transform(spans(F.col("text"), r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), lambda s: row("email", s["raw"], F.lower(s["raw"]))), lambda s: ~F.rlike(s["raw"], F.lit(r"^\d+@\d+")))
-    return _rows(docs, F.concat(mobile, landline, email), _s("kind").alias("kind"), _s("raw").alias("raw"), _s("norm").alias("norm"))
+    mobile = F.transform(spans(F.col("text"), vocab.CONTACT_MOBILE), lambda s: row("mobile", s["raw"], s["raw"]))
+    landline = F.transform(spans(F.col("text"), vocab.CONTACT_LANDLINE, 1), lambda s: row("landline", s["g1"], F.translate(s["g1"], " ", "-")))
+    email = F.filter(F.transform(spans(F.col("text"), vocab.CONTACT_EMAIL), lambda s: row("email", s["raw"], F.lower(s["raw"]))), lambda s: ~F.rlike(s["raw"], F.lit(r"^\d+@\d+")))
+    return _rows(docs, F.concat(mobile, landline, email), F.col("s")["kind"].alias("kind"), F.col("s")["raw"].alias("raw"), F.col("s")["norm"].alias("norm"))
 
 
 def durations(docs: DataFrame) -> DataFrame:
@@ -151,7 +199,7 @@ def durations(docs: DataFrame) -> DataFrame:
         return F.transform(spans(F.col("text"), rf"{re.escape(word)}\s*[:：]?\s*([^\n\r。；;\.]{{1,60}})", 1), lambda s: F.struct(s["raw"].alias("raw"), F.lit(kind).alias("term_type"), F.regexp_replace(s["g1"], "^[.,;；:： ]+|[.,;；:： ]+$", "").alias("norm")))
 
     found = F.concat(*(term(c, w) for c, w in pairs))
-    return _rows(docs, F.filter(found, lambda s: s["norm"] != ""), _s("raw").alias("raw"), _s("term_type").alias("term_type"), _s("norm").alias("norm"))
+    return _rows(docs, F.filter(found, lambda s: s["norm"] != ""), F.col("s")["raw"].alias("raw"), F.col("s")["term_type"].alias("term_type"), F.col("s")["norm"].alias("norm"))
 
 
 FAMILIES = {"numbers": numbers, "dates": dates, "amounts_words": amount_words, "amounts_digits": amounts, "percentages": percentages, "party_names": parties, "contract_numbers": contract_numbers, "clauses": clauses, "legal_terms": legal_terms, "contact_info": contacts, "terms": durations}

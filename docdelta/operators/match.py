@@ -1,39 +1,82 @@
 """Matching of the fields of two sides (JN-01 to JN-06) and its summary (AGG-01).
 
-Inputs are field tables with pair_id, side ('word' or 'pdf'), ord and the family's values. Results are rows
-(pair_id, direction, ...) with direction matched, missing_in_pdf or extra_in_pdf.
+Inputs are field tables with pair_id, side ('word' or 'pdf'), ord and the family's values, or pairs of texts, which are
+read and matched row by row (:func:`matched_items`). Results are rows (pair_id, direction, ...) with direction matched,
+missing_in_pdf or extra_in_pdf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
+from . import extract
+
 
 def set_match(fields: DataFrame, value: str) -> DataFrame:
     """JN-01, JN-02: word items with their value on the other side match, duplicates kept; the rest by anti-joins.
 
     One shuffle: presence on either side is a window over (pair_id, value), not a join of the two sides.
     """
-    from pyspark.sql import Window
-
     here = Window.partitionBy("pair_id", value)
     both = fields.withColumns({"in_word": F.max(F.col("side") == "word").over(here), "in_pdf": F.max(F.col("side") == "pdf").over(here)})
     direction = F.when((F.col("side") == "word") & F.col("in_pdf"), "matched").when(F.col("side") == "word", "missing_in_pdf").when(~F.col("in_word"), "extra_in_pdf")
     return both.select("pair_id", direction.alias("direction"), "ord", F.col(value).alias("value")).where("direction is not null")
 
 
+def _both(fields: DataFrame, item: Column) -> DataFrame:
+    """(pair_id, w, p): the items of both sides in order."""
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, item)))
+    return fields.groupBy("pair_id").agg(of("word").alias("w"), of("pdf").alias("p"))
+
+
+def _found(direction, ord_: Column, raw=None, other=None, value=None) -> Column:
+    direction = F.lit(direction) if isinstance(direction, str) else direction
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    return F.struct(direction.alias("direction"), ord_.cast("int").alias("ord"), text(raw).alias("raw"), text(other).alias("other"), (F.lit(None).cast("double") if value is None else value).alias("value"))
+
+
+def _numbered(items: Column) -> Column:
+    return F.transform(items, lambda x, i: F.struct(i.alias("ord"), x.alias("x")))
+
+
+def matched_sets(w: Column, p: Column) -> Column:
+    """JN-01, JN-02 on the arrays of both sides' texts."""
+    word = F.transform(w, lambda x, i: _found(F.when(F.array_contains(p, x), "matched").otherwise("missing_in_pdf"), i, x))
+    return F.concat(word, F.transform(F.filter(_numbered(p), lambda o: ~F.array_contains(w, o["x"])), lambda o: _found("extra_in_pdf", o["ord"], o["x"])))
+
+
+def matched_shares(w: Column, p: Column, tolerance: float = vocab.PERCENT_TOLERANCE) -> Column:
+    """JN-03 on the arrays of both sides' values: an item may match many times."""
+    near = lambda x, others: F.exists(others, lambda o: F.abs(x - o) < tolerance)
+    word = F.transform(w, lambda x, i: _found(F.when(near(x, p), "matched").otherwise("missing_in_pdf"), i, value=x))
+    return F.concat(word, F.transform(F.filter(_numbered(p), lambda o: ~near(o["x"], w)), lambda o: _found("extra_in_pdf", o["ord"], value=o["x"])))
+
+
+def matched_in_turn(w: Column, p: Column, accept: Callable[[Column, Column], Column]) -> Column:
+    """JN-04, JN-05 on the arrays of both sides' items (ord, raw, ...): each word item in order takes the first free pdf item
+    that ``accept`` allows. The order decides the result, so this is one fold; the extra items are what none took."""
+    start = F.struct(p.alias("free"), F.array().cast("array<struct<direction:string,ord:int,raw:string,other:string,value:double>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        told = lambda found, free: F.struct(free.alias("free"), F.array_append(a["out"], found).alias("out"))
+        fit = F.get(F.filter(a["free"], lambda o: accept(x, o)), 0)
+        return T.let(fit, lambda o: F.when(o.isNull(), told(_found("missing_in_pdf", x["ord"], x["raw"]), a["free"])).otherwise(
+            told(_found("matched", x["ord"], x["raw"], o["raw"]), F.filter(a["free"], lambda f: f["ord"] != o["ord"]))))
+
+    return F.aggregate(w, start, step, lambda a: F.concat(a["out"], F.transform(a["free"], lambda f: _found("extra_in_pdf", f["ord"], f["raw"]))))
+
+
 def tolerance_match(fields: DataFrame, tolerance: float = vocab.PERCENT_TOLERANCE) -> DataFrame:
     """JN-03: an item matches if the other side has one strictly within the tolerance; items may match many times.
 
     The arrays of a pair are met in one aggregation on pair_id; ``other`` is the first matching pdf value.
     """
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("ord", "value"))))
-    pairs = fields.groupBy("pair_id").agg(of("word").alias("w"), of("pdf").alias("p"))
+    pairs = _both(fields, F.struct("ord", "value"))
     near = lambda x, others: F.filter(others, lambda o: F.abs(x["value"] - o["value"]) < tolerance)
     row = lambda d, x, other: F.struct(d.alias("direction"), x["ord"].alias("ord"), x["value"].alias("value"), other.alias("other"))
     word = F.transform("w", lambda x: T.let(near(x, F.col("p")), lambda n: row(F.when(F.size(n) > 0, "matched").otherwise("missing_in_pdf"), x, F.get(n, 0)["value"])))
@@ -42,45 +85,68 @@ def tolerance_match(fields: DataFrame, tolerance: float = vocab.PERCENT_TOLERANC
 
 
 def greedy_match(fields: DataFrame, columns: list[str], accept: Callable[[Column, Column], Column]) -> DataFrame:
-    """JN-04, JN-05: each word item in order takes the first free pdf item that ``accept`` allows.
+    """:func:`matched_in_turn` on fields in long form."""
+    found = _both(fields, F.struct("ord", "raw", "value", *columns)).select("pair_id", F.inline(matched_in_turn(F.col("w"), F.col("p"), accept)))
+    return found.drop("value")
 
-    The order decides the result, so a pair is one fold over its two ordered arrays.
-    """
-    item = F.struct("ord", "raw", "value", *columns)
-    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, item)))
-    pairs = fields.groupBy("pair_id").agg(of("word").alias("w"), of("pdf").alias("p"))
-    # The extra pdf items are what no word item took.
-    start = F.struct(F.col("p").alias("free"), F.array().cast("array<struct<direction:string,ord:int,raw:string,other:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        fit = T.let(F.filter(a["free"], lambda o: accept(x, o)), lambda hits: F.get(hits, 0))
-        took = F.struct(F.lit("matched").alias("direction"), x["ord"].cast("int").alias("ord"), x["raw"].alias("raw"), F.lit(None).cast("string").alias("other"))
-        lost = F.struct(F.lit("missing_in_pdf").alias("direction"), x["ord"].cast("int").alias("ord"), x["raw"].alias("raw"), F.lit(None).cast("string").alias("other"))
-        return T.let(fit, lambda o: F.when(o.isNull(), F.struct(a["free"].alias("free"), F.array_append(a["out"], lost).alias("out"))).otherwise(
-            F.struct(F.filter(a["free"], lambda f: f["ord"] != o["ord"]).alias("free"), F.array_append(a["out"], took.withField("other", o["raw"])).alias("out"))))
+def _same_number(w: Column, p: Column) -> Column:
+    return (w["value"] == p["value"]) | (T.is_close(w["value"], p["value"]) & F.arrays_overlap(w["runs"], p["runs"]))
 
-    done = pairs.select("pair_id", F.aggregate("w", start, step).alias("a"))
-    rest = F.transform(F.col("a")["free"], lambda f: F.struct(F.lit("extra_in_pdf").alias("direction"), f["ord"].cast("int").alias("ord"), f["raw"].alias("raw"), F.lit(None).cast("string").alias("other")))
-    return done.select("pair_id", F.inline(F.concat(F.col("a")["out"], rest)))
+
+def _same_amount(w: Column, p: Column) -> Column:
+    return ((w["kw"] != "") & (w["kw"] == p["kw"]) & T.is_close(w["value"], p["value"])) | ((w["value"] == p["value"]) & F.arrays_overlap(w["ctx"], p["ctx"]))
+
+
+def _amount_words(context: Column) -> Column:
+    return T.let(T.keyword(context), lambda c: F.filter(F.array(*map(F.lit, vocab.AMOUNT_CONTEXT)), lambda k: F.contains(c, k)))
 
 
 def match_numbers(fields: DataFrame) -> DataFrame:
     """JN-04: equal, or close with a Han run of two or more in both contexts."""
-    runs = fields.withColumn("runs", T.han_runs(F.col("context")))
-    return greedy_match(runs, ["runs"], lambda w, p: (w["value"] == p["value"]) | (T.is_close(w["value"], p["value"]) & F.arrays_overlap(w["runs"], p["runs"])))
+    return greedy_match(fields.withColumn("runs", T.han_runs(F.col("context"))), ["runs"], _same_number)
 
 
 def match_amounts(fields: DataFrame) -> DataFrame:
     """JN-05: same keyword and close, or equal with one amount word in both contexts."""
-    ready = fields.withColumns({"kw": T.keyword(F.col("keyword")), "ctx": F.filter(F.array(*map(F.lit, vocab.AMOUNT_CONTEXT)), lambda k: F.contains(T.keyword(F.col("context")), k))})
-    return greedy_match(ready, ["kw", "ctx"], lambda w, p: ((w["kw"] != "") & (w["kw"] == p["kw"]) & T.is_close(w["value"], p["value"])) | ((w["value"] == p["value"]) & F.arrays_overlap(w["ctx"], p["ctx"])))
+    ready = fields.withColumns({"kw": T.keyword(F.col("keyword")), "ctx": _amount_words(F.col("context"))})
+    return greedy_match(ready, ["kw", "ctx"], _same_amount)
+
+
+def _items(text: Column, keywords: list[str] | None) -> dict[str, Column]:
+    """What of a text takes part in matching, by family."""
+    number = lambda x, i: F.struct(i.alias("ord"), x["raw"].alias("raw"), x["value"].alias("value"), T.han_runs(x["context"]).alias("runs"))
+    amount = lambda x, i: F.struct(i.alias("ord"), x["raw"].alias("raw"), T.number(x["raw"]).alias("value"), T.keyword(x["keyword"]).alias("kw"), _amount_words(extract.amount_context(text, x)).alias("ctx"))
+    return {
+        "numbers": F.transform(extract.number_items(text), number), "dates": F.transform(extract.date_items(text), lambda x: x["norm"]), "amounts_words": F.transform(extract.word_items(text), lambda x: x["raw"]),
+        "amounts_digits": F.transform(extract.amount_items(text, keywords), amount), "percentages": F.transform(extract.percentage_items(text), lambda x: x["g1"].cast("double") / 100),
+    }
+
+
+def matched_items(both: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """(pair_id, family, direction, ord, raw, other, value) of all families of each pair (pair_id, word, pdf).
+
+    A pair's texts lie in one row, where they are read and matched: no shuffle, and no task holds more than a pair. Texts
+    are to be normalised before. A null text has no items. ``raw`` is the norm of a date; percentages have a value and
+    no raw.
+    """
+    sides = {s: _items(F.col(s), keywords) for s in ("word", "pdf")}
+    read = both.select("pair_id", *(F.coalesce(s, F.lit("")).alias(s) for s in ("word", "pdf"))).select("pair_id", *(c.alias(f"{f}_{s}") for s, items in sides.items() for f, c in items.items()))
+    how = {"numbers": lambda w, p: matched_in_turn(w, p, _same_number), "dates": matched_sets, "amounts_words": matched_sets, "amounts_digits": lambda w, p: matched_in_turn(w, p, _same_amount), "percentages": matched_shares}
+    fields = ("direction", "ord", "raw", "other", "value")
+    named = lambda f, found: F.transform(found, lambda x: F.struct(F.lit(f).alias("family"), *(x[c].alias(c) for c in fields)))
+    return read.select("pair_id", F.inline(F.concat(*(named(f, run(F.col(f"{f}_word"), F.col(f"{f}_pdf"))) for f, run in how.items()))))
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """(pair_id, word, pdf) of texts in long form (pair_id, side, text); a missing side is null."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("text"))).alias(s)
+    return docs.groupBy("pair_id").agg(side("word"), side("pdf"))
 
 
 def summarise(items: DataFrame) -> DataFrame:
     """AGG-01: pair_id, family, missing, extra, total_diffs, has_critical_diff of the families with differences, from
     matched items (pair_id, family, direction)."""
-    from pyspark.sql import Window
-
     count = lambda d: F.count_if(F.col("direction") == d).alias(d.split("_")[0])
     each = items.where("direction <> 'matched'").groupBy("pair_id", "family").agg(count("missing_in_pdf"), count("extra_in_pdf"))
     pair = Window.partitionBy("pair_id")

@@ -27,7 +27,7 @@ def contract_text(dialect: dict[str, str]) -> str:
         "'甲方：'", "replace(c_name, '#', '')", "'贸易有限公司'", "chr(10)", "'乙方（北京远方咨询有限公司）'", "chr(10)",
         "'第一条 项目概况，合同总价为¥'", money(price), "'元，大写'", words, "'。人民币'", "(1000 + k % 50)", "'元，小计 RMB '", "(200 + k % 90)", "chr(10)",
         "'第二条 工期：'", "(k % 300 + 30)", "'天，电话13'", "lpad(k || '', 9, '0')", "' 传真010-1234'", "lpad((k % 9999) || '', 4, '0')", "'，邮箱U'", "k", "'@example.com。'", "chr(10)",
-        "'第三条 付款方式：违约金'", penalty, "'元，按每日'", rate, "'%计算。税率'", "(k % 3)", "'.5%，附件12 图345 数量'", "(k % 700 + 99)", "'件。'", "chr(10)",
+        "'第三条 付款方式：违约金'", penalty, "'元，按每日'", rate, "'%计算。税率'", "(k % 3)", "'.5%，附件12 图345 数量'", "(k % 700 + 99)", "'件。'", "CASE WHEN k % 29 = 0 THEN '面积' || (k % 400 + 100) || '㎡，第Ⅳ类①级，费用②③0' || (k % 90 + 10) || '元，加½，ﬁrst。' ELSE '' END", "chr(10)",
         "'第四条 保密条款与不可抗力，争议解决由仲裁决定。'", "chr(10)",
         "'签订日期：'", day("o_orderdate"), "'，交付日期'", until, "'。'",
     ]
@@ -54,7 +54,8 @@ def contract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(F.col("k").alias("pair_id"), *(F.expr(text.replace("side = 'pdf'", str(s == "pdf").lower())).alias(s) for s in ("word", "pdf")))
 
 
-_FOLD = "translate(text, '￥％：（），。', '¥%:(),.')"
+#: What normal form does to the signs of the contracts.
+_FOLD = "replace(replace(replace(replace(translate(text, '￥％：（），。①②③', '¥%:(),.123'), '㎡', 'm2'), 'Ⅳ', 'IV'), '½', '1⁄2'), 'ﬁ', 'fi')"
 DUCK_CONTRACTS = f"""contracts AS (
   SELECT k AS pair_id, side, {contract_text(_DUCK)} AS raw_text
   FROM (SELECT o_orderkey AS k, c_name, o_totalprice, o_orderdate, unnest(['word', 'pdf']) AS side FROM orders JOIN customer ON o_custkey = c_custkey)

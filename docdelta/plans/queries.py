@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
-from ..operators import extract, mask, match, reconcile, report, sheets, store, textdiff, tokens
+from ..operators import extract, mask, match, report, sheets, store, textdiff, tokens
 from ..streaming import state
 from . import corpus
 
@@ -20,8 +20,8 @@ def query(f):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts in folded form; they hold no character that needs more than :func:`T.fold_width`."""
-    return corpus.contracts(spark, sf_dir).withColumn("text", T.fold_width(F.col("text")))
+    """Contracts in normal form."""
+    return corpus.contracts(spark, sf_dir).withColumn("text", T.normalise(F.col("text")))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,9 @@ def fn_23_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All families of all pairs, read and matched in one pass."""
+    """All families of all pairs, read and matched where they lie."""
     both = corpus.contract_pairs(spark, sf_dir)
-    return reconcile.matched_items(both.select("pair_id", *(T.fold_width(F.col(s)).alias(s) for s in ("word", "pdf"))))
+    return match.matched_items(both.select("pair_id", *(T.normalise(F.col(s)).alias(s) for s in ("word", "pdf"))))
 
 
 @query

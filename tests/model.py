@@ -1,20 +1,11 @@
-"""Both sides of a pair read and matched in one pass (FN-10 to FN-14, JN-01 to JN-06).
-
-The native families of :mod:`docdelta.operators.extract` search a text anew for each place they look at; here a pair is
-one row of an Arrow batch, its two texts are searched once by each pattern, and matching needs no shuffle. The results
-are those of the native families and matchers, and tests hold them against these.
-"""
+"""Fields of a pair of texts read and matched by plain code (FN-10 to FN-14, JN-01 to JN-06), to hold the library against."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import vocab
+from docdelta.functions import vocab
 
 _HAN = "[一-鿿]"
 _NUMBER, _DATES, _WORDS = re.compile(vocab.NUMBER), [re.compile(p) for p in vocab.DATE_PATTERNS], re.compile(vocab.AMOUNT_WORDS)
@@ -133,33 +124,6 @@ FAMILIES = {
 }
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(pair_id, word, pdf) of texts in long form (pair_id, side, text); a missing side is null."""
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("text"))).alias(s)
-    return docs.groupBy("pair_id").agg(side("word"), side("pdf"))
-
-
-def matched_items(both: DataFrame) -> DataFrame:
-    """(pair_id, family, direction, ord, raw, other, value) of all families of each pair (pair_id, word, pdf).
-
-    Texts are to be normalised before. A null text has no items. ``raw`` is the norm of a date; percentages have a value
-    and no raw. No shuffle; a pair's items are of its own texts' size.
-    """
-    kind = both.schema["pair_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                rows: list[int] = []
-                out: list[list] = [[] for _ in range(6)]
-                for k, (word, pdf) in enumerate(zip(some.column(1).to_pylist(), some.column(2).to_pylist())):
-                    for family, (extract, match) in FAMILIES.items():
-                        for found in match(extract(word or ""), extract(pdf or "")):
-                            rows.append(k)
-                            for column, value in zip(out, (family, *found)):
-                                column.append(value)
-                types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(out, types))], names=["pair_id", "family", "direction", "ord", "raw", "other", "value"])
-
-    return both.select("pair_id", "word", "pdf").mapInArrow(run, f"pair_id {kind}, family string, direction string, ord int, raw string, other string, value double")
+def matched(word: str | None, pdf: str | None) -> list[tuple]:
+    """(family, direction, ord, raw, other, value) of a pair."""
+    return [(family, *found) for family, (extract, match) in FAMILIES.items() for found in match(extract(word or ""), extract(pdf or ""))]
