@@ -214,6 +214,7 @@ _AUD = "audit AS (SELECT event_id AS id, event_type, user_id, props AS details_j
 _MERGED = "ranges AS (SELECT book, sheet, row AS r0, row AS r1, 5 AS c0, 6 AS c1 FROM cells WHERE col = 1 AND row % 4 = 0)"
 
 ORACLES: dict[str, str] = {
+    "fn_73_sides": with_(C) + "SELECT pair_id, max(line) FILTER (side = 'word') AS word, max(line) FILTER (side = 'pdf') AS pdf FROM (SELECT pair_id, side, array_to_string(list_filter(list_transform(string_split(regexp_replace(raw_text, '[ \\t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS line FROM contracts) GROUP BY pair_id",
     "fn_10_numbers": with_(C, NUMBERS) + "SELECT * FROM numbers",
     "fn_11_dates": with_(C, DATES) + "SELECT * FROM dates",
     "fn_12_amount_words": with_(C, AMOUNT_WORDS) + "SELECT * FROM amount_words",

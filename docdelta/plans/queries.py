@@ -368,9 +368,14 @@ def fn_01_normalise(spark, sf_dir):
 
 @query
 def fn_73_text_diff(spark, sf_dir):
-    sides = corpus.contracts(spark, sf_dir)
-    pairs = sides.groupBy("pair_id").agg(F.max(F.when(F.col("side") == "word", F.col("text"))).alias("word"), F.max(F.when(F.col("side") == "pdf", F.col("text"))).alias("pdf"))
-    return textdiff.diff(pairs)
+    return textdiff.diff(corpus.contract_pairs(spark, sf_dir))
+
+
+@query
+def fn_73_sides(spark, sf_dir):
+    """Both texts put together again from the pieces of their difference."""
+    side = lambda way: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") != way, F.struct("seg", "ord", "text")))), lambda x: x["text"]), "")
+    return textdiff.sides(corpus.contract_pairs(spark, sf_dir)).groupBy("pair_id").agg(side(1).alias("word"), side(-1).alias("pdf"))
 
 
 @query
