@@ -2,8 +2,8 @@
 
 The labelled credentials of each kind build a prefix tree; states whose futures the Hoeffding bound cannot tell
 apart are merged (ALERGIA, red-blue order) into a probabilistic automaton. Every other token of every text that could be
-one, from the shortest labelled length on, is scored by its likelihood under the automata and is a secret if it is as
-likely as the labelled ones.
+one, from the shortest labelled length on, is scored by its likelihood under the automata. It is a secret if it is as
+likely as the labelled ones, and likelier by far than under an automaton of ordinary tokens.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import column
 from .storage import materialise
 
 KINDS = ("assign", "access", "hex", "model")
@@ -31,6 +32,10 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 #: Labelled credentials of each kind that an automaton is learned from: those with the smallest hash, whole, out of all of
 #: up to SAMPLE_LENGTH characters. ALERGIA's confidence; the share of labelled credentials that score below the threshold.
 SAMPLE, SAMPLE_LENGTH, ALPHA, QUANTILE = 300, 1024, 0.05, 0.02
+#: Distinct candidates that the automaton of ordinary tokens is learned from: those with the smallest hash, of up to
+#: SAMPLE_LENGTH characters, out of all that more than one document has, as credentials hardly do. How many bits likelier
+#: a secret is under a labelled format than under it: ordinary tokens are some thousand times as many.
+ORDINARY, EVIDENCE = 1_000, 10.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -164,12 +169,13 @@ class Automaton:
 
 @dataclass
 class Formats:
-    """The automata with the score that a secret reaches."""
+    """The automata with the score that a secret reaches, and the one of ordinary tokens."""
 
     automata: list[tuple[Automaton, float]]
+    ordinary: Automaton | None = None
 
     @classmethod
-    def learn(cls, labelled: dict[str, list[str]]) -> Formats:
+    def learn(cls, labelled: dict[str, list[str]], ordinary: list[str] = ()) -> Formats:
         out = []
         for _, values in sorted(labelled.items()):
             samples = [symbols(v) for v in sorted(values)]  # the order numbers the states
@@ -178,11 +184,12 @@ class Formats:
             automaton = Automaton(samples)
             scores = sorted(automaton.score(s) for s in samples)
             out.append((automaton, scores[int(QUANTILE * len(scores))]))
-        return cls(out)
+        return cls(out, Automaton([symbols(v) for v in sorted(ordinary)]) if out and len(ordinary) >= 10 else None)
 
     def is_secret(self, token: str) -> bool:
         s = symbols(token)
-        return any(a.score(s) >= least for a, least in self.automata)
+        usual = self.ordinary.score(s) if self.ordinary else -math.inf
+        return any((score := a.score(s)) >= least and (score - usual) * (len(s) + 1) >= EVIDENCE for a, least in self.automata)
 
 
 _FOUND = "doc_id {}, base array<struct<start:int,end:int,kind:string,value:string>>, others array<struct<start:int,end:int,value:string>>"
@@ -191,7 +198,7 @@ _DIGEST = "doc_id {}, n_assign bigint, n_access bigint, n_hex bigint, base_sha25
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, others): the fixed patterns' spans and the candidates of every row, in one pass over the texts."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
@@ -210,13 +217,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def learn_formats(found: DataFrame) -> Formats:
-    """Automata from at most SAMPLE distinct labelled credentials of each of the three kinds, over all rows."""
+    """Automata from at most SAMPLE distinct labelled credentials of each of the three kinds and ORDINARY distinct other
+    candidates, over all rows."""
     values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= SAMPLE_LENGTH).distinct()
     labelled = {}
     for kind in KINDS[:3]:
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()
         labelled[kind] = [r["value"] for r in rows]
-    return Formats.learn(labelled)
+    if not any(labelled.values()):
+        return Formats.learn(labelled)
+    others = found.select(F.explode(F.array_distinct("others.value")).alias("value")).where(F.length("value") <= SAMPLE_LENGTH)
+    usual = others.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.xxhash64("value"), "value").limit(ORDINARY)
+    return Formats.learn(labelled, [r["value"] for r in usual.collect()])
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +237,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Positions are code points in the whole text, ends exclusive; spans are ``kind:start:end`` by start, then kind in the
     order of KINDS. A null text is empty (the digest of the empty string, no spans); null ids stay null; repeated rows
     are scanned each; an empty table gives no rows; other columns, whatever their names, are left out. Very long texts
-    are scanned whole, in linear time. Without enough labelled credentials no format is learned.
+    are scanned whole, in linear time. Without enough labelled credentials no format is learned; without ordinary
+    candidates formats alone decide.
     """
     found, _ = materialise(scan(docs, id_col=id_col, text_col=text_col), "secrets")
     shared = docs.sparkSession.sparkContext.broadcast(learn_formats(found))  # bounded by the sample

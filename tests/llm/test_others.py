@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import random
 import re
 import zlib
 
@@ -442,3 +443,31 @@ def test_surrogates_in_endless_domains(spark):
     text = "mail a.b@c.example.com or x@" + "a." * 50_000 + "com and +1 (743) 555-3824"
     out = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first().text
     assert "a.b@c.example.com" not in out and "555-3824" not in out and "x@a.a.a" in out and len(out) == len(text)
+
+
+def test_ordinary_tokens_are_no_secrets():
+    """Credentials that look like random passwords: held-out ones are found, long words and names of programs are not."""
+    draw = random.Random(12)
+    password = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(draw.randrange(12, 21)))
+    parts = ["get", "set", "element", "By", "Id", "document", "window", "Listener", "add", "inner", "Html", "style", "on", "load", "content", "Value", "http", "index", "re", "tion", "ment", "con"]
+    ordinary = lambda: ("".join(draw.choice(parts) for _ in range(draw.randrange(3, 7))) + draw.choice(["", "", "", "2", "_id", ".js", "-10"])).ljust(12, "s")
+    formats = secrets.Formats.learn({"assign": [password() for _ in range(200)]}, [ordinary() for _ in range(1000)])
+    held_out, others = [password() for _ in range(1000)], [ordinary() for _ in range(5000)]
+    assert sum(map(formats.is_secret, held_out)) >= 900
+    assert sum(map(formats.is_secret, others)) < 50
+    alone = secrets.Formats(formats.automata)
+    assert sum(map(alone.is_secret, others)) > 1000  # without the automaton of ordinary tokens
+
+
+def test_formats_find_what_the_patterns_miss(spark):
+    """Tokens of a labelled format that stand without their label."""
+    draw = random.Random(13)
+    made = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    words = ["responsibilities", "internationalisation", "getElementById", "characteristically", "misunderstandings"]
+    rows = [(k, f"token = {made()}", None) for k in range(60)]
+    for k in range(100, 160):
+        planted, text = made(), " ".join(draw.choice(words) + draw.choice(["", "s", "ed"]) for _ in range(30))
+        rows.append((k, f"{text} {planted} {text}", (len(text) + 1, len(text) + 25)))
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    hits = sum(f"model:{a}:{b}" in found[k].spans for k, _, span in rows if span for a, b in [span])
+    assert hits >= 54 and sum(found[k].n_model for k, *_ in rows) <= hits + 1
