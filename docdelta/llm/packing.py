@@ -29,6 +29,8 @@ LOG = logging.getLogger(__name__)
 PIECES = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Texts above this go to the slower encoder, whose memory does not depend on the regular expression's depth.
 RUN_CHARS = 200_000
+#: Pieces that are searched at once; counts of more are divided by a factor, and the plan is repeated.
+SEARCHED = 50_000
 
 
 class FastIds:
@@ -234,13 +236,36 @@ def _pairs(contents: tuple[int, ...]) -> set[tuple[int, int]]:
 
 
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(contents, bins) of each class of bins for these counts of lengths."""
-    bins = Bins(capacity)
-    bins.best_fit(histogram)
-    before = sum(bins.count.values())
-    bins.search()
-    LOG.info("%d bins by best fit, %d after the search: %s", before, sum(bins.count.values()), dict(bins.changes))
-    return sorted(bins.count.items(), reverse=True)
+    """(contents, bins) of each class of bins for these counts of lengths.
+
+    Counts of more than SEARCHED pieces are divided by a factor before the search and its bins multiplied after it; what
+    is left over is planned likewise, so the time does not grow with the pieces. Of that and best fit on all counts the
+    better one counts.
+    """
+    whole = Bins(capacity)
+    whole.best_fit(histogram)
+    before, least = sum(whole.count.values()), -(-sum(k * n for k, n in histogram.items()) // capacity)
+    if before > least:
+        found = _searched(histogram, capacity)
+        if sum(found.count.values()) < before:
+            whole = found
+    LOG.info("%d bins by best fit, %d after the search (at least %d): %s", before, sum(whole.count.values()), least, dict(whole.changes))
+    return sorted(whole.count.items(), reverse=True)
+
+
+def _searched(histogram: dict[int, int], capacity: int) -> Bins:
+    out, left = Bins(capacity), {k: n for k, n in histogram.items() if n}
+    while left:
+        factor = max(1, sum(left.values()) // SEARCHED)
+        part = Bins(capacity)
+        part.best_fit({k: n // factor for k, n in left.items() if n >= factor})
+        part.search()
+        for contents, bins in part.count.items():
+            out.count[contents] += bins * factor
+        for change, bins in part.changes.items():
+            out.changes[change] += bins * factor
+        left = {k: n % factor for k, n in left.items() if n % factor}
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

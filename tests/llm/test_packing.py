@@ -112,3 +112,22 @@ def test_rows(spark, odd, empty):
     least = -(-sum(whole.values()) // capacity)
     assert len(places) <= least + 2
     assert pack_documents(empty, PATH).count() == 0
+
+
+def test_large_counts_are_planned_by_a_factor():
+    """The gain of the search does not shrink, nor its time grow, with the pieces; every piece has its place."""
+    few = {k: 30 for k in range(500, 900, 2)}
+    many = {k: n * 5000 + k % 7 for k, n in few.items()}
+    gain = []
+    for counts in (few, many):
+        fitted = Bins(2048)
+        fitted.best_fit(counts)
+        planned = plan_bins(counts, 2048)
+        placed = Counter()
+        for contents, bins in planned:
+            assert 0 < sum(contents) <= 2048
+            for length in contents:
+                placed[length] += bins
+        assert placed == Counter(counts)
+        gain.append(1 - sum(n for _, n in planned) / sum(fitted.count.values()))
+    assert gain[0] > 0.04 and gain[1] > 0.9 * gain[0]
