@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import column
 from .storage import materialise
 
 #: Documents of its language that a term needs, the scale of shares, and how many terms of a source are reported.
@@ -36,7 +37,7 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    text = lambda c, name: F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")).alias(name)
+    text = lambda c, name: F.coalesce(column(c).cast("string"), F.lit("")).alias(name)
     return docs.select(text(lang_col, "lang"), text(source_col, "source"), text(text_col, "text").cast("binary").alias("text"))
 
 

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import column
+
 #: The bound of the labelled sample: texts of each language (those with the smallest hash of id and text) and characters
 #: of each used in a dictionary. Every language of the labels is learned.
 SAMPLE_TEXTS, SAMPLE_CHARS = 40, 3_000
@@ -51,8 +53,8 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     alone; the driver gets their beginnings, SAMPLE_CHARS each. Rows without letters teach nothing, repeated rows as
     much as one. No labelled row: no language.
     """
-    lang, text = labelled[lang_col].cast("string"), labelled[text_col].cast("string")
-    rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(labelled[id_col].cast("string"), text).alias("h")).where("rlike(text, '\\\\p{L}')")
+    lang, text = column(lang_col).cast("string"), column(text_col).cast("string")
+    rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(column(id_col).cast("string"), text).alias("h")).where("rlike(text, '\\\\p{L}')")
     place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
     chosen = rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= SAMPLE_TEXTS).select("lang", "h").distinct()
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).distinct()  # SAMPLE_TEXTS rows a language
@@ -107,11 +109,11 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
     Whole texts are compressed in pieces, once a language. No shuffle; the dictionaries' size is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    source = docs.select(*(docs[c] for c in keep))
-    place = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else len(keep)
+    kept = [f"c{k}" for k in range(len(keep))]
+    source = docs.select(*(column(c).alias(k) for c, k in zip(keep, kept)))
+    place = keep.index(text_col) if text_col in keep and source.schema[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
     if place == len(keep):
-        spare = "text".ljust(max(map(len, keep), default=0) + 1, "_")  # a name that no column has
-        source = docs.select(*(docs[c] for c in keep), docs[text_col].cast("string").alias(spare))
+        source = docs.select(*(column(c).alias(k) for c, k in zip(keep, kept)), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = shared.value.compressors()
@@ -127,10 +129,11 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, *, text_col: str = "te
                     langs.append(found[0])
                     scores.append(found[1])
                     accepted.append(found[2] >= margin)
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=[*kept, "lang", "score", "accepted"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
-    return source.mapInArrow(run, ", ".join([*fields, *(f"`{n}` {k}" for n, k in zip(names, ("string", "double", "boolean")))]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[: len(kept)]]
+    found = source.mapInArrow(run, ", ".join([*fields, "lang string, score double, accepted boolean"]))
+    return found.select(*(F.col(k).alias(n) for k, n in zip([*kept, "lang", "score", "accepted"], [*keep, *names])))
 
 
 def held_out(id_col: Column) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
+from .names import column
 from .simhash import SEED, shingle_hashes
 from .skew import join_hot
 from .storage import discard, materialise, release_shuffles
@@ -250,8 +251,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     that meet at a shingle are compared only if it and all that follow it in both sets would do, and if the counts of
     their segments, whose Manhattan distance is a lower bound of what they do not have in common, allow it.
     """
-    text = docs[text_col].cast("string")
-    texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = column(text_col).cast("string")
+    texts = docs.select(column(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys, first, sets, paths = _candidates(texts)
     release_shuffles(docs.sparkSession)
     num, den = SIMILAR

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .names import column
 from .overlap import _enough, _filter, _frequent, _key, _often, _passes, _verified, shingle_set
 from .simhash import named
 from .skew import join_hot
@@ -228,8 +229,8 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         paths.append(path)
         return out
 
-    text = docs[f"`{text_col}`"].cast("string")
-    texts = docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    text = column(text_col).cast("string")
+    texts = docs.select(column(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most overlap.FREQUENT shingles
     rows = write(_described(texts, shared), "rows")
     first = write(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in _PARITIES)), "distinct")

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import column
 from .storage import discard, materialise
 
 #: Forms of address by gender, words that introduce a name, given names by script and gender.
@@ -285,7 +286,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
         raise ValueError("surrogates need a key")
     columns = docs.columns
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("row"), mentions(_text(F.col(f"`{text_col}`"))).alias("found"))
+    rows = docs.select(F.struct(*(column(c).alias(f"c{k}") for k, c in enumerate(columns))).alias("row"), mentions(_text(column(text_col))).alias("found"))
     rows, _ = materialise(rows.withColumn("hit", F.coalesce(F.size("found") > 0, F.lit(False))), "mentions", "hit")
     text = _text(F.col("row")[f"c{columns.index(text_col)}"])
     changed = rows.where("hit").withColumn("key", F.sha2(text, 256))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import column
+
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 #: A line fails with this share of symbols to its letters, or so many words of capitals.
@@ -107,8 +109,8 @@ def line_fails(line: Column, hint: Column) -> Column:
 
 def _judged(docs: DataFrame, id_col: str | None, text_col: str, carried: Column) -> DataFrame:
     """doc_id, text, carried, the counts, base_failed, kept and n_lines_removed of every row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = docs.select((F.col(f"`{id_col}`") if id_col else F.lit(None)).alias("doc_id"), text.alias("text"), carried.alias("carried"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    base = docs.select((column(id_col) if id_col else F.lit(None)).alias("doc_id"), text.alias("text"), carried.alias("carried"))
     with_arrays = base.withColumns({"w": words(F.col("text")), "l": F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))})
     counted = with_arrays.select(
         "doc_id", "text", "carried",
@@ -143,7 +145,7 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns and the text without its failing lines."""
     columns = docs.columns
-    judged = _judged(docs, None, text_col, F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))).where("kept")
+    judged = _judged(docs, None, text_col, F.struct(*(column(c).alias(f"c{k}") for k, c in enumerate(columns)))).where("kept")
     text = F.when(F.col("n_lines_removed") > 0, clean_text(F.col("text"))).otherwise(F.col("text"))
     return judged.select(*((text if c == text_col else F.col("carried")[f"c{k}"]).alias(c) for k, c in enumerate(columns)))
 

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import column
 from .simhash import _slices
 from .storage import materialise
 
@@ -161,9 +162,9 @@ def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text
     and, for each task and block, one sum a document.
     """
     spark = docs.sparkSession
-    text = lambda table, c: table[f"`{c}`"].cast("string").cast("binary").alias("text")
+    text = lambda table, c: column(c).cast("string").cast("binary").alias("text")
     id_type = docs.schema[id_col].dataType.simpleString()
-    raw, _ = materialise(_postings(docs.select(docs[f"`{id_col}`"].alias("doc"), text(docs, text_col)), id_type), "postings", "kind")
+    raw, _ = materialise(_postings(docs.select(column(id_col).alias("doc"), text(docs, text_col)), id_type), "postings", "kind")
     wanted = _postings(target.select(F.lit(None).cast(id_type).alias("doc"), text(target, target_text_col)), id_type).where("kind = 'bucket'")
     counted = raw.where("kind = 'bucket'").groupBy("bucket").agg(F.sum("n").alias("s"), F.lit(0).cast("bigint").alias("t")).unionByName(wanted.groupBy("bucket").agg(F.lit(0).cast("bigint").alias("s"), F.sum("n").alias("t")))
     both, _ = materialise(counted.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")  # at most BUCKETS rows

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .names import column, select_named, spare
 from .skew import join_hot
 from .storage import materialise
 
@@ -78,7 +79,7 @@ def simhash(hashes: Iterable[np.ndarray]) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): every row's fingerprint as a signed 64-bit integer; no shuffle."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     found, _ = materialise(grouped(docs, id_col=id_col, text_col=text_col), "components")
     copies = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
-    kept = docs.join(copies.where("not first").select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    (mark,) = spare(docs.columns, "later")
+    later = copies.where("not first").select(F.col("doc_id").alias(mark))
+    kept = select_named(docs.join(later, column(id_col) == F.col(mark), "left_anti"), docs.columns)
     if copies.where("n > 1").isEmpty():
         return kept
-    return kept.where(kept[id_col].isNull()).unionByName(kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]))
+    known = column(id_col).isNotNull()
+    once = kept.where(known).withColumn(mark, column(id_col)).dropDuplicates([mark])
+    return kept.where(~known).unionByName(select_named(once, docs.columns))
