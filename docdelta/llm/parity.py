@@ -3,9 +3,10 @@
 A set's shingles fall into segments by their hash, and a segment's digest is the XOR of the hashes in it. Each shingle
 that only one of two sets has changes one digest, so sets that differ by at most d shingles (0.8 of Jaccard similarity
 bounds d by their sizes) have the digests in common of all but d segments. Sets are compared in bands of sizes, in which
-the number of segments is the same. Of its digests, in one order for all sets, each gives its first d + 1: two sets
-within d have one of these in common. Pairs that meet are tested on a sketch of parities, whose Hamming distance is a
-lower bound of the symmetric difference, and then on their sets.
+the number of segments is the same. Of its digests, in one order for all sets, each gives its first d + k: two sets
+within d have k of these in common. So one with fewer than k digests that many sets have (a common passage's) meets all
+that are like it at others, and need not be held against all that share the passage. Pairs that meet are tested on a
+sketch of parities, whose Hamming distance is a lower bound of the symmetric difference, and then on their sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ LANES = 16
 #: Segments of a band: a share of its largest size, more than the quarter that two similar sets can differ by, and never
 #: so few that a small set's shingles crowd in one.
 SEGMENTS_SHARE, LEAST_SEGMENTS = 0.36, 64
+#: A digest of more sets is a common one. A set gives so many more digests than one in common needs, as a share of d.
+COMMON, MORE = 16, 6
 #: Digests that a task holds before it passes them on.
 GATHERED = 1_000_000
 #: Fixed values of a known mixing function.
@@ -42,6 +45,11 @@ def apart(m: int, n: int) -> int:
     return (m + n) // 9
 
 
+def in_common(n: int) -> int:
+    """k: how many of the digests given two similar sets have in common, if the smaller one has n members."""
+    return 1 + apart(n, 5 * n // 4) // MORE
+
+
 def bands(n: int) -> list[tuple[int, int]]:
     """(band, d) in which a set of n members meets others: its own, and the one below if similar sets lie there; d is by
     how many shingles it can differ from those it meets there. Band k holds the sizes from 2^k."""
@@ -63,11 +71,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(h: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """The signatures of a set of hashes, of which some are ``rare``: in each band the first d + 1 digests, those with rare
-    shingles and with many shingles first, as few sets have these. That order depends on a segment's shingles alone. A set
-    with fewer digests than that gives them all and its empty segments, where others of the kind meet it."""
-    out = []
+def signatures(h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, int]:
+    """(signatures, how many of them may be common ones) of a set of hashes, of which some are ``rare``: in each band the
+    first d + k digests, those with rare shingles and with many shingles first, as few sets have these. That order depends
+    on a segment's shingles alone.
+
+    A set with fewer digests gives them all. With no more than d it gives its empty segments too, where it meets others
+    of the kind; none of its digests may then be left out (-1). Otherwise so many may that a set four fifths its size
+    would still have one more in common with it.
+    """
+    out, more, spare = [], in_common(len(h)), in_common(-(-4 * len(h) // 5)) - 1
     for k, d in bands(len(h)):
         many, start = segments(k), np.uint64((k + 1) * _STEP % 2**64)
         seg = h % np.uint64(many)
@@ -77,11 +90,13 @@ def signatures(h: np.ndarray, rare: np.ndarray) -> np.ndarray:
         count = np.diff(np.append(first, len(h)))
         digest = _mixed(np.bitwise_xor.reduceat(h[order], first) + start * (seg[first] + np.uint64(1)))
         has_rare = np.add.reduceat(rare[order].astype(np.int64), first) > 0
-        chosen = np.lexsort((digest, -count, ~has_rare))[: d + 1]
+        chosen = np.lexsort((digest, -count, ~has_rare))[: d + more]
         out.append(digest[chosen])
+        if len(first) < d + more:
+            spare = -1
         if len(first) <= d:
             out.append(_mixed(start * (np.setdiff1d(np.arange(many, dtype=np.uint64), seg[first]) + np.uint64(1))))
-    return np.concatenate(out)
+    return np.concatenate(out), spare
 
 
 def parities(h: np.ndarray) -> np.ndarray:
@@ -91,14 +106,15 @@ def parities(h: np.ndarray) -> np.ndarray:
 
 
 def _described(texts: DataFrame, shared) -> DataFrame:
-    """(doc_id, th, key, n, parities, signatures) of every row; a task gives a set's signatures once, so that copies are no load."""
+    """(doc_id, th, key, n, spare, parities, signatures) of every row; a task gives a set's signatures once, so that copies
+    are no load."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = shared.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                keys, sizes, bits, found = [], [], [], []
+                keys, sizes, spares, bits, found = [], [], [], [], []
                 for text in some.column(2).to_pylist():
                     h = shingle_set(text)
                     key = _key(h)
@@ -106,18 +122,20 @@ def _described(texts: DataFrame, shared) -> DataFrame:
                     sizes.append(len(h))
                     bits.append(parities(h))
                     new = len(h) and key not in seen
-                    found.append(signatures(h, _often(h, frequent) == 0) if new else h[:0])
+                    some_signatures, spare = signatures(h, _often(h, frequent) == 0) if new else (h[:0], -1)
+                    found.append(some_signatures)
+                    spares.append(spare)
                     seen.add(key)
                 ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))
                 lanes = np.stack(bits)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(lanes[:, k]) for k in range(LANES)), lists],
-                    names=["doc_id", "th", "key", "n", *_PARITIES, "signatures"],
+                    [some.column(0), some.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(spares, pa.int64()), *(pa.array(lanes[:, k]) for k in range(LANES)), lists],
+                    names=["doc_id", "th", "key", "n", "spare", *_PARITIES, "signatures"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, {', '.join(f'{b} bigint' for b in _PARITIES)}, signatures array<bigint>")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, key bigint, n bigint, spare bigint, {', '.join(f'{b} bigint' for b in _PARITIES)}, signatures array<bigint>")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +185,12 @@ def _sets(texts: DataFrame, passing) -> DataFrame:
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose sizes and sketches allow their similarity."""
+    """(u, v, distance): those of the pairs (u, v) whose sizes and sketches allow their similarity."""
     side = lambda key, mark: sets.select(F.col("key").alias(key), F.col("size").alias(f"n_{mark}"), *(F.col(b).alias(f"{b}_{mark}") for b in _PARITIES))
     both = pairs.join(side("u", "u"), "u").join(side("v", "v"), "v")
     distance = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in _PARITIES))
-    return both.where(_sized(F.col("n_u"), F.col("n_v"))).where(9 * distance <= F.col("n_u") + F.col("n_v")).select("u", "v")
+    allowed = both.where(_sized(F.col("n_u"), F.col("n_v"))).withColumn("distance", distance)
+    return allowed.where(9 * F.col("distance") <= F.col("n_u") + F.col("n_v")).select("u", "v", "distance")
 
 
 def _sized(m: Column, n: Column) -> Column:
@@ -179,8 +198,8 @@ def _sized(m: Column, n: Column) -> Column:
 
 
 def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFrame:
-    """(node, root) of the keys that are linked. Every set is held against one other first, which joins most copies; then
-    any two that meet and are not of one group are."""
+    """(node, root) of the keys that are linked. Every set is first held against the nearest of the centres that it meets,
+    which joins most copies; then any two that meet and are not of one group are."""
     spark = first.sparkSession
 
     def verified(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -192,10 +211,19 @@ def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFr
         found = found if known is None else known.unionByName(found)
         return write(_verified(pairs, found), "links"), found
 
-    near = _close(met.where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct(), first)
-    tested = write(near.groupBy("u").agg(F.min("v").alias("v")), "pairs")
+    # The centre at a signature: the set with the fewest signatures of its own, such as the one that others are copies of.
+    own = met.groupBy("key").agg(F.count("*").alias("shared")).join(first.select("key", "given"), "key").select("key", (F.col("given") - F.col("shared")).alias("own"))
+    by = write(met.join(own, "key").groupBy("s").agg(F.min(F.struct("own", "key")).alias("c"), F.count("*").alias("sets")).select("s", F.col("c.key").alias("centre"), (F.col("sets") > COMMON).alias("common")), "centres")
+    placed = write(met.join(by, "s"), "placed")
+    centres = placed.select(F.col("key").alias("u"), F.explode(F.array("centre", "low")).alias("v")).where("u <> v").distinct()
+    near = _close(centres, first)
+    tested = write(near.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")), "pairs")
     edges, sets = verified(tested, None)
-    now = met.join(write(components(edges), "roots").select(F.col("node").alias("key"), "root"), "key", "left").select("s", "key", F.coalesce("root", "key").alias("group"))
+    grouped = write(components(edges), "roots").select(F.col("node").alias("key"), "root")
+    # A set with no more common signatures than it can spare meets all that are like it at others.
+    heavy = placed.groupBy("key").agg(F.count_if("common").alias("n")).join(first.select("key", "spare"), "key").where("n > spare").select("key")
+    open_ = placed.where("not common").select("s", "key").unionByName(placed.where("common").select("s", "key").join(heavy, "key", "left_semi"))
+    now = open_.join(grouped, "key", "left").select("s", "key", F.coalesce("root", "key").alias("group"))
     # Only signatures where several groups meet; the members of the largest one there are not held against each other.
     sizes = now.groupBy("s", "group").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("s").agg(F.max_by("group", F.struct("c", "group")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("s", "largest")
@@ -204,7 +232,7 @@ def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFr
     alike = left.join(others, "s").where("group <> g and (big or key > v)").where(_sized(F.col("size"), F.col("n")))
     pairs = alike.select(F.col("key").alias("u"), F.col("v")).distinct()
     same = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = write(_close(pairs.join(same, ["u", "v"], "left_anti"), first), "pairs")
+    more = write(_close(pairs.join(same, ["u", "v"], "left_anti"), first).select("u", "v"), "pairs")
     found, _ = verified(more, sets)
     return write(components(edges.unionByName(found)), "roots")
 
@@ -233,7 +261,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(column(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most overlap.FREQUENT shingles
     rows = write(_described(texts, shared), "rows")
-    first = write(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in _PARITIES)), "distinct")
+    first = write(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.max("spare").alias("spare"), F.max(F.size("signatures")).alias("given"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in _PARITIES)), "distinct")
     at = Window.partitionBy("s", F.when(F.col("low").isNotNull(), F.col("key")))  # those that stand for others meet; the rest are dealt out
     gathered = rows.where(F.size("signatures") > 0).select("key", "signatures").mapInArrow(_gathered, "s bigint, key bigint, low bigint, alone boolean")
     placed = gathered.withColumns({"least": F.min("key").over(at), "most": F.max("key").over(at)})
