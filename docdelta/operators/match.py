@@ -34,10 +34,14 @@ def _both(fields: DataFrame, item: Column) -> DataFrame:
     return fields.groupBy("pair_id").agg(of("word").alias("w"), of("pdf").alias("p"))
 
 
-def _found(direction, ord_: Column, raw=None, other=None, value=None) -> Column:
+_FOUND = "direction:string,ord:int,raw:string,other:string,value:double,detail:string"
+
+
+def _found(direction, ord_: Column, raw=None, other=None, value=None, detail=None) -> Column:
     direction = F.lit(direction) if isinstance(direction, str) else direction
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    return F.struct(direction.alias("direction"), ord_.cast("int").alias("ord"), text(raw).alias("raw"), text(other).alias("other"), (F.lit(None).cast("double") if value is None else value).alias("value"))
+    value = F.lit(None).cast("double") if value is None else value
+    return F.struct(direction.alias("direction"), ord_.cast("int").alias("ord"), text(raw).alias("raw"), text(other).alias("other"), value.alias("value"), text(detail).alias("detail"))
 
 
 def _numbered(items: Column) -> Column:
@@ -45,30 +49,32 @@ def _numbered(items: Column) -> Column:
 
 
 def matched_sets(w: Column, p: Column) -> Column:
-    """JN-01, JN-02 on the arrays of both sides' texts."""
-    word = F.transform(w, lambda x, i: _found(F.when(F.array_contains(p, x), "matched").otherwise("missing_in_pdf"), i, x))
-    return F.concat(word, F.transform(F.filter(_numbered(p), lambda o: ~F.array_contains(w, o["x"])), lambda o: _found("extra_in_pdf", o["ord"], o["x"])))
+    """JN-01, JN-02 on the arrays of both sides' items (raw, detail): what is equal is on both sides, duplicates kept."""
+    word = F.transform(w, lambda x, i: _found(F.when(F.exists(p, lambda o: o["raw"] == x["raw"]), "matched").otherwise("missing_in_pdf"), i, x["raw"], detail=x["detail"]))
+    extra = F.filter(_numbered(p), lambda o: ~F.exists(w, lambda x: x["raw"] == o["x"]["raw"]))
+    return F.concat(word, F.transform(extra, lambda o: _found("extra_in_pdf", o["ord"], o["x"]["raw"], detail=o["x"]["detail"])))
 
 
 def matched_shares(w: Column, p: Column, tolerance: float = vocab.PERCENT_TOLERANCE) -> Column:
-    """JN-03 on the arrays of both sides' values: an item may match many times."""
-    near = lambda x, others: F.exists(others, lambda o: F.abs(x - o) < tolerance)
-    word = F.transform(w, lambda x, i: _found(F.when(near(x, p), "matched").otherwise("missing_in_pdf"), i, value=x))
-    return F.concat(word, F.transform(F.filter(_numbered(p), lambda o: ~near(o["x"], w)), lambda o: _found("extra_in_pdf", o["ord"], value=o["x"])))
+    """JN-03 on the arrays of both sides' items (value, detail): an item may match many times."""
+    near = lambda x, others: F.exists(others, lambda o: F.abs(x["value"] - o["value"]) < tolerance)
+    word = F.transform(w, lambda x, i: _found(F.when(near(x, p), "matched").otherwise("missing_in_pdf"), i, value=x["value"], detail=x["detail"]))
+    extra = F.filter(_numbered(p), lambda o: ~near(o["x"], w))
+    return F.concat(word, F.transform(extra, lambda o: _found("extra_in_pdf", o["ord"], value=o["x"]["value"], detail=o["x"]["detail"])))
 
 
 def matched_in_turn(w: Column, p: Column, accept: Callable[[Column, Column], Column]) -> Column:
-    """JN-04, JN-05 on the arrays of both sides' items (ord, raw, ...): each word item in order takes the first free pdf item
-    that ``accept`` allows. The order decides the result, so this is one fold; the extra items are what none took."""
-    start = F.struct(p.alias("free"), F.array().cast("array<struct<direction:string,ord:int,raw:string,other:string,value:double>>").alias("out"))
+    """JN-04, JN-05 on the arrays of both sides' items (ord, raw, detail, ...): each word item in order takes the first free
+    pdf item that ``accept`` allows. The order decides the result, so this is one fold; the extra items are what none took."""
+    start = F.struct(p.alias("free"), F.array().cast(f"array<struct<{_FOUND}>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         told = lambda found, free: F.struct(free.alias("free"), F.array_append(a["out"], found).alias("out"))
         fit = F.get(F.filter(a["free"], lambda o: accept(x, o)), 0)
-        return T.let(fit, lambda o: F.when(o.isNull(), told(_found("missing_in_pdf", x["ord"], x["raw"]), a["free"])).otherwise(
-            told(_found("matched", x["ord"], x["raw"], o["raw"]), F.filter(a["free"], lambda f: f["ord"] != o["ord"]))))
+        return T.let(fit, lambda o: F.when(o.isNull(), told(_found("missing_in_pdf", x["ord"], x["raw"], detail=x["detail"]), a["free"])).otherwise(
+            told(_found("matched", x["ord"], x["raw"], o["raw"], detail=x["detail"]), F.filter(a["free"], lambda f: f["ord"] != o["ord"]))))
 
-    return F.aggregate(w, start, step, lambda a: F.concat(a["out"], F.transform(a["free"], lambda f: _found("extra_in_pdf", f["ord"], f["raw"]))))
+    return F.aggregate(w, start, step, lambda a: F.concat(a["out"], F.transform(a["free"], lambda f: _found("extra_in_pdf", f["ord"], f["raw"], detail=f["detail"]))))
 
 
 def tolerance_match(fields: DataFrame, tolerance: float = vocab.PERCENT_TOLERANCE) -> DataFrame:
@@ -86,8 +92,8 @@ def tolerance_match(fields: DataFrame, tolerance: float = vocab.PERCENT_TOLERANC
 
 def greedy_match(fields: DataFrame, columns: list[str], accept: Callable[[Column, Column], Column]) -> DataFrame:
     """:func:`matched_in_turn` on fields in long form."""
-    found = _both(fields, F.struct("ord", "raw", "value", *columns)).select("pair_id", F.inline(matched_in_turn(F.col("w"), F.col("p"), accept)))
-    return found.drop("value")
+    found = _both(fields, F.struct("ord", "raw", "value", F.lit(None).cast("string").alias("detail"), *columns)).select("pair_id", F.inline(matched_in_turn(F.col("w"), F.col("p"), accept)))
+    return found.drop("value", "detail")
 
 
 def _same_number(w: Column, p: Column) -> Column:
@@ -115,25 +121,28 @@ def match_amounts(fields: DataFrame) -> DataFrame:
 
 def _items(text: Column, keywords: list[str] | None) -> dict[str, Column]:
     """What of a text takes part in matching, by family."""
-    number = lambda x, i: F.struct(i.alias("ord"), x["raw"].alias("raw"), x["value"].alias("value"), T.han_runs(x["context"]).alias("runs"))
-    amount = lambda x, i: F.struct(i.alias("ord"), x["raw"].alias("raw"), T.number(x["raw"]).alias("value"), T.keyword(x["keyword"]).alias("kw"), _amount_words(extract.amount_context(text, x)).alias("ctx"))
+    item = lambda x, i, *more: F.struct(i.alias("ord"), x["raw"].alias("raw"), T.number(x["raw"]).alias("value"), *more)
+    number = lambda x, i: item(x, i, x["context"].alias("detail"), T.han_runs(x["context"]).alias("runs"))
+    amount = lambda x, i: item(x, i, x["keyword"].alias("detail"), T.keyword(x["keyword"]).alias("kw"), _amount_words(extract.amount_context(text, x)).alias("ctx"))
+    none = F.lit(None).cast("string").alias("detail")
     return {
-        "numbers": F.transform(extract.number_items(text), number), "dates": F.transform(extract.date_items(text), lambda x: x["norm"]), "amounts_words": F.transform(extract.word_items(text), lambda x: x["raw"]),
-        "amounts_digits": F.transform(extract.amount_items(text, keywords), amount), "percentages": F.transform(extract.percentage_items(text), lambda x: x["g1"].cast("double") / 100),
+        "numbers": F.transform(extract.number_items(text), number), "dates": F.transform(extract.date_items(text), lambda x: F.struct(x["norm"].alias("raw"), x["raw"].alias("detail"))),
+        "amounts_words": F.transform(extract.word_items(text), lambda x: F.struct(x["raw"], none)), "amounts_digits": F.transform(extract.amount_items(text, keywords), amount),
+        "percentages": F.transform(extract.percentage_items(text), lambda x: F.struct((x["g1"].cast("double") / 100).alias("value"), x["raw"].alias("detail"))),
     }
 
 
 def matched_items(both: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    """(pair_id, family, direction, ord, raw, other, value) of all families of each pair (pair_id, word, pdf).
+    """(pair_id, family, direction, ord, raw, other, value, detail) of all families of each pair (pair_id, word, pdf).
 
     A pair's texts lie in one row, where they are read and matched: no shuffle, and no task holds more than a pair. Texts
-    are to be normalised before. A null text has no items. ``raw`` is the norm of a date; percentages have a value and
-    no raw.
+    are to be normalised before. A null text has no items. ``raw`` is the norm of a date; percentages have a value and no
+    raw. ``detail`` is a number's context, an amount's keyword, or a date or percentage as it stands in the text.
     """
     sides = {s: _items(F.col(s), keywords) for s in ("word", "pdf")}
     read = both.select("pair_id", *(F.coalesce(s, F.lit("")).alias(s) for s in ("word", "pdf"))).select("pair_id", *(c.alias(f"{f}_{s}") for s, items in sides.items() for f, c in items.items()))
     how = {"numbers": lambda w, p: matched_in_turn(w, p, _same_number), "dates": matched_sets, "amounts_words": matched_sets, "amounts_digits": lambda w, p: matched_in_turn(w, p, _same_amount), "percentages": matched_shares}
-    fields = ("direction", "ord", "raw", "other", "value")
+    fields = ("direction", "ord", "raw", "other", "value", "detail")
     named = lambda f, found: F.transform(found, lambda x: F.struct(F.lit(f).alias("family"), *(x[c].alias(c) for c in fields)))
     return read.select("pair_id", F.inline(F.concat(*(named(f, run(F.col(f"{f}_word"), F.col(f"{f}_pdf"))) for f, run in how.items()))))
 

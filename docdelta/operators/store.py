@@ -88,11 +88,17 @@ def trail_summary(records: DataFrame, at: str, key: str, *, recent: int = 10) ->
     return sums.withColumn("recent", newest.select(F.transform("x", lambda s: s[key])).scalar())
 
 
-def export_trail(records: DataFrame, at: str, key: str) -> DataFrame:
-    """SNK-16: a JSON line for each record, in order, with its number and the number of all; written as text files the
-    parts follow on."""
-    total = records.agg(F.count("*").alias("n")).scalar()
-    return records.orderBy(at, key).select(F.to_json(F.struct(*records.columns, total.alias("total_records"))).alias("value"))
+def export_trail(records: DataFrame, *order: str, exported_at: str) -> DataFrame:
+    """SNK-16: the lines of one JSON document {exported_at, total_records, records}, in order: written as text, the files one
+    after the other are the document. Records are sorted by ranges, so no task holds them all; ``order`` has to tell them
+    apart, and the driver gets two small rows."""
+    last = records.agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("last"))
+    n, end = last.select("n").scalar(), last.select("last").scalar()
+    record = F.to_json(F.struct(*records.columns))
+    lines = records.select(F.lit(1).alias("part"), *order, F.concat(record, F.when(F.struct(*order) == end, "").otherwise(",")).alias("value"))
+    edge = lambda part, value: records.sparkSession.range(1).select(F.lit(part).alias("part"), *(F.lit(None).cast(records.schema[c].dataType).alias(c) for c in order), value.alias("value"))
+    head = edge(0, F.concat(F.lit(f'{{"exported_at":"{exported_at}","total_records":'), n, F.lit(',"records":[')))
+    return head.unionByName(lines).unionByName(edge(2, F.lit("]}"))).orderBy("part", *order).select("value")
 
 
 def health(parts: DataFrame, every: bool = False) -> DataFrame:

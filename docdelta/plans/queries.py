@@ -93,12 +93,12 @@ def agg_01_contract_summary(spark, sf_dir):
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-04, FN-39: all sections as one list with risks."""
     risk = report.label(F.col("family"), vocab.FAMILY_RISK)
-    return _matched(spark, sf_dir).select("pair_id", "family", "direction", F.coalesce("raw", F.col("value").cast("string")).alias("raw"), risk.alias("risk"))
+    return _matched(spark, sf_dir).select("pair_id", "family", "direction", "ord", F.coalesce("raw", F.col("value").cast("string")).alias("raw"), "detail", risk.alias("risk"))
 
 
 @query
 def set_04_diff_items(spark, sf_dir):
-    return _items(spark, sf_dir).where("direction <> 'matched' and family <> 'percentages'")
+    return _items(spark, sf_dir).where("direction <> 'matched' and family <> 'percentages'").select("pair_id", "family", "direction", "raw", "risk")
 
 
 @query
@@ -366,6 +366,11 @@ def fn_01_normalise(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("text"))
 
 
+@query
+def fn_01_contracts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("pair_id", "side", "text")
+
+
 @query
 def fn_73_text_diff(spark, sf_dir):
     return textdiff.diff(corpus.contract_pairs(spark, sf_dir))
@@ -385,7 +390,14 @@ def fn_47_post_correct(spark, sf_dir):
 
 @query
 def snk_01_text_report(spark, sf_dir):
-    return report.text_report(_items(spark, sf_dir))
+    """The recognised tokens of a conversation stand for those of the pair of its number."""
+    doubtful = tokens.low_confidence(corpus.tokens(spark, sf_dir)).select(F.col("doc_id").alias("pair_id"), "text", "confidence", "page")
+    return report.text_report(_items(spark, sf_dir), _files(spark, sf_dir), doubtful)
+
+
+def _files(spark, sf_dir):
+    named = lambda mark, kind: F.concat(F.lit(mark), "o_orderkey", F.lit(kind))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), named("in/w", ".docx").alias("word_file"), named("in/p", ".pdf").alias("pdf_file"), F.col("o_orderdate").alias("at"))
 
 
 @query
@@ -395,19 +407,17 @@ def snk_03_json(spark, sf_dir):
 
 @query
 def snk_02_full_json(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    files = orders.select(F.col("o_orderkey").alias("pair_id"), F.concat(F.lit("w"), "o_orderkey", F.lit(".docx")).alias("word_file"), F.concat(F.lit("p"), "o_orderkey", F.lit(".pdf")).alias("pdf_file"), F.col("o_orderdate").alias("at"))
-    return report.full_json(_items(spark, sf_dir), files)
+    return report.full_json(_items(spark, sf_dir), _files(spark, sf_dir))
 
 
 @query
 def snk_11_html_report(spark, sf_dir):
-    return report.html_report(_items(spark, sf_dir), corpus.contract_pairs(spark, sf_dir))
+    return report.html_report(_items(spark, sf_dir), corpus.contract_pairs(spark, sf_dir).select("pair_id", *(T.normalise(F.col(c)).alias(c) for c in ("word", "pdf"))))
 
 
 @query
 def snk_16_trail_export(spark, sf_dir):
-    return store.export_trail(corpus.tasks(spark, sf_dir).select("task_id", "status", "user_id"), "task_id", "status")
+    return store.export_trail(corpus.tasks(spark, sf_dir).select("task_id", "status", "user_id"), "task_id", "status", exported_at="2024-01-01T00:00:00")
 
 
 @query
@@ -417,7 +427,7 @@ def agg_03_text_diff_summary(spark, sf_dir):
 
 @query
 def win_05_difference_ids(spark, sf_dir):
-    return report.numbered(_items(spark, sf_dir)).groupBy("pair_id").agg(F.max("id").alias("last_id"))
+    return report.numbered(_items(spark, sf_dir)).select("pair_id", "id", "family", "direction", "ord", "raw")
 
 
 @query

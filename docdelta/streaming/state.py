@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,35 +14,52 @@ from ..functions import vocab
 _OUT = "client string, at double, admitted boolean"
 
 
+def admitted(now: float, kept: list[float], per_minute: int = vocab.RATE_PER_MINUTE, burst: int = vocab.RATE_BURST) -> bool:
+    """STR-01: whether a request passes, given the admitted ones of the last minute."""
+    return not (len(kept) >= burst and now - kept[0] < 1.0) and len(kept) < per_minute
+
+
 def admit(times: list[float], kept: list[float], per_minute: int = vocab.RATE_PER_MINUTE, burst: int = vocab.RATE_BURST) -> tuple[list[bool], list[float]]:
     """STR-01: verdicts for requests in order, and the admitted times still counted. Only admitted requests count."""
     out = []
     for now in times:
         kept = [t for t in kept if now - t < 60]
-        ok = not (len(kept) >= burst and now - kept[0] < 1.0) and len(kept) < per_minute
+        ok = admitted(now, kept, per_minute, burst)
         out.append(ok)
         if ok:
             kept.append(now)
     return out, kept
 
 
-def rate_limit_batch(requests: DataFrame) -> DataFrame:
-    """(client, at) → (client, at, admitted) in a batch. A client's window holds at most the limit; its requests are
-    taken in order, so they are one group, streamed in sorted Arrow batches with the window carried on."""
+def rate_limit_batch(requests: DataFrame, idle: int = 60) -> DataFrame:
+    """(client, at) → (client, at, admitted) in a batch.
+
+    After ``idle`` seconds without requests nothing counts any more, so a client's requests fall into sessions that are
+    taken each by itself, in order, in sorted Arrow batches with a window of at most the limit carried on. Sessions are
+    told from the first and last request of each minute, which are far fewer than the requests.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, kept = None, []
+        of, kept = None, []
         for batch in batches:
             verdicts = []
-            for who, at in zip(batch.client, batch["at"]):
-                if who != client:
-                    client, kept = who, []
-                ok, kept = admit([at], kept)
-                verdicts += ok
+            for who, session, at in zip(batch.client, batch.session, batch["at"]):
+                if (who, session) != of:
+                    of, kept = (who, session), []
+                kept = [t for t in kept if at - t < idle]
+                ok = admitted(at, kept)
+                if ok:
+                    kept.append(at)
+                verdicts.append(ok)
             yield pd.DataFrame({"client": batch.client, "at": batch["at"], "admitted": verdicts})
 
-    rows = requests.select(F.col("client").cast("string").alias("client"), F.col("at").cast("double").alias("at"))
-    return rows.repartition("client").sortWithinPartitions("client", "at").mapInPandas(run, _OUT)
+    rows = requests.select(F.col("client").cast("string").alias("client"), F.col("at").cast("double").alias("at")).withColumn("minute", F.floor(F.col("at") / idle))
+    minutes = rows.groupBy("client", "minute").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    in_turn = Window.partitionBy("client").orderBy("minute")
+    begins = F.coalesce((F.col("first") - F.lag("last").over(in_turn) >= idle).cast("int"), F.lit(1))
+    sessions = minutes.withColumn("begins", begins).withColumn("session", F.sum("begins").over(in_turn)).select("client", "minute", "session")
+    told = rows.join(sessions, ["client", "minute"]).select("client", "session", "at")
+    return told.repartition("client", "session").sortWithinPartitions("client", "session", "at").mapInPandas(run, _OUT)
 
 
 def rate_limit(requests: DataFrame) -> DataFrame:
