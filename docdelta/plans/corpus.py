@@ -109,7 +109,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TOKENS.format(words="{words}", len="length(w)"), words=words)
 
 
-_TOKENS = """SELECT doc_id, page, i AS ord, CASE WHEN i % 11 = 0 THEN '金额' || (i * 100) || '元' WHEN i % 13 = 0 THEN '工期：' || w WHEN i % 17 = 0 THEN '押金' WHEN i % 19 = 0 THEN '验收标淮' WHEN i % 23 = 0 THEN '租赁期眼A' ELSE w END AS text,
+_TOKENS = """SELECT doc_id, page, i AS ord, CASE WHEN i % 11 = 0 THEN '金额' || (i * 100) || '元' WHEN i % 13 = 0 THEN '工期：' || w WHEN i % 17 = 0 THEN '押金' WHEN i % 19 = 0 THEN '验收标淮' WHEN i % 23 = 0 THEN '租赁期眼A' WHEN i % 29 = 0 THEN '甲方：' || w WHEN i % 31 = 0 THEN '交货期' WHEN i % 37 = 0 THEN '工资 ' || i || '元' ELSE w END AS text,
   CAST((i * 37 + doc_id * 7) % 100 AS DOUBLE) / 100 AS confidence,
   (i % 8) * 70 AS x1, CAST(floor(i / 8) AS INT) * 30 + i % 3 AS y1, (i % 8) * 70 + {len} * 6 + (i % 5) * 4 AS x2, CAST(floor(i / 8) AS INT) * 30 + i % 3 + 18 AS y2
 FROM {words} WHERE w <> ''"""

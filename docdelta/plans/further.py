@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab
 from ..operators import extract, report, service, sheets, store, tokens
-from ..sources import files
+from ..sources import files, render
 from ..streaming import state
 from . import corpus
-from .oracle import _AUD, _CELLNUM, _RISK, ALL, C, NUMBERS, ORACLES, q, with_
-from .queries import QUERIES, _docs, _items, _table
+from .oracle import _AUD, _CELLNUM, _FIELDS, _RISK, ALL, C, ITEMS, NUMBERS, ORACLES, q, with_
+from .queries import QUERIES, _docs, _items, _table, fn_73_text_diff
 
 SECRET = "docdelta-keys"
 
@@ -294,3 +295,80 @@ def str_06_trail(spark, sf_dir):
 @query(with_(corpus.DUCK_SHEETS) + "SELECT sheet, in_a, in_b, CASE WHEN in_a AND in_b THEN 'matched' WHEN in_a THEN 'only_in_a' ELSE 'only_in_b' END AS status, CAST(row_number() OVER (ORDER BY NOT in_a, CASE WHEN in_a THEN no_a ELSE no_b END, sheet) AS INTEGER) AS place FROM (SELECT sheet, bool_or(book = 'a') AS in_a, bool_or(book = 'b') AS in_b, min(sheet_no) FILTER (book = 'a') AS no_a, min(sheet_no) FILTER (book = 'b') AS no_b FROM cells GROUP BY sheet)")
 def jn_07_sheets(spark, sf_dir):
     return sheets.sheet_presence(corpus.sheet_cells(spark, sf_dir))
+
+
+# Files written from the tables and read again.
+@query(with_(corpus.DUCK_SHEETS) + """, placed AS (
+  SELECT book || '-' || split_part(sheet, '-', 2) AS path, sheet, dense_rank() OVER (PARTITION BY book, sheet ORDER BY row) + 1 AS row, col, value FROM cells WHERE sheet NOT LIKE 'S6-%'
+  UNION ALL SELECT DISTINCT book || '-' || split_part(sheet, '-', 2), sheet, 1, col, header FROM cells WHERE sheet NOT LIKE 'S6-%')
+SELECT path, sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, value FROM placed""")
+def src_10_xlsx(spark, sf_dir):
+    """Workbooks of eight sheets, one of them hidden; their empty cells are not in the files."""
+    cells = corpus.sheet_cells(spark, sf_dir).withColumn("book", F.concat_ws("-", "book", F.substring_index("sheet", "-", -1)))
+    rows = cells.withColumn("row", (F.dense_rank().over(Window.partitionBy("book", "sheet").orderBy("row")) + 1).cast("bigint"))
+    heads = cells.select("book", "sheet", "sheet_no", F.lit(1).cast("bigint").alias("row"), "col", F.col("header").alias("value")).distinct()
+    every = rows.select(*heads.columns).unionByName(heads).withColumn("hidden", F.startswith("sheet", F.lit("S6-")))
+    return files.read_xlsx(render.render_workbooks(every).withColumnRenamed("book", "path"))
+
+
+@query(with_(C) + """SELECT pair_id || '.docx' AS path, raw_text || chr(10) || '编号 HT-' || pair_id || chr(10) || '备注 ' AS full_text, CAST(len(string_split(raw_text, chr(10))) AS INTEGER) AS n_paragraphs FROM contracts WHERE side = 'word'""")
+def src_01_docx(spark, sf_dir):
+    """Word files with what tracked changes deleted in every third paragraph, and a table."""
+    contracts = corpus.contracts(spark, sf_dir).where("side = 'word'")
+    run = lambda text, gone: F.struct(text.alias("text"), F.lit(gone).alias("deleted"))
+    paragraph = lambda line, k: F.when(k % 3 == 2, F.array(run(F.lit("删除<甲>"), True), run(line, False))).otherwise(F.array(run(line, False)))
+    rows = F.array(F.array(F.lit("编号"), F.concat(F.lit("HT-"), "pair_id")), F.array(F.lit("备注"), F.lit("")))
+    docs = contracts.select(F.concat("pair_id", F.lit(".docx")).alias("path"), F.transform(F.split("text", "\n", -1), paragraph).alias("paragraphs"), rows.alias("rows"))
+    return files.read_docx(render.render_documents(docs)).select("path", "full_text", F.size("paragraphs").alias("n_paragraphs"))
+
+
+_KINDS = "CASE event_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.txt' ELSE '.tiff.pdf' END"
+
+
+@query(f"SELECT event_id, 'in/' || event_id || {_KINDS} AS path FROM events WHERE event_id % 4 < 2")
+def src_09_images(spark, sf_dir):
+    return files.images(_table(spark, sf_dir, "events").select("event_id", F.expr(f"'in/' || event_id || {_KINDS}").alias("path")))
+
+
+_TWO_WORDS = "[string_split(text, ' ')[2], string_split(text, ' ')[5]]"
+_MARKED = f"list_reduce({_TWO_WORDS}, lambda a, t: CASE WHEN t <> '' AND strpos(a, t) > 0 THEN left(a, strpos(a, t) - 1) || chr(57344) || '1' || t || chr(57344) || '0' || substr(a, strpos(a, t) + length(t)) ELSE a END, text)"
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS n, CASE WHEN starts_with(unnest(p), '1') THEN 'hit' ELSE 'normal' END AS mode, substr(unnest(p), 2) AS text FROM (SELECT doc_id, list_filter(string_split('0' || {_MARKED}, chr(57344)), lambda x: length(x) > 1) AS p FROM documents)")
+def fn_55_segments(spark, sf_dir):
+    words = F.split("text", " ", -1)
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.segments(F.col("text"), F.array(F.get(words, 1), F.get(words, 4)), "hit")).alias("n", "s"))
+    return found.select("doc_id", "n", "s.mode", "s.text")
+
+
+@query()
+def snk_09_cards(spark, sf_dir):
+    return report.html_cards(fn_73_text_diff(spark, sf_dir))
+
+
+@query(with_(*ITEMS) + "SELECT pair_id, family, count(*) AS n FROM detailed WHERE direction <> 'matched' GROUP BY pair_id, family")
+def snk_05_summary(spark, sf_dir):
+    return report.difference_tables(_items(spark, sf_dir))["summary"]
+
+
+@query("WITH " + corpus.DUCK_TASKS + """, t AS (SELECT CAST(user_id AS VARCHAR) AS task_id, status, epoch_us(created_at) // 1000 AS ms FROM tasks),
+s AS (SELECT *, coalesce(lead(ms) OVER (PARTITION BY task_id ORDER BY ms, status), (SELECT max(ms) FROM t) + 86400000) AS after FROM t)
+SELECT task_id, status, ms AS last_ms, ms + 21600000 AS expired_ms FROM s WHERE after - ms >= 21600000""")
+def str_02_expiries(spark, sf_dir):
+    changes = corpus.tasks(spark, sf_dir).select(F.col("user_id").alias("task_id"), "status", F.col("created_at").cast("timestamp").alias("changed_at"))
+    return state.expiries_batch(changes, 6 * 3600, changes.agg(F.max("changed_at") + F.expr("interval 1 day")).scalar())
+
+
+@query(ORACLES["jn_15_construction_fields"].replace(_FIELDS("construction"), _FIELDS("general")))
+def jn_15_general_fields(spark, sf_dir):
+    return tokens.keyword_hits(corpus.tokens(spark, sf_dir), "general")
+
+
+@query(ORACLES["jn_15_construction_fields"].replace(_FIELDS("construction"), _FIELDS("procurement")))
+def jn_15_procurement_fields(spark, sf_dir):
+    return tokens.keyword_hits(corpus.tokens(spark, sf_dir), "procurement")
+
+
+@query(ORACLES["jn_15_construction_fields"].replace(_FIELDS("construction"), _FIELDS("labor")))
+def jn_15_labor_fields(spark, sf_dir):
+    return tokens.keyword_hits(corpus.tokens(spark, sf_dir), "labor")

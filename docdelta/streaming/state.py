@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions import vocab
 
@@ -100,3 +102,55 @@ def trail(steps: DataFrame) -> DataFrame:
     entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.map_entries("details").alias("entries")))), lambda s: s["entries"]))
     merged = F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda a, e: F.map_concat(F.map_filter(a, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
     return steps.groupBy("operation_id").agg(F.max_by("step", "at").alias("status"), merged.alias("details"))
+
+
+class _Expiry(StatefulProcessor):
+    """The last status of a task, until a time after its last change."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.last.get() if self.last.exists() else None
+        for frame in rows:
+            for status, at in zip(frame.status, frame["ms"]):
+                if known is None or (int(at), status) > (known[1], known[0]):
+                    known = (status, int(at))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update(known)
+        self.handle.registerTimer(known[1] + 1000 * self.seconds)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, at = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "last_ms": [at], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiries(changes: DataFrame, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """STR-02, STR-07 on a stream of (task_id, status, changed_at): (task_id, status, last_ms, expired_ms) of every task that
+    nothing has changed for ``seconds``, as soon as the watermark says so.
+
+    State is one row for each living task, dropped with its timer; changes come in any order within ``late``, later ones
+    are left out. A task that changes again after it expired lives again. Needs the RocksDB state store.
+    """
+    rows = changes.select(F.col("task_id").cast("string").alias("task_id"), "status", "changed_at").withWatermark("changed_at", late).withColumn("ms", F.unix_millis("changed_at"))
+    out = "task_id string, status string, last_ms bigint, expired_ms bigint"
+    return rows.groupBy("task_id").transformWithStateInPandas(_Expiry(seconds), out, "Append", "EventTime")
+
+
+def expiries_batch(changes: DataFrame, seconds: int, now: Column) -> DataFrame:
+    """What :func:`expiries` has told when its watermark is ``now``: each stretch of a task's changes that ends ``seconds``
+    before the next one or before now."""
+    at = F.unix_millis("changed_at")
+    after = F.coalesce(F.lead("ms").over(Window.partitionBy("task_id").orderBy("ms", "status")), F.unix_millis(now))
+    rows = changes.select(F.col("task_id").cast("string").alias("task_id"), "status", at.alias("ms")).withColumn("after", after)
+    return rows.where(F.col("after") - F.col("ms") >= 1000 * seconds).select("task_id", "status", F.col("ms").alias("last_ms"), (F.col("ms") + 1000 * seconds).alias("expired_ms"))

@@ -1,6 +1,7 @@
 import difflib
 import random
 import io
+import json
 import re
 import zipfile
 
@@ -271,3 +272,45 @@ def test_plans_have_no_cross_join(spark, sf):
 
     for name in ("agg_01_contract_summary", "fn_36_cell_diffs", "jn_16_adjacent"):
         assert not re.search("CartesianProduct", QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()), name
+
+
+def test_sessions_of_the_rate_limiter(spark):
+    """Busy clients, idle minutes and gaps of exactly a minute, against a plain loop."""
+    draw = random.Random(4)
+    rows, wanted = [], []
+    for client in "abc":
+        at, kept = 0.0, []
+        for _ in range(400):
+            at = round(at + draw.choice([0.1, 0.2, 0.5, 3.0, 60.0, 61.5]), 3) if client != "c" else round(at + 0.7, 3)
+            kept = [t for t in kept if at - t < 60]
+            ok = not (len(kept) >= 5 and at - kept[0] < 1.0) and len(kept) < 30
+            kept += [at] * ok
+            rows.append((client, at))
+            wanted.append((client, at, ok))
+    table = spark.createDataFrame(rows, "client string, at double").repartition(4)
+    assert sorted(map(tuple, state.rate_limit_batch(table).collect())) == sorted(wanted)
+
+
+def test_expiry_on_a_stream(spark, tmp_path):
+    """Tasks expire as the watermark passes them, live again when they change, and are told once; a restart goes on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    steps = [[("a", "pending", "10:00:00"), ("b", "pending", "10:00:00")], [("a", "running", "10:30:00")], [("c", "pending", "11:40:00")], [("b", "running", "12:00:00")], [("z", "pending", "14:00:00")], [("z", "done", "14:00:01")]]
+    changes = [(t, s, f"2024-01-01 {at}") for step in steps for t, s, at in step]
+    schema = "task_id string, status string, changed_at timestamp"
+
+    def run(k):
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("task_id", "status", "changed_at"), (t, s, f"2024-01-01 {at}")))) for t, s, at in steps[k]))
+        stream = state.expiries(spark.readStream.schema(schema).json(str(folder)), 3600, "1 minute")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    try:
+        for k in range(len(steps)):  # each a restart of the query
+            run(k)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.task_id, r.status, r.last_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    table = spark.createDataFrame(changes, "task_id string, status string, at string").select("task_id", "status", F.col("at").cast("timestamp").alias("changed_at"))
+    wanted = state.expiries_batch(table, 3600, F.lit("2024-01-01 13:59:01").cast("timestamp"))
+    assert got == sorted((r.task_id, r.status, r.last_ms) for r in wanted.collect()) and [t for t, *_ in got] == ["a", "b", "b", "c"]
