@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .names import column
-from .overlap import _enough, _filter, _frequent, _key, _often, _passes, _verified, shingle_set
+from .overlap import _enough, _filter, _key, _often, _passes, _verified, shingle_set
 from .simhash import named
 from .skew import join_hot
 from .storage import discard, materialise
@@ -33,6 +33,8 @@ LANES = 16
 SEGMENTS_SHARE, LEAST_SEGMENTS = 0.36, 64
 #: A digest of more sets is a common one. A set gives so many more digests than one in common needs, as a share of d.
 COMMON, MORE = 16, 6
+#: Rows whose shingles are counted to know those of passages, and how many of these are kept. Neither changes the result.
+SAMPLE_ROWS, PASSAGES = 20_000, 400_000
 #: Digests that a task holds before it passes them on.
 GATHERED = 1_000_000
 #: Fixed values of a known mixing function.
@@ -105,6 +107,24 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _passages(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least two different texts of a sample have, sorted, with the quarter octaves of how many have
+    them, as :func:`docdelta.llm.overlap._often` takes them."""
+    one_in = max(texts.count() // SAMPLE_ROWS, 1)
+    some = texts.where(F.pmod("th", F.lit(one_in)) == 0).select("th", "text").dropDuplicates(["th"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], names=["h"])
+
+    counted = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "h").limit(PASSAGES).toArrow()
+    h, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.float64)
+    order = np.argsort(h)
+    return h[order], np.minimum(4 * np.log2(n), 127).astype(np.int8)[order]
+
+
 def _described(texts: DataFrame, shared) -> DataFrame:
     """(doc_id, th, key, n, spare, parities, signatures) of every row; a task gives a set's signatures once, so that copies
     are no load."""
@@ -140,7 +160,7 @@ def _described(texts: DataFrame, shared) -> DataFrame:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, signatures) → (s, key, low, alone): each set at each of its signatures. Of the sets that a task has at one, the
-    first comes with low null and stands for the others, which have its key in low."""
+    first stands for the others, which have its key in low; its own is null."""
     keys: list[np.ndarray] = []
     values: list[np.ndarray] = []
 
@@ -185,12 +205,11 @@ def _sets(texts: DataFrame, passing) -> DataFrame:
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, distance): those of the pairs (u, v) whose sizes and sketches allow their similarity."""
+    """Those of the pairs (u, v) whose sizes and sketches allow their similarity."""
     side = lambda key, mark: sets.select(F.col("key").alias(key), F.col("size").alias(f"n_{mark}"), *(F.col(b).alias(f"{b}_{mark}") for b in _PARITIES))
     both = pairs.join(side("u", "u"), "u").join(side("v", "v"), "v")
     distance = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in _PARITIES))
-    allowed = both.where(_sized(F.col("n_u"), F.col("n_v"))).withColumn("distance", distance)
-    return allowed.where(9 * F.col("distance") <= F.col("n_u") + F.col("n_v")).select("u", "v", "distance")
+    return both.where(_sized(F.col("n_u"), F.col("n_v"))).where(9 * distance <= F.col("n_u") + F.col("n_v")).select("u", "v")
 
 
 def _sized(m: Column, n: Column) -> Column:
@@ -198,8 +217,8 @@ def _sized(m: Column, n: Column) -> Column:
 
 
 def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFrame:
-    """(node, root) of the keys that are linked. Every set is first held against the nearest of the centres that it meets,
-    which joins most copies; then any two that meet and are not of one group are."""
+    """(node, root) of the keys that are linked. Every set is first held against one other, which joins most copies; then
+    any two that meet and are not of one group are."""
     spark = first.sparkSession
 
     def verified(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -212,12 +231,12 @@ def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFr
         return write(_verified(pairs, found), "links"), found
 
     # The centre at a signature: the set with the fewest signatures of its own, such as the one that others are copies of.
+    # A set is held against the centre that it meets most often.
     own = met.groupBy("key").agg(F.count("*").alias("shared")).join(first.select("key", "given"), "key").select("key", (F.col("given") - F.col("shared")).alias("own"))
-    by = write(met.join(own, "key").groupBy("s").agg(F.min(F.struct("own", "key")).alias("c"), F.count("*").alias("sets")).select("s", F.col("c.key").alias("centre"), (F.col("sets") > COMMON).alias("common")), "centres")
+    by = met.join(own, "key").groupBy("s").agg(F.min(F.struct("own", "key")).alias("c"), F.count("*").alias("sets")).select("s", F.col("c.key").alias("centre"), (F.col("sets") > COMMON).alias("common"))
     placed = write(met.join(by, "s"), "placed")
-    centres = placed.select(F.col("key").alias("u"), F.explode(F.array("centre", "low")).alias("v")).where("u <> v").distinct()
-    near = _close(centres, first)
-    tested = write(near.groupBy("u").agg(F.min_by("v", F.struct("distance", "v")).alias("v")), "pairs")
+    often = placed.where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("centre", F.struct("n", "centre")).alias("v"))
+    tested = write(_close(often.select(F.col("key").alias("u"), "v"), first), "pairs")
     edges, sets = verified(tested, None)
     grouped = write(components(edges), "roots").select(F.col("node").alias("key"), "root")
     # A set with no more common signatures than it can spare meets all that are like it at others.
@@ -227,12 +246,15 @@ def _groups(first: DataFrame, texts: DataFrame, met: DataFrame, write) -> DataFr
     # Only signatures where several groups meet; the members of the largest one there are not held against each other.
     sizes = now.groupBy("s", "group").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("s").agg(F.max_by("group", F.struct("c", "group")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("s", "largest")
-    left = write(now.join(largest, "s").select("s", "key", "group", F.expr("group = largest").alias("big")).join(first.select("key", "size"), "key"), "left")
-    others = left.where("not big").select("s", F.col("key").alias("v"), F.col("group").alias("g"), F.col("size").alias("n"))
-    alike = left.join(others, "s").where("group <> g and (big or key > v)").where(_sized(F.col("size"), F.col("n")))
+    half = LANES // 2  # a sketch folded in two is one of half the bits
+    folded = first.select("key", "size", *(F.col(a).bitwiseXOR(F.col(b)).alias(a) for a, b in zip(_PARITIES[:half], _PARITIES[half:])))
+    left = write(now.join(largest, "s").select("s", "key", "group", F.expr("group = largest").alias("big")).join(folded, "key"), "left")
+    others = left.where("not big").select("s", F.col("key").alias("v"), F.col("group").alias("g"), F.col("size").alias("n"), *(F.col(b).alias(f"{b}_v") for b in _PARITIES[:half]))
+    apart_ = reduce(lambda x, y: x + y, (F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_v"))) for b in _PARITIES[:half]))
+    alike = left.join(others, "s").where("group <> g and (big or key > v)").where(_sized(F.col("size"), F.col("n")) & (9 * apart_ <= F.col("size") + F.col("n")))
     pairs = alike.select(F.col("key").alias("u"), F.col("v")).distinct()
     same = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = write(_close(pairs.join(same, ["u", "v"], "left_anti"), first).select("u", "v"), "pairs")
+    more = write(_close(pairs.join(same, ["u", "v"], "left_anti"), first), "pairs")
     found, _ = verified(more, sets)
     return write(components(edges.unionByName(found)), "roots")
 
@@ -248,7 +270,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one from the start. About a third as many signatures as shingles move, those of frequent shingles
     last; sets move only if their sketches are close enough to another's. The frequent shingles come from a sample of
-    rows, which changes the work, not the result.
+    texts, which changes the work, not the result.
     """
     paths: list[str] = []
 
@@ -259,13 +281,13 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     text = column(text_col).cast("string")
     texts = docs.select(column(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts))  # at most overlap.FREQUENT shingles
+    shared = docs.sparkSession.sparkContext.broadcast(_passages(texts))  # at most PASSAGES shingles
     rows = write(_described(texts, shared), "rows")
     first = write(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("row"), F.min("n").alias("size"), F.max("spare").alias("spare"), F.max(F.size("signatures")).alias("given"), F.count("*").alias("n"), *(F.min(b).alias(b) for b in _PARITIES)), "distinct")
     at = Window.partitionBy("s", F.when(F.col("low").isNotNull(), F.col("key")))  # those that stand for others meet; the rest are dealt out
     gathered = rows.where(F.size("signatures") > 0).select("key", "signatures").mapInArrow(_gathered, "s bigint, key bigint, low bigint, alone boolean")
     placed = gathered.withColumns({"least": F.min("key").over(at), "most": F.max("key").over(at)})
-    met = write(placed.where("not alone or least < most").select("s", "key", F.coalesce("low", "least").alias("low")), "met")
+    met = write(placed.where("not alone or least < most").select("s", "key").distinct(), "met")  # tasks have copies in common
     label = write(named(first.select("key", "first", "n"), "key", _groups(first, texts, met, write)), "labels")
     linked = join_hot(rows.where("n > 0").select("doc_id", "key", F.col("n").alias("n_shingles")), label, "key", first.agg(F.sum("n")).first()[0] or 0)
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from docdelta.llm import overlap, parity
+from docdelta.llm import parity
 from docdelta.llm.queries import op11_parity
 
 
@@ -41,9 +41,9 @@ def edited(words, *places):
     return " ".join(f"new{k}" if k in places else w for k, w in enumerate(words))
 
 
-@pytest.mark.parametrize("frequent", [overlap.FREQUENT, 0])
+@pytest.mark.parametrize("frequent", [parity.PASSAGES, 0])
 def test_against_brute_force(spark, odd, empty, monkeypatch, frequent):
-    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    monkeypatch.setattr(parity, "PASSAGES", frequent)
     monkeypatch.setattr(parity, "GATHERED", 50)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     for g in range(14):  # chains of copies, each edited a little more, on a common passage, over the edges of bands
@@ -64,7 +64,7 @@ def test_short_texts(spark):
 
 
 def test_texts_of_common_passages(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "FREQUENT", 20)
+    monkeypatch.setattr(parity, "PASSAGES", 20)
     passages = [[f"p{p}w{k}" for k in range(40)] for p in range(6)]
     rows = []
     for d in range(80):
@@ -76,7 +76,7 @@ def test_texts_of_common_passages(spark, monkeypatch):
 def test_copies_of_one_text_and_a_common_passage(spark, monkeypatch):
     """Copies that are each like the original but not like each other, and texts that share a passage and nothing else."""
     monkeypatch.setattr(parity, "COMMON", 3)
-    monkeypatch.setattr(overlap, "FREQUENT", 0)
+    monkeypatch.setattr(parity, "PASSAGES", 0)
     draw = random.Random(8)
     words = [f"o{k}" for k in range(200)]
     rows = [(1000, " ".join(words))] + [(k, edited(words, *draw.sample(range(5, 195), 4))) for k in range(60)]
