@@ -80,8 +80,7 @@ def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
     digits. So numbers are found once, with the text between them, and a shape is a pattern for the end of a gap.
     """
     label = f"({'|'.join(re.escape(k) for k in keywords or vocab.AMOUNT_KEYWORDS)})"
-    unit = lambda s: F.length(F.regexp_extract(s["after"], r"^\s*元", 0))
-    valid = lambda s: _digits(s["raw"]).between(3, 12) & (F.translate(s["raw"], ",.", "").cast("double") >= 100)
+    marked = lambda s: T.let(F.translate(s["raw"], ",.", ""), lambda d: F.struct(*(s[c].alias(c) for c in ("raw", "start", "end", "before")), F.length(F.regexp_extract(s["after"], r"^\s*元", 0)).alias("unit"), (F.length(d).between(3, 12) & (d.cast("double") >= 100)).alias("valid")))
 
     def item(k: int, s: Column, head: Column, pattern: str, end: Column) -> Column:
         start = s["start"] - F.length(head)
@@ -89,7 +88,8 @@ def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
         if k == vocab.SYMBOL_SHAPE:
             first = F.greatest(start - 30, F.lit(0))
             lead = T.strip(F.substr(text, first + 1, start - first))
-            keyword = F.coalesce(*(F.nullif(F.regexp_extract(lead, p, 1), F.lit("")) for p in vocab.SYMBOL_LABELS), keyword)
+            sign = keyword
+            keyword = T.let(lead, lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in vocab.SYMBOL_LABELS), sign))
             first = F.greatest(start - 10, F.lit(0))
             phrase = T.strip(F.substr(text, first + 1, end + 10 - first))
         else:
@@ -98,9 +98,8 @@ def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
 
     def free(k: int, pattern: str, found: Column, with_unit: bool) -> Column:
         """A shape whose finds cannot overlap each other."""
-        head = lambda s: F.regexp_extract(s["before"], pattern, 0)
-        fits = F.filter(found, lambda s: valid(s) & (F.rlike(s["before"], F.lit(pattern))) & ((unit(s) > 0) if with_unit else F.lit(True)))
-        return F.transform(fits, lambda s: item(k, s, head(s), pattern, s["end"] + unit(s) if with_unit else s["end"]))
+        fits = F.filter(found, lambda s: s["valid"] & ((s["unit"] > 0) if with_unit else F.lit(True)) & F.rlike(s["before"], F.lit(pattern)))
+        return F.transform(fits, lambda s: T.let(F.regexp_extract(s["before"], pattern, 0), lambda head: item(k, s, head, pattern, s["end"] + s["unit"] if with_unit else s["end"])))
 
     def in_turn(k: int, pattern: str, found: Column) -> Column:
         """A shape whose last sign may be the label of the next find: what one find has used, the next cannot."""
@@ -109,9 +108,9 @@ def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
 
         def step(a: Column, s: Column) -> Column:
             head = F.regexp_extract(F.substr(s["before"], a["used"] + 1), pattern, 0)
-            told = lambda h, u: F.struct(u.alias("used"), F.when(valid(s), F.array_append(a["out"], item(k, s, h, pattern, s["end"] + u))).otherwise(a["out"]).alias("out"))
+            told = lambda h, u: F.struct(u.alias("used"), F.when(s["valid"], F.array_append(a["out"], item(k, s, h, pattern, s["end"] + u))).otherwise(a["out"]).alias("out"))
             none = F.struct(F.lit(0).alias("used"), a["out"].alias("out"))
-            return T.let(unit(s), lambda u: F.when(u > 0, T.let(head, lambda h: F.when(h != "", told(h, u)).otherwise(none))).otherwise(none))
+            return F.when(s["unit"] > 0, T.let(head, lambda h: F.when(h != "", told(h, s["unit"])).otherwise(none))).otherwise(none)
 
         return F.aggregate(found, start, step, lambda a: a["out"])
 
@@ -122,7 +121,7 @@ def amount_items(text: Column, keywords: list[str] | None = None) -> Column:
             out.append(in_turn(k, ending, found) if with_unit and "LABEL" in pattern else free(k, ending, found, with_unit))
         return disjoint(F.concat(*out))
 
-    return T.let(tokens(text, vocab.NUMBER), shapes)
+    return T.let(F.transform(tokens(text, vocab.NUMBER), marked), shapes)
 
 
 def amount_context(text: Column, s: Column) -> Column:
