@@ -48,3 +48,19 @@ def test_amounts_with_other_keywords(spark):
     docs = spark.createDataFrame([(1, "工本费 300元，定金：4500")], "id int, text string")
     out = extract.amounts(docs, ["工本费", "定金："]).collect()
     assert {(r.raw, r.keyword) for r in out} == {("300", "工本费")}
+
+
+def test_all_families_read_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "甲方：远方贸易有限公司，电话010-12345678，金额 500元，5%"), (2, None), (3, "")], "id int, text string")
+    found = extract.extract_all(docs)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.family, r.ord, r.raw, r.norm, r.value) for r in found.collect()} == {
+        (1, "party_names", 0, "甲方：远方贸易有限公司", "远方贸易有限公司", None), (1, "contact_info", 0, "010-12345678", "010-12345678", None),
+        (1, "amounts_digits", 0, "500", "500", 500.0), (1, "numbers", 0, "010", "010", 10.0), (1, "numbers", 1, "12345678", "12345678", 12345678.0), (1, "numbers", 2, "500", "500", 500.0), (1, "percentages", 0, "5%", "5%", 0.05),
+    }
+
+
+def test_places_are_not_worked_out_where_none_are_told(spark):
+    docs = spark.createDataFrame([(1, "第一条 项目")], "id int, text string")
+    for run in (extract.parties, extract.contract_numbers, extract.clauses, extract.contacts, extract.durations):
+        assert "split(" not in run(docs)._jdf.queryExecution().optimizedPlan().toString()
