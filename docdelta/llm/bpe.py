@@ -433,15 +433,12 @@ class Encoder:
         return b"".join(map(self.m.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_MODELS: dict[str, BpeModel] = {}
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def model_of(path: str) -> BpeModel:
-    """The tables of a file, built once a process."""
-    if path not in _MODELS:
-        _MODELS[path] = BpeModel(path)
-    return _MODELS[path]
+    """The tables of a file. They take some 60 MB, so the driver, which only hands them on, does not keep them."""
+    return BpeModel(path)
 
 
 def encoder_of(model: BpeModel) -> Encoder:

@@ -24,7 +24,7 @@ from . import simhash
 from .components import components
 from .names import column
 from .simhash import SEED, shingle_hashes
-from .skew import join_hot
+from .skew import dealt, join_hot
 from .storage import discard, materialise, release_shuffles
 
 WORDS, SIMILAR = 5, (4, 5)
@@ -197,7 +197,7 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list
     postings = rows.select("key", F.explode("part").alias("h")).withColumns({"low": F.min("key").over(at), "high": F.max("key").over(at)}).where("low < high")
     known = postings.groupBy("key").agg(F.count("*").alias("c"))
     least = F.greatest(F.floor(_need(F.col("size")) / MORE), F.lit(1))
-    left = write(first.join(known, "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", F.xxhash64("row.doc_id", "row.th").alias("row"), "size", "seg"), "left")
+    left = write(first.join(dealt(known), "key", "left").where(F.coalesce("c", F.lit(0)) + F.col("often") >= least).where("size > 0").select("key", F.xxhash64("row.doc_id", "row.th").alias("row"), "size", "seg"), "left")
     keys = write(rows.select("doc_id", "key"), "keys")
     discard(texts.sparkSession, parts)  # the largest of the tables, and done with
     release_shuffles(texts.sparkSession)
@@ -207,25 +207,25 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list
     counted = _whole_sets(texts, shared, passing).withColumn("df", count).where("df > 0")
     shingle = F.shiftleft("df", 64 - 1 - COUNT_BITS).bitwiseOR(F.shiftrightunsigned("h", COUNT_BITS + 1))
     sets = counted.select("key", shingle.alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("shingles"))
-    enough = sets.join(left.select("key", "size", "seg"), "key").where(F.size("shingles") >= _need(F.col("size")))
+    enough = sets.join(dealt(left.select("key", "size", "seg")), "key").where(F.size("shingles") >= _need(F.col("size")))
     return keys, first, write(enough.select("key", "size", "seg", "shingles"), "sets"), paths
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose sets are similar; all that they have in common is among the shared shingles."""
-    wanted = lambda key: sets.join(pairs.select(F.col(key).alias("key")), "key", "left_semi")
+    wanted = lambda key: sets.join(dealt(pairs.select(F.col(key).alias("key"))), "key", "left_semi")
     side = lambda key, s, n: wanted(key).select(F.col("key").alias(key), F.col("shingles").alias(s), F.col("size").alias(n))
-    both = pairs.join(side("u", "a", "m"), "u").join(side("v", "b", "k"), "v")
+    both = pairs.join(dealt(side("u", "a", "m")), "u").join(dealt(side("v", "b", "k")), "v")
     return both.where(_enough(F.col("m"), F.col("k"), F.size(F.array_intersect("a", "b")))).select("u", "v")
 
 
 def _by_fingerprint(sets: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs (u, v) that SimHash proposes: each key with the smallest of its fingerprint, and these along the links."""
-    known = sets.select("key").join(first.select("key", "fp"), "key")
+    known = sets.select("key").join(dealt(first.select("key", "fp")), "key")
     head = known.groupBy("fp").agg(F.min("key").alias("head"))
-    same = known.join(head, "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    same = known.join(dealt(head), "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
     near = simhash.links(head.select("fp"))
-    of = lambda fp, key: head.select(F.col("fp").alias(fp), F.col("head").alias(key))
+    of = lambda fp, key: dealt(head.select(F.col("fp").alias(fp), F.col("head").alias(key)))
     return same.unionByName(near.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -264,23 +264,25 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     fields = (F.col("key").alias("other"), F.col("size").alias("m"), F.col("rest").alias("r"))
     fewest, drawn = (F.struct(x.cast("bigint").alias("x"), F.xxhash64("key").alias("y"), *fields) for x in (F.col("own"), F.lit(0)))
     centres = hits.groupBy("h").agg(F.array(F.min(fewest), F.max(drawn)).alias("c")).select("h", F.inline("c")).drop("x", "y")
-    star = hits.join(centres, "h").where(_enough(F.col("size"), F.col("m"), F.least("rest", "r")))
+    star = hits.join(dealt(centres), "h").where(_enough(F.col("size"), F.col("m"), F.least("rest", "r")))
     tested = _write(_ordered(_by_fingerprint(sets, first).unionByName(star.select(F.col("key").alias("u"), F.col("other").alias("v")))), "pairs", paths)
     edges = _write(_verified(tested, sets), "links", paths)
     groups = _write(components(edges), "roots", paths)
-    now = hits.select("key", "h", "rest").join(groups.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "h", "rest", F.coalesce("root", "key").alias("group"))
+    release_shuffles(docs.sparkSession)
+    now = hits.select("key", "h", "rest").join(dealt(groups.select(F.col("node").alias("key"), "root")), "key", "left").select("key", "h", "rest", F.coalesce("root", "key").alias("group"))
     # Only shingles where several groups meet; the members of the largest one there are not held against each other.
     sizes = now.groupBy("h", "group").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("h").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").select("h", "largest")
     described = sets.select("key", "size", "seg")
-    open_ = _write(now.join(largest, "h").withColumn("big", F.expr("group = largest")).drop("largest").join(described, "key"), "open", paths)
+    open_ = _write(now.join(dealt(largest), "h").withColumn("big", F.expr("group = largest")).drop("largest").join(dealt(described), "key"), "open", paths)
     sized = F.floor(F.log(F.col("size")) / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
     larger = open_.select("h", sized.alias("class"), F.col("key").alias("other"), F.col("size").alias("m"), F.col("group").alias("g"), F.col("rest").alias("r"), F.col("seg").alias("b"), F.col("big").alias("bg"))
     smaller = open_.where(index).withColumn("class", F.explode(F.sequence(sized, sized + SIZES_APART)))
     alike = F.expr("group <> g and size <= m") & _may_be(F.col("size"), F.col("m"), F.least("rest", "r"), F.col("seg"), F.col("b"))
-    met = smaller.where("not big").join(larger, ["h", "class"]).where(alike).select("key", "other").unionByName(smaller.where("big").join(larger.where("not bg"), ["h", "class"]).where(alike).select("key", "other"))
+    met = smaller.where("not big").join(dealt(larger), ["h", "class"]).where(alike).select("key", "other").unionByName(smaller.where("big").join(dealt(larger.where("not bg")), ["h", "class"]).where(alike).select("key", "other"))
     pairs = met.select(F.col("key").alias("u"), F.col("other").alias("v"))
-    pairs = _write(_ordered(pairs).join(tested, ["u", "v"], "left_anti"), "pairs", paths)
+    pairs = _write(_ordered(pairs).join(dealt(tested), ["u", "v"], "left_anti"), "pairs", paths)
+    release_shuffles(docs.sparkSession)
     edges = edges.unionByName(_write(_verified(pairs, sets), "links", paths))
     roots = _write(components(edges), "roots", paths)
     label, _ = materialise(simhash.named(first.select("key", "first", "n"), "key", roots), "labels")

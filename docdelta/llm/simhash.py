@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .names import column, select_named, spare
-from .skew import join_hot
+from .skew import dealt, join_hot
 from .storage import materialise
 
 SEED, WORDS = 42, 3
@@ -128,7 +128,7 @@ def links(distinct: DataFrame) -> DataFrame:
     pairs = near.where("u > v and bit_count(u ^ v) <= 2").select("u", "v")
     at_hub = shared.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(_hubs(F.col("fp"))).alias("hub"))
     least = at_hub.groupBy("hub").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("hub", "least")
-    stars = at_hub.join(least, "hub").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    stars = at_hub.join(dealt(least), "hub").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -152,10 +152,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def named(first: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """(key, component_id, n) of all keys in ``first`` (key, first, n): the smallest ``first`` of the key's component."""
-    linked = first.join(roots.withColumnRenamed("node", key), key)
+    linked = first.join(dealt(roots.withColumnRenamed("node", key)), key)
     names = linked.groupBy("root").agg(F.min("first").alias("component"))
-    moved = linked.join(names, "root").select(key, "component")
-    return first.join(moved, key, "left").select(key, F.coalesce("component", "first").alias("component_id"), "n")
+    moved = linked.join(dealt(names), "root").select(key, "component")
+    return first.join(dealt(moved), key, "left").select(key, F.coalesce("component", "first").alias("component_id"), "n")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=near_duplicates) -> DataFrame:

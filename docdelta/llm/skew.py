@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 HOT = 100
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """``table`` for a join by keys that deals both sides, even where it is small. A loop of many small joins would else
+    build every table again in the driver, each on a thread of its own."""
+    return table.hint("merge")
+
+
 def join_hot(rows: DataFrame, labels: DataFrame, on: str, total: int) -> DataFrame:
     """``rows`` joined to ``labels``, which has a row for each key and in ``n`` its number of ``rows`` out of ``total``.
 
