@@ -10,7 +10,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,27 +207,78 @@ def row_changes(cells: DataFrame, keys: list[int] | int | None = None) -> DataFr
 
 
 #: Lengths of rows fall into classes a factor of 7/3 wide: rows further apart than neighbouring classes cannot be alike
-#: by more than 0.6, whose bound 2 min / (m + n) that factor meets. Characters are counted in so many classes.
-_LENGTHS, _CHARACTERS = 7 / 3, 24
+#: by more than 0.6, whose bound 2 min / (m + n) that factor meets. Rows of a class meet in blocks of so many.
+_LENGTHS, _BLOCK = 7 / 3, 64
+
+
+def _longest_common(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of each of ``a`` with each of ``b``, b by rows: bits of the lines of a,
+    in words of 64, are moved by a character of each line of b at a time."""
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (*a, *b)]
+    known = np.unique(np.concatenate(codes))
+    words = max(1, -(-max(map(len, a), default=0) // 64))
+    of = np.zeros((words, len(known) + 1, len(a)), np.uint64)  # the last code is that of no character
+    for k, line in enumerate(codes[: len(a)]):
+        at = np.arange(len(line))
+        np.bitwise_or.at(of, (at // 64, np.searchsorted(known, line), k), np.uint64(1) << (at % 64).astype(np.uint64))
+    text = np.full((max(map(len, b), default=0), len(b)), len(known))
+    for k, line in enumerate(codes[len(a) :]):
+        text[: len(line), k] = np.searchsorted(known, line)
+    left = np.full((words, len(b), len(a)), ~np.uint64(0))
+    for row in text:
+        carry = None
+        for w in range(words):
+            v = left[w]
+            met = v & of[w][row]
+            moved = v + met
+            if words > 1:
+                over = moved < v
+                if carry is not None:
+                    moved += carry
+                    over |= moved < carry
+                carry = over.astype(np.uint64)
+            left[w] = moved | (v - met)
+    return 64 * words - np.bitwise_count(left).sum(axis=0, dtype=np.int64)
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sheet, rows_a, lines_a, rows_b, lines_b) of two blocks → (sheet, row_a, row_b, ratio, line_a, line_b) of the pairs
+    that are alike. The likeness is that of a common subsequence, so the longest one bounds it, and leaves few to compare."""
+    names = ["sheet", "row_a", "row_b", "ratio", "line_a", "line_b"]
+    for batch in batches:
+        out: list[tuple] = []
+        for k in range(batch.num_rows):
+            sheet, rows_a, a, rows_b, b = (c[k].as_py() for c in batch.columns)
+            both = np.add.outer([len(x) for x in b], [len(x) for x in a])
+            bound = 2.0 * _longest_common(a, b) / np.maximum(both, 1)
+            for j, i in zip(*np.nonzero(bound > vocab.MOVED_ROW)):
+                ratio = header_ratio(a[i], b[j])
+                if ratio > vocab.MOVED_ROW:
+                    out.append((sheet, rows_a[i], rows_b[j], ratio, a[i], b[j]))
+        kinds = [batch.schema.field(0).type, batch.schema.field(1).type.value_type, batch.schema.field(3).type.value_type, pa.float64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([row[n] for row in out], kind) for n, kind in enumerate(kinds)], names=names)
 
 
 def moved_rows(cells: DataFrame, keys: list[int] | int | None = None) -> DataFrame:
     """JN-13: (sheet, row_a, row_b, ratio, line_a, line_b): each deleted row, in order, takes the most alike free added row of
     its sheet above the limit, the first of equals.
 
-    Pairs meet by sheet and class of length; how many characters they can have in common at most, counted in classes,
-    leaves few to compare. What is alike is decided pair by pair, wherever it lies; only (row, row, ratio) goes by sheet,
-    as a sorted stream that remembers the rows taken.
+    Rows meet in blocks, by sheet and class of length; two blocks are dealt like any others, so that a large sheet is no
+    single task. What is alike is decided there; only (row, row, ratio) goes by sheet, as a sorted stream that remembers
+    the rows taken.
     """
     line = lambda cells: F.array_join(F.filter(F.transform(cells, lambda c: c["value"]), lambda v: v != ""), " ")
     lone = matched(cells, keys).where("row_a is null or row_b is null").select("sheet", F.col("row_a").isNotNull().alias("gone"), F.coalesce("row_a", "row_b").alias("row"), line(F.coalesce("cells_a", "cells_b")).alias("line"))
-    letters = F.array_sort(F.transform(F.split("line", ""), lambda c: F.pmod(F.ascii(c) * 7 + F.length(c), F.lit(_CHARACTERS))))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(_CHARACTERS - 1)), lambda k: F.size(F.filter("letters", lambda c: c == k)))
-    told = lone.withColumn("letters", letters).withColumns({"counts": counts, "n": F.length("line")}).drop("letters").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(_LENGTHS))).cast("int"))
-    new = told.where("not gone").select("sheet", F.col("row").alias("row_b"), F.col("line").alias("line_b"), F.col("counts").alias("counts_b"), F.col("n").alias("m"), F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"))
-    common = F.aggregate(F.zip_with("counts", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    near = told.where("gone").join(new, ["sheet", "class"]).where(2 * common > vocab.MOVED_ROW * (F.col("n") + F.col("m")))
-    scored = near.select("sheet", F.col("row").alias("row_a"), "row_b", ratio_column(F.col("line"), F.col("line_b")).alias("ratio"), F.col("line").alias("line_a"), "line_b").where(F.col("ratio") > vocab.MOVED_ROW)
+    told = lone.withColumn("class", F.floor(F.log(F.greatest(F.length("line"), F.lit(1))) / F.log(F.lit(_LENGTHS))).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("sheet", "gone", "class").orderBy("row"))
+    blocks = told.withColumn("block", F.floor((nth - 1) / _BLOCK)).groupBy("sheet", "gone", "class", "block").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("rows"))
+    side = lambda s: [F.col("block").alias(f"block_{s}"), F.col("rows.row").alias(f"rows_{s}"), F.col("rows.line").alias(f"lines_{s}")]
+    old = blocks.where("gone").select("sheet", "class", *side("a"))
+    new = blocks.where("not gone").select("sheet", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), *side("b"))
+    spark = cells.sparkSession
+    met = old.join(new, ["sheet", "class"]).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "sheet", "class", "block_a", "block_b")
+    kind = {f.name: f.dataType.simpleString() for f in lone.schema}
+    scored = met.select("sheet", "rows_a", "lines_a", "rows_b", "lines_b").mapInArrow(_scored, f"sheet {kind['sheet']}, row_a {kind['row']}, row_b {kind['row']}, ratio double, line_a string, line_b string")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sheet, taken, placed = None, set(), None
