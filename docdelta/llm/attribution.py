@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import model_of
+from .bpe import BpeModel
 from .packing import fast_ids
 
 SCHEMA = "field string, section int, start bigint, `end` bigint, n_tokens bigint, n_crossing bigint"
@@ -35,7 +35,7 @@ def attribute_tokens(docs: DataFrame, tokenizer: str, *, fields: Sequence[str] =
     null ids stay null; repeated rows are counted each; columns besides the id and the fields, whatever their names,
     are left out. No shuffle; memory is bounded by a batch of texts. Only for byte-level vocabularies.
     """
-    model = model_of(tokenizer)
+    model = BpeModel(tokenizer)
     if model.kind != "spaced":
         raise ValueError("offsets need a tokenizer that keeps the text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import encoder_of, model_of
+from .bpe import BpeModel, encoder_of
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -19,7 +19,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     A null text counts as empty, a null id stays null, repeated rows are encoded each; other columns, whatever
     their names, are left out. No shuffle: an Arrow map over two columns; a text is encoded in bounded slices.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(model_of(tokenizer))  # bounded by the vocabulary
+    tables = docs.sparkSession.sparkContext.broadcast(BpeModel(tokenizer))  # bounded by the vocabulary
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * ids

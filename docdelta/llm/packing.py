@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BpeModel, encoder_of, model_of
+from .bpe import BpeModel, encoder_of
 from .storage import materialise
 
 LOG = logging.getLogger(__name__)
@@ -60,7 +60,7 @@ def fast_ids(model: BpeModel) -> FastIds:
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """A row for each piece of each document's ids followed by ``end_id``. Documents of up to ``capacity`` ids are
     one piece; longer ones are cut so that only the first piece can be shorter than ``capacity``."""
-    tables = docs.sparkSession.sparkContext.broadcast(model_of(tokenizer))
+    tables = docs.sparkSession.sparkContext.broadcast(BpeModel(tokenizer))  # some 60 MB, which the driver does not keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = fast_ids(tables.value)

@@ -5,7 +5,7 @@ import weakref
 
 import public_tokenizers
 
-from docdelta.llm import bpe, components, overlap
+from docdelta.llm import bpe, components, overlap, packing
 
 
 def test_small_joins_of_a_loop_build_no_tables_in_the_driver(spark):
@@ -16,7 +16,12 @@ def test_small_joins_of_a_loop_build_no_tables_in_the_driver(spark):
     assert sorted(tuple(r) for r in overlap._verified(edges, sets).collect()) == [(2, 1), (3, 2), (5, 4)]
 
 
-def test_the_driver_keeps_no_token_model():
-    model = weakref.ref(bpe.model_of(public_tokenizers.path("byte_bpe_50k.json")))
+def test_the_driver_keeps_no_token_model(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "_MODELS", {})
+    made = []
+    build = bpe.BpeModel.__init__
+    monkeypatch.setattr(bpe.BpeModel, "__init__", lambda self, *a, **k: made.append(weakref.ref(self)) or build(self, *a, **k))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    pieces = packing.cut_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
     gc.collect()
-    assert model() is None
+    assert pieces.columns and made and made[0]() is None
