@@ -42,7 +42,8 @@ def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
 
 
 def _counted(named: DataFrame) -> DataFrame:
-    """(lang, term, source, block, docs, n): a block's documents with the term, and how often they have it."""
+    """(key, source, block, docs, n): a block's documents with the term, and how often they have it. The key is the term, a
+    zero byte, which no term holds, and the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -53,8 +54,9 @@ def _counted(named: DataFrame) -> DataFrame:
             for (lang, source), (n, docs) in held.items():
                 found = list(n)
                 if found:
-                    columns = [pa.array([lang] * len(found)), pa.array(found, pa.binary()), pa.array([source] * len(found)), pa.array([block] * len(found), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([docs[t] for t in found], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["lang", "term", "source", "block", "docs", "n"])
+                    of_lang = b"\0" + lang.encode()
+                    columns = [pa.array([t + of_lang for t in found], pa.binary()), pa.repeat(source, len(found)), pa.repeat(pa.scalar(block, pa.int32()), len(found))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([docs[t] for t in found], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["key", "source", "block", "docs", "n"])
             held.clear()
             block += 1
 
@@ -70,7 +72,13 @@ def _counted(named: DataFrame) -> DataFrame:
                     yield from passed_on()
         yield from passed_on()
 
-    return named.mapInArrow(run, "lang string, term binary, source string, block int, docs bigint, n bigint")
+    return named.mapInArrow(run, "key binary, source string, block int, docs bigint, n bigint")
+
+
+def _sorted(counted: DataFrame) -> DataFrame:
+    """The counts dealt by key and sorted by key, source and block. A sort compares the first eight bytes of the first column
+    before it reads the rows: these tell most terms apart, but not languages, so the key begins with the term."""
+    return counted.repartition("key").sortWithinPartitions("key", "source", "block")
 
 
 def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
@@ -86,7 +94,7 @@ def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted counts → (lang, term, total, sources, counts) of each term with enough documents. A run that the batch does
     not end is carried on, a row for each source."""
-    names = ["lang", "term", "source", "docs", "n"]
+    names = ["key", "source", "docs", "n"]
     carried = None
     for batch in _and_end(batches):
         parts = [x for x in (carried, batch) if x is not None]
@@ -95,11 +103,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([p.select(names) for p in parts]).combine_chunks()
         if not table.num_rows:
             continue
-        of_term = _starts(table, ["lang", "term"])
+        of_term = _starts(table, ["key"])
         at = np.flatnonzero(of_term | _starts(table, ["source"]))
         sums = {c: np.add.reduceat(table.column(c).to_numpy(), at) for c in ("docs", "n")}
         first = np.flatnonzero(of_term[at])  # among the runs of sources, those that begin a term
-        merged = table.take(pa.array(at)).select(names[:3]).append_column("docs", pa.array(sums["docs"])).append_column("n", pa.array(sums["n"]))
+        merged = table.take(pa.array(at)).select(names[:2]).append_column("docs", pa.array(sums["docs"])).append_column("n", pa.array(sums["n"]))
         whole = len(first) if batch is None else len(first) - 1
         carried = None if batch is None else merged.slice(first[-1]).combine_chunks().to_batches()[0]
         kept = np.flatnonzero(np.add.reduceat(sums["docs"], first)[:whole] >= LEAST_DOCS)
@@ -109,8 +117,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = pa.array(np.append(0, np.cumsum(ends[kept + 1] - ends[kept])).astype(np.int32))
             flat = merged.take(pa.array(rows)).combine_chunks()
             lists = [pa.ListArray.from_arrays(offsets, flat.column(c).combine_chunks()) for c in ("source", "n")]
-            heads = merged.take(pa.array(first[kept])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(heads.column(c).combine_chunks() for c in ("lang", "term")), pa.array(np.add.reduceat(sums["n"], first)[kept]), *lists], names=["lang", "term", "total", "sources", "counts"])
+            told = [key.split(b"\0", 1) for key in merged.column("key").take(pa.array(first[kept])).to_pylist()]
+            heads = pa.array([lang.decode() for _, lang in told], pa.string()), pa.array([term for term, _ in told], pa.binary())
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(np.add.reduceat(sums["n"], first)[kept]), *lists], names=["lang", "term", "total", "sources", "counts"])
         if batch is None:
             return
 
@@ -227,8 +236,7 @@ def audit(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source"
     read once, whole; counts are added up before they move, and no task holds more than a term's sources.
     """
     named = _named(docs, lang_col, source_col, text_col)
-    order = ["lang", "term", "source", "block"]
-    kept, _ = materialise(_counted(named).repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(_runs, "lang string, term binary, total bigint, sources array<string>, counts array<bigint>"), "kept")
+    kept, _ = materialise(_sorted(_counted(named)).mapInArrow(_runs, "lang string, term binary, total bigint, sources array<string>, counts array<bigint>"), "kept")
     posted = kept.select("lang", "term", "total", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))).alias("x")).select("lang", "term", "total", F.col("x.source").alias("source"), F.col("x.n").alias("n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
     sizes = posted.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("has"))

@@ -50,3 +50,18 @@ def test_one_term_in_every_text(spark):
     rows = [("en", f"s{k % 3}", "same " * (k % 5)) for k in range(300)]
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(6)
     assert sorted(tuple(r) for r in divergence.audit(docs).collect()) == brute(rows)
+
+
+def test_sort_tells_terms_apart_by_their_first_eight_bytes(spark):
+    docs = spark.createDataFrame([("a language\0 of a long name", s, t) for s in ("a", "b") for t in ("one two", "two one two", "three")], "lang string, source string, text string")
+    in_order = divergence._sorted(divergence._counted(divergence._named(docs, "lang", "source", "text")))
+    first = in_order._jdf.queryExecution().executedPlan().toString().split("Sort [")[1].split("#")[0]
+    found = [[bytes(r[first]) for r in part] for part in in_order.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in found)
+    assert {key[:3] for part in found for key in part} == {b"one", b"two", b"thr"}
+
+
+def test_language_with_zero_bytes(spark):
+    rows = [(lang, s, t) for lang in ("x\0y", "x", "") for s in ("a", "b\0") for t in ("one two", "two one two", "three", "one three")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    assert sorted(tuple(r) for r in divergence.audit(docs).collect()) == brute(rows)
