@@ -1,6 +1,6 @@
 """Operator 13: how the sources of a language differ in their words, from one sorted stream.
 
-Terms are counted for blocks of documents, dealt by language and term and sorted by (language, term, source, block); a
+Terms are counted for blocks of documents, dealt by language and term and sorted by (term, language, source, block); a
 scan of the runs gives document frequencies and counts. Pairs of sources are summed run by run, over the sources that
 have the term alone: what absent terms add is known from each source's counts.
 """
