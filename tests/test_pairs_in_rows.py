@@ -2,7 +2,7 @@
 
 import random
 
-from docdelta.operators import extract, match
+from docdelta.operators import extract, match, report
 from pyspark.sql import functions as F
 
 PIECES = ["合同总价为¥120,000.00元", "人民币 5000 元", "RMB 300.5", "违约金50000元", "费用：  8,888", "即¥270000.00元", "数量100件", "数量 100.001 件", "数量 100.005 件", "2024年1月5日", "2024年 1月 5日", "元 700", "50元", "\n", "1,234,5678", "😀 甲方", "5%"]
@@ -42,3 +42,11 @@ def test_contexts_are_cut_out_for_rows_that_are_read(spark):
             one = spark.createDataFrame([(r[side] or "",)], "text string") if r.pair_id % 40 == 1 else None
             for x in one.select(F.posexplode(extract.number_items(F.col("text")))).collect() if one else []:
                 assert all(contexts.get((r.pair_id, w, x.pos), x.col.context) == x.col.context for w in ways)
+
+
+def test_reports_deal_one_row_a_pair(spark):
+    """The items are aggregated before they meet files or texts."""
+    both = pairs(spark).select("pair_id", "word", "pdf")
+    items = match.matched_items(both).withColumn("risk", F.lit("high"))
+    html = plan(report.html_report(items, both))
+    assert "NOT (direction" in html[html.index("collect_list") :] or "<> matched" in html
