@@ -48,5 +48,9 @@ def test_reports_deal_one_row_a_pair(spark):
     """The items are aggregated before they meet files or texts."""
     both = pairs(spark).select("pair_id", "word", "pdf")
     items = match.matched_items(both).withColumn("risk", F.lit("high"))
+    files = both.select("pair_id", F.lit("w").alias("word_file"), F.lit("p").alias("pdf_file"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    told = report.text_report(items, files)
+    text = plan(told)
+    assert text.index("Join LeftOuter") < text.index("collect_list") and {r.pair_id for r in told.collect()} == {r.pair_id for r in both.collect()}
     html = plan(report.html_report(items, both))
     assert "NOT (direction" in html[html.index("collect_list") :] or "<> matched" in html
